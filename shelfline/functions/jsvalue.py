@@ -1,0 +1,121 @@
+"""JavaScript value semantics over Spark ``VARIANT`` columns.
+
+Untyped JSON (JSON-LD blocks, embedded variant blobs) is parsed once into a
+``VARIANT`` with ``try_parse_json``; these helpers reproduce the JS rules the
+extractors depend on: ``typeof``, truthiness, ``!= null`` and ``String(x)``
+(``49.00`` -> ``"49"``, ``1e2`` -> ``"100"``).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .text import col_, let
+
+_NUMERIC = r"^(DECIMAL|BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT)"
+
+
+def vget(v, path: str, type_: str = "variant") -> Column:
+    """``try_variant_get`` with a JSONPath (``$.a``, ``$["@type"]``)."""
+    return F.try_variant_get(col_(v), path, type_)
+
+
+def field(v, name: str) -> Column:
+    """``obj[name]`` as a VARIANT (NULL when missing)."""
+    if name.isidentifier():
+        return vget(v, f"$.{name}")
+    return vget(v, f'$["{name}"]')
+
+
+def as_array(v) -> Column:
+    return vget(v, "$", "array<variant>")
+
+
+def js_type(v) -> Column:
+    """'undefined' | 'null' | 'object' | 'array' | 'string' | 'number' | 'boolean'."""
+    v = col_(v)
+
+    def by_schema(sch):
+        return (F.when(sch == "VOID", F.lit("null"))
+                .when(sch.startswith("OBJECT"), F.lit("object"))
+                .when(sch.startswith("ARRAY"), F.lit("array"))
+                .when(sch == "STRING", F.lit("string"))
+                .when(sch == "BOOLEAN", F.lit("boolean"))
+                .when(sch.rlike(_NUMERIC), F.lit("number"))
+                .otherwise(F.lit("object")))
+    return F.when(v.isNull(), F.lit("undefined")).otherwise(by_schema(F.schema_of_variant(v)))
+
+
+def is_object(v) -> Column:
+    """``typeof v === 'object' && v !== null`` (arrays included, as in JS)."""
+    return js_type(v).isin("object", "array")
+
+
+def is_array(v) -> Column:
+    return js_type(v) == "array"
+
+
+def is_string(v) -> Column:
+    return js_type(v) == "string"
+
+
+def defined(v) -> Column:
+    """``v != null``."""
+    v = col_(v)
+    return v.isNotNull() & ~F.coalesce(F.is_variant_null(v), F.lit(False))
+
+
+def truthy(v) -> Column:
+    def body(x, t):
+        return (F.when(t.isin("undefined", "null"), F.lit(False))
+                .when(t == "boolean", F.coalesce(vget(x, "$", "boolean"), F.lit(False)))
+                .when(t == "string", F.coalesce(vget(x, "$", "string") != "", F.lit(False)))
+                .when(t == "number", F.coalesce(vget(x, "$", "double") != 0, F.lit(False)))
+                .otherwise(F.lit(True)))
+    x = col_(v)
+    return body(x, js_type(x))
+
+
+def _number_string(v: Column) -> Column:
+    dbl = vget(v, "$", "double")
+    dec = dbl.try_cast("decimal(38,10)").cast("string")
+    dec = F.regexp_replace(F.regexp_replace(dec, r"0+$", ""), r"\.$", "")
+    plain = vget(v, "$", "string")
+    return F.when(F.schema_of_variant(v).isin("DOUBLE", "FLOAT"), F.coalesce(dec, plain)).otherwise(plain)
+
+
+def _scalar_string(v: Column, t: Column) -> Column:
+    return (F.when(t == "undefined", F.lit("undefined"))
+            .when(t == "null", F.lit("null"))
+            .when(t == "number", _number_string(v))
+            .when(t.isin("string", "boolean"), vget(v, "$", "string"))
+            .otherwise(F.lit("[object Object]")))
+
+
+def js_string(v) -> Column:
+    """``String(v)`` (arrays join their elements with ',', null/undefined -> '')."""
+    def body(x, t):
+        arr = F.array_join(F.transform(as_array(x), lambda y: F.when(
+            js_type(y).isin("null", "undefined"), F.lit("")).otherwise(_scalar_string(y, js_type(y)))), ",")
+        return F.when(t == "array", arr).otherwise(_scalar_string(x, t))
+    x = col_(v)
+    return body(x, js_type(x))
+
+
+def str_if_truthy(v) -> Column:
+    """``v ? String(v) : undefined``."""
+    x = col_(v)
+    return F.when(truthy(x), js_string(x))
+
+
+def str_if_defined(v) -> Column:
+    """``v != null ? String(v) : undefined``."""
+    x = col_(v)
+    return F.when(defined(x), js_string(x))
+
+
+def lift_array(v) -> Column:
+    """``Array.isArray(v) ? v : [v]`` as ``array<variant>`` (NULL for undefined)."""
+    x = col_(v)
+    return F.when(x.isNull(), None).when(is_array(x), as_array(x)).otherwise(F.array(x))
