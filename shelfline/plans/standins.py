@@ -92,3 +92,28 @@ def crawl_events(spark, sf_dir: str) -> DataFrame:
     return ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"),
                      F.struct("ts", "event_id").alias("seq"), F.col("event_id"),
                      status.alias("status"), error.alias("error"), F.col("ts").alias("at"))
+
+
+def jsonld_pages(spark, sf_dir: str) -> DataFrame:
+    """One product page per part with a schema.org JSON-LD block (rendered
+    with ``to_json``) and a plain <h1>; no values are precomputed for the
+    extractor, which has to parse the page and the JSON."""
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
+    k = F.col("p_partkey").cast("string")
+    doc = F.struct(
+        F.lit("https://schema.org").alias("@context"), F.lit("Product").alias("@type"),
+        F.col("p_name").alias("name"), F.concat(F.lit("P-"), k).alias("sku"),
+        F.struct(F.lit("Brand").alias("@type"), F.col("p_brand").alias("name")).alias("brand"),
+        F.lpad(k, 13, "0").alias("gtin13"),
+        F.array(F.concat(F.lit(STORE + "/img/"), k, F.lit(".jpg"))).alias("image"),
+        F.struct(F.lit("Offer").alias("@type"), F.col("p_retailprice").alias("price"),
+                 F.lit("usd").alias("priceCurrency"),
+                 F.when(F.col("p_size") % 2 == 0, F.lit("https://schema.org/InStock"))
+                 .otherwise(F.lit("https://schema.org/OutOfStock")).alias("availability")).alias("offers"),
+        F.struct(F.lit("AggregateRating").alias("@type"), (F.col("p_size") % 5 + 1).alias("ratingValue"),
+                 F.col("p_size").alias("ratingCount")).alias("aggregateRating"))
+    html = F.concat(F.lit("<!DOCTYPE html><html><head><title>"), F.col("p_name"),
+                    F.lit("</title><script type=\"application/ld+json\">"), F.to_json(doc),
+                    F.lit("</script></head><body><h1>"), F.col("p_name"), F.lit("</h1></body></html>"))
+    url = F.concat(F.lit(STORE + "/"), part_word(1), F.lit("/"), k, F.lit(".html"))
+    return part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), html.alias("html"))
