@@ -3,6 +3,7 @@ ingest (R10)."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions.enums import AVAILABILITY_VALUES
@@ -99,3 +100,40 @@ def ingest_stream(spark, sf_dir):
                                            sku_from_url("url").alias("sku")),
                         glob="pages.parquet")
     return spark.read.parquet(sink).select("page_id", "url", "path", "sku")
+
+
+API_BASE = "https://www.store.com"
+
+
+@query("api_simple", """
+SELECT 'P-' || CAST(p_partkey AS VARCHAR) AS sku,
+  '/products/' || split_part(p_name, ' ', 2) || '-' || CAST(p_partkey AS VARCHAR) || '/p-' || CAST(p_partkey AS VARCHAR) AS path,
+  p_name AS name, p_name || ' by ' || p_brand AS description, p_brand AS brand,
+  regexp_replace(regexp_replace(CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR), '0+$', ''), '\\.$', '') AS price_final,
+  regexp_replace(regexp_replace(CAST(CAST(p_retailprice AS DECIMAL(18,2)) + 10 AS VARCHAR), '0+$', ''), '\\.$', '') AS price_regular,
+  'USD' AS currency,
+  CASE p_size % 3 WHEN 1 THEN 'InStock' WHEN 2 THEN 'OutOfStock' END AS availability,
+  'https://cdn.example.com/' || CAST(p_partkey AS VARCHAR) || '.jpg' AS image
+FROM part
+""")
+def api_simple(spark, sf_dir):
+    """N1-N6, N10 on simple product views, then T1-T12 and V1."""
+    from ..operators.api import normalize_product, source_url
+    from ..operators.transform import transform_product
+    views = S.api_simple_views(spark, sf_dir)
+    from pyspark.sql.types import ArrayType
+
+    from ..schemas import API_VARIANT
+    no_variants = F.array().cast(ArrayType(API_VARIANT))
+    raw = views.select(normalize_product(F.col("pv"), no_variants, API_BASE).alias("raw"),
+                       source_url(F.col("pv"), API_BASE).alias("_src"))
+    raw = raw.select("raw", F.coalesce(F.col("raw.url"), F.col("_src")).alias("src"))
+    # optimisation barrier between the normaliser and the transform (see page_crawl)
+    raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
+    t = raw.select(transform_product(F.col("raw"), F.col("src")).alias("t")).select("t.product")
+    p = F.col("product")
+    return t.filter(p.isNotNull()).select(
+        p["sku"].alias("sku"), p["path"].alias("path"), p["name"].alias("name"), p["description"].alias("description"),
+        p["brand"].alias("brand"), p["price"]["final"].alias("price_final"), p["price"]["regular"].alias("price_regular"),
+        p["price"]["currency"].alias("currency"), p["availability"].alias("availability"),
+        F.get(p["images"], 0)["url"].alias("image"))

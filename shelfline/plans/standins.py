@@ -117,3 +117,29 @@ def jsonld_pages(spark, sf_dir: str) -> DataFrame:
                     F.lit("</script></head><body><h1>"), F.col("p_name"), F.lit("</h1></body></html>"))
     url = F.concat(F.lit(STORE + "/"), part_word(1), F.lit("/"), k, F.lit(".html"))
     return part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), html.alias("html"))
+
+
+def api_simple_views(spark, sf_dir: str) -> DataFrame:
+    """SimpleProductView records (schemas.API_PRODUCT) for every part."""
+    from ..schemas import API_PRODUCT
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
+    k = F.col("p_partkey").cast("string")
+    money = lambda v: F.struct(F.struct(v.alias("value"), F.lit("USD").alias("currency")).alias("amount"))  # noqa
+    price = F.col("p_retailprice").cast("decimal(18,2)")
+    pv = F.struct(
+        F.lit("SimpleProductView").alias("__typename"), F.concat(F.lit("P-"), k).alias("sku"),
+        F.col("p_name").alias("name"), F.concat(part_word(1), F.lit("-"), k).alias("urlKey"),
+        F.lit(None).cast("string").alias("url"),
+        F.concat(F.lit("<p>"), F.col("p_name"), F.lit(" by <b>"), F.col("p_brand"), F.lit("</b></p>")).alias("description"),
+        F.lit(None).cast("string").alias("metaTitle"), F.lit(None).cast("string").alias("metaDescription"),
+        F.when(F.col("p_size") % 3 == 1, F.lit(True)).when(F.col("p_size") % 3 == 2, F.lit(False)).alias("inStock"),
+        F.array(F.struct(F.concat(F.lit("//cdn.example.com/"), k, F.lit(".jpg")).alias("url"),
+                         F.col("p_name").alias("label"), F.array(F.lit("image"), F.lit("small_image")).alias("roles")))
+        .alias("images"),
+        F.array(F.struct(F.lit("brand").alias("name"), F.lit("Brand").alias("label"), F.col("p_brand").alias("value"),
+                         F.lit(None).cast("array<string>").alias("roles")),
+                F.struct(F.lit("color").alias("name"), F.lit("Color").alias("label"), part_word(0).alias("value"),
+                         F.lit(None).cast("array<string>").alias("roles"))).alias("attributes"),
+        F.struct(money(price).alias("final"), money(price + 10).alias("regular")).alias("price"),
+        F.lit(None).alias("priceRange"), F.lit(None).alias("options"))
+    return part.select("p_partkey", pv.cast(API_PRODUCT).alias("pv"))
