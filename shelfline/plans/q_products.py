@@ -137,3 +137,36 @@ def api_simple(spark, sf_dir):
         p["brand"].alias("brand"), p["price"]["final"].alias("price_final"), p["price"]["regular"].alias("price_regular"),
         p["price"]["currency"].alias("currency"), p["availability"].alias("availability"),
         F.get(p["images"], 0)["url"].alias("image"))
+
+
+@query("api_complex", """
+WITH pr AS (SELECT l_partkey, l_suppkey, arg_min(l_linenumber, (l_orderkey, l_linenumber)) AS ln,
+                   arg_min(l_returnflag, (l_orderkey, l_linenumber)) AS rf FROM lineitem GROUP BY l_partkey, l_suppkey)
+SELECT 'P-' || CAST(l_partkey AS VARCHAR) AS sku, '/products/c-' || CAST(l_partkey AS VARCHAR) || '/p-' || CAST(l_partkey AS VARCHAR) AS path,
+  'P-' || CAST(l_partkey AS VARCHAR) || '-S-' || CAST(l_suppkey AS VARCHAR) AS variant_sku,
+  'color=' || split_part(p_name, ' ', 1) || '|size=' || CAST(ln AS VARCHAR) AS options,
+  'cl-' || CAST(l_partkey AS VARCHAR) || '|sz-' || CAST(l_partkey AS VARCHAR) || '-' || CAST(ln AS VARCHAR) AS uids,
+  'https://cdn.example.com/' || CAST(l_partkey AS VARCHAR) || '.jpg' AS image,
+  CASE WHEN rf = 'N' THEN 'InStock' ELSE 'OutOfStock' END AS availability,
+  regexp_replace(regexp_replace(CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR), '0+$', ''), '\\.$', '') AS price_final
+FROM pr JOIN part ON pr.l_partkey = part.p_partkey
+""")
+def api_complex(spark, sf_dir):
+    """N1, N6-N8 on complex views (options by selection UID, parent image
+    fallback), then T10/T11 and V1; one row per variant."""
+    from ..operators.api import normalize_product, source_url
+    from ..operators.transform import transform_product
+    views = S.api_complex_views(spark, sf_dir)
+    raw = views.select(normalize_product(F.col("pv"), F.col("variants"), API_BASE).alias("raw"),
+                       source_url(F.col("pv"), API_BASE).alias("_src"))
+    raw = raw.select("raw", F.coalesce(F.col("raw.url"), F.col("_src")).alias("src"))
+    raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
+    t = raw.select(transform_product(F.col("raw"), F.col("src")).alias("t")).select("t.product")
+    v = t.filter(F.col("product").isNotNull()).select(
+        F.col("product.sku").alias("sku"), F.col("product.path").alias("path"), F.explode("product.variants").alias("v"))
+    return v.select("sku", "path", F.col("v.sku").alias("variant_sku"),
+                    F.array_join(F.transform("v.options", lambda o: F.concat(o["id"], F.lit("="), o["value"])), "|")
+                    .alias("options"),
+                    F.array_join(F.transform("v.options", lambda o: o["uid"]), "|").alias("uids"),
+                    F.get(F.col("v.images"), 0)["url"].alias("image"), F.col("v.availability").alias("availability"),
+                    F.col("v.price.final").alias("price_final"))

@@ -143,3 +143,56 @@ def api_simple_views(spark, sf_dir: str) -> DataFrame:
         F.struct(money(price).alias("final"), money(price + 10).alias("regular")).alias("price"),
         F.lit(None).alias("priceRange"), F.lit(None).alias("options"))
     return part.select("p_partkey", pv.cast(API_PRODUCT).alias("pv"))
+
+
+def api_complex_views(spark, sf_dir: str) -> DataFrame:
+    """ComplexProductView records with option values and variants (selections
+    listed color first, size second) for every part with lineitem pairs."""
+    from pyspark.sql.types import ArrayType
+
+    from ..schemas import API_PRODUCT, API_VARIANT
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                                      "l_returnflag")
+    pairs = li.groupBy("l_partkey", "l_suppkey").agg(
+        F.min_by(F.struct("l_linenumber", "l_returnflag"), F.struct("l_orderkey", "l_linenumber")).alias("r"))
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    j = pairs.join(part, pairs.l_partkey == part.p_partkey)
+    k, s = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    ln = F.col("r.l_linenumber").cast("string")
+    money = lambda v: F.struct(F.struct(v.alias("value"), F.lit("USD").alias("currency")).alias("amount"))  # noqa
+    price = F.col("p_retailprice").cast("decimal(18,2)")
+    variant = F.struct(
+        F.array(F.concat(F.lit("cl-"), k), F.concat(F.lit("sz-"), k, F.lit("-"), ln)).alias("selections"),
+        F.struct(F.concat(F.lit("P-"), k, F.lit("-S-"), s).alias("sku"),
+                 F.concat(F.col("p_name"), F.lit(" S"), s).alias("name"),
+                 (F.col("r.l_returnflag") == "N").alias("inStock"),
+                 F.lit(None).alias("images"),
+                 F.struct(money(price).alias("final"), F.lit(None).alias("regular")).alias("price")).alias("product"))
+    per = j.groupBy("l_partkey", "p_name", "p_retailprice").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("l_suppkey", variant.alias("v")))), lambda x: x["v"])
+        .alias("variants"),
+        F.array_sort(F.collect_set(F.col("r.l_linenumber"))).alias("sizes"))
+    k2 = F.col("l_partkey").cast("string")
+    options = F.array(
+        F.struct(F.lit("size").alias("id"), F.lit("Size").alias("title"),
+                 F.transform("sizes", lambda z: F.struct(F.concat(F.lit("sz-"), k2, F.lit("-"), z.cast("string")).alias("id"),
+                                                         z.cast("string").alias("title"),
+                                                         F.lit(True).alias("inStock"))).alias("values")),
+        F.struct(F.lit("color").alias("id"), F.lit("Color").alias("title"),
+                 F.array(F.struct(F.concat(F.lit("cl-"), k2).alias("id"),
+                                  F.split("p_name", " ").getItem(0).alias("title"),
+                                  F.lit(True).alias("inStock"))).alias("values")))
+    pr = F.col("p_retailprice").cast("decimal(18,2)")
+    pv = F.struct(
+        F.lit("ComplexProductView").alias("__typename"), F.concat(F.lit("P-"), k2).alias("sku"),
+        F.col("p_name").alias("name"), F.concat(F.lit("c-"), k2).alias("urlKey"), F.lit(None).alias("url"),
+        F.lit(None).alias("description"), F.lit(None).alias("metaTitle"), F.lit(None).alias("metaDescription"),
+        F.lit(True).alias("inStock"),
+        F.array(F.struct(F.concat(F.lit("//cdn.example.com/"), k2, F.lit(".jpg")).alias("url"),
+                         F.lit(None).cast("string").alias("label"), F.lit(None).cast("array<string>").alias("roles")))
+        .alias("images"),
+        F.lit(None).alias("attributes"), F.lit(None).alias("price"),
+        F.struct(F.struct(money(pr).alias("final"), F.lit(None).alias("regular")).alias("minimum"),
+                 F.lit(None).alias("maximum")).alias("priceRange"),
+        options.alias("options"))
+    return per.select(pv.cast(API_PRODUCT).alias("pv"), F.col("variants").cast(ArrayType(API_VARIANT)).alias("variants"))
