@@ -66,3 +66,18 @@ def page_links(spark, sf_dir):
         .filter(F.col("full").startswith("http")) \
         .select("page_id", F.split_part(F.split_part("full", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)).alias("link"))
     return links.distinct()
+
+
+@query("sitemap_urls", """
+SELECT DISTINCT regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*)', 1) AS origin, url FROM pages
+""")
+def sitemap_urls(spark, sf_dir):
+    """S4 fallback location choice, S2 XML parsing, S3 index resolution over
+    sitemap documents rendered per site from pages."""
+    from ..sources.sitemaps import fallback_roots, parse_sitemaps, resolve
+    docs = S.sitemap_docs(spark, sf_dir)
+    parsed = parse_sitemaps(docs.select("url", "xml"))
+    origins = docs.select("origin").distinct()
+    roots = fallback_roots(origins, parsed).join(origins, "origin", "right")
+    roots = roots.select("origin", F.coalesce("url", F.concat("origin", F.lit("/sitemap.xml"))).alias("url"))
+    return resolve(roots, parsed).distinct()

@@ -196,3 +196,33 @@ def api_complex_views(spark, sf_dir: str) -> DataFrame:
                  F.lit(None).alias("maximum")).alias("priceRange"),
         options.alias("options"))
     return per.select(pv.cast(API_PRODUCT).alias("pv"), F.col("variants").cast(ArrayType(API_VARIANT)).alias("variants"))
+
+
+SITEMAP_BUCKETS = 4
+
+
+def _xml_escape(c):
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+
+
+def sitemap_docs(spark, sf_dir: str) -> DataFrame:
+    """Sitemap documents per site: an index at /sitemap.xml pointing to
+    bucketed child url sets (pages of the site split by page id)."""
+    from ..functions.urls import url_origin
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url").withColumn("origin", url_origin("url"))
+    pages = pages.withColumn("b", F.pmod(F.col("page_id"), F.lit(SITEMAP_BUCKETS)))
+    child_url = F.concat("origin", F.lit("/sitemap-"), F.col("b").cast("string"), F.lit(".xml"))
+    ns = '<?xml version="1.0" encoding="UTF-8"?>'
+    children = pages.groupBy("origin", "b").agg(F.array_sort(F.collect_list("url")).alias("urls")).select(
+        "origin", child_url.alias("url"),
+        F.concat(F.lit(ns + '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'),
+                 F.array_join(F.transform("urls", lambda u: F.concat(F.lit("<url><loc>"), _xml_escape(u),
+                                                                     F.lit("</loc></url>"))), ""),
+                 F.lit("</urlset>")).alias("xml"))
+    index = children.groupBy("origin").agg(F.array_sort(F.collect_list("url")).alias("kids")).select(
+        "origin", F.concat("origin", F.lit("/sitemap.xml")).alias("url"),
+        F.concat(F.lit(ns + '<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'),
+                 F.array_join(F.transform("kids", lambda u: F.concat(F.lit("<sitemap><loc>"), _xml_escape(u),
+                                                                     F.lit("</loc></sitemap>"))), ""),
+                 F.lit("</sitemapindex>")).alias("xml"))
+    return index.unionByName(children)
