@@ -79,3 +79,41 @@ def discovery_union(**frontiers: DataFrame) -> DataFrame:
 
 __all__ = ["is_product_url", "robots_allowed", "apply_robots", "dedupe_first", "cap", "discovery_union",
            "Window"]
+
+
+MAX_PAGES = 100
+
+
+def next_page_edges(pages, sels, selectors: list[str], url_col: str = "url"):
+    """(url, next) -- the first next-page selector that matches anything
+    gives the element; its href, absolutised, is the edge (NULL if none)."""
+    from ..functions.urls import resolve_url
+    from ..operators.selectors import select_first
+    dom = F.col("dom")
+    el = F.coalesce(*[select_first(dom, sels, s) for s in selectors])
+    href = F.when(el["attrs"]["href"] != "", el["attrs"]["href"])
+    return pages.select(F.col(url_col).alias("url"), resolve_url(href, F.col(url_col)).alias("next"))
+
+
+def traverse(starts, edges, known, max_pages: int = MAX_PAGES, checkpoint_every: int = 10):
+    """Follow next edges from each start, at most ``max_pages`` pages per
+    start; stop on a missing page, a NULL next or next == current.
+
+    A bounded iterative frontier join; lineage is cut with ``checkpoint()``
+    every ``checkpoint_every`` steps (shared checkpoint folder).
+    """
+    from ..session import checkpoint_dir
+    checkpoint_dir(starts.sparkSession)
+    frontier = starts.select("origin", "url", F.lit(1).alias("step"))
+    visited = frontier
+    known_urls = known.select(F.col("url").alias("next")).distinct()
+    for step in range(2, max_pages + 1):
+        nxt = frontier.join(edges, "url").filter(F.col("next").isNotNull() & (F.col("next") != F.col("url"))) \
+            .join(known_urls, "next").select("origin", F.col("next").alias("url"), F.lit(step).alias("step"))
+        if step % checkpoint_every == 0:
+            nxt = nxt.checkpoint()
+        if nxt.isEmpty():
+            break
+        visited = visited.unionByName(nxt)
+        frontier = nxt
+    return visited

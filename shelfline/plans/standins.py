@@ -226,3 +226,20 @@ def sitemap_docs(spark, sf_dir: str) -> DataFrame:
                                                                      F.lit("</loc></sitemap>"))), ""),
                  F.lit("</sitemapindex>")).alias("xml"))
     return index.unionByName(children)
+
+
+def listing_pages(spark, sf_dir: str) -> DataFrame:
+    """Listing pages: each page links to the next page of its site (by page
+    id) with rel=next; the last page of a site links to itself when its id is
+    even, else has no next link."""
+    from pyspark.sql import Window
+
+    from ..functions.urls import url_origin
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url").withColumn("origin", url_origin("url"))
+    nxt = F.lead("url").over(Window.partitionBy("origin").orderBy("page_id"))
+    pages = pages.withColumn("nxt", F.coalesce(nxt, F.when(F.col("page_id") % 2 == 0, F.col("url"))))
+    link = F.when(F.col("nxt").isNotNull(), F.concat(F.lit('<a class="pager" rel="next" href="'),
+                                                      F.regexp_replace("nxt", "&", "&amp;"), F.lit('">Next</a>')))
+    html = F.concat(F.lit("<html><body><div class=\"list\"><a href=\"/p/1\">p</a></div><nav>"),
+                    F.coalesce(link, F.lit("")), F.lit("</nav></body></html>"))
+    return pages.select("page_id", "url", "origin", html.alias("html"))
