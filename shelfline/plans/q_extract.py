@@ -107,3 +107,34 @@ def pagination(spark, sf_dir):
     starts = pages.groupBy("origin").agg(F.min_by("url", "page_id").alias("url"))
     out = traverse(starts, edges, pages.select("url"))
     return out.select("origin", "url", F.col("step").cast("int").alias("step"))
+
+
+@query("embedded_variants", """
+WITH pr AS (SELECT l_partkey, l_suppkey, arg_min(l_linenumber, (l_orderkey, l_linenumber)) AS ln,
+                   arg_min(l_returnflag, (l_orderkey, l_linenumber)) AS rf FROM lineitem GROUP BY l_partkey, l_suppkey),
+c AS (SELECT pr.*, p_name, CAST(round(p_retailprice * 100) AS BIGINT) AS cents,
+        row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS rn
+      FROM pr JOIN part ON pr.l_partkey = part.p_partkey)
+SELECT CAST(l_partkey AS VARCHAR) AS sku, 'P-' || CAST(l_partkey AS VARCHAR) || '-S-' || CAST(l_suppkey AS VARCHAR) AS variant_sku,
+  p_name || ' / ' || CAST(ln AS VARCHAR) AS name,
+  CAST(CAST(cents AS DECIMAL(38,2)) / 100 AS DECIMAL(38,2))::VARCHAR AS price_final,
+  CASE WHEN l_suppkey % 2 = 0 THEN CAST(CAST(cents + 1000 AS DECIMAL(38,2)) / 100 AS DECIMAL(38,2))::VARCHAR END AS price_regular,
+  CASE WHEN rf = 'N' THEN 'InStock' ELSE 'OutOfStock' END AS availability,
+  'size=' || CAST(ln AS VARCHAR) || '|color=' || split_part(p_name, ' ', 1) AS options,
+  'https://cdn.example.com/' || CAST(l_partkey AS VARCHAR) || '.jpg' AS image
+FROM c WHERE rn <= 100
+  -- image_id = part key; 0 is falsy, so no image and the variant is dropped
+  AND l_partkey <> 0
+""")
+def embedded_variants(spark, sf_dir):
+    """E21-E23 (Shopify platform): embedded variant JSON wins over JSON-LD,
+    cents -> 2 decimals, image by id, option names; then T10 and V1."""
+    pages = S.shopify_pages(spark, sf_dir)
+    out = crawl_pages(pages, platform="shopify").filter(F.col("status") == "crawled")
+    v = out.select(F.col("product.sku").alias("sku"), F.explode("product.variants").alias("v"))
+    return v.select("sku", F.col("v.sku").alias("variant_sku"), F.col("v.name").alias("name"),
+                    F.col("v.price.final").alias("price_final"), F.col("v.price.regular").alias("price_regular"),
+                    F.col("v.availability").alias("availability"),
+                    F.array_join(F.transform("v.options", lambda o: F.concat(o["id"], F.lit("="), o["value"])), "|")
+                    .alias("options"),
+                    F.get(F.col("v.images"), 0)["url"].alias("image"))

@@ -243,3 +243,41 @@ def listing_pages(spark, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit("<html><body><div class=\"list\"><a href=\"/p/1\">p</a></div><nav>"),
                     F.coalesce(link, F.lit("")), F.lit("</nav></body></html>"))
     return pages.select("page_id", "url", "origin", html.alias("html"))
+
+
+def shopify_pages(spark, sf_dir: str) -> DataFrame:
+    """Product pages carrying Shopify-style embedded product JSON (variants
+    priced in cents, image by id) rendered from part and lineitem pairs."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                                      "l_returnflag")
+    pairs = li.groupBy("l_partkey", "l_suppkey").agg(
+        F.min_by(F.struct("l_linenumber", "l_returnflag"), F.struct("l_orderkey", "l_linenumber")).alias("r"))
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    j = pairs.join(part, pairs.l_partkey == part.p_partkey)
+    k, s = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    cents = F.round(F.col("p_retailprice") * 100).cast("long")
+    v = F.struct(
+        (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("id"),
+        F.concat(F.lit("P-"), k, F.lit("-S-"), s).alias("sku"),
+        F.concat(F.col("p_name"), F.lit(" / "), F.col("r.l_linenumber").cast("string")).alias("title"),
+        cents.alias("price"),
+        F.when(F.col("l_suppkey") % 2 == 0, cents + 1000).alias("compare_at_price"),
+        (F.col("r.l_returnflag") == "N").alias("available"),
+        F.col("r.l_linenumber").cast("string").alias("option1"),
+        F.split("p_name", " ").getItem(0).alias("option2"),
+        F.col("l_partkey").alias("image_id"))
+    per = j.groupBy("l_partkey", "p_name").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("l_suppkey", v.alias("v")))), lambda x: x["v"]).alias("vs"))
+    k2 = F.col("l_partkey").cast("string")
+    doc = F.struct(F.struct(F.col("p_name").alias("title"),
+                            F.array(F.struct(F.lit("Size").alias("name")), F.struct(F.lit("Color").alias("name")))
+                            .alias("options"),
+                            F.array(F.struct(F.col("l_partkey").alias("id"),
+                                             F.concat(F.lit("https://cdn.example.com/"), k2, F.lit(".jpg")).alias("src")))
+                            .alias("images"),
+                            F.col("vs").alias("variants")).alias("product"))
+    html = F.concat(F.lit("<html><head><title>"), F.col("p_name"), F.lit("</title></head><body><h1>"), F.col("p_name"),
+                    F.lit('</h1><script type="application/json" data-product-json>'),
+                    F.regexp_replace(F.to_json(doc), "</", "<\\\\/"), F.lit("</script></body></html>"))
+    url = F.concat(F.lit(STORE + "/products/"), k2)
+    return per.select(F.col("l_partkey").alias("page_id"), url.alias("url"), html.alias("html"))
