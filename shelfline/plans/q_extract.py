@@ -138,3 +138,26 @@ def embedded_variants(spark, sf_dir):
                     F.array_join(F.transform("v.options", lambda o: F.concat(o["id"], F.lit("="), o["value"])), "|")
                     .alias("options"),
                     F.get(F.col("v.images"), 0)["url"].alias("image"))
+
+
+@query("merge_sources", """
+SELECT p_partkey AS page_id,
+  CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' (html)' END AS name,
+  'SKU-' || CAST(p_partkey AS VARCHAR) AS sku, p_brand AS brand, '<p>Desc ' || p_brand || '</p>' AS description,
+  CASE WHEN p_partkey % 2 = 0 THEN regexp_replace(CAST(p_retailprice AS VARCHAR), '\\.0$', '')
+       ELSE CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) END AS price_final,
+  'EUR' AS currency, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS n_images,
+  CASE WHEN p_partkey % 2 = 0 THEN 'https://cdn.example.com/' || CAST(p_partkey AS VARCHAR) || '-a.jpg'
+       ELSE 'https://store.example.com/img/' || CAST(p_partkey AS VARCHAR) || '-b.jpg' END AS first_image
+FROM part
+""")
+def merge_sources(spark, sf_dir):
+    """E14-E18 HTML fields merged with JSON-LD (E19: JSON-LD wins, prices
+    merge field by field, images JSON-LD first then HTML), then T and V1."""
+    pages = S.mixed_pages(spark, sf_dir)
+    out = crawl_pages(pages).filter(F.col("status") == "crawled")
+    p = F.col("product")
+    return out.select("page_id", p["name"].alias("name"), p["sku"].alias("sku"), p["brand"].alias("brand"),
+                      p["description"].alias("description"), p["price"]["final"].alias("price_final"),
+                      p["price"]["currency"].alias("currency"), F.size(p["images"]).alias("n_images"),
+                      F.get(p["images"], 0)["url"].alias("first_image"))

@@ -281,3 +281,25 @@ def shopify_pages(spark, sf_dir: str) -> DataFrame:
                     F.regexp_replace(F.to_json(doc), "</", "<\\\\/"), F.lit("</script></body></html>"))
     url = F.concat(F.lit(STORE + "/products/"), k2)
     return per.select(F.col("l_partkey").alias("page_id"), url.alias("url"), html.alias("html"))
+
+
+def mixed_pages(spark, sf_dir: str) -> DataFrame:
+    """Pages with HTML product fields for every part and, for even keys, a
+    partial JSON-LD block (name, offer price/currency, image)."""
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice")
+    k = F.col("p_partkey").cast("string")
+    doc = F.struct(F.lit("Product").alias("@type"), F.col("p_name").alias("name"),
+                   F.struct(F.col("p_retailprice").alias("price"), F.lit("EUR").alias("priceCurrency")).alias("offers"),
+                   F.concat(F.lit("https://cdn.example.com/"), k, F.lit("-a.jpg")).alias("image"))
+    ld = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('<script type="application/ld+json">'), F.to_json(doc),
+                                                       F.lit("</script>"))).otherwise(F.lit(""))
+    html = F.concat(
+        F.lit("<html><head><title>"), F.col("p_name"), F.lit("</title>"), ld, F.lit("</head><body>"),
+        F.lit('<h1 class="product-title">'), F.col("p_name"), F.lit(" (html)</h1>"),
+        F.lit('<span itemprop="price">€'), F.col("p_retailprice").cast("decimal(12,2)").cast("string"), F.lit("</span>"),
+        F.lit('<div class="product-description"><p>Desc '), F.col("p_brand"), F.lit("</p></div>"),
+        F.lit('<span class="sku">SKU-'), k, F.lit('</span><span class="brand">'), F.col("p_brand"), F.lit("</span>"),
+        F.lit('<img class="product-image" src="/img/'), k, F.lit('-b.jpg" alt="'), F.col("p_name"),
+        F.lit('"></body></html>'))
+    url = F.concat(F.lit(STORE + "/item/"), k)
+    return part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), html.alias("html"))
