@@ -19,20 +19,8 @@ from .registry import query, sql_product_path, sql_sku_from_url
 _AV = ", ".join(AVAILABILITY_VALUES)
 
 
-@query("validation_errors", f"""
-SELECT 'P-' || CAST(p_partkey AS VARCHAR) AS sku,
-  CASE p_partkey % 6 WHEN 0 THEN 0 WHEN 5 THEN 3 ELSE 1 END AS n_errors,
-  CASE p_partkey % 6 WHEN 0 THEN ''
-    WHEN 1 THEN 'name is required and must be a string'
-    WHEN 2 THEN 'availability must be one of: {_AV}'
-    WHEN 3 THEN 'path "Bad Path" does not match required pattern'
-    WHEN 4 THEN 'images[0].url is required and must be a string'
-    ELSE 'variants[0].sku is required; variants[0].url is required; variants[0].images is required and must be an array'
-  END AS errors
-FROM part
-""")
-def validation_errors(spark, sf_dir):
-    """V1 on every part product, with faults injected into some records."""
+def validation_errors_products(spark, sf_dir):
+    """Part products (PRODUCT schema) with faults injected into some records."""
     p = S.part_products(spark, sf_dir)
     k = F.pmod(F.col("p_partkey"), F.lit(6))
     img_t = "array<struct<url:string,label:string,roles:array<string>>>"
@@ -56,7 +44,25 @@ def validation_errors(spark, sf_dir):
         F.lit(None).cast(PRODUCT["options"].dataType).alias("options"),
         F.lit(None).cast("map<string,string>").alias("metadata"),
         F.lit(None).cast(PRODUCT["custom"].dataType).alias("custom")).cast(PRODUCT)
-    errs = validate_product(prod)
+    return p.select(prod.alias("_p")).select("_p.*")
+
+
+@query("validation_errors", f"""
+SELECT 'P-' || CAST(p_partkey AS VARCHAR) AS sku,
+  CASE p_partkey % 6 WHEN 0 THEN 0 WHEN 5 THEN 3 ELSE 1 END AS n_errors,
+  CASE p_partkey % 6 WHEN 0 THEN ''
+    WHEN 1 THEN 'name is required and must be a string'
+    WHEN 2 THEN 'availability must be one of: {_AV}'
+    WHEN 3 THEN 'path "Bad Path" does not match required pattern'
+    WHEN 4 THEN 'images[0].url is required and must be a string'
+    ELSE 'variants[0].sku is required; variants[0].url is required; variants[0].images is required and must be an array'
+  END AS errors
+FROM part
+""")
+def validation_errors(spark, sf_dir):
+    """V1 on every part product, with faults injected into some records."""
+    p = validation_errors_products(spark, sf_dir)
+    errs = validate_product(F.struct(*[F.col(c) for c in p.columns]))
     return p.select("sku", F.size(errs).alias("n_errors"), F.array_join(errs, "; ").alias("errors"))
 
 
@@ -170,3 +176,24 @@ def api_complex(spark, sf_dir):
                     F.array_join(F.transform("v.options", lambda o: o["uid"]), "|").alias("uids"),
                     F.get(F.col("v.images"), 0)["url"].alias("image"), F.col("v.availability").alias("availability"),
                     F.col("v.price.final").alias("price_final"))
+
+
+@query("product_files", """
+SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE p_partkey % 6 = 0) AS BIGINT) AS valid,
+       CAST(count(*) FILTER (WHERE p_partkey % 6 <> 0) AS BIGINT) AS skipped
+FROM part
+""")
+def product_files(spark, sf_dir):
+    """S11 sink of every part product (faults injected as in validation_errors),
+    S10 recursive scan of the written files, V4 dry-run report."""
+    import os
+    import uuid
+
+    from ..operators.validate import dry_run_report
+    from ..session import checkpoint_dir
+    from ..sources.products import scan_products, write_products
+    prods = validation_errors_products(spark, sf_dir)
+    path = os.path.join(checkpoint_dir(spark), "products", uuid.uuid4().hex)
+    write_products(prods, path)
+    summary, _reasons = dry_run_report(scan_products(spark, path))
+    return summary.select(F.col("total").cast("long"), F.col("valid").cast("long"), F.col("skipped").cast("long"))
