@@ -161,3 +161,24 @@ def merge_sources(spark, sf_dir):
                       p["description"].alias("description"), p["price"]["final"].alias("price_final"),
                       p["price"]["currency"].alias("currency"), F.size(p["images"]).alias("n_images"),
                       F.get(p["images"], 0)["url"].alias("first_image"))
+
+
+@query("url_list", "SELECT DISTINCT url FROM pages")
+def url_list(spark, sf_dir):
+    """S1 scan of URL list files (comments, blank and padded lines mixed in)
+    written from the page URLs, then D3 de-duplication."""
+    import os
+    import uuid
+
+    from ..operators.discovery import dedupe_first
+    from ..session import checkpoint_dir
+    from ..sources.urllist import scan_url_list
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    lines = pages.select(F.explode(F.array(
+        F.concat(F.lit("# page "), F.col("page_id").cast("string")),
+        F.concat(F.lit("  "), F.col("url"), F.lit(" ")),
+        F.lit(""), F.col("url"))).alias("value"))
+    path = os.path.join(checkpoint_dir(spark), "urllists", uuid.uuid4().hex)
+    lines.write.mode("overwrite").text(path)
+    found = scan_url_list(spark, path).select("url", F.struct("file", "line").alias("ordinal"))
+    return dedupe_first(found).select("url")
