@@ -3,6 +3,7 @@ the equivalent DuckDB SQL used as the correctness oracle."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
@@ -10,8 +11,16 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None):
+    """Register ``fn(spark, sf_dir)``; the registered callable first makes
+    sure the session's analyzer budget fits our nested expressions (the
+    caller's session may carry Spark's default)."""
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            from ..session import ensure_analyzer_budget
+            ensure_analyzer_budget(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
