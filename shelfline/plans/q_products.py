@@ -197,3 +197,54 @@ def product_files(spark, sf_dir):
     write_products(prods, path)
     summary, _reasons = dry_run_report(scan_products(spark, path))
     return summary.select(F.col("total").cast("long"), F.col("valid").cast("long"), F.col("skipped").cast("long"))
+
+
+LISTING_PAGE_SIZE = 50
+DETAIL_BATCH = 20
+MAX_PRODUCTS = 1500
+
+
+@query("api_listing", f"""
+WITH items AS (SELECT p_partkey, p_name, p_size, p_partkey // {LISTING_PAGE_SIZE} + 1 AS page FROM part),
+listed AS (SELECT * FROM items WHERE p_size % 17 <> 0 ORDER BY page, p_partkey LIMIT {MAX_PRODUCTS})
+SELECT 'P-' || CAST(p_partkey AS VARCHAR) AS sku,
+  CASE WHEN p_partkey % 3 = 0 THEN p_name || ' v2' ELSE p_name END AS name,
+  split_part(p_name, ' ', 2) || '-' || CAST(p_partkey AS VARCHAR) AS url_key
+FROM listed
+""")
+def api_listing(spark, sf_dir):
+    """S7 listing scan (NULL items skipped, cap of 1500 in listing order) and
+    S8 detail scan (duplicate SKUs across batches: last response wins),
+    joined on SKU (N9)."""
+    import os
+    import uuid
+
+    from ..operators.api import join_details
+    from ..session import checkpoint_dir
+    from ..sources.api_responses import scan_details, scan_listing
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    base = os.path.join(checkpoint_dir(spark), "api", uuid.uuid4().hex)
+    # listing responses: pages of 50; some items carry a NULL productView
+    item = F.struct(F.when(F.col("p_size") % 17 != 0, F.struct(
+        F.concat(F.lit("P-"), F.col("p_partkey").cast("string")).alias("sku"), F.col("p_name").alias("name"),
+        F.concat(F.split("p_name", " ").getItem(1), F.lit("-"), F.col("p_partkey").cast("string")).alias("urlKey"),
+        F.lit("SimpleProductView").alias("__typename"))).alias("productView"))
+    pages = part.groupBy((F.floor(F.col("p_partkey") / LISTING_PAGE_SIZE) + 1).cast("int").alias("page")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("it")))), lambda x: x["it"]).alias("items"))
+    pages.select(F.struct(F.struct("items", F.struct(F.col("page").alias("current_page"),
+                                                     F.lit(LISTING_PAGE_SIZE).alias("page_size"))
+                                   .alias("page_info")).alias("productSearch")).alias("data")) \
+        .write.mode("overwrite").json(os.path.join(base, "listing"))
+    # detail responses in batches of 20; every third product appears again in a later batch, renamed
+    views = part.select((F.floor(F.col("p_partkey") / DETAIL_BATCH)).alias("batch"), F.struct(
+        F.concat(F.lit("P-"), F.col("p_partkey").cast("string")).alias("sku"), F.col("p_name").alias("name")).alias("p"))
+    again = part.filter(F.col("p_partkey") % 3 == 0).select(
+        (F.floor(F.col("p_partkey") / DETAIL_BATCH) + 1000000).alias("batch"), F.struct(
+            F.concat(F.lit("P-"), F.col("p_partkey").cast("string")).alias("sku"),
+            F.concat(F.col("p_name"), F.lit(" v2")).alias("name")).alias("p"))
+    views.unionByName(again).groupBy("batch").agg(F.collect_list("p").alias("products")) \
+        .select("batch", F.struct("products").alias("data")).write.mode("overwrite").json(os.path.join(base, "details"))
+    listing = scan_listing(spark, os.path.join(base, "listing"), MAX_PRODUCTS).select("sku", "urlKey")
+    details = scan_details(spark, os.path.join(base, "details"))
+    found, _missing = join_details(listing, details)
+    return found.select("sku", F.col("pv.name").alias("name"), F.col("urlKey").alias("url_key"))
