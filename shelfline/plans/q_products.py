@@ -248,3 +248,28 @@ def api_listing(spark, sf_dir):
     details = scan_details(spark, os.path.join(base, "details"))
     found, _missing = join_details(listing, details)
     return found.select("sku", F.col("pv.name").alias("name"), F.col("urlKey").alias("url_key"))
+
+
+@query("api_variant_scan", """
+WITH pr AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
+SELECT 'P-' || CAST(l_partkey AS VARCHAR) AS sku,
+  CAST(CASE WHEN l_partkey % 5 = 0 THEN 0 ELSE count(*) END AS INTEGER) AS n_variants
+FROM pr GROUP BY l_partkey
+""")
+def api_variant_scan(spark, sf_dir):
+    """Variant responses per complex product (some without a variant
+    list) scanned back; missing lists become empty."""
+    import os
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources.api_responses import scan_variants
+    views = S.api_complex_views(spark, sf_dir)
+    sku = F.col("pv.sku")
+    key = F.regexp_extract(sku, r"^P-(\d+)$", 1).cast("long")
+    resp = views.select(sku.alias("sku"), F.struct(F.when(key % 5 != 0, F.struct(F.col("variants").alias("variants")))
+                                                   .alias("variants")).alias("data"))
+    path = os.path.join(checkpoint_dir(spark), "variants", uuid.uuid4().hex)
+    resp.write.mode("overwrite").json(path)
+    got = scan_variants(spark, path)
+    return got.select("sku", F.size("variants").cast("int").alias("n_variants"))

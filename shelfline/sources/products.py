@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import PRODUCT
 
@@ -25,7 +26,8 @@ def write_products(products: DataFrame, path: str, ordinal_col: str | None = Non
 def scan_products(spark: SparkSession, path: str) -> DataFrame:
     """Recursive scan of product JSON files; unreadable records become
     rows with ``parse_error`` instead of failing the job."""
-    schema = PRODUCT.add("_corrupt_record", "string")
+    # a new StructType: StructType.add would mutate the shared PRODUCT schema
+    schema = T.StructType(PRODUCT.fields + [T.StructField("_corrupt_record", T.StringType())])
     df = (spark.read.schema(schema).option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
           .option("pathGlobFilter", "*.json").option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
     cols = [f.name for f in PRODUCT.fields]
