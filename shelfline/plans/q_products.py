@@ -273,3 +273,21 @@ def api_variant_scan(spark, sf_dir):
     resp.write.mode("overwrite").json(path)
     got = scan_variants(spark, path)
     return got.select("sku", F.size("variants").cast("int").alias("n_variants"))
+
+
+@query("batch_validation", """
+SELECT CAST(count(*) FILTER (WHERE p_partkey % 6 = 0) AS BIGINT) AS n_valid,
+       CAST(count(*) FILTER (WHERE p_partkey % 6 <> 0) AS BIGINT) AS n_invalid,
+       bool_and(p_partkey % 6 = 0) AS valid
+FROM part
+""")
+def batch_validation(spark, sf_dir):
+    """V2: per-record (index, valid, errors) and the overall batch flag."""
+    from ..operators.validate import validate_batch
+    p = validation_errors_products(spark, sf_dir)
+    per = validate_batch(p.select(F.struct(*[F.col(c) for c in p.columns]).alias("product"),
+                                  F.col("sku").alias("index")))
+    # one pass: counts and the batch flag (the bool_and of batch_valid)
+    return per.agg(F.count_if("valid").cast("long").alias("n_valid"),
+                   F.count_if(~F.col("valid")).cast("long").alias("n_invalid"),
+                   F.coalesce(F.bool_and("valid"), F.lit(True)).alias("valid"))
