@@ -182,3 +182,21 @@ def url_list(spark, sf_dir):
     lines.write.mode("overwrite").text(path)
     found = scan_url_list(spark, path).select("url", F.struct("file", "line").alias("ordinal"))
     return dedupe_first(found).select("url")
+
+
+@query("discovery_union", """WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav\\b.*?</nav>', 0),
+             '<a\\s[^>]*href="([^"]*)"', 1)) AS href FROM pages),
+r AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*)', 1) || array_to_string(list_transform(string_split(split_part(split_part(href, '?', 1), '#', 1), ''), lambda c: CASE WHEN regexp_full_match(c, '[!$-;=@-_a-z|~]') THEN c ELSE url_encode(c) END), '') AS link FROM a WHERE starts_with(href, '/')),
+f AS (SELECT url, 1 AS p FROM pages UNION ALL SELECT link, 2 FROM r UNION ALL SELECT url, 3 FROM pages)
+SELECT url, CASE min(p) WHEN 1 THEN 'sitemap' WHEN 2 THEN 'category' ELSE 'urls' END AS mode FROM f GROUP BY url
+""")
+def discovery_union(spark, sf_dir):
+    """Sitemap, category and URL-list frontiers in one frame with their
+    mode; D3 keeps each URL once with the first mode in priority order."""
+    from ..operators.discovery import dedupe_first, discovery_union as union
+    frontier = union(sitemap=sitemap_urls(spark, sf_dir).select("url"),
+                     category=page_links(spark, sf_dir).select(F.col("link").alias("url")),
+                     urls=url_list(spark, sf_dir).select("url"))
+    prio = F.when(F.col("mode") == "sitemap", 1).when(F.col("mode") == "category", 2).otherwise(3)
+    first = dedupe_first(frontier.select("url", F.struct(prio.alias("p"), F.col("mode")).alias("ordinal")))
+    return first.select("url", F.col("ordinal.mode").alias("mode"))
