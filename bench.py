@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["page_catalog", "page_fields", "product_path", "robots_filter", "availability_enum",
             "price_parse", "state_upsert", "facet_scalar", "related_ring", "batch_plan", "flat_rows",
-            "category_paths"]
+            "category_paths", "api_simple", "jsonld_products"]
 
 
 def main() -> None:
@@ -39,6 +39,10 @@ def main() -> None:
         # pages.parquet row count comes from parquet metadata (cheap)
         n_pages = spark.read.parquet(os.path.join(sf_dir, "pages.parquet")).count()
         extra["page_catalog_pages_per_sec"] = round(n_pages / times["page_catalog"], 2)
+    for q in ("api_simple", "jsonld_products"):
+        if q in times:
+            n_parts = spark.read.parquet(os.path.join(sf_dir, "part.parquet")).count()
+            extra[f"{q}_products_per_sec"] = round(n_parts / times[q], 2)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_queries_total_wall", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": float(m.group(1)) if m else None,
