@@ -92,3 +92,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
     pieces = pack(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"), max_tokens=4096, end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def held_out(id_col: str = "doc_id"):
+    """The contracts' test rows: crc32 of the id as text, modulo 3, is 1."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+@query("op5_attention_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels of two thirds of the ids."""
+    from . import quality
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
+    return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score",
+                                             (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, components, sorted_groups, stored
@@ -197,8 +197,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """``docs`` with one document of each component: the one with its smallest
-    id.  Of repeated rows with that id one stays; rows without an id stay."""
+    id.  Rows that share an id count as one document and one of them stays;
+    rows without an id stay."""
     comp = near_duplicates(docs, shingle, max_bits)
     kept = comp.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    out = docs.join(kept, docs["doc_id"] == kept["_keep"], "left_semi").dropDuplicates(["doc_id"])
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
+    out = docs.join(kept, docs["doc_id"] == kept["_keep"], "left_semi").withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
     return out.unionByName(docs.filter("doc_id is null"))
