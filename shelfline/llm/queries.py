@@ -107,3 +107,50 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
     return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score",
                                              (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+LINES_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT rid, doc_id, host, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d),
+grams AS (
+  SELECT rid, i, array_to_string(words[i:i + 4], ' ') AS g
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+covered AS (
+  SELECT rid, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT rid, unnest(range(i, i + 5)) AS p
+        FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM grams) WHERE c > 1)
+  GROUP BY rid),
+raw AS (
+  SELECT rid, host, line, lower(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS norm
+  FROM (SELECT rid, host, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+dup AS (
+  SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM raw GROUP BY rid),
+hosts AS (
+  SELECT host, count(*) AS n_docs FROM d GROUP BY host),
+often AS (
+  SELECT r.host, r.norm
+  FROM (SELECT host, norm, count(DISTINCT rid) AS n FROM raw GROUP BY host, norm) r
+  JOIN hosts h ON r.host IS NOT DISTINCT FROM h.host
+  WHERE r.n > 10 AND r.n > h.n_docs * 0.05::DOUBLE),
+gone AS (
+  SELECT r.rid, sum(len(string_split(r.norm, ' '))) AS n_gone
+  FROM raw r JOIN often o ON r.host IS NOT DISTINCT FROM o.host AND r.norm = o.norm GROUP BY r.rid),
+counts AS (
+  SELECT w.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         (len(words) - coalesce(n_gone, 0))::BIGINT AS words_left
+  FROM w LEFT JOIN covered USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN gone USING (rid))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND words_left >= 10 AND words_left >= n_words * 0.5::DOUBLE AS kept
+FROM counts"""
+
+
+@query("op6_line_frequency", LINES_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the boilerplate rule by source over all documents."""
+    from .linefreq import line_rules
+    return line_rules(table(spark, sf_dir, "documents"))
