@@ -175,3 +175,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .triecount import token_counts
     return token_counts(table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
+
+
+@query("op4_language_masks")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of the ids."""
+    from . import langid
+    docs = table(spark, sf_dir, "documents")
+    filters = langid.learn(docs, ~held_out())
+    return langid.predict(docs, filters).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
