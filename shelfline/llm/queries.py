@@ -184,3 +184,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     filters = langid.learn(docs, ~held_out())
     return langid.predict(docs, filters).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_nn_descent")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest embeddings of every embedding whose id is divisible by 50."""
+    from .nndescent import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, top=5)
