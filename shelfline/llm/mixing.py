@@ -119,7 +119,8 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", **options) -> Dat
     """The mixed documents themselves: each row as often as the mix takes it.
     Rows of documents without words are not taken."""
     plan = mix_plan(docs, size, id_col, **options).filter("taken > 0") \
-        .groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    copies = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return docs.join(plan, docs[id_col].eqNullSafe(F.col("_id"))).filter(size > 0) \
-        .withColumn("_copy", copies).select(*[docs[c] for c in docs.columns])
+        .groupBy(F.col("doc_id").alias("plan_id")).agg(F.max("copies").alias("copies"))
+    rows = docs.filter(size > 0).select(F.struct("*").alias("doc"), F.col(id_col).alias("row_id"))
+    out = rows.join(plan, F.col("row_id").eqNullSafe(F.col("plan_id"))) \
+        .select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select("doc.*")

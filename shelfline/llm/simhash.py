@@ -200,7 +200,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -
     id.  Rows that share an id count as one document and one of them stays;
     rows without an id stay."""
     comp = near_duplicates(docs, shingle, max_bits)
-    kept = comp.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    out = docs.join(kept, docs["doc_id"] == kept["_keep"], "left_semi").withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
-    return out.unionByName(docs.filter("doc_id is null"))
+    kept = comp.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("row_id"))
+    nth = F.row_number().over(Window.partitionBy("row_id").orderBy("row_id"))
+    out = rows.join(kept, F.col("row_id") == F.col("kept_id"), "left_semi").withColumn("nth", nth).filter("nth = 1")
+    return out.select("doc.*").unionByName(docs.filter("doc_id is null"))
