@@ -29,58 +29,53 @@ _SCHEME_RE = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
 _PATH_SAFE_RE = r"^[!$-;=@-_a-z|~]$"
 
 
-def _percent_encode_path(p: Column) -> Column:
-    chars = F.split(p, "")
-    enc = F.transform(
-        chars,
-        lambda ch: F.when(ch == " ", F.lit("%20"))
-        .when(ch.rlike(_PATH_SAFE_RE) | (ch == "%") | (ch == "/") | (ch == "\\"), ch)
-        .otherwise(F.url_encode(ch)),
-    )
-    needs = p.rlike(r"[^!$-;=@-_a-z|~%/\\]")
-    return F.when(needs, F.array_join(enc, "")).otherwise(p)
-
-
-def _remove_dot_segments(p: Column) -> Column:
-    """RFC 3986 dot-segment removal for an absolute path (starts with '/')."""
-    segs = F.slice(F.split(p, "/", -1), 2, F.greatest(F.size(F.split(p, "/", -1)) - 1, F.lit(0)))
-    is_dot = lambda s: F.lower(s).isin(".", "%2e")
-    is_dotdot = lambda s: F.lower(s).isin("..", ".%2e", "%2e.", "%2e%2e")
-    resolved = F.aggregate(
-        segs,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(is_dot(s), acc)
-        .when(is_dotdot(s), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    last = F.try_element_at(segs, F.lit(-1))
-    trail = F.when(is_dot(last) | is_dotdot(last), F.lit("/")).otherwise(F.lit(""))
-    out = F.concat(F.lit("/"), F.array_join(resolved, "/"), trail)
-    out = F.regexp_replace(out, "//$", "/")
-    return F.when(p.rlike(r"(?i)(^|/)(\.|%2e){1,2}(/|$)"), out).otherwise(p)
+def _percent_encode_path(path: Column) -> Column:
+    def encoded(ch):
+        return F.when(ch == " ", F.lit("%20")).when(ch.rlike(_PATH_SAFE_RE) | ch.isin("%", "/", "\\"), ch).otherwise(F.url_encode(ch))
+    return let(path, lambda p: F.when(p.rlike(r"[^!$-;=@-_a-z|~%/\\]"), F.array_join(F.transform(F.split(p, ""), encoded), ""))
+               .otherwise(p))
+
+
+def _remove_dot_segments(path: Column) -> Column:
+    """RFC 3986 dot-segment removal for an absolute path (starts with '/');
+    a path without a dot segment is only tested."""
+    dot, up = F.array(*map(F.lit, [".", "%2e"])), F.array(*map(F.lit, ["..", ".%2e", "%2e.", "%2e%2e"]))
+
+    def resolved(segs):
+        kept = F.aggregate(
+            segs, F.array().cast("array<string>"),
+            lambda acc, s: F.when(F.array_contains(dot, F.lower(s)), acc)
+            .when(F.array_contains(up, F.lower(s)), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+            .otherwise(F.array_append(acc, s)))
+        last = F.lower(F.try_element_at(segs, F.lit(-1)))
+        trail = F.when(F.array_contains(dot, last) | F.array_contains(up, last), F.lit("/")).otherwise(F.lit(""))
+        return F.regexp_replace(F.concat(F.lit("/"), F.array_join(kept, "/"), trail), "//$", "/")
+    return let(path, lambda p: F.when(
+        p.rlike(r"(?i)(^|/)(\.|%2e){1,2}(/|$)"), let(F.split(F.substring(p, F.lit(2), F.length(p)), "/", -1), resolved)).otherwise(p))
 
 
 def url_pathname(url) -> Column:
-    """``new URL(url).pathname``; NULL when the URL does not parse."""
-    u = F.regexp_replace(col_(url), r"[\t\n\r]", "")
-    u = F.regexp_replace(u, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    scheme = F.lower(F.regexp_extract(u, _SCHEME_RE, 1))
-    after = F.regexp_replace(u, _SCHEME_RE, "")
-    special = scheme.isin(*SPECIAL_SCHEMES)
-    # special schemes: skip slashes, cut the authority, path runs to ? or #
-    sp_rest = F.regexp_replace(after, r"^[/\\]*", "")
-    sp_host = F.regexp_extract(sp_rest, r"^([^/\\?#]*)", 1)
-    sp_path = F.regexp_extract(sp_rest, r"^[^/\\?#]*([^?#]*)", 1)
-    sp_path = F.regexp_replace(sp_path, r"\\", "/")
-    sp_path = F.when(sp_path == "", F.lit("/")).otherwise(sp_path)
-    sp_path = _remove_dot_segments(_percent_encode_path(sp_path))
-    host_ok = (scheme == "file") | ((sp_host != "") & ~sp_host.rlike(r"[\s<>^|%]"))
-    # other schemes: an authority only after '//', else an opaque path
-    ns_path = F.when(after.startswith("//"),
-                     F.regexp_extract(after, r"^//[^/?#]*([^?#]*)", 1)) \
-        .otherwise(F.regexp_extract(after, r"^([^?#]*)", 1))
-    parsed = F.when(special & host_ok, sp_path).when(~special, ns_path)
-    return F.when((scheme != "") & u.rlike(_SCHEME_RE), parsed)
+    """``new URL(url).pathname``; NULL when the URL does not parse.  Every
+    value that is needed twice is bound once, so the expression stays small."""
+    def special(after, is_file):
+        # skip slashes, cut the authority; the path runs to ? or #
+        def cut(rest):
+            host = F.regexp_extract(rest, r"^([^/\\?#]*)", 1)
+            path = let(F.translate(F.regexp_extract(rest, r"^[^/\\?#]*([^?#]*)", 1), "\\", "/"),
+                       lambda p: F.when(p == "", F.lit("/")).otherwise(_remove_dot_segments(_percent_encode_path(p))))
+            return F.when(is_file | ((host != "") & ~host.rlike(r"[\s<>^|%]")), path)
+        return let(F.regexp_replace(after, r"^[/\\]*", ""), cut)
+
+    def other(after):  # an authority only after '//', else an opaque path
+        return F.regexp_extract(after, r"^(?://[^/?#]*)?([^?#]*)", 1)
+
+    def parse(u):
+        scheme = F.lower(F.regexp_extract(u, _SCHEME_RE, 1))
+        return let(F.struct(scheme.alias("scheme"), F.regexp_replace(u, _SCHEME_RE, "").alias("after")),
+                   lambda x: F.when(x["scheme"].isin(*SPECIAL_SCHEMES), special(x["after"], x["scheme"] == "file"))
+                   .when(x["scheme"] != "", other(x["after"])))
+    clean = F.regexp_replace(F.regexp_replace(col_(url), r"[\t\n\r]", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return let(clean, parse)
 
 
 def url_origin(url) -> Column:
@@ -121,26 +116,21 @@ def resolve_url(href, base) -> Column:
 
 def product_path(url, prefix: str | None = None) -> Column:
     """Source URL -> product path, NULL when no valid path results."""
-    u = col_(url)
-    pathname = F.coalesce(url_pathname(u), F.split_part(F.split_part(u, F.lit("?"), F.lit(1)),
-                                                         F.lit("#"), F.lit(1)))
     ext_re = "(?i)(" + "|".join(e.replace(".", r"\.") for e in STRIP_EXTENSIONS) + ")$"
-    p = F.regexp_replace(pathname, ext_re, "")
-    p = F.when((F.length(p) > 1) & p.endswith("/"),
-               F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p)
-    p = F.lower(p)
-    p = F.regexp_replace(p, r"[^a-z0-9/\-]", "-")
-    p = F.regexp_replace(p, r"-{2,}", "-")
-    segs = F.filter(F.transform(F.filter(F.split(p, "/"), lambda s: s != ""),
-                                lambda s: F.regexp_replace(s, r"^-+|-+$", "")),
-                    lambda s: s != "")
-    path = F.concat(F.lit("/"), F.array_join(segs, "/"))
-    if prefix:
-        clean = prefix if prefix.startswith("/") else "/" + prefix
-        path = F.concat(F.lit(clean), path)
-    path = F.regexp_replace(path, "/{2,}", "/")
-    return F.when(u.isNull(), None).when(
-        (F.length(path) <= MAX_PATH_LENGTH) & path.rlike(PATH_PATTERN), path)
+    head = (prefix if prefix.startswith("/") else "/" + prefix) if prefix else ""
+
+    def path_of(pathname):
+        bare = F.lower(F.regexp_replace(pathname, ext_re, ""))
+        # a trailing slash, empty segments and dashes around segments go with the empty parts
+        dashed = F.regexp_replace(bare, r"[^a-z0-9/]+", "-")
+        segs = F.array_remove(F.split(F.regexp_replace(dashed, r"(^|/)-|-(?=/|$)", "$1"), "/"), "")
+        return F.regexp_replace(F.concat(F.lit(head + "/"), F.array_join(segs, "/")), "/{2,}", "/")
+
+    def valid(path):
+        return F.when((F.length(path) <= MAX_PATH_LENGTH) & path.rlike(PATH_PATTERN), path)
+    u = col_(url)
+    cut = F.split_part(F.split_part(u, F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1))
+    return F.when(u.isNotNull(), let(let(F.coalesce(url_pathname(u), cut), path_of), valid))
 
 
 def sanitize_sku(sku) -> Column:
