@@ -7,9 +7,9 @@ One ``mapInArrow`` stage tokenizes each page with the standard library
 ``dom.texts``     text nodes in document order (entities decoded; script and
                   style content raw, as browsers do)
 ``dom.elements``  one struct per element in document order:
-                  ``eid, parent, tag, id, classes, attrs, anc, t0, t1, h0, h1``
+                  ``eid, parent, tag, id, classes, attrs, t0, t1, h0, h1``
 
-``anc`` lists ancestor ``eid``s nearest first.  ``[t0, t1)`` is the element's
+``parent`` is the enclosing element's ``eid`` (-1: none).  ``[t0, t1)`` is the element's
 slice of ``texts`` (so ``textContent`` is a join of that slice) and
 ``[h0, h1)`` the character offsets of its inner HTML in the page source.
 Storing ranges instead of strings keeps the output linear in the page size
@@ -39,7 +39,6 @@ ELEMENT = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("classes", T.ArrayType(T.StringType())),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("anc", T.ArrayType(T.IntegerType())),
     T.StructField("t0", T.IntegerType()),
     T.StructField("t1", T.IntegerType()),
     T.StructField("h0", T.IntegerType()),
@@ -144,7 +143,6 @@ class _TreeBuilder(HTMLParser):
             "classes": [c for c in amap.get("class", "").split() if c],
             "attrs": list(amap.items()),
             "_amap": amap,
-            "anc": self.stack[::-1],
             "t0": len(self.texts),
             "t1": len(self.texts),
             "h0": h0,
@@ -185,92 +183,79 @@ def parse_dom(html: str | None) -> dict | None:
     b = _TreeBuilder(html)
     try:
         b.feed(html)
-        return b.finish()
-    except Exception:  # malformed input: keep what was built so far
+    except AssertionError:  # the parser's own limit on malformed markup: keep what was built so far
         b._close_through(0, len(html))
         return {"texts": b.texts, "elements": b.elems}
+    return b.finish()
 
 
 _ELEMENT_KEYS = [f.name for f in ELEMENT.fields]
 JSONLD_SELECTOR = 'script[type="application/ld+json"]'
 
 
-def _page_record(html, selectors, want_jsonld, variant_json):
-    """Parse one page: DOM, selector hits, JSON-LD product, embedded variants."""
-    from .jsonld import extract_embedded, extract_jsonld
+#: HTML characters of the pages of one output batch.
+BATCH_CHARS = 4 << 20
+
+
+def page_record(html: str | None, selectors: list[str], variant_json: dict | None = None):
+    """Parse one page: DOM with selector hits, JSON-LD texts, variant JSON texts."""
     from .selectors import match_all
     d = parse_dom(html)
     if d is None:
         return None, None, None
-    elems = d["elements"]
-    texts = d["texts"]
-    extra = [JSONLD_SELECTOR] if want_jsonld else []
-    extra += list(variant_json["selectors"]) if variant_json else []
-    hits = match_all(elems, list(selectors) + extra)
+    elems, texts = d["elements"], d["texts"]
+    places = list(variant_json["selectors"]) if variant_json else []
+    hits = match_all(elems, [*selectors, JSONLD_SELECTOR, *places])
 
     def text_of(i):
         e = elems[i]
         return "".join(texts[e["t0"]:e["t1"]])
 
-    base = len(selectors)
-    jl = None
-    if want_jsonld:
-        jl = extract_jsonld([text_of(i) for i in hits[base]])
-        base += 1
-    emb = None
-    if variant_json:
-        cands = []
-        for k in range(len(variant_json["selectors"])):
-            h = hits[base + k]
-            if not h:
-                cands.append(None)
-            elif variant_json.get("attribute"):
-                cands.append(elems[h[0]]["_amap"].get(variant_json["attribute"]))
-            else:
-                cands.append(text_of(h[0]))
-        emb = extract_embedded(cands)
-    dom = {"texts": texts, "elements": [{k: e[k] for k in _ELEMENT_KEYS} for e in elems],
-           "hits": hits[:len(selectors)]}
-    return dom, jl, emb
-
-
-def with_dom(pages: DataFrame, html_col: str = "html", selectors=None, jsonld: bool = False,
+    def source(found):  # the first element of a place, by its attribute or text
+        if not found:
+            return None
+        return elems[found[0]]["_amap"].get(variant_json["attribute"]) if variant_json["attribute"] else text_of(found[0])
+    n = len(selectors)
+    dom = {"texts": texts, "elements": [{k: e[k] for k in _ELEMENT_KEYS} for e in elems], "hits": hits[:n]}
+    return dom, [text_of(i) for i in hits[n]], [source(h) for h in hits[n + 1:]]
+
+
+def with_dom(pages: DataFrame, html_col: str = "html", selectors=None, scripts: bool = False,
              variant_json: dict | None = None) -> DataFrame:
-    """E0 (+ E1 matching, E4-E13, E21-E22): adds ``dom`` and, on request,
-    ``jsonld`` (raw product) and ``embedded`` (variants) to every row.
+    """E0 + E1 matching: adds ``dom`` and, on request, ``scripts`` (texts of the
+    JSON-LD blocks) and ``variant_texts`` (embedded variant JSON, by place).
 
-    Narrow transformation: no shuffle, one Arrow batch at a time, so it scales
-    with the number of page partitions.
+    Narrow transformation: no shuffle; pages leave in batches of
+    ``BATCH_CHARS`` of HTML, so a task holds few parsed pages at a time.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    from ..schemas import RAW_PRODUCT, VARIANT
     sel_list = list(selectors.selectors) if selectors is not None else []
-    fields = list(pages.schema.fields) + [T.StructField("dom", DOM)]
-    if jsonld:
-        fields.append(T.StructField("jsonld", RAW_PRODUCT))
+    texts = T.ArrayType(T.StringType())
+    extra = [T.StructField("dom", DOM)]
+    if scripts:
+        extra.append(T.StructField("scripts", texts))
     if variant_json:
-        fields.append(T.StructField("embedded", T.ArrayType(VARIANT)))
-    out_schema = T.StructType(fields)
-    a_dom = to_arrow_type(DOM)
-    a_raw = to_arrow_type(RAW_PRODUCT)
-    a_var = to_arrow_type(T.ArrayType(VARIANT))
+        extra.append(T.StructField("variant_texts", texts))
+    wanted = [0] + [1] * scripts + [2] * bool(variant_json)
+    types = [to_arrow_type(f.dataType) for f in extra]
 
     def run(batches):
         for batch in batches:
-            htmls = batch.column(batch.schema.get_field_index(html_col)).to_pylist()
-            recs = [_page_record(h, sel_list, jsonld, variant_json) for h in htmls]
-            cols = list(batch.columns) + [pa.array([r[0] for r in recs], type=a_dom)]
-            names = list(batch.schema.names) + ["dom"]
-            if jsonld:
-                cols.append(pa.array([r[1] for r in recs], type=a_raw))
-                names.append("jsonld")
-            if variant_json:
-                cols.append(pa.array([r[2] for r in recs], type=a_var))
-                names.append("embedded")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return pages.mapInArrow(run, out_schema)
+            column = batch.column(batch.schema.get_field_index(html_col))
+            start, held, records = 0, 0, []
+            for row, html in enumerate(column):
+                page = html.as_py()
+                records.append(page_record(page, sel_list, variant_json))
+                held += len(page or "")
+                if held >= BATCH_CHARS or row + 1 == batch.num_rows:
+                    part = batch.slice(start, row + 1 - start)
+                    added = [pa.array([r[k] for r in records], type=t) for k, t in zip(wanted, types)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *added],
+                                                     names=[*batch.schema.names, *[f.name for f in extra]])
+                    start, held, records = row + 1, 0, []
+
+    return pages.mapInArrow(run, T.StructType([*pages.schema.fields, *extra]))
 
 
 # --- element accessors (Catalyst) --------------------------------------------
@@ -284,13 +269,3 @@ def element_inner_html(html: Column, e: Column) -> Column:
     """``innerHTML`` of element ``e`` (source slice)."""
     return let(e, lambda x: F.substring(html, x["h0"] + 1, x["h1"] - x["h0"]))
 
-
-def elements_table(df: DataFrame, keys: list[str], html_col: str = "html") -> DataFrame:
-    """Explode ``dom`` into the relational element table
-    ``(keys..., eid, parent, tag, id, classes, attrs, text, inner_html)``."""
-    ex = df.select(*keys, F.col(html_col), F.col("dom.texts").alias("_texts"),
-                   F.explode("dom.elements").alias("e"))
-    dom = F.struct(F.col("_texts").alias("texts"))
-    return ex.select(*keys, "e.eid", "e.parent", "e.tag", "e.id", "e.classes", "e.attrs",
-                     element_text(dom, F.col("e")).alias("text"),
-                     element_inner_html(F.col(html_col), F.col("e")).alias("inner_html"))

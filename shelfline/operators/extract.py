@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..schemas import IMAGE
-from ..session import ensure_analyzer_budget
 from .dom import with_dom
 from .html import extract_html, is_soft_404, selector_set
 from .platforms import VARIANT_JSON, platform_config
+from .structured import with_embedded, with_jsonld
 
 _ARR_IMAGE = f"array<{IMAGE.simpleString()}>"
 
@@ -57,20 +57,19 @@ def extract_pages(pages: DataFrame, platform: str = "generic", url_col: str = "u
     """E0-E23 for every page: adds ``soft_404``, ``raw`` (merged raw product,
     NULL for soft 404s) and ``rejected``.  One ``mapInArrow`` then narrow
     projections; no shuffle."""
-    ensure_analyzer_budget(pages.sparkSession)
     cfg = platform_config(platform)
     sels = selector_set(cfg)
     vj = VARIANT_JSON.get(platform)
-    parsed = with_dom(pages, html_col, sels, jsonld=True, variant_json=vj)
+    parsed = with_dom(pages, html_col, sels, scripts=True, variant_json=vj)
     html, dom, url = F.col(html_col), F.col("dom"), F.col(url_col)
     keep = [F.col(c) for c in pages.columns]
-    staged = parsed.select(*keep, is_soft_404(dom, sels).alias("soft_404"),
-                           extract_html(html, dom, sels, url, cfg).alias("_h"), "jsonld",
-                           (F.col("embedded") if vj else F.lit(None).cast("array<int>")).alias("_emb"))
+    staged = parsed.select(*keep, is_soft_404(dom, sels).alias("soft_404"), extract_html(html, dom, sels, url, cfg).alias("_h"),
+                           "scripts", *(["variant_texts"] if vj else []))
+    staged = with_jsonld(staged)
     merged = merge_sources(F.col("jsonld"), F.col("_h"))
-    if vj:
-        emb = F.col("_emb")
-        raw = let(merged, lambda m: m.withField("variants", F.when(F.size(emb) > 0, emb).otherwise(m["variants"])))
+    if vj:  # E23: embedded variants win
+        staged = with_embedded(staged)
+        raw = let(merged, lambda m: m.withField("variants", F.coalesce(F.col("embedded"), m["variants"])))
     else:
         raw = merged
     out = staged.select(*keep, "soft_404", F.when(~F.col("soft_404"), raw).alias("raw"))

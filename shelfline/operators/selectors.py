@@ -101,12 +101,13 @@ def _match_from(elems, parts, k, i) -> bool:
     if k == 0:
         return True
     comb = parts[k][0]
-    anc = elems[i]["anc"]
-    if comb == ">":
-        return bool(anc) and _compound_ok(elems, anc[0], parts[k - 1][1]) and _match_from(elems, parts, k - 1, anc[0])
-    for a in anc:
+    a = elems[i]["parent"]
+    while a >= 0:
         if _compound_ok(elems, a, parts[k - 1][1]) and _match_from(elems, parts, k - 1, a):
             return True
+        if comb == ">":
+            return False
+        a = elems[a]["parent"]
     return False
 
 

@@ -122,9 +122,9 @@ SELECT CAST(l_partkey AS VARCHAR) AS sku, 'P-' || CAST(l_partkey AS VARCHAR) ||
   CASE WHEN rf = 'N' THEN 'InStock' ELSE 'OutOfStock' END AS availability,
   'size=' || CAST(ln AS VARCHAR) || '|color=' || split_part(p_name, ' ', 1) AS options,
   'https://cdn.example.com/' || CAST(l_partkey AS VARCHAR) || '.jpg' AS image
-FROM c WHERE rn <= 100
+FROM c
   -- image_id = part key; 0 is falsy, so no image and the variant is dropped
-  AND l_partkey <> 0
+  WHERE l_partkey <> 0
 """)
 def embedded_variants(spark, sf_dir):
     """E21-E23 (Shopify platform): embedded variant JSON wins over JSON-LD,

@@ -1,9 +1,6 @@
-"""Pure-Python tests of the E0 tokenizer, selector matching and JSON-LD rules."""
+"""Pure-Python tests of the E0 tokenizer and selector matching."""
 
-import json
-
-from shelfline.operators.dom import _page_record, parse_dom
-from shelfline.operators.jsonld import extract_embedded, extract_jsonld, js_str
+from shelfline.operators.dom import page_record, parse_dom
 from shelfline.operators.selectors import SelectorSet
 
 PAGE = ('<html><head><title>T &amp; x</title><script>var t="</p>";</script></head><body>'
@@ -23,7 +20,7 @@ def test_implied_end_tags_and_script_text():
 
 def test_selector_hits_in_document_order():
     s = SelectorSet(["h1", "nav a", ".product h1", "div > h1.x", "p", 'li a[href^="/b"]', "ul > a"])
-    d, _, _ = _page_record(PAGE, s.selectors, False, None)
+    d, _, _ = page_record(PAGE, s.selectors)
     els = d["elements"]
     assert [els[i]["tag"] for i in d["hits"][1]] == ["a", "a"]
     assert d["hits"][0] == d["hits"][2] == d["hits"][3]
@@ -32,47 +29,8 @@ def test_selector_hits_in_document_order():
     assert d["hits"][6] == []
 
 
-def _ld(obj):
-    return extract_jsonld([json.dumps(obj)])
-
-
-def test_type_substring_vs_array_element():
-    assert _ld({"@type": "ProductGroup", "name": "a"})["name"] == "a"
-    assert _ld({"@type": ["ProductGroup"], "name": "a"}) is None
-    assert _ld({"@graph": [{"@type": "Thing"}, {"@type": "Product", "name": "g"}]})["name"] == "g"
-
-
-def test_graph_null_aborts_page():
-    assert extract_jsonld([json.dumps({"@graph": [None, {"@type": "Product", "name": "g"}]}),
-                           json.dumps({"@type": "Product", "name": "later"})]) is None
-
-
-def test_offers_and_has_variant_merge():
-    p = _ld({"@type": "Product", "name": "W", "offers": [{"sku": "A", "price": 49.00, "priceCurrency": "usd"},
-                                                          {"sku": "B", "price": "5"}],
-             "hasVariant": [{"sku": "B"}, {"sku": "C"}, {"sku": "C"}]})
-    assert [v["sku"] for v in p["variants"]] == ["A", "B", "C", "C"]
-    assert p["price"] == {"currency": "usd", "regular": None, "final": "49"}
-
-
-def test_list_price_and_rating():
-    p = _ld({"@type": "Product", "name": "W",
-             "offers": {"@type": "Offer", "price": 10, "priceSpecification": [
-                 {"priceType": "ListPrice", "price": 12, "priceCurrency": "EUR"},
-                 {"priceType": "MSRP", "price": 15}]},
-             "aggregateRating": {"ratingValue": 4.5, "reviewCount": 0, "ratingCount": 7}})
-    assert p["price"] == {"currency": "EUR", "regular": "15", "final": "10"}
-    assert p["aggregateRating"]["reviewCount"] == "7"
-
-
-def test_js_string():
-    assert [js_str(x) for x in [49.0, 1e2, 19.99, True, [1, None, "a"], {"a": 1}]] == \
-        ["49", "100", "19.99", "true", "1,,a", "[object Object]"]
-
-
-def test_embedded_variants_cents():
-    vs = extract_embedded([json.dumps({"product": {"options": [{"name": "Size"}], "variants": [
-        {"id": 7, "title": "S", "price": 1999, "compare_at_price": "25.00", "available": False, "option1": "S"}]}})])
-    assert vs[0]["price"] == {"currency": None, "regular": "25.00", "final": "19.99"}
-    assert vs[0]["sku"] == "7" and vs[0]["availability"] == "OutOfStock"
-    assert vs[0]["options"] == [{"id": "size", "value": "S", "uid": None}]
+def test_deep_page_stays_linear():
+    n = 50_000
+    d, _, _ = page_record("<div>" * n + "x", ["div.none", "div > p"])
+    assert len(d["elements"]) == n and d["elements"][-1]["parent"] == n - 2
+    assert set(d["elements"][0]) == {"eid", "parent", "tag", "id", "classes", "attrs", "t0", "t1", "h0", "h1"}
