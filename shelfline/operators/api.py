@@ -58,9 +58,12 @@ def normalize_product(pv: Column, variants: Column, base_url: str | None) -> Col
     complex_ = pv["__typename"] == "ComplexProductView"
 
     def variants_of(parent_images):
-        uid_map = F.map_from_entries(F.flatten(F.transform(pv["options"], lambda o: F.transform(
+        entries = F.flatten(F.transform(pv["options"], lambda o: F.transform(
             F.filter(o["values"], lambda v: v["id"].isNotNull()),
-            lambda v: F.struct(v["id"].alias("k"), F.struct(o["id"].alias("oid"), v["title"].alias("t")).alias("v"))))))
+            lambda v: F.struct(v["id"].alias("k"), F.struct(o["id"].alias("oid"), v["title"].alias("t")).alias("v")))))
+        # of entries with one UID the last counts
+        uid_map = let(entries, lambda es: F.map_from_entries(F.filter(es, lambda e, i: ~F.exists(
+            F.slice(es, i + 2, F.size(es)), lambda later: later["k"] == e["k"]))))
 
         def one(v):
             own = _images(F.coalesce(v["product"]["images"], F.array().cast(

@@ -81,9 +81,6 @@ __all__ = ["is_product_url", "robots_allowed", "apply_robots", "dedupe_first", "
            "Window"]
 
 
-MAX_PAGES = 100
-
-
 def next_page_edges(pages, sels, selectors: list[str], url_col: str = "url"):
     """(url, next) -- the first next-page selector that matches anything
     gives the element; its href, absolutised, is the edge (NULL if none)."""
@@ -95,25 +92,29 @@ def next_page_edges(pages, sels, selectors: list[str], url_col: str = "url"):
     return pages.select(F.col(url_col).alias("url"), resolve_url(href, F.col(url_col)).alias("next"))
 
 
-def traverse(starts, edges, known, max_pages: int = MAX_PAGES, checkpoint_every: int = 10):
-    """Follow next edges from each start, at most ``max_pages`` pages per
-    start; stop on a missing page, a NULL next or next == current.
+def traverse(starts, edges, known):
+    """All pages reached from each start over next edges, with their step
+    (1: the start); stops at a missing page, a NULL next, next == current and
+    at a page already seen.
 
-    A bounded iterative frontier join; lineage is cut with ``checkpoint()``
-    every ``checkpoint_every`` steps (shared checkpoint folder).
+    Every page has one next page, so reach doubles: with the edges that jump
+    ``n`` pages, the first ``n`` pages of a list give its first ``2n``.  Lists
+    of any length take log2(length) rounds; each round is checkpointed to the
+    shared folder.
     """
     from ..session import checkpoint_dir
     checkpoint_dir(starts.sparkSession)
-    frontier = starts.select("origin", "url", F.lit(1).alias("step"))
-    visited = frontier
     known_urls = known.select(F.col("url").alias("next")).distinct()
-    for step in range(2, max_pages + 1):
-        nxt = frontier.join(edges, "url").filter(F.col("next").isNotNull() & (F.col("next") != F.col("url"))) \
-            .join(known_urls, "next").select("origin", F.col("next").alias("url"), F.lit(step).alias("step"))
-        if step % checkpoint_every == 0:
-            nxt = nxt.checkpoint()
-        if nxt.isEmpty():
-            break
-        visited = visited.unionByName(nxt)
-        frontier = nxt
-    return visited
+    jump = edges.filter(F.col("next").isNotNull() & (F.col("next") != F.col("url"))) \
+        .groupBy("url").agg(F.min("next").alias("next")).join(known_urls, "next").select("url", "next").checkpoint()
+    seen = starts.select("origin", "url", F.lit(1).alias("step")).checkpoint()
+    size, length = seen.count(), 1
+    while True:
+        further = seen.join(jump, "url").select("origin", F.col("next").alias("url"), (F.col("step") + length).alias("step"))
+        seen = seen.unionByName(further).groupBy("origin", "url").agg(F.min("step").alias("step")).checkpoint()
+        grown = seen.count()
+        if grown == size:
+            return seen
+        size, length = grown, length * 2
+        then = jump.select(F.col("url").alias("next"), F.col("next").alias("_then"))
+        jump = jump.join(then, "next").select("url", F.col("_then").alias("next")).checkpoint()

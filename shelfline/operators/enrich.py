@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col_
@@ -31,9 +31,6 @@ NAME_CLASS_RULES = [
 ]
 META_CATEGORIES = ["all-products", "featured"]
 RELATED_COUNT = 5
-# Categories larger than this are split into hash buckets for the ring, so
-# no window partition holds more than about this many products.
-RING_BUCKET_ROWS = 100_000
 # ------------------------------------------------------------------------------
 
 
@@ -62,7 +59,7 @@ def assign_categories(products: DataFrame, membership: DataFrame, categories: Da
     """
     m = membership
     if categories is not None:
-        m = m.join(F.broadcast(categories), "category_id").select(sku, "path")
+        m = m.join(categories, "category_id").select(sku, "path")
     per = m.groupBy(sku).agg(F.collect_list("path").alias("_all"))
     kept = F.filter("_all", lambda p: ~p.isin(*META_CATEGORIES))
     depth_sorted = F.array_sort(kept, lambda a, b: F.when(F.size(F.split(b, "/")) != F.size(F.split(a, "/")),
@@ -76,41 +73,25 @@ def related_ring(products: DataFrame, class_col: str = "class", key: str = "path
                  k: int = RELATED_COUNT) -> DataFrame:
     """``k`` related keys per product from its own class.
 
-    Deterministic stand-in for the random pick: products of a class sit on a
-    ring ordered by ``(md5(key), key)`` and each takes the next ``k`` on the
-    ring -- linear, no self pair, no pair explosion.  Classes above
-    ``RING_BUCKET_ROWS`` are split into hash buckets (same class, smaller
-    rings) so a hot class does not become one window partition.  Classes with
-    at most ``k`` members give all their other members and fill from the
-    other classes' first members by ``md5(key || other)``.
+    Deterministic stand-in for the random pick: all products stand in one
+    order of (class, md5(key), key), found with range partitions; inside its
+    class each takes the next ``k`` on the ring.  Classes with at most ``k``
+    members give all their others and fill from the products that follow the
+    class in the order (around its end).  Every partner is found by an
+    equi-join on its place, whatever the size of a class: no window over a
+    class, no pairs of classes.
     """
-    base = products.select(key, class_col, F.md5(F.col(key)).alias("_h"))
-    sizes = base.groupBy(class_col).agg(F.count(F.lit(1)).alias("_n"))
-    b = base.join(F.broadcast(sizes), class_col)  # one row per class (bounded rule list)
-    nb = F.greatest(F.lit(1), F.floor(F.col("_n") / RING_BUCKET_ROWS)).cast("long")
-    b = b.withColumn("_b", F.pmod(F.xxhash64(F.col(key)), nb))
-    w = Window.partitionBy(class_col, "_b").orderBy("_h", key)
-    ranked = b.withColumn("_r", F.row_number().over(w)) \
-        .withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(class_col, "_b")))
-    ranked = ranked.persist()
-    big = ranked.filter(F.col("_m") > k)
-    want = big.select(key, class_col, "_b", "_m", "_r",
-                      F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_k"))
-    want = want.withColumn("_pr", ((F.col("_r") - 1 + F.col("_k")) % F.col("_m")) + 1)
-    partners = ranked.select(F.col(class_col), F.col("_b"), F.col("_r").alias("_pr"),
-                             F.col(key).alias("related"))
-    ring = want.join(partners, [class_col, "_b", "_pr"]).select(key, F.col("_k").alias("rank"), "related")
-    # small classes: all other members, then fill from other classes
-    small = ranked.filter(F.col("_m") <= k)
-    same = small.alias("a").join(small.alias("c"), [class_col, "_b"]) \
-        .filter(F.col(f"a.{key}") != F.col(f"c.{key}")) \
-        .select(F.col(f"a.{key}").alias(key), F.col(f"c.{key}").alias("related"), F.col("c._r").alias("_o"),
-                F.col("a._m").alias("_m"), F.col(f"a.{class_col}").alias(class_col))
-    same = same.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("_o")))
-    pool = ranked.filter(F.col("_r") <= k + 1).select(F.col(class_col).alias("_pc"), F.col(key).alias("related"))
-    fill = small.select(key, class_col, "_m").join(F.broadcast(pool), F.col(class_col) != F.col("_pc")) \
-        .withColumn("_o", F.md5(F.concat(F.col(key), F.col("related"))))
-    fill = fill.withColumn("_fr", F.row_number().over(Window.partitionBy(key).orderBy("_o", "related"))) \
-        .filter(F.col("_fr") <= k - (F.col("_m") - 1)) \
-        .select(key, (F.col("_fr") + F.col("_m") - 1).alias("rank"), "related")
-    return ring.unionByName(same.select(key, "rank", "related")).unionByName(fill)
+    from .state import numbered
+    base = products.select(F.col(key).alias("_key"), F.col(class_col).alias("_class"), F.md5(F.col(key)).alias("_h"))
+    placed = numbered(base, "_class", "_h", "_key").select("_key", "_class", "idx")
+    spans = placed.groupBy(F.col("_class").alias("_of")).agg(F.min("idx").alias("_first"), F.count(F.lit(1)).alias("_m"))
+    total = placed.agg(F.count(F.lit(1)).alias("_n"))
+    own = placed.join(spans, F.col("_class").eqNullSafe(F.col("_of"))).crossJoin(total)
+    want = own.select("*", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
+    ring = F.col("_first") + (F.col("idx") - F.col("_first") + F.col("rank")) % F.col("_m")
+    # the class's other members come first, then the followers of the class
+    after = (F.col("_first") + F.col("rank")) % F.col("_n")
+    want = want.filter(F.col("rank") < F.col("_n")) \
+        .withColumn("_partner", F.when(F.col("rank") < F.col("_m"), ring).otherwise(after))
+    partner = placed.select(F.col("idx").alias("_partner"), F.col("_key").alias("related"))
+    return want.join(partner, "_partner").select(F.col("_key").alias(key), F.col("rank").cast("int").alias("rank"), "related")

@@ -78,7 +78,8 @@ def flat_counts(rows: DataFrame) -> DataFrame:
 def write_csv(rows: DataFrame, path: str) -> None:
     """RFC 4180 CSV with header, quotes doubled, empty for NULL."""
     rows.select(*CSV_COLUMNS).write.mode("overwrite").option("header", True).option("quote", '"') \
-        .option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
+        .option("escape", '"').option("nullValue", "").option("emptyValue", "") \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_csv(spark, path: str) -> DataFrame:
@@ -135,8 +136,8 @@ def assemble_products(rows: DataFrame, ordinal_col: str = "_row") -> DataFrame:
             mine = F.filter(pairs, lambda o: o["id"] == oid)
             vals = F.array_distinct(F.transform(mine, lambda o: o["value"]))
             return F.struct(oid.alias("id"), capitalize_first(oid).alias("label"), (i + 1).alias("position"),
-                            F.transform(vals, lambda val: F.struct(val.alias("value"), F.element_at(
-                                F.filter(mine, lambda o: o["value"] == val), -1)["uid"].alias("uid"))).alias("values"))
+                            F.transform(vals, lambda val: F.struct(val.alias("value"), F.nullif(F.element_at(
+                                F.filter(mine, lambda o: o["value"] == val), -1)["uid"], F.lit("")).alias("uid"))).alias("values"))
         return F.transform(ids, build)
 
     out = parents.join(grouped, "sku", "left")
@@ -144,15 +145,17 @@ def assemble_products(rows: DataFrame, ordinal_col: str = "_row") -> DataFrame:
     variants = F.transform(vs, lambda v: F.struct(
         v["sku"].alias("sku"), v["name"].alias("name"), v["url"].alias("url"), v["images"].alias("images"),
         v["price"].alias("price"), v["availability"].alias("availability"),
-        F.filter(F.array(
+        F.when((v["size"] != "") | (v["color"] != ""), F.filter(F.array(
             F.when(v["size"] != "", F.struct(F.lit("size").alias("id"), v["size"].alias("value"),
                                              F.when(v["size_uid"] != "", v["size_uid"]).alias("uid"))),
             F.when(v["color"] != "", F.struct(F.lit("color").alias("id"), v["color"].alias("value"),
                                               F.when(v["color_uid"] != "", v["color_uid"]).alias("uid")))),
-            lambda x: x.isNotNull()).alias("options")))
+            lambda x: x.isNotNull())).alias("options")))
     return out.select(
         F.col("path"), F.col("sku"), F.col("name"), F.when(F.col("url") != "", F.col("url")).alias("url"),
         F.when(F.col("description") != "", F.col("description")).alias("description"),
+        F.when(F.col("meta_title") != "", F.col("meta_title")).alias("metaTitle"),
+        F.when(F.col("meta_description") != "", F.col("meta_description")).alias("metaDescription"),
         _price_from_row().alias("price"),
         F.when(F.col("availability") != "", F.col("availability")).alias("availability"),
         F.when(F.size(_images_from_row()) > 0, _images_from_row()).alias("images"),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BATCH_SIZE = 50
 AUTH_FAIL_CODES = [401, 403]
 RECENT_FAILURES = 10
+RECENT_ERRORS = 20
 
 
 def upsert_frontier(state: DataFrame | None, discovered: DataFrame, key: str = "url",
@@ -57,7 +58,7 @@ def stats(state: DataFrame) -> DataFrame:
 
     def pct(c):
         return F.when(F.col("discovered") > 0,
-                      F.concat(F.format_number(F.col(c) * 100.0 / F.col("discovered"), 1), F.lit("%"))) \
+                      F.format_string("%.1f%%", F.col(c) * 100.0 / F.col("discovered"))) \
             .otherwise(F.lit("0%"))
     return agg.select("*", *[pct(c).alias(f"{c}_pct") for c in ("crawled", "failed", "skipped", "pending")],
                       (F.col("pending") == 0).alias("complete"))
@@ -68,51 +69,64 @@ def recent_failures(state: DataFrame, key: str = "url", n: int = RECENT_FAILURES
     return state.filter(F.col("status") == "failed").orderBy("ordinal").limit(n).select(key, "error", "ordinal")
 
 
-def batch_plan(products: DataFrame, order_col: str, checkpoint: bool = True,
-               batch_size: int = BATCH_SIZE) -> DataFrame:
-    """Consecutive chunks of ``batch_size`` in ``order_col`` order.
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Adds ``idx``, the row's place (from 0) in the total order of ``order``.
 
-    Two passes, no single-partition window: range-partition and sort, number
-    rows inside each partition, add per-partition offsets (one row per
-    partition, broadcast) and divide.  The sorted frame is checkpointed to the
-    shared checkpoint folder so both passes see the same partitioning even if
-    executors are lost.
+    No window over the data: rows are range-partitioned and sorted, written to
+    the shared checkpoint folder (so every reader sees the same partitioning,
+    even after executors are lost), numbered inside their partition and moved
+    by the rows of the partitions before.  The only unpartitioned window runs
+    over one row per partition.
     """
-    spark = products.sparkSession
-    sorted_ = products.repartitionByRange(order_col).sortWithinPartitions(order_col) \
-        .withColumn("_mid", F.monotonically_increasing_id())
-    if checkpoint:
-        from ..session import checkpoint_dir
-        checkpoint_dir(spark)
-        sorted_ = sorted_.checkpoint(eager=True)
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id()) \
+        .checkpoint(eager=True)
     part = F.shiftright("_mid", 33)
-    local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = sorted_.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    idx = sorted_.join(F.broadcast(offsets.select("_p", "_off")), part == F.col("_p")) \
-        .withColumn("idx", F.col("_off") + local)
-    return idx.withColumn("batch", F.floor(F.col("idx") / batch_size).cast("long")) \
-        .withColumn("pos", (F.col("idx") % batch_size).cast("int")).drop("_mid", "_p", "_off")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sorted_.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n")) \
+        .select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return sorted_.join(offsets, part == F.col("_p")) \
+        .withColumn("idx", F.col("_off") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("_mid", "_p", "_off")
 
 
-def delivery_summary(plan: DataFrame, outcomes: DataFrame, skipped: int = 0) -> DataFrame:
-    """Totals from per-batch outcomes (batch, status_code, error); an auth
-    failure stops accounting for every later batch."""
-    sizes = plan.groupBy("batch").agg(F.count(F.lit(1)).alias("n"),
-                                      F.array_sort(F.collect_list("sku")).alias("skus"))
+def batch_plan(products: DataFrame, *order: str, batch_size: int = BATCH_SIZE) -> DataFrame:
+    """Consecutive chunks of ``batch_size`` in the order of ``order``, whose
+    last column should be unique so that reruns agree (path, then SKU).
+    """
+    return numbered(products, *order).withColumn("batch", F.floor(F.col("idx") / batch_size).cast("long")) \
+        .withColumn("pos", (F.col("idx") % batch_size).cast("int"))
+
+
+def delivered(plan: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Batches that were sent, with their outcome (batch, n, status_code): an
+    authorisation failure stops every later batch."""
+    sizes = plan.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
     j = sizes.join(outcomes, "batch", "left")
-    # one scalar (the first auth-failed batch) comes back to the driver
-    cut = j.agg(F.min(F.when(F.col("status_code").isin(*AUTH_FAIL_CODES), F.col("batch")))).first()[0]
-    if cut is not None:
-        j = j.filter(F.col("batch") <= F.lit(cut))
-    ok = F.col("status_code").between(200, 299)
-    return j.agg(
+    cut = j.agg(F.min(F.when(F.col("status_code").isin(*AUTH_FAIL_CODES), F.col("batch"))).alias("_cut"))
+    return j.crossJoin(cut).filter(F.col("_cut").isNull() | (F.col("batch") <= F.col("_cut"))).drop("_cut")
+
+
+def failed_skus(plan: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One row for each SKU of a failed batch (sku, batch, status_code)."""
+    bad = delivered(plan, outcomes).filter(~F.coalesce(F.col("status_code").between(200, 299), F.lit(False)))
+    return plan.select("sku", "batch").join(bad.select("batch", "status_code"), "batch").select("sku", "batch", "status_code")
+
+
+def delivery_errors(plan: DataFrame, outcomes: DataFrame, n: int = RECENT_ERRORS) -> DataFrame:
+    """The first ``n`` failed batches in batch order."""
+    bad = delivered(plan, outcomes).filter(~F.coalesce(F.col("status_code").between(200, 299), F.lit(False)))
+    return bad.orderBy("batch").limit(n)
+
+
+def delivery_summary(plan: DataFrame, outcomes: DataFrame, skipped: int = 0) -> DataFrame:
+    """Totals from per-batch outcomes (batch, status_code); one row."""
+    ok = F.coalesce(F.col("status_code").between(200, 299), F.lit(False))
+    return delivered(plan, outcomes).agg(
         F.sum("n").alias("counted"),
         F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0)).alias("uploaded"),
         F.coalesce(F.sum(F.when(~ok, F.col("n"))), F.lit(0)).alias("failed"),
         F.lit(skipped).alias("skipped"),
-        F.coalesce(F.sum(F.when(~ok, F.size("skus"))), F.lit(0)).alias("failed_skus"),
+        F.coalesce(F.sum(F.when(~ok, F.col("n"))), F.lit(0)).alias("failed_skus"),
         F.min(F.when(~ok, F.col("batch"))).alias("first_failed_batch"),
     )

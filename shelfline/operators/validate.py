@@ -50,6 +50,66 @@ def validate_product(p: Column) -> Column:
     return F.concat(fixed, img_errs, var_errs, meta_errs)
 
 
+# --- fixed values: fields that must be strings where given -------------------
+TEXT_FIELDS = ["description", "metaTitle", "metaDescription", "url", "brand", "gtin"]
+PRICE_FIELDS = ["currency", "regular", "final"]
+RATING_FIELDS = ["ratingValue", "reviewCount", "bestRating", "worstRating"]
+# ------------------------------------------------------------------------------
+
+
+def validate_raw(raw: str = "raw") -> Column:
+    """V1 on a record as it was read (VARIANT column ``raw``): every rule,
+    types included.  A JSON null is given but has no right type; a missing
+    field is not given."""
+    get = lambda path, of=raw: f"try_variant_get({of}, '$.{path}', 'variant')"
+    kind = lambda v: f"left(schema_of_variant({v}), 3)"
+    is_text = lambda v: f"coalesce({kind(v)} = 'STR', false)"
+    is_full = lambda v: f"({is_text(v)} AND coalesce(try_variant_get({v}, '$', 'string') <> '', false))"
+    is_object = lambda v: f"coalesce({kind(v)} IN ('OBJ', 'ARR'), false)"
+    when = lambda test, text: f"if({test}, \"{text}\", NULL)"
+
+    def given(path, test, text):
+        return when(f"{get(path)} IS NOT NULL AND NOT ({test})", text)
+
+    def one_of(path, values):
+        listed = ", ".join(f"'{x}'" for x in values)
+        return given(path, f"{is_text(get(path))} AND try_variant_get({raw}, '$.{path}', 'string') IN ({listed})",
+                     f"{path} must be one of: {', '.join(values)}")
+
+    def members(path, names):
+        return [given(path, is_object(get(path)), f"{path} must be an object"),
+                *[given(f"{path}.{n}", is_text(get(f"{path}.{n}")), f"{path}.{n} must be a string") for n in names]]
+
+    def each(path, body):
+        elements = f"coalesce(try_variant_get({raw}, '$.{path}', 'array<variant>'), cast(array() AS array<variant>))"
+        return f"flatten(transform({elements}, (x, i) -> {body}))"
+
+    def missing(name, tail, test=is_full):
+        return f"if({test(get(name, 'x'))}, NULL, concat('{{}}[', i, '].{name} is required{tail}'))"
+    path_text = f"try_variant_get({raw}, '$.path', 'string')"
+    flat = [
+        *[when(f"NOT {is_full(get(k))}", f"{k} is required and must be a string") for k in ("sku", "name", "path")],
+        f"if({is_full(get('path'))} AND NOT ({path_text} RLIKE '{PATH_PATTERN}'), "
+        f"concat('path \"', {path_text}, '\" does not match required pattern'), NULL)",
+        when(f"{is_full(get('path'))} AND length({path_text}) > {MAX_PATH_LENGTH}", f"path must be {MAX_PATH_LENGTH} characters or fewer"),
+        *[given(k, is_text(get(k)), f"{k} must be a string") for k in TEXT_FIELDS],
+        *members("price", PRICE_FIELDS),
+        one_of("availability", AVAILABILITY_VALUES), one_of("itemCondition", CONDITION_VALUES),
+        given("images", f"{kind(get('images'))} = 'ARR'", "images must be an array"),
+    ]
+    image = f"array({missing('url', ' and must be a string').replace('{}', 'images')})"
+    is_list = lambda v: f"coalesce({kind(v)} = 'ARR', false)"
+    variant = ("array(" + ", ".join([*[missing(k, "") for k in ("sku", "name", "url")],
+                                     missing("images", " and must be an array", is_list)]) + ")").replace("{}", "variants")
+    tail = [given("variants", f"{kind(get('variants'))} = 'ARR'", "variants must be an array")]
+    last = [*members("aggregateRating", RATING_FIELDS), given("metadata", is_object(get("metadata")), "metadata must be an object")]
+    entries = f"coalesce(map_entries(try_variant_get({raw}, '$.metadata', 'map<string,variant>')), array())"
+    meta = (f"transform(filter({entries}, e -> NOT {is_text('e.value')}), e -> concat('metadata.', e.key, ' must be a string'))")
+    found = (f"filter(concat(array({', '.join(flat)}), {each('images', image)}, array({', '.join(tail)}), {each('variants', variant)}, "
+             f"array({', '.join(last)}), {meta}), e -> e IS NOT NULL)")
+    return F.expr(f"if({is_object(raw)}, {found}, array('product must be an object'))")
+
+
 def validate_batch(products: DataFrame, product_col: str = "product", index_col: str = "index") -> DataFrame:
     """V2: per-row (index, valid, errors); overall flag via :func:`batch_valid`."""
     errs = validate_product(F.col(product_col))
@@ -70,15 +130,15 @@ def validate_assembled(p: Column) -> Column:
     ), lambda x: x.isNotNull())
 
 
-def dry_run_report(files: DataFrame, product_col: str = "product", file_col: str = "file",
+def dry_run_report(files: DataFrame, raw_col: str = "raw", file_col: str = "file",
                    corrupt_col: str = "parse_error") -> DataFrame:
     """V4: total / valid / skipped with one reason row per skipped file.
 
-    ``files`` has one row per product file: a parsed product, or a parse
-    error.  Returns (total, valid, skipped) and the reasons as a second frame.
+    ``files`` has one row per product: the record as it was read (``raw``), or
+    a parse error.  Returns (total, valid, skipped) and the reasons as a second
+    frame.
     """
-    errs = F.when(F.col(corrupt_col).isNotNull(), F.array(F.col(corrupt_col))) \
-        .otherwise(validate_product(F.col(product_col)))
+    errs = F.when(F.col(corrupt_col).isNotNull(), F.array(F.col(corrupt_col))).otherwise(validate_raw(raw_col))
     checked = files.select(file_col, errs.alias("errors"))
     summary = checked.agg(F.count(F.lit(1)).alias("total"),
                           F.count_if(F.size("errors") == 0).alias("valid"),

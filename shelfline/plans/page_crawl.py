@@ -8,7 +8,6 @@ the only Python stage is the E0 tokenizer and nothing shuffles.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +19,9 @@ def crawl_pages(pages: DataFrame, platform: str = "generic", prefix: str | None
                 default_currency: str = "USD", url_col: str = "url", html_col: str = "html") -> DataFrame:
     keys = [c for c in pages.columns if c != html_col]
     ex = extract_pages(pages, platform, url_col, html_col).select(*keys, "soft_404", "raw", "rejected")
-    # Optimisation barrier: the extraction and transform projections are each
-    # large; planning them as one tree explodes the optimizer.  The persisted
-    # raw products are small next to the HTML and recomputable from lineage.
-    ex = ex.persist(StorageLevel.MEMORY_AND_DISK)
+    # a one-row generator: the extraction and transform projections are each
+    # large and are planned one by one
+    ex = ex.select(*keys, "soft_404", "rejected", F.explode(F.array("raw")).alias("raw"))
     t = transform_frame(ex, "raw", url_col, prefix, default_currency)
     status = (F.when(F.col("rejected"), F.lit("skipped"))
               .when(F.col("product").isNotNull(), F.lit("crawled"))

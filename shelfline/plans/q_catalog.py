@@ -137,6 +137,17 @@ def url_filter(spark, sf_dir):
                         D.is_product_url("url", "shopify", ["/en/"]).alias("custom_product"))
 
 
+@query("url_dedupe", """
+SELECT url, min(page_id) AS ordinal
+FROM (SELECT split_part(split_part(url, '?', 1), '#', 1) AS url, page_id FROM pages) GROUP BY url
+""")
+def url_dedupe(spark, sf_dir):
+    """D3: every URL once, with its first encounter."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return D.dedupe_first(pages.select(
+        F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)).alias("url"), F.col("page_id").alias("ordinal")))
+
+
 @query("url_dedupe_cap", """
 SELECT url, min(page_id) AS ordinal
 FROM (SELECT split_part(split_part(url, '?', 1), '#', 1) AS url, page_id FROM pages)
@@ -341,8 +352,8 @@ def related_ring(spark, sf_dir):
 
 
 @query("batch_plan", """
-SELECT batch, count(*) AS n, string_agg(sku, '|' ORDER BY path) AS skus FROM (
-  SELECT sku, path, (row_number() OVER (ORDER BY path) - 1) // 50 AS batch
+SELECT batch, count(*) AS n, string_agg(sku, '|' ORDER BY path, sku) AS skus FROM (
+  SELECT sku, path, (row_number() OVER (ORDER BY path, sku) - 1) // 50 AS batch
   FROM (SELECT 'P-' || CAST(p_partkey AS VARCHAR) AS sku, """ + sql_product_path(
     "'https://store.example.com/' || split_part(p_name, ' ', 2) || '/' || CAST(p_partkey AS VARCHAR) || '.html'")
     + """ AS path FROM part))
@@ -351,7 +362,7 @@ GROUP BY batch
 def batch_plan(spark, sf_dir):
     """Delivery batches of 50 in path order (two-pass global index)."""
     prods = S.part_products(spark, sf_dir).select("sku", "path")
-    plan = R.batch_plan(prods, "path")
+    plan = R.batch_plan(prods, "path", "sku")
     return plan.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "sku"))), lambda x: x["sku"]), "|").alias("skus"))
 
@@ -374,7 +385,7 @@ FROM k
 def delivery_summary(spark, sf_dir):
     """Totals over per-batch outcomes; a 401 stops later accounting."""
     prods = S.part_products(spark, sf_dir).select("sku", "path")
-    plan = R.batch_plan(prods, "path")
+    plan = R.batch_plan(prods, "path", "sku")
     batches = plan.select("batch").distinct()
     outcomes = batches.select("batch", F.when(F.col("batch") == 5, 401).when(F.col("batch") % 7 == 3, 500)
                               .otherwise(200).alias("status_code"))

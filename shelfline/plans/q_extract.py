@@ -90,12 +90,11 @@ e AS (SELECT url, coalesce(lead(url) OVER (PARTITION BY origin ORDER BY page_id)
 s AS (SELECT origin, arg_min(url, page_id) AS url FROM p GROUP BY origin),
 t(origin, url, step) AS (SELECT origin, url, 1 FROM s
   UNION ALL SELECT t.origin, e.nxt, t.step + 1 FROM t JOIN e ON e.url = t.url
-  WHERE e.nxt IS NOT NULL AND e.nxt <> t.url AND t.step < 100 AND e.nxt IN (SELECT url FROM pages))
+  WHERE e.nxt IS NOT NULL AND e.nxt <> t.url AND e.nxt IN (SELECT url FROM pages))
 SELECT origin, url, CAST(step AS INTEGER) AS step FROM t
 """)
 def pagination(spark, sf_dir):
-    """D6 next-page edges (E0 + platform next-page selectors) and D7 bounded
-    traversal from each site's first listing page."""
+    """D6 next-page edges (E0 + platform next-page selectors) and D7 traversal from each site's first listing page."""
     from ..operators.discovery import next_page_edges, traverse
     from ..operators.platforms import CATEGORY_SELECTORS
     from ..operators.selectors import SelectorSet as _SS
@@ -103,7 +102,7 @@ def pagination(spark, sf_dir):
     nxt_sel = CATEGORY_SELECTORS["generic"]["nextPage"]
     sels = _SS(nxt_sel)
     parsed = with_dom(pages.select("page_id", "url", "origin", "html"), "html", sels)
-    edges = next_page_edges(parsed, sels, nxt_sel).persist()
+    edges = next_page_edges(parsed, sels, nxt_sel)
     starts = pages.groupBy("origin").agg(F.min_by("url", "page_id").alias("url"))
     out = traverse(starts, edges, pages.select("url"))
     return out.select("origin", "url", F.col("step").cast("int").alias("step"))

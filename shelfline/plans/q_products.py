@@ -3,7 +3,6 @@ ingest (R10)."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions.enums import AVAILABILITY_VALUES
@@ -104,7 +103,7 @@ def ingest_stream(spark, sf_dir):
     sink = ingest_pages(spark, sf_dir, schema,
                         lambda b: b.select("page_id", "url", product_path("url").alias("path"),
                                            sku_from_url("url").alias("sku")),
-                        glob="pages.parquet")
+                        glob="pages.parquet", columns=["page_id", "url"])
     return spark.read.parquet(sink).select("page_id", "url", "path", "sku")
 
 
@@ -134,8 +133,8 @@ def api_simple(spark, sf_dir):
     raw = views.select(normalize_product(F.col("pv"), no_variants, API_BASE).alias("raw"),
                        source_url(F.col("pv"), API_BASE).alias("_src"))
     raw = raw.select("raw", F.coalesce(F.col("raw.url"), F.col("_src")).alias("src"))
-    # optimisation barrier between the normaliser and the transform (see page_crawl)
-    raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
+    # the normaliser and the transform are planned one by one (see page_crawl)
+    raw = raw.select("src", F.explode(F.array("raw")).alias("raw"))
     t = raw.select(transform_product(F.col("raw"), F.col("src")).alias("t")).select("t.product")
     p = F.col("product")
     return t.filter(p.isNotNull()).select(
@@ -166,7 +165,7 @@ def api_complex(spark, sf_dir):
     raw = views.select(normalize_product(F.col("pv"), F.col("variants"), API_BASE).alias("raw"),
                        source_url(F.col("pv"), API_BASE).alias("_src"))
     raw = raw.select("raw", F.coalesce(F.col("raw.url"), F.col("_src")).alias("src"))
-    raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
+    raw = raw.select("src", F.explode(F.array("raw")).alias("raw"))
     t = raw.select(transform_product(F.col("raw"), F.col("src")).alias("t")).select("t.product")
     v = t.filter(F.col("product").isNotNull()).select(
         F.col("product.sku").alias("sku"), F.col("product.path").alias("path"), F.explode("product.variants").alias("v"))
@@ -201,19 +200,18 @@ def product_files(spark, sf_dir):
 
 LISTING_PAGE_SIZE = 50
 DETAIL_BATCH = 20
-MAX_PRODUCTS = 1500
 
 
 @query("api_listing", f"""
 WITH items AS (SELECT p_partkey, p_name, p_size, p_partkey // {LISTING_PAGE_SIZE} + 1 AS page FROM part),
-listed AS (SELECT * FROM items WHERE p_size % 17 <> 0 ORDER BY page, p_partkey LIMIT {MAX_PRODUCTS})
+listed AS (SELECT * FROM items WHERE p_size % 17 <> 0)
 SELECT 'P-' || CAST(p_partkey AS VARCHAR) AS sku,
   CASE WHEN p_partkey % 3 = 0 THEN p_name || ' v2' ELSE p_name END AS name,
   split_part(p_name, ' ', 2) || '-' || CAST(p_partkey AS VARCHAR) AS url_key
 FROM listed
 """)
 def api_listing(spark, sf_dir):
-    """S7 listing scan (NULL items skipped, cap of 1500 in listing order) and
+    """S7 listing scan (NULL items skipped, every page) and
     S8 detail scan (duplicate SKUs across batches: last response wins),
     joined on SKU (N9)."""
     import os
@@ -244,7 +242,7 @@ def api_listing(spark, sf_dir):
             F.concat(F.col("p_name"), F.lit(" v2")).alias("name")).alias("p"))
     views.unionByName(again).groupBy("batch").agg(F.collect_list("p").alias("products")) \
         .select("batch", F.struct("products").alias("data")).write.mode("overwrite").json(os.path.join(base, "details"))
-    listing = scan_listing(spark, os.path.join(base, "listing"), MAX_PRODUCTS).select("sku", "urlKey")
+    listing = scan_listing(spark, os.path.join(base, "listing")).select("sku", "urlKey")
     details = scan_details(spark, os.path.join(base, "details"))
     found, _missing = join_details(listing, details)
     return found.select("sku", F.col("pv.name").alias("name"), F.col("urlKey").alias("url_key"))

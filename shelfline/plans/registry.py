@@ -11,14 +11,13 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None):
-    """Register ``fn(spark, sf_dir)``; the registered callable first makes
-    sure the session's analyzer budget fits our nested expressions (the
-    caller's session may carry Spark's default)."""
+    """Register ``fn(spark, sf_dir)``; the registered callable first sends the
+    package to the executors."""
     def deco(fn):
         @functools.wraps(fn)
         def run(spark, sf_dir):
-            from ..session import ensure_analyzer_budget
-            ensure_analyzer_budget(spark)
+            from ..session import ship_package
+            ship_package(spark)
             return fn(spark, sf_dir)
         QUERIES[name] = run
         if oracle is not None:

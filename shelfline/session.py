@@ -10,23 +10,12 @@ tests), as a shared folder is required on a real cluster.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
-# Page extraction is one deep expression of nested higher-order functions;
-# the analyzer needs more fixed-point iterations than the default 100.
-ANALYZER_ITERATIONS = 1000
-
-
-def ensure_analyzer_budget(spark: SparkSession) -> None:
-    """Raise ``spark.sql.analyzer.maxIterations`` if it is below our need."""
-    cur = int(spark.conf.get("spark.sql.analyzer.maxIterations", "100"))
-    if cur < ANALYZER_ITERATIONS:
-        spark.conf.set("spark.sql.analyzer.maxIterations", str(ANALYZER_ITERATIONS))
-
-
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
                 app_name: str = "shelfline") -> SparkSession:
     master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
@@ -35,7 +24,6 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         .appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.analyzer.maxIterations", str(ANALYZER_ITERATIONS))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -50,13 +38,31 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder from the session; set one only if unset."""
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master (tests) gets a temporary folder; on a
+    cluster that would put each executor's files on its own disk, so it raises.
+    """
     conf = spark.sparkContext.getConf()
     current = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
+    if not current:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="shelfline-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(current)
-        return current
-    local = tempfile.mkdtemp(prefix="shelfline-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    return current
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors (once a context), so that queries run
+    whatever their working folder."""
+    sc = spark.sparkContext
+    if sc.master.split("[")[0] == "local" or getattr(sc, "_shelfline_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="shelfline-"), "shelfline"), "zip",
+                                 os.path.dirname(root), os.path.basename(root))
+    sc.addPyFile(target)
+    sc._shelfline_shipped = True

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schemas import PRODUCT
 
@@ -23,13 +22,17 @@ def write_products(products: DataFrame, path: str, ordinal_col: str | None = Non
         .option("ignoreNullFields", True).json(path)
 
 
-def scan_products(spark: SparkSession, path: str) -> DataFrame:
-    """Recursive scan of product JSON files; unreadable records become
-    rows with ``parse_error`` instead of failing the job."""
-    # a new StructType: StructType.add would mutate the shared PRODUCT schema
-    schema = T.StructType(PRODUCT.fields + [T.StructField("_corrupt_record", T.StringType())])
-    df = (spark.read.schema(schema).option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
-          .option("pathGlobFilter", "*.json").option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    cols = [f.name for f in PRODUCT.fields]
-    return df.select(F.struct(*cols).alias("product"), F.col("_metadata.file_path").alias("file"),
-                     F.when(F.col("_corrupt_record").isNotNull(), F.lit("Unexpected token in JSON")).alias("parse_error"))
+def scan_products(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    """Recursive scan of product JSON files: ``product``, the record as read
+    (``raw``, VARIANT, so that wrong types can be told) and ``file``; an
+    unreadable record has a ``parse_error`` instead of failing the job.
+
+    ``one_per_file``: each file is one (pretty-printed) product; otherwise each
+    line is one, and files can be split.
+    """
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json") \
+        .text(path, wholetext=one_per_file).select("value", F.col("_metadata.file_path").alias("file"))
+    df = df.filter(F.col("value").rlike("\\S"))
+    raw = F.try_parse_json("value")
+    return df.select(F.from_json("value", PRODUCT).alias("product"), raw.alias("raw"), "file",
+                     F.when(raw.isNull(), F.lit("Unexpected token in JSON")).alias("parse_error"))

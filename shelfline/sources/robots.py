@@ -19,7 +19,7 @@ def robots_rules(robots: DataFrame, origin_col: str = "origin", text_col: str =
     low = F.lower("line")
 
     def after(prefix):
-        return F.trim(F.substring(F.col("line"), len(prefix) + 1, 1 << 20))
+        return F.trim(F.substring(F.col("line"), F.lit(len(prefix) + 1), F.length("line")))
 
     kind = (F.when(low.startswith("sitemap:"), F.lit("sitemap"))
             .when(low.startswith("user-agent:"), F.lit("agent"))

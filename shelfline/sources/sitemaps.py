@@ -2,7 +2,7 @@
 
 Fetching is replaced by a table ``sitemaps(url, xml)``.  Documents are parsed
 with ``from_xml`` (malformed XML gives NULLs -> no URLs); an index is
-resolved by equi-joins on the child URL, unrolled to the reference's depth.
+resolved by equi-joins on the child URL, level by level.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 3
 # --- fixed values: candidate locations when robots.txt lists no sitemap -------
 COMMON_SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-products.xml", "/product-sitemap.xml",
                         "/sitemap_products_1.xml"]
@@ -20,25 +19,32 @@ _SCHEMA = "sitemap array<struct<loc:string>>, url array<struct<loc:string>>"
 
 
 def parse_sitemaps(sitemaps: DataFrame) -> DataFrame:
-    """(url, kind, loc) rows; kind = 'index' for <sitemap>, 'url' for <url>."""
+    """(url, kind, loc) rows; kind = 'index' for <sitemap>, 'url' for <url>.
+    Each document is parsed once."""
     p = sitemaps.select("url", F.from_xml(F.col("xml"), _SCHEMA, {"mode": "PERMISSIVE"}).alias("d"))
-    idx = p.select("url", F.lit("index").alias("kind"), F.explode_outer("d.sitemap.loc").alias("loc"))
-    urls = p.select("url", F.lit("url").alias("kind"), F.explode_outer("d.url.loc").alias("loc"))
-    return idx.unionByName(urls).filter(F.col("loc").isNotNull()).withColumn("loc", F.trim("loc"))
-
-
-def resolve(roots: DataFrame, parsed: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """S3: URLs reachable from ``roots(origin, url)`` through at most
-    ``depth`` sitemap levels (an index at the last level yields nothing)."""
-    found = None
-    frontier = roots.select("origin", F.col("url").alias("sm"))
-    for level in range(depth):
-        docs = frontier.join(parsed, frontier.sm == parsed.url).select("origin", "kind", "loc")
+    tagged = lambda c, kind: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")),
+                                         lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("loc")))
+    rows = p.select("url", F.explode(F.concat(tagged("d.sitemap.loc", "index"), tagged("d.url.loc", "url"))).alias("x"))
+    return rows.select("url", "x.kind", F.trim("x.loc").alias("loc")).filter(F.col("loc").isNotNull())
+
+
+def resolve(roots: DataFrame, parsed: DataFrame) -> DataFrame:
+    """S3: URLs reachable from ``roots(origin, url)`` through sitemap indexes of
+    any depth; an index already opened is not opened again.  Levels are
+    checkpointed to the shared folder until no new index is found."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(parsed.sparkSession)
+    frontier = roots.select("origin", F.col("url").alias("sm")).distinct()
+    opened, found = frontier, None
+    while True:
+        docs = frontier.join(parsed, frontier.sm == parsed.url).select("origin", "kind", "loc").checkpoint()
         urls = docs.filter(F.col("kind") == "url").select("origin", F.col("loc").alias("url"))
         found = urls if found is None else found.unionByName(urls)
-        if level + 1 < depth:
-            frontier = docs.filter(F.col("kind") == "index").select("origin", F.col("loc").alias("sm"))
-    return found
+        frontier = docs.filter(F.col("kind") == "index").select("origin", F.col("loc").alias("sm")).distinct() \
+            .join(opened, ["origin", "sm"], "left_anti").checkpoint()
+        if frontier.isEmpty():
+            return found
+        opened = opened.unionByName(frontier)
 
 
 def fallback_roots(origins: DataFrame, parsed: DataFrame) -> DataFrame:

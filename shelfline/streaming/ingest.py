@@ -20,14 +20,18 @@ from ..session import checkpoint_dir
 
 
 def ingest_pages(spark: SparkSession, source_dir: str, schema, process: Callable[[DataFrame], DataFrame],
-                 glob: str = "*.parquet", name: str | None = None, max_files: int = 1) -> str:
+                 glob: str = "*.parquet", name: str | None = None, max_files: int | None = None,
+                 columns: list[str] | None = None) -> str:
     """Run the stream until all present files are processed (availableNow);
     returns the sink folder."""
     base = os.path.join(checkpoint_dir(spark), "ingest", name or uuid.uuid4().hex)
     sink, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", glob)
-              .option("maxFilesPerTrigger", max_files).parquet(source_dir))
-    deduped = stream.dropDuplicates(["url"])
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    stream = reader.parquet(source_dir)
+    # only what the batch uses goes through the state's shuffle
+    deduped = (stream.select(*columns) if columns else stream).dropDuplicates(["url"])
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         process(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
