@@ -92,6 +92,18 @@ def next_page_edges(pages, sels, selectors: list[str], url_col: str = "url"):
     return pages.select(F.col(url_col).alias("url"), resolve_url(href, F.col(url_col)).alias("next"))
 
 
+def product_links(pages, sels, selectors: list[str], keys: list[str], url_col: str = "url"):
+    """(keys..., link), each page's product links once: every selector's
+    matches, absolutised, http(s) only, query and fragment cut."""
+    from ..functions.urls import resolve_url
+    from ..operators.selectors import all_in_selector_order
+    hrefs = F.transform(all_in_selector_order(F.col("dom"), sels, selectors), lambda e: e["attrs"]["href"])
+    found = pages.select(*keys, F.col(url_col).alias("_page"), F.explode(F.array_distinct(hrefs)).alias("_href")) \
+        .filter("_href <> ''")
+    full = found.select(*keys, resolve_url("_href", F.col("_page")).alias("_full")).filter(F.col("_full").startswith("http"))
+    return full.select(*keys, F.split_part(F.split_part("_full", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)).alias("link")).distinct()
+
+
 def traverse(starts, edges, known):
     """All pages reached from each start over next edges, with their step
     (1: the start); stops at a missing page, a NULL next, next == current and

@@ -52,25 +52,36 @@ def is_rejected(raw: Column) -> Column:
     return ~(F.coalesce(raw["name"] != "", F.lit(False)) | F.coalesce(raw["sku"] != "", F.lit(False)))
 
 
-def extract_pages(pages: DataFrame, platform: str = "generic", url_col: str = "url",
-                  html_col: str = "html") -> DataFrame:
-    """E0-E23 for every page: adds ``soft_404``, ``raw`` (merged raw product,
-    NULL for soft 404s) and ``rejected``.  One ``mapInArrow`` then narrow
-    projections; no shuffle."""
+def page_fields(pages: DataFrame, platform: str = "generic", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """E0-E3, E14-E18 with one platform's selectors: the page's columns (without
+    its HTML), ``soft_404``, the HTML fields ``_h`` and the texts of its JSON-LD
+    (``scripts``) and embedded variant JSON (``variant_texts``)."""
     cfg = platform_config(platform)
     sels = selector_set(cfg)
     vj = VARIANT_JSON.get(platform)
     parsed = with_dom(pages, html_col, sels, scripts=True, variant_json=vj)
-    html, dom, url = F.col(html_col), F.col("dom"), F.col(url_col)
-    keep = [F.col(c) for c in pages.columns]
-    staged = parsed.select(*keep, is_soft_404(dom, sels).alias("soft_404"), extract_html(html, dom, sels, url, cfg).alias("_h"),
-                           "scripts", *(["variant_texts"] if vj else []))
-    staged = with_jsonld(staged)
-    merged = merge_sources(F.col("jsonld"), F.col("_h"))
-    if vj:  # E23: embedded variants win
+    dom = F.col("dom")
+    texts = F.col("variant_texts") if vj else F.array().cast("array<string>")
+    return parsed.select(*[c for c in pages.columns if c != html_col], is_soft_404(dom, sels).alias("soft_404"),
+                         extract_html(F.col(html_col), dom, sels, F.col(url_col), cfg).alias("_h"), "scripts",
+                         texts.alias("variant_texts"))
+
+
+def merge_fields(fields: DataFrame, embedded: bool = True) -> DataFrame:
+    """E4-E13, E19-E23 on ``page_fields``: adds ``raw`` (merged raw product, NULL
+    for soft 404s) and ``rejected``; embedded variants win (E23)."""
+    keep = [c for c in fields.columns if c not in ("_h", "scripts", "variant_texts")]
+    staged = with_jsonld(fields)
+    raw = merge_sources(F.col("jsonld"), F.col("_h"))
+    if embedded:
         staged = with_embedded(staged)
-        raw = let(merged, lambda m: m.withField("variants", F.coalesce(F.col("embedded"), m["variants"])))
-    else:
-        raw = merged
-    out = staged.select(*keep, "soft_404", F.when(~F.col("soft_404"), raw).alias("raw"))
+        raw = let(raw, lambda m: m.withField("variants", F.coalesce(F.col("embedded"), m["variants"])))
+    out = staged.select(*keep, F.when(~F.col("soft_404"), raw).alias("raw"))
     return out.withColumn("rejected", F.col("soft_404") | is_rejected(F.col("raw")))
+
+
+def extract_pages(pages: DataFrame, platform: str = "generic", url_col: str = "url",
+                  html_col: str = "html") -> DataFrame:
+    """E0-E23 for every page of one platform: ``page_fields`` and
+    ``merge_fields``, one ``mapInArrow`` and narrow projections; no shuffle."""
+    return merge_fields(page_fields(pages, platform, url_col, html_col), platform in VARIANT_JSON)

@@ -10,7 +10,7 @@ from ..operators.dom import element_text, with_dom  # noqa: F401
 from ..operators.selectors import SelectorSet, select_all
 from ..sources.tables import read_table
 from . import standins as S
-from .page_crawl import crawl_pages
+from .page_crawl import crawl_pages, crawl_shops
 from .registry import query, sql_product_path
 
 _URL = "'https://store.example.com/' || split_part(p_name, ' ', 2) || '/' || CAST(p_partkey AS VARCHAR) || '.html'"
@@ -199,3 +199,37 @@ def discovery_union(spark, sf_dir):
     prio = F.when(F.col("mode") == "sitemap", 1).when(F.col("mode") == "category", 2).otherwise(3)
     first = dedupe_first(frontier.select("url", F.struct(prio.alias("p"), F.col("mode")).alias("ordinal")))
     return first.select("url", F.col("ordinal.mode").alias("mode"))
+
+
+@query("shop_catalog", """
+SELECT CAST(p_partkey AS BIGINT) AS page_id, ['shopify', 'magento', 'bigcommerce', 'woocommerce', 'generic'][p_partkey % 5 + 1] AS platform,
+  p_name AS name, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) AS price_final
+FROM part
+""")
+def shop_catalog(spark, sf_dir):
+    """E2 on each site's homepage, E3 routing, then E0-E20, T and V1 with each
+    site's own selectors, over shops of all five platforms."""
+    out = crawl_shops(S.shop_pages(spark, sf_dir)).filter((F.col("status") == "crawled") & F.col("page_id").isNotNull())
+    return out.select("page_id", "platform", F.col("product.name").alias("name"), F.col("product.price.final").alias("price_final"))
+
+
+@query("category_links", """
+WITH l AS (SELECT DISTINCT p_partkey // 10 AS n FROM part),
+r AS (SELECT n, n - n % 10 AS start FROM l),
+ok AS (SELECT n, start, count(*) OVER (PARTITION BY start ORDER BY n) - 1 = n - start AS reached FROM r)
+SELECT CAST(p_partkey // 100 AS BIGINT) AS category, 'https://store.example.com/products/' || CAST(p_partkey AS VARCHAR) AS link
+FROM part JOIN ok ON p_partkey // 10 = ok.n WHERE ok.reached
+""")
+def category_links(spark, sf_dir):
+    """D5 + D6 + D7: product links of all pages reached from each category's
+    first listing, once for each category."""
+    from ..operators.discovery import next_page_edges, product_links, traverse
+    from ..operators.platforms import CATEGORY_SELECTORS
+    pages = S.category_pages(spark, sf_dir)
+    cfg = CATEGORY_SELECTORS["generic"]
+    sels = SelectorSet(cfg["productLinks"], cfg["nextPage"])
+    parsed = with_dom(pages.select("url", "html"), "html", sels)
+    starts = pages.filter("n % 10 = 0").select(F.col("category").cast("long").alias("origin"), "url")
+    reached = traverse(starts, next_page_edges(parsed, sels, cfg["nextPage"]), pages.select("url"))
+    links = product_links(parsed, sels, cfg["productLinks"], ["url"])
+    return reached.join(links, "url").select(F.col("origin").alias("category"), "link").distinct()

@@ -303,3 +303,50 @@ def mixed_pages(spark, sf_dir: str) -> DataFrame:
         F.lit('"></body></html>'))
     url = F.concat(F.lit(STORE + "/item/"), k)
     return part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), html.alias("html"))
+
+
+def shop_pages(spark, sf_dir: str) -> DataFrame:
+    """Pages of five shops, one on each platform: a homepage with the platform's
+    mark, and a product page for each part in the platform's markup, below a
+    heading that is not the product's."""
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    shop = F.col("p_partkey") % 5
+    price = F.concat(F.lit("$"), F.col("p_retailprice").cast("decimal(12,2)").cast("string"))
+
+    def page(title, cost):
+        return F.concat(F.lit(f"<html><body><h1>Shop</h1><div><{title}>"), F.col("p_name"), F.lit(f"</{title.split(' ')[0]}>"),
+                        F.lit(f"<p {cost}>"), price, F.lit("</p></div></body></html>"))
+    markup = [page('h2 class="product__title"', 'class="product__price"'), page('h2 class="page-title-wrapper"', 'class="none"'),
+              page('h2 class="productView-title"', 'data-product-price-without-tax'),
+              page('h2 class="product_title"', 'class="woocommerce-Price-amount"'), page('h2 itemprop="none"', 'class="price"')]
+    markup[1] = F.concat(F.lit('<html><body><h1>Shop</h1><h1 class="page-title"><span>'), F.col("p_name"),
+                         F.lit('</span></h1><div class="price-box"><b class="price">'), price, F.lit("</b></div></body></html>"))
+    markup[4] = F.concat(F.lit('<html><body><h1>Shop</h1><h1 class="product-name">'), F.col("p_name"),
+                         F.lit('</h1><b class="price">'), price, F.lit("</b></body></html>"))
+    html = F.when(shop == 0, markup[0])
+    for k in range(1, 5):
+        html = html.when(shop == k, markup[k])
+    url = F.concat(F.lit("https://shop"), shop.cast("string"), F.lit(".example.com/p/"), F.col("p_partkey").cast("string"))
+    marks = ["cdn.shopify.com", "window.Mage = 1", "window.BCData = 1", "wc_cart_params", "plain"]
+    homes = part.select((F.col("p_partkey") % 5).alias("k")).distinct().select(
+        F.lit(None).cast("long").alias("page_id"),
+        F.concat(F.lit("https://shop"), F.col("k").cast("string"), F.lit(".example.com/")).alias("url"),
+        F.concat(F.lit("<html><body><h1>Home</h1><script>"), F.element_at(F.array(*map(F.lit, marks)), (F.col("k") + 1).cast("int")),
+                 F.lit("</script></body></html>")).alias("html"))
+    return part.select(F.col("p_partkey").cast("long").alias("page_id"), url.alias("url"), html.alias("html")).unionByName(homes)
+
+
+def category_pages(spark, sf_dir: str) -> DataFrame:
+    """Listing pages of ten parts each, ten listings to a category: product
+    links (one twice, one with a query), other links, and the next page."""
+    part = read_table(spark, sf_dir, "part").select("p_partkey")
+    n = F.floor(F.col("p_partkey") / 10)
+    link = F.concat(F.lit('<a href="/products/'), F.col("p_partkey").cast("string"), F.lit('?ref=1">x</a><a href="/products/'),
+                    F.col("p_partkey").cast("string"), F.lit('#top">y</a>'))
+    body = part.groupBy(n.alias("n")).agg(F.array_join(F.array_sort(F.collect_list(link)), "").alias("links"))
+    body = body.withColumn("category", F.floor(F.col("n") / 10))
+    here = lambda n: F.concat(F.lit("https://store.example.com/c/"), n.cast("string"))
+    nxt = F.when(F.col("n") % 10 < 9, F.concat(F.lit('<a rel="next" href="/c/'), (F.col("n") + 1).cast("string"), F.lit('">next</a>')))
+    html = F.concat(F.lit('<html><body><a href="/about">a</a><a href="mailto:x@y">m</a>'), F.col("links"), F.coalesce(nxt, F.lit("")),
+                    F.lit("</body></html>"))
+    return body.select("n", "category", here(F.col("n")).alias("url"), html.alias("html"))
