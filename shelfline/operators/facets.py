@@ -9,16 +9,14 @@ TOP_BUCKETS = 20
 
 
 def scalar_facets(df: DataFrame, attrs: list[str], top: int = TOP_BUCKETS) -> DataFrame:
-    """(facet, value, count, rank) with the ``top`` buckets per facet.
+    """(facet, value, count, rank) with the ``top`` buckets per facet, from
+    one scan for all attributes.
 
     Counting is a partial+final aggregation on (facet, value); the ranking
     window then runs per facet over distinct values only.
     """
-    stacked = None
-    for a in attrs:
-        d = df.select(F.lit(a).alias("facet"), F.col(a).cast("string").alias("value"))
-        stacked = d if stacked is None else stacked.unionByName(d)
-    counts = stacked.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("count"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("facet"), F.col(a).cast("string").alias("value")) for a in attrs])
+    counts = df.select(F.explode(pairs).alias("x")).select("x.*").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy("facet").orderBy(F.desc("count"), F.asc("value"))
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 

@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import capitalize_first
-from ..schemas import CSV_COLUMNS, NUM_IMAGE_COLS
+from ..schemas import CSV_COLUMNS, NUM_IMAGE_COLS, csv_columns
 
 
 def _s(c) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def _image_cols(images: Column) -> list[Column]:
-    cols = [_s(F.get(images, i)["url"]).alias(f"image_{i + 1}") for i in range(NUM_IMAGE_COLS)]
-    cols += [_s(F.array_join(F.get(images, i)["roles"], "|")).alias(f"image_{i + 1}_roles")
-             for i in range(NUM_IMAGE_COLS)]
-    return cols
+def _image_cols(images: Column, n: int) -> list[Column]:
+    return [*[_s(F.get(images, i)["url"]).alias(f"image_{i + 1}") for i in range(n)],
+            *[_s(F.array_join(F.get(images, i)["roles"], "|")).alias(f"image_{i + 1}_roles") for i in range(n)]]
 
 
 def _opt(options: Column, oid: str, field: str) -> Column:
     return _s(F.get(F.filter(options, lambda o: o["id"] == oid), 0)[field])
 
 
-def parent_rows(products: DataFrame) -> DataFrame:
+def parent_rows(products: DataFrame, images: int = NUM_IMAGE_COLS) -> DataFrame:
     """X1 parent rows from products (PRODUCT shape)."""
     p = F.col
     return products.select(
@@ -33,14 +33,15 @@ def parent_rows(products: DataFrame) -> DataFrame:
         _s(p("description")).alias("description"), _s(p("metaTitle")).alias("meta_title"),
         _s(p("metaDescription")).alias("meta_description"), _s(p("price.currency")).alias("price_currency"),
         _s(p("price.regular")).alias("price_regular"), _s(p("price.final")).alias("price_final"),
-        _s(p("availability")).alias("availability"), *_image_cols(p("images")),
+        _s(p("availability")).alias("availability"), *_image_cols(p("images"), images),
         F.lit("").alias("option_size"), F.lit("").alias("option_color"), F.lit("").alias("option_size_uid"),
         F.lit("").alias("option_color_uid"),
         _s(F.array_join(p("custom.categories"), "|")).alias("categories"),
         _s(F.array_join(p("custom.related"), "|")).alias("related"))
 
 
-def variant_rows(variants: DataFrame, parent_sku_col: str = "parent_sku", variant_col: str = "v") -> DataFrame:
+def variant_rows(variants: DataFrame, parent_sku_col: str = "parent_sku", variant_col: str = "v",
+                 images: int = NUM_IMAGE_COLS) -> DataFrame:
     """X1 variant rows from the exploded variants table (parent_sku, v)."""
     v = F.col(variant_col)
     return variants.select(
@@ -49,7 +50,7 @@ def variant_rows(variants: DataFrame, parent_sku_col: str = "parent_sku", varian
         F.lit("").alias("description"), F.lit("").alias("meta_title"), F.lit("").alias("meta_description"),
         _s(v["price"]["currency"]).alias("price_currency"), _s(v["price"]["regular"]).alias("price_regular"),
         _s(v["price"]["final"]).alias("price_final"), _s(v["availability"]).alias("availability"),
-        *_image_cols(v["images"]),
+        *_image_cols(v["images"], images),
         _opt(v["options"], "size", "value").alias("option_size"),
         _opt(v["options"], "color", "value").alias("option_color"),
         _opt(v["options"], "size", "uid").alias("option_size_uid"),
@@ -57,8 +58,17 @@ def variant_rows(variants: DataFrame, parent_sku_col: str = "parent_sku", varian
         F.lit("").alias("categories"), F.lit("").alias("related"))
 
 
-def flat_rows(products: DataFrame, variants: DataFrame | None = None) -> DataFrame:
+def image_columns(products: DataFrame, variants: DataFrame) -> int:
+    """Image columns that hold every image: the most any row has, ten at least
+    (one aggregate over the sizes; a single number comes to the driver)."""
+    sizes = products.select(F.size("images").alias("n")).unionByName(variants.select(F.size("v.images").alias("n")))
+    return max(NUM_IMAGE_COLS, sizes.agg(F.max("n")).first()[0] or 0)
+
+
+def flat_rows(products: DataFrame, variants: DataFrame | None = None, images: int | None = None) -> DataFrame:
     """Parents union variants, fixed column order; narrow (no shuffle).
+    ``images``: image columns; without it the data are asked, so that no image
+    is left out.
 
     ``variants`` is the exploded form (parent_sku, v, ordinal); when omitted
     it is exploded from ``products.variants``.
@@ -66,8 +76,8 @@ def flat_rows(products: DataFrame, variants: DataFrame | None = None) -> DataFra
     if variants is None:
         variants = products.select(F.col("sku").alias("parent_sku"),
                                    F.posexplode("variants").alias("ordinal", "v"))
-    rows = parent_rows(products).unionByName(variant_rows(variants))
-    return rows.select(*CSV_COLUMNS)
+    n = image_columns(products, variants) if images is None else images
+    return parent_rows(products, n).unionByName(variant_rows(variants, images=n)).select(*csv_columns(n))
 
 
 def flat_counts(rows: DataFrame) -> DataFrame:
@@ -77,25 +87,25 @@ def flat_counts(rows: DataFrame) -> DataFrame:
 
 def write_csv(rows: DataFrame, path: str) -> None:
     """RFC 4180 CSV with header, quotes doubled, empty for NULL."""
-    rows.select(*CSV_COLUMNS).write.mode("overwrite").option("header", True).option("quote", '"') \
+    rows.write.mode("overwrite").option("header", True).option("quote", '"') \
         .option("escape", '"').option("nullValue", "").option("emptyValue", "") \
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_csv(spark, path: str) -> DataFrame:
     """Header-keyed wide CSV; quoted newlines; missing fields -> ''."""
-    from ..schemas import CSV_ROW
-    df = spark.read.schema(CSV_ROW).option("header", True).option("multiLine", True) \
-        .option("escape", '"').csv(path)
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    there = df.columns
+    names = [*CSV_COLUMNS, *[c for c in there if c not in CSV_COLUMNS]]
     df = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id())
-    return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in CSV_COLUMNS], "_file", "_row")
+    return df.select(*[(F.coalesce(F.col(c), F.lit("")) if c in there else F.lit("")).alias(c) for c in names], "_file", "_row")
 
 
-def _images_from_row(prefix: str = "") -> Column:
+def _images_from_row(n: int) -> Column:
     imgs = F.array(*[F.struct(F.col(f"image_{i}").alias("url"), F.lit(None).cast("string").alias("label"),
                               F.when(F.col(f"image_{i}_roles") != "",
                                      F.filter(F.split(F.col(f"image_{i}_roles"), r"\|"), lambda r: r != ""))
-                              .alias("roles")) for i in range(1, NUM_IMAGE_COLS + 1)])
+                              .alias("roles")) for i in range(1, n + 1)])
     return F.filter(imgs, lambda im: im["url"] != "")
 
 
@@ -112,11 +122,12 @@ def assemble_products(rows: DataFrame, ordinal_col: str = "_row") -> DataFrame:
     Variants are gathered with one aggregation keyed by parent SKU (the
     product's own variant list is the unit of output).
     """
+    images = _images_from_row(len([c for c in rows.columns if re.fullmatch(r"image_\d+", c)]))
     parents = rows.filter(F.col("type") == "parent")
     var = rows.filter(F.col("type") == "variant").select(
         "parent_sku", F.col(ordinal_col).alias("_o"),
         F.struct(F.col("sku"), F.col("name"), F.when(F.col("url") != "", F.col("url")).alias("url"),
-                 F.when(F.size(_images_from_row()) > 0, _images_from_row()).alias("images"),
+                 F.when(F.size(images) > 0, images).alias("images"),
                  _price_from_row().alias("price"),
                  F.when(F.col("availability") != "", F.col("availability")).alias("availability"),
                  F.col("option_size").alias("size"), F.col("option_size_uid").alias("size_uid"),
@@ -158,7 +169,7 @@ def assemble_products(rows: DataFrame, ordinal_col: str = "_row") -> DataFrame:
         F.when(F.col("meta_description") != "", F.col("meta_description")).alias("metaDescription"),
         _price_from_row().alias("price"),
         F.when(F.col("availability") != "", F.col("availability")).alias("availability"),
-        F.when(F.size(_images_from_row()) > 0, _images_from_row()).alias("images"),
+        F.when(F.size(images) > 0, images).alias("images"),
         F.when(F.size(vs) > 0, variants).alias("variants"),
         F.when(F.size(vs) > 0, opts_of(vs)).alias("options"),
         F.when((F.col("categories") != "") | (F.col("related") != ""), F.struct(

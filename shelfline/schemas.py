@@ -60,15 +60,19 @@ PRODUCT = T.StructType([
     T.StructField("metadata", T.MapType(S, S)), T.StructField("custom", CUSTOM),
 ])
 
-# M15 wide CSV row: 13 fixed + 10 images + 10 roles + 6 tail columns
+# M15 wide CSV row: 13 fixed + 10 images + 10 roles + 6 tail columns; data with
+# more images to a product have more image columns
 NUM_IMAGE_COLS = 10
-CSV_COLUMNS = (
-    ["type", "sku", "parent_sku", "name", "path", "url", "description", "meta_title",
-     "meta_description", "price_currency", "price_regular", "price_final", "availability"]
-    + [f"image_{i}" for i in range(1, NUM_IMAGE_COLS + 1)]
-    + [f"image_{i}_roles" for i in range(1, NUM_IMAGE_COLS + 1)]
-    + ["option_size", "option_color", "option_size_uid", "option_color_uid", "categories", "related"]
-)
+
+
+def csv_columns(images: int = NUM_IMAGE_COLS) -> list[str]:
+    return (["type", "sku", "parent_sku", "name", "path", "url", "description", "meta_title",
+             "meta_description", "price_currency", "price_regular", "price_final", "availability"]
+            + [f"image_{i}" for i in range(1, images + 1)] + [f"image_{i}_roles" for i in range(1, images + 1)]
+            + ["option_size", "option_color", "option_size_uid", "option_color_uid", "categories", "related"])
+
+
+CSV_COLUMNS = csv_columns()
 CSV_ROW = T.StructType([T.StructField(c, S) for c in CSV_COLUMNS])
 
 # M14 crawl state

@@ -100,11 +100,13 @@ def test_deep_and_circular_sitemaps(spark):
 def test_csv_keeps_blanks_meta_and_absent_uids(spark, tmp_path):
     v = Row(sku="v", name="n", url="u", images=None, price=None, availability=None, options=[Row(id="size", value="L", uid="")])
     plain = Row(sku="w", name="n", url="u", images=None, price=None, availability=None, options=None)
-    base = dict.fromkeys(f.name for f in PRODUCT.fields) | {"path": "/p", "sku": "s", "name": "  lead trail  ", "metaTitle": "t", "metaDescription": 'd "q"\nx',
+    many = [Row(url=f"i{i}", label=None, roles=None) for i in range(13)]
+    base = dict.fromkeys(f.name for f in PRODUCT.fields) | {"images": many, "path": "/p", "sku": "s", "name": "  lead trail  ", "metaTitle": "t", "metaDescription": 'd "q"\nx',
                                                             "variants": [v, plain]}
     df = spark.createDataFrame([tuple(base[f.name] for f in PRODUCT.fields)], PRODUCT)
     write_csv(flat_rows(df), str(tmp_path / "csv"))
     p = assemble_products(read_csv(spark, str(tmp_path / "csv"))).first()
     assert (p["name"], p["metaTitle"], p["metaDescription"]) == ("  lead trail  ", "t", 'd "q"\nx')
+    assert [i["url"] for i in p["images"]] == [f"i{i}" for i in range(13)]
     assert p["options"][0]["values"][0]["uid"] is None
     assert {x["sku"]: x["options"] for x in p["variants"]}["w"] is None
