@@ -80,3 +80,24 @@ def platform_detect(spark, sf_dir):
     """E2 platform detection on every page (source probes, priority order)."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return pages.select("page_id", "url", detect_platform("html")["platform"].alias("platform"))
+
+
+@query("ingest_crawl", f"""
+SELECT page_id, url, {sql_product_path('url')} AS path, {_NAME} AS name
+FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS nth FROM pages)
+WHERE nth = 1 AND {sql_product_path('url')} IS NOT NULL AND {_NAME} <> ''
+""")
+def ingest_crawl(spark, sf_dir):
+    """The page files streamed through E, T, V, R1 and R2 in two runs, the
+    second resuming after the first; the valid products of all batches."""
+    import os
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..streaming import ingest
+    schema = read_table(spark, sf_dir, "pages").select("page_id", "url", "html").schema
+    base = os.path.join(checkpoint_dir(spark), "crawl", uuid.uuid4().hex)
+    for _ in range(2):
+        ingest.ingest_crawl(spark, sf_dir, schema, base, glob="pages.parquet")
+    out = spark.read.parquet(os.path.join(base, "pages")).filter("status = 'crawled'")
+    return out.select("page_id", "url", F.col("product.path").alias("path"), F.col("product.name").alias("name"))

@@ -2,7 +2,8 @@
 
 New page files are picked up from a directory; each micro-batch runs the
 batch operators and appends to a sink folder keyed by batch id (overwrite of
-that key makes a replayed batch idempotent).  ``dropDuplicates`` on the URL
+that key makes a replayed batch idempotent).  ``ingest_crawl`` runs the whole
+page path and keeps its state as a table; ``ingest_pages`` is for row-wise work.  ``dropDuplicates`` on the URL
 keeps state so a page already ingested is not processed again; the
 checkpoint lives in the shared folder named by ``spark.checkpoint.dir``.
 """
@@ -41,3 +42,34 @@ def ingest_pages(spark: SparkSession, source_dir: str, schema, process: Callable
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return sink
+
+
+def ingest_crawl(spark: SparkSession, source_dir: str, schema, base: str, glob: str = "*.parquet",
+                 max_files: int | None = None, key: str = "page_id", **options) -> None:
+    """R10 with the whole page path (E, T, V, R1, R2): new page files are crawled
+    into ``base/pages`` (``url, status, error, product, ...`` by batch).
+
+    That table is the crawl state: a URL in it is not crawled again (R1, an
+    anti-join on narrow columns), and of a URL's copies in one batch the one
+    with the smallest ``key`` is taken.  A second call with the same ``base``
+    resumes after the last finished batch; a replayed batch leaves its own rows
+    out of the state and overwrites them.
+    """
+    from ..plans.page_crawl import crawl_pages
+    sink, ckpt = os.path.join(base, "pages"), os.path.join(base, "checkpoint")
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        first = batch.groupBy("url").agg(F.min(key).alias(key))
+        new = batch.join(first, ["url", key], "left_semi").dropDuplicates(["url"])
+        if batch_id > 0:
+            known = session.read.parquet(sink).filter(F.col("batch_id") < batch_id).select("url")
+            new = new.join(known, "url", "left_anti")
+        crawl_pages(new.select(*batch.columns), **options).write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
+
+    q = (reader.parquet(source_dir).writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
