@@ -71,8 +71,7 @@ def passages(text: str | None, words: int = PASSAGE_WORDS) -> np.ndarray:
     bags = np.bincount(owner * HASHED + (name % np.uint64(HASHED)).astype(np.int64), minlength=n * HASHED).reshape(n, HASHED)
     same = np.concatenate([[False], (name[1:] == name[:-1])])
     two = np.concatenate([[False, False], name[2:] == name[:-2]])[:len(name)]
-    distinct = np.unique(np.stack([owner.astype(np.uint64), name]), axis=1)[0].astype(np.int64) if len(name) < 2 else \
-        _distinct(owner, name)
+    distinct = _distinct(owner, name)
     length = (stop - start).astype(float)
     mean = np.bincount(owner, length, n) / count
     extra = np.stack([np.bincount(owner, same, n) / count, np.bincount(owner, two, n) / count,

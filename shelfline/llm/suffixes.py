@@ -256,12 +256,12 @@ def _contexts(docs: DataFrame, min_len: int, gram: int) -> tuple[DataFrame, Data
     return cuts, sizes, copies
 
 
-def _defaults(min_len: int) -> int:
+def _gram_size(min_len: int) -> int:
     return max(1, min_len // 3)
 
 
 def _spans(docs: DataFrame, min_len: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
-    gram = _defaults(min_len)
+    gram = _gram_size(min_len)
     cuts, sizes, copies = _contexts(docs, min_len, gram)
     hot = not sizes.filter(F.col("n") > group_rows).isEmpty()
     if hot:
@@ -374,7 +374,7 @@ def repeat_groups(docs: DataFrame, min_len: int = MIN_LEN, id_col: str = "doc_id
     anchors' contexts (below ``2 * min_len`` bytes); a longer repeat is a chain
     of overlapping groups.  One gram's occurrences are held by one task."""
     texts = _texts(docs, id_col, text_col)
-    cuts, _, _ = _contexts(texts, min_len, _defaults(min_len))
+    cuts, _, _ = _contexts(texts, min_len, _gram_size(min_len))
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in sorted_groups(it, "gram"):
