@@ -9,8 +9,8 @@ merged into its list.  Only pairs with an edge that is new since the last
 round are compared; rounds end when few edges change.
 
 A search starts from the query's own neighbours in the graph and repeatedly
-expands its best nodes not yet expanded, all queries at once, one Spark join a
-step, until the best ``beam`` nodes of every query are expanded.  The best
+expands the nodes among its ``beam`` best that are not yet expanded, all
+queries at once, one Spark join a step, until there are none.  The best
 candidates are scored exactly, in double precision, on the original vectors.
 
 Equal vectors are one node, so thousands of copies neither fill a list nor a
@@ -39,12 +39,11 @@ from .common import stored
 K = 24
 TABLES = 6
 CHUNK = 256
-ROUNDS = 6
+ROUNDS = 5
 #: Rounds end when a smaller share of the edges is new.
-SETTLED = 0.02
-BEAM = 96
-EXPAND = 24
-STEPS = 10
+SETTLED = 0.05
+BEAM = 128
+STEPS = 12
 #: Found nodes of a query that are scored exactly.
 RESCORED = 24
 
@@ -189,14 +188,13 @@ def _merged(edges: DataFrame, k: int) -> DataFrame:
 
 def _meetings(graph: DataFrame, k: int, round_: int) -> DataFrame:
     """``at, member, fresh``: who meets in each node's local join: its neighbours
-    and at most ``k`` of the nodes that have it as neighbour (a hub's are
-    thinned in two steps, so that none is collected)."""
+    and at most ``k`` of the nodes that have it as neighbour.  The row limit of
+    the window is applied before the shuffle too, so a hub sends ``k`` rows a
+    task."""
     back = graph.select(F.col("nbr").alias("at"), F.col("id").alias("member"), "fresh",
                         F.xxhash64("id", F.lit(round_)).alias("h"))
-    some = Window.partitionBy("at", F.pmod("h", F.lit(32))).orderBy(F.desc("fresh"), "h", "member")
     few = Window.partitionBy("at").orderBy(F.desc("fresh"), "h", "member")
-    back = back.withColumn("r", F.row_number().over(some)).filter(F.col("r") <= k) \
-        .withColumn("r", F.row_number().over(few)).filter(F.col("r") <= k)
+    back = back.withColumn("r", F.row_number().over(few)).filter(F.col("r") <= k)
     own = graph.select(F.col("id").alias("at"), F.col("nbr").alias("member"), "fresh")
     return own.unionByName(back.select("at", "member", "fresh")).groupBy("at", "member").agg(F.max("fresh").alias("fresh"))
 
@@ -254,28 +252,27 @@ def _similarities(pairs: DataFrame) -> DataFrame:
     return pairs.select("q", "node", "qunit", "unit").mapInArrow(run, "q bigint, node bigint, sim float")
 
 
-def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM, expand: int = EXPAND,
-                  steps: int = STEPS, k: int = K) -> DataFrame:
-    """``q, node, sim``: the ``beam`` best nodes found for each query node ``q``."""
+def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM, steps: int = STEPS,
+                  k: int = K) -> DataFrame:
+    """``q, node, sim``: the best nodes found for each query node ``q``, the beam among them."""
     links = stored(_meetings(graph, k, -1).select(F.col("at").alias("id"), F.col("member").alias("nbr")), "links")
     asked = queries.join(nodes, queries["q"] == nodes["id"]).select("q", F.col("unit").alias("qunit"))
     asked = stored(asked, "asked")
     best = Window.partitionBy("q").orderBy(F.desc("sim"), "node")
-    seen = stored(graph.join(asked, graph["id"] == asked["q"], "left_semi")
-                  .select(F.col("id").alias("q"), F.col("nbr").alias("node"), "sim", F.lit(False).alias("done")), "seen")
+    seen = graph.join(asked, graph["id"] == asked["q"], "left_semi") \
+        .select(F.col("id").alias("q"), F.col("nbr").alias("node"), "sim", F.lit(False).alias("done"))
     for _ in range(steps):
-        ranked = seen.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= beam) \
-            .filter(~F.col("done")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= expand)
-        opened = stored(ranked.select("q", "node"), "opened")
+        # the beam is all that the next step needs: a node that left it cannot come back
+        seen = stored(seen.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= beam).drop("r"), "seen")
+        opened = seen.filter(~F.col("done")).select("q", "node")
         if opened.isEmpty():
             break
-        near = opened.join(links, opened["node"] == links["id"]).select("q", F.col("nbr").alias("node")) \
-            .filter("q <> node").distinct().join(seen.select("q", "node"), ["q", "node"], "left_anti")
-        pairs = near.join(nodes.select(F.col("id").alias("node"), "unit"), "node").join(asked, "q")
-        done = seen.join(opened.withColumn("now", F.lit(True)), ["q", "node"], "left") \
-            .select("q", "node", "sim", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        seen = stored(done.unionByName(_similarities(pairs).withColumn("done", F.lit(False))), "seen")
-    return seen.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= beam).select("q", "node", "sim")
+        pairs = opened.join(links, opened["node"] == links["id"]).select("q", F.col("nbr").alias("node")) \
+            .filter("q <> node").join(nodes.select(F.col("id").alias("node"), "unit"), "node").join(asked, "q")
+        found = _similarities(pairs).withColumn("done", F.lit(False))
+        seen = seen.withColumn("done", F.lit(True)).unionByName(found) \
+            .groupBy("q", "node").agg(F.max("sim").alias("sim"), F.max("done").alias("done"))
+    return seen.select("q", "node", "sim")
 
 
 def _exact(pairs: DataFrame) -> DataFrame:
@@ -308,10 +305,8 @@ def nearest(vectors: DataFrame, queries, top: int = 5, id_col: str = "vec_id", v
     found = found.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= rescored).select("q", "node")
     found = found.unionByName(asked.select("q", F.col("q").alias("node")).distinct())
     # of each node its smallest members, one more than asked for as a query leaves itself out
-    salted = Window.partitionBy("node", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
     named = Window.partitionBy("node").orderBy("id")
-    least = member.withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= top + 1) \
-        .withColumn("r", F.row_number().over(named)).filter(F.col("r") <= top + 1).select("node", F.col("id").alias("vec_id"))
+    least = member.withColumn("r", F.row_number().over(named)).filter(F.col("r") <= top + 1).select("node", F.col("id").alias("vec_id"))
     pairs = asked.join(found, "q").join(least, "node").filter("query_id <> vec_id").select("query_id", "q", "node", "vec_id")
     raw = nodes.select(F.col("id").alias("node"), F.col("raw").alias("b"))
     raw_q = nodes.select(F.col("id").alias("q"), F.col("raw").alias("a"))
