@@ -69,6 +69,7 @@ class _TreeBuilder(HTMLParser):
         self.texts: list[str] = []
         self.elems: list[dict] = []
         self.stack: list[int] = []
+        self.open: dict[str, int] = {}  # open elements by tag: a tag that is not open is not searched for
 
     def _offset(self) -> int:
         line, col = self.getpos()
@@ -76,6 +77,7 @@ class _TreeBuilder(HTMLParser):
 
     def _close_top(self, at: int) -> None:
         e = self.elems[self.stack.pop()]
+        self.open[e["tag"]] -= 1
         e["t1"] = len(self.texts)
         e["h1"] = at
 
@@ -84,6 +86,8 @@ class _TreeBuilder(HTMLParser):
             self._close_top(at)
 
     def _find_open(self, tags, stops) -> int:
+        if not any(self.open.get(t) for t in tags):
+            return -1
         for i in range(len(self.stack) - 1, -1, -1):
             t = self.elems[self.stack[i]]["tag"]
             if t in tags:
@@ -151,6 +155,7 @@ class _TreeBuilder(HTMLParser):
         self.elems.append(e)
         if not void:
             self.stack.append(eid)
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_starttag(self, tag, attrs):
         self._open(tag, attrs, tag in VOID)
@@ -161,6 +166,8 @@ class _TreeBuilder(HTMLParser):
 
     def handle_endtag(self, tag):
         at = self._offset()
+        if not self.open.get(tag):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.elems[self.stack[i]]["tag"] == tag:
                 self._close_through(i, at)

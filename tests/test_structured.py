@@ -1,86 +1,104 @@
-"""JSON-LD products (E4-E13) and embedded variants."""
+"""JSON-LD products (E4-E13) and embedded variants (E21-E22); all cases of a
+kind are read by one plan."""
 
 import json
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 
 from shelfline.operators.structured import with_embedded, with_jsonld
 
+SCALARS = {"49": 49.0, "100": 1e2, "19.99": 19.99, "true": True, "1,,a": [1, None, "a"], "[object Object]": {"a": 1},
+           "1e+21": 1e21, "123456789.5": 123456789.5}
+PRODUCTS = {
+    "substring": [{"@type": "ProductGroup", "name": "a"}],
+    "element": [{"@type": ["ProductGroup"], "name": "a"}],
+    "elements": [{"@type": ["Thing", "Product"], "name": "a"}],
+    "graph": [{"@graph": [{"@type": "Thing"}, {"@type": "Product", "name": "g"}]}],
+    "deep": [[1, [[{"@type": "Product", "name": "deep"}]]]],
+    "broken": ["not json", {"@type": "Product", "name": " x "}],
+    "null in graph": [{"@graph": [None, {"@type": "Product", "name": "g"}]}, {"@type": "Product", "name": "later"}],
+    "none": [],
+    "merge": [{"@type": "Product", "name": "W", "offers": [{"sku": "A", "price": 49.00, "priceCurrency": "usd"}, {"sku": "B", "price": "5"}],
+               "hasVariant": [{"sku": "B"}, {"sku": "C"}, {"sku": "C"}]}],
+    "list price": [{"@type": "Product", "name": "W", "brand": {"name": "B"}, "gtin12": 12,
+                    "image": ["a", {"url": "b", "name": "n"}, {"@id": "c"}, 5],
+                    "offers": {"@type": "Offer", "price": 10, "availability": "https://schema.org/InStock", "priceSpecification": [
+                        {"priceType": "ListPrice", "price": 12, "priceCurrency": "EUR"}, {"priceType": "MSRP", "price": 15}]},
+                    "aggregateRating": {"ratingValue": 4.5, "reviewCount": 0, "ratingCount": 7}}],
+    "aggregate": [{"@type": "Product", "sku": "P", "image": "i", "offers": {"@type": "AggregateOffer", "offers": [{"sku": "x", "price": 0}]},
+                   "hasVariant": {"productID": 7, "offers": {"price": "3", "url": "u"}, "color": "red", "size": "L",
+                                  "additionalProperty": [{"name": "Shoe  Size", "value": 9}, {"name": "", "value": 1}]}}],
+    "direct": [{"@type": "Product", "hasVariant": [{"color": "red", "size": 4}]}],
+    **{f"scalar {want}": [{"@type": "Product", "sku": value}] for want, value in SCALARS.items()},
+}
+CENTS = {100.5: "1.00", 0: "0.00", 5: "0.05", 12345: "123.45", 99.5: "0.99", 250.5: "2.50", 1.5: "0.01", 2.5: "0.03", 100.6: "1.01"}
+EMBEDDED = {
+    "shop": [None, "oops", {"product": {"options": [{"name": "Size"}], "images": [{"id": 5, "src": "s"}], "variants": [
+        {"id": 7, "title": "S", "price": 1999, "compare_at_price": "25.00", "available": False, "option1": "S", "option2": "x", "image_id": 5}, None]}}],
+    "many": [{"variants": [{"sku": str(i), "price": 1} for i in range(250)]}],
+    "none": [None, {"variants": []}],
+    **{f"cents {c}": [{"variants": [{"price": c}]}] for c in CENTS},
+}
+
 
-def _ld(spark, *blocks):
-    texts = [b if isinstance(b, str) else json.dumps(b) for b in blocks]
-    df = spark.createDataFrame([(texts,)], "scripts array<string>")
-    r = with_jsonld(df).first()["jsonld"]
-    return r.asDict(recursive=True) if r else None
+def _texts(blocks):
+    return [b if isinstance(b, str) or b is None else json.dumps(b) for b in blocks]
 
 
-def _emb(spark, *texts):
-    df = spark.createDataFrame([([t if isinstance(t, str) or t is None else json.dumps(t) for t in texts],)], "variant_texts array<string>")
-    r = with_embedded(df).first()["embedded"]
-    return [x.asDict(recursive=True) for x in r] if r else r
+@pytest.fixture(scope="module")
+def products(spark):
+    df = spark.createDataFrame([(k, _texts(v)) for k, v in PRODUCTS.items()], "k string, scripts array<string>")
+    return {r.k: r.jsonld.asDict(recursive=True) if r.jsonld else None for r in with_jsonld(df).collect()}
 
 
-def test_type_substring_and_array_element(spark):
-    assert _ld(spark, {"@type": "ProductGroup", "name": "a"})["name"] == "a"
-    assert _ld(spark, {"@type": ["ProductGroup"], "name": "a"}) is None
-    assert _ld(spark, {"@type": ["Thing", "Product"], "name": "a"})["name"] == "a"
-    assert _ld(spark, {"@graph": [{"@type": "Thing"}, {"@type": "Product", "name": "g"}]})["name"] == "g"
-    assert _ld(spark, [1, [[{"@type": "Product", "name": "deep"}]]])["name"] == "deep"
-    assert _ld(spark, "not json", {"@type": "Product", "name": " x "})["name"] == "x"
+@pytest.fixture(scope="module")
+def embedded(spark):
+    df = spark.createDataFrame([(k, _texts(v)) for k, v in EMBEDDED.items()], "k string, variant_texts array<string>")
+    return {r.k: [x.asDict(recursive=True) for x in r.embedded] if r.embedded else None for r in with_embedded(df).collect()}
 
 
-def test_null_in_graph_gives_none_for_the_page(spark):
-    assert _ld(spark, {"@graph": [None, {"@type": "Product", "name": "g"}]}, {"@type": "Product", "name": "later"}) is None
+def test_which_node_is_the_product(products):
+    names = {k: products[k] and products[k]["name"] for k in ("substring", "element", "elements", "graph", "deep", "broken", "null in graph", "none")}
+    assert names == {"substring": "a", "element": None, "elements": "a", "graph": "g", "deep": "deep", "broken": "x",
+                     "null in graph": None, "none": None}
 
 
-def test_offers_and_has_variant_merge(spark):
-    p = _ld(spark, {"@type": "Product", "name": "W", "offers": [{"sku": "A", "price": 49.00, "priceCurrency": "usd"}, {"sku": "B", "price": "5"}],
-                    "hasVariant": [{"sku": "B"}, {"sku": "C"}, {"sku": "C"}]})
+def test_offers_and_has_variant_merge(products):
+    p = products["merge"]
     assert [v["sku"] for v in p["variants"]] == ["A", "B", "C", "C"]
     assert p["price"] == {"currency": "usd", "regular": None, "final": "49"}
 
 
-def test_list_price_rating_and_prefixes(spark):
-    p = _ld(spark, {"@type": "Product", "name": "W", "brand": {"name": "B"}, "gtin12": 12, "image": ["a", {"url": "b", "name": "n"}, {"@id": "c"}, 5],
-                    "offers": {"@type": "Offer", "price": 10, "availability": "https://schema.org/InStock", "priceSpecification": [
-                        {"priceType": "ListPrice", "price": 12, "priceCurrency": "EUR"}, {"priceType": "MSRP", "price": 15}]},
-                    "aggregateRating": {"ratingValue": 4.5, "reviewCount": 0, "ratingCount": 7}})
+def test_list_price_rating_and_prefixes(products):
+    p = products["list price"]
     assert p["price"] == {"currency": "EUR", "regular": "15", "final": "10"} and p["availability"] == "InStock"
     assert p["aggregateRating"]["reviewCount"] == "7" and p["aggregateRating"]["ratingValue"] == "4.5"
     assert p["brand"] == "B" and p["gtin"] == "12" and [(i["url"], i["label"]) for i in p["images"]] == [("a", None), ("b", "n"), ("c", None)]
 
 
-def test_aggregate_offer_and_options(spark):
-    p = _ld(spark, {"@type": "Product", "sku": "P", "image": "i", "offers": {"@type": "AggregateOffer", "offers": [{"sku": "x", "price": 0}]},
-                    "hasVariant": {"productID": 7, "offers": {"price": "3", "url": "u"}, "color": "red", "size": "L",
-                                   "additionalProperty": [{"name": "Shoe  Size", "value": 9}, {"name": "", "value": 1}]}})
+def test_aggregate_offer_and_options(products):
+    p = products["aggregate"]
     assert p["sku"] == "P" and p["price"]["final"] == "0"
     v = p["variants"][0]
     assert (v["sku"], v["url"], v["price"]["final"], v["images"][0]["url"]) == ("7", "u", "3", "i")
     assert [(o["id"], o["value"]) for o in v["options"]] == [("shoe-size", "9")]
-    direct = _ld(spark, {"@type": "Product", "hasVariant": [{"color": "red", "size": 4}]})["variants"][0]["options"]
-    assert [(o["id"], o["value"]) for o in direct] == [("color", "red"), ("size", "4")]
+    assert [(o["id"], o["value"]) for o in products["direct"]["variants"][0]["options"]] == [("color", "red"), ("size", "4")]
 
 
-@pytest.mark.parametrize("value,want", [(49.0, "49"), (1e2, "100"), (19.99, "19.99"), (True, "true"), ([1, None, "a"], "1,,a"), ({"a": 1}, "[object Object]"),
-                                        (1e21, "1e+21"), (123456789.5, "123456789.5")])
-def test_javascript_strings(spark, value, want):
-    assert _ld(spark, {"@type": "Product", "sku": value})["sku"] == want
+def test_javascript_strings(products):
+    assert {k: products[f"scalar {k}"]["sku"] for k in SCALARS} == {k: k for k in SCALARS}
 
 
-def test_embedded_variants(spark):
-    vs = _emb(spark, None, "oops", {"product": {"options": [{"name": "Size"}], "images": [{"id": 5, "src": "s"}], "variants": [
-        {"id": 7, "title": "S", "price": 1999, "compare_at_price": "25.00", "available": False, "option1": "S", "option2": "x", "image_id": 5}, None]}})
+def test_embedded_variants(embedded):
+    vs = embedded["shop"]
     assert vs[0]["price"] == {"currency": None, "regular": "25.00", "final": "19.99"}
     assert vs[0]["sku"] == "7" and vs[0]["availability"] == "OutOfStock" and vs[0]["images"][0]["url"] == "s" and len(vs) == 1
     assert [(o["id"], o["value"]) for o in vs[0]["options"]] == [("size", "S"), ("option2", "x")]
-    many = _emb(spark, {"variants": [{"sku": str(i), "price": 1} for i in range(250)]})
-    assert len(many) == 250
+    assert len(embedded["many"]) == 250 and embedded["none"] is None
 
 
-@pytest.mark.parametrize("cents,want", [(100.5, "1.00"), (0, "0.00"), (5, "0.05"), (12345, "123.45"), (99.5, "0.99"), (250.5, "2.50"), (1.5, "0.01"),
-                                        (2.5, "0.03"), (100.6, "1.01")])
-def test_cents_round_like_to_fixed(spark, cents, want):
-    from decimal import ROUND_HALF_UP, Decimal
-    assert str(Decimal(cents / 100).quantize(Decimal("0.01"), ROUND_HALF_UP)) == want  # the definition: exact value of the double
-    assert _emb(spark, {"variants": [{"price": cents}]})[0]["price"]["final"] == want
+def test_cents_round_like_to_fixed(embedded):
+    # the definition: the exact value of the double, halves up
+    assert all(str(Decimal(c / 100).quantize(Decimal("0.01"), ROUND_HALF_UP)) == want for c, want in CENTS.items())
+    assert {c: embedded[f"cents {c}"][0]["price"]["final"] for c in CENTS} == CENTS
