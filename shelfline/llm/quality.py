@@ -179,8 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, label_col: str = "qualit
             x = [passages(t.as_py()).astype(np.float16).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())],
                                              ["id", "label", "x"])
-    one = docs.join(F.broadcast(drawn), docs[id_col] == F.col("_id")) \
-        .select(F.col("_id").cast("string").alias("id"), F.col("_label").cast("double").alias("label"), text_col)
+    one = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")) \
+        .join(F.broadcast(drawn), F.col("doc") == F.col("_id")) \
+        .select(F.col("_id").cast("string").alias("id"), F.col("_label").cast("double").alias("label"), "text")
     rows = one.mapInArrow(encode, "id string, label double, x binary").dropDuplicates(["id"]).limit(sample).collect()
     rows.sort(key=lambda r: r["id"])
     bags = [np.frombuffer(r["x"], np.float16).reshape(-1, WIDTH).astype(np.float64) for r in rows]
