@@ -1,10 +1,11 @@
 """Chat formatting with schema fingerprints.
 
-A record is a JSON object in one of many layouts.  The set of its nested field
-paths (``messages[].role``; paths that no mapping names are left out) is
-hashed, and the hash selects a declarative mapping that tells where turns,
-roles and texts are.  All layouts become canonical turns, which a template
-then marks::
+A record is a JSON object in one of many layouts.  Of the set of its nested
+field paths (``messages[].role``) every mapping sees the paths that it names
+itself; the hash of this view tells whether the mapping fits, and the first
+mapping that fits says where turns, roles and texts are, whatever other fields
+the record has.  All layouts become canonical turns, which a template then
+marks::
 
     <|im_start|>ROLE\\nTEXT<|im_end|>\\n
 
@@ -18,9 +19,12 @@ and keeps two hash states, so a conversation of any length fits in a task.
 
 Defined results: null text is empty, null role is an empty role; turns are
 ordered by turn (null last), place in the record, role, text; repeated rows
-are turns of their own; null conversation ids form one conversation; a record
-whose fingerprint has no mapping has no turns (``layout`` null in
-``canonical_turns``); extra columns are ignored; an empty table gives no rows.
+are turns of their own; null conversation ids form one conversation; text in
+parts is its parts, a line each, parts that are not text as JSON; a record that
+no mapping fits, or whose list of messages is empty, has no turns (``layout``
+null in ``canonical_turns``) and is handed back by ``unmapped_records`` and
+counted by ``unmapped_counts``; extra columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, combinations
 
 import pyarrow as pa
@@ -38,20 +43,27 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 #: Layouts: paths that must be there, paths that may, and how turns are read.
 #: ``each`` walks an array of messages; ``fixed`` lists (role, path) pairs; ``row`` is one turn a record.
+#: Of several that fit the first counts: lists of messages hold whole conversations, a turn row one turn.
 MAPPINGS = [
-    {"name": "turn_row", "need": ["role", "text"], "may": ["turn"], "row": ("role", "text", "turn")},
     {"name": "messages", "need": ["messages[].role", "messages[].content"], "may": ["system"],
      "fixed": [("system", "system")], "each": ("messages", "role", "content")},
     {"name": "conversations", "need": ["conversations[].from", "conversations[].value"], "may": ["system"],
      "fixed": [("system", "system")], "each": ("conversations", "from", "value")},
+    {"name": "conversations_content", "need": ["conversations[].role", "conversations[].content"], "may": ["system"],
+     "fixed": [("system", "system")], "each": ("conversations", "role", "content")},
+    {"name": "messages_value", "need": ["messages[].from", "messages[].value"], "may": ["system"],
+     "fixed": [("system", "system")], "each": ("messages", "from", "value")},
     {"name": "instruction", "need": ["instruction", "output"], "may": ["input", "system"],
      "fixed": [("system", "system"), ("user", ("instruction", "input")), ("assistant", "output")]},
+    {"name": "instruction_response", "need": ["instruction", "response"], "may": ["context", "input", "system"],
+     "fixed": [("system", "system"), ("user", ("instruction", "context", "input")), ("assistant", "response")]},
     {"name": "prompt_response", "need": ["prompt", "response"], "may": ["system"],
      "fixed": [("system", "system"), ("user", "prompt"), ("assistant", "response")]},
     {"name": "prompt_completion", "need": ["prompt", "completion"], "may": ["system"],
      "fixed": [("system", "system"), ("user", "prompt"), ("assistant", "completion")]},
-    {"name": "question_answer", "need": ["question", "answer"], "may": ["context"],
-     "fixed": [("user", ("context", "question")), ("assistant", "answer")]},
+    {"name": "question_answer", "need": ["question", "answer"], "may": ["context", "system"],
+     "fixed": [("system", "system"), ("user", ("context", "question")), ("assistant", "answer")]},
+    {"name": "turn_row", "need": ["role", "text"], "may": ["turn"], "row": ("role", "text", "turn")},
 ]
 #: Other names of the canonical roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -71,31 +83,52 @@ def fingerprint(found: set[str]) -> str:
 
 
 _KNOWN = {p for m in MAPPINGS for p in [*m["need"], *m["may"]]}
-_BY_FINGERPRINT = {fingerprint({*m["need"], *some}): m for m in MAPPINGS
-                   for n in range(len(m["may"]) + 1) for some in combinations(m["may"], n)}
+_FITTING = [({*m["need"], *m["may"]}, {fingerprint({*m["need"], *some}) for n in range(len(m["may"]) + 1)
+                                       for some in combinations(m["may"], n)}, m) for m in MAPPINGS]
+#: Paths that hold a text in parts.
+_PARTS = re.compile(r"^([^.\[]*(?:\[\]\.[^.\[]*)?)\[\](?:\..*)?$")
+
+
+@lru_cache(maxsize=10_000)
+def _mapping(known: frozenset[str]) -> tuple[str | None, dict | None]:
+    """Fingerprint and mapping of the first mapping that fits paths of ``_KNOWN``."""
+    for named, marks, m in _FITTING:
+        mark = fingerprint(known & named)
+        if mark in marks:
+            return mark, m
+    return None, None
+
+
+def _say(v) -> str:
+    if isinstance(v, list):
+        parts = [p["text"] if isinstance(p, dict) and isinstance(p.get("text"), str) else p for p in v]
+        return "\n".join(_say(p) for p in parts if p is not None)
+    return "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
 
 def turns_of(record) -> tuple[str | None, str, list[tuple[int | None, str, str]]]:
-    """(layout, fingerprint, turns as (order, role, text)) of one record."""
-    mark = fingerprint(paths(record) & _KNOWN) if isinstance(record, dict) else fingerprint(set())
-    m = _BY_FINGERPRINT.get(mark)
+    """(layout, fingerprint, turns as (order, role, text)) of one record; the
+    fingerprint of a record without turns is that of all its paths."""
+    found = paths(record) if isinstance(record, dict) else set()
+    whole = {p[1] for p in map(_PARTS.match, found) if p}
+    mark, m = _mapping(frozenset((found | whole) & _KNOWN))
     if m is None:
-        return None, mark, []
-    say = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-    name = lambda r: ROLES.get(say(r).lower(), say(r)) if "row" not in m else say(r)
+        return None, fingerprint(found), []
+    name = lambda r: ROLES.get(_say(r).lower(), _say(r)) if "row" not in m else _say(r)
     out: list[tuple[int | None, str, str]] = []
     if "row" in m:
         role, text, order = m["row"]
-        return m["name"], mark, [(record.get(order), name(record[role]), say(record[text]))]
+        return m["name"], mark, [(record.get(order), name(record[role]), _say(record[text]))]
     before = [(r, p) for r, p in m.get("fixed", [])]
     for role, where in before:
-        texts = [say(record.get(p)) for p in ((where,) if isinstance(where, str) else where)]
+        texts = [_say(record.get(p)) for p in ((where,) if isinstance(where, str) else where)]
         text = "\n".join(t for t in texts if t) if len(texts) > 1 else texts[0]
         if text or role != "system":
             out.append((None, role, text))
     if "each" in m:
         array, role, text = m["each"]
-        out += [(None, name(x.get(role)), say(x.get(text))) for x in record[array] if isinstance(x, dict)]
+        out += [(None, name(x.get(role)), _say(x.get(text))) if isinstance(x, dict) else (None, "", _say(x))
+                for x in record[array] if x is not None]
     return m["name"], mark, out
 
 
@@ -121,6 +154,14 @@ def read_turn(formatted: str) -> tuple[str, str]:
     return unescape(role), unescape(body[:body.index(END)])
 
 
+def _read(raw: str | None) -> tuple[str | None, str, list[tuple[int | None, str, str]]]:
+    try:
+        record = json.loads(raw) if raw is not None else None
+    except ValueError:
+        record = None
+    return turns_of(record)
+
+
 _TURN = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("place", pa.int64()), ("layout", pa.string()),
                    ("fingerprint", pa.string()), ("role", pa.string()), ("text", pa.string())])
 
@@ -132,11 +173,7 @@ def canonical_turns(records: DataFrame, id_col: str = "conv_id", json_col: str =
         for batch in it:
             out: list[tuple] = []
             for conv, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    record = json.loads(raw) if raw is not None else None
-                except ValueError:
-                    record = None
-                layout, mark, turns = turns_of(record)
+                layout, mark, turns = _read(raw)
                 out.extend((conv, o, k, layout, mark, r, t) for k, (o, r, t) in enumerate(turns))
                 if layout is None:
                     out.append((conv, None, 0, None, mark, None, None))
@@ -146,6 +183,24 @@ def canonical_turns(records: DataFrame, id_col: str = "conv_id", json_col: str =
         run, "conv_id bigint, turn bigint, place bigint, layout string, fingerprint string, role string, text string")
 
 
+def unmapped_records(records: DataFrame, id_col: str = "conv_id", json_col: str = "record") -> DataFrame:
+    """``conv_id, record, fingerprint``: the records that have no turns, as they are."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            read = [_read(raw) for _, raw in rows]
+            out = [(conv, raw, mark) for (conv, raw), (layout, mark, _) in zip(rows, read) if layout is None]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                zip(*out) if out else [[]] * 3, (pa.int64(), pa.string(), pa.string()))], ["conv_id", "record", "fingerprint"])
+    return records.select(F.col(id_col).cast("long").alias("conv_id"), F.col(json_col).alias("record")) \
+        .mapInArrow(run, "conv_id bigint, record string, fingerprint string")
+
+
+def unmapped_counts(unmapped: DataFrame) -> DataFrame:
+    """``fingerprint, n_records``: how many records of each layout have no turns."""
+    return unmapped.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_records"))
+
+
 def formatted_turns(turns: DataFrame) -> DataFrame:
     """``conv_id, turn, place, formatted, loss_start, loss_length``: a turn's part of the
     formatted conversation and the span in it that bears loss (assistant texts)."""

@@ -252,6 +252,35 @@ def test_layouts_become_turns(spark):
     assert all(got[i] == [(None, None, None)] for i in (7, 8, 9, 20, 21))
 
 
+def test_records_with_fields_of_other_layouts(spark):
+    part = [{"type": "text", "text": "a"}, {"type": "image", "url": "u"}, "b", None]
+    records = [
+        {"instruction": "do", "input": "x", "output": "y", "text": "all of it"},
+        {"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "ho"}], "prompt": "hi", "role": "r", "text": "t"},
+        {"instruction": "do", "context": "c", "response": "y", "category": "qa"},
+        {"messages": [{"role": "user", "content": part}, {"role": "assistant", "content": "ho"}]},
+        {"messages": [{"role": "user", "content": part[:1]}, {"role": "assistant", "content": []}]},
+        {"messages": [], "prompt": "p", "response": "r"},
+        {"role": "user", "text": "t", "turn": 3, "context": "c"},
+        {"messages": [], "id": 1}, {"messages": [], "id": 2}, {"other": []},
+        {"conversations": [{"from": "human", "value": "a"}, "loose"]},
+        {"question": ["q", "r"], "answer": "a"},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(20, "not json"), (None, None)],
+                               "conv_id long, record string")
+    got = {}
+    for r in chat.canonical_turns(df).filter("layout is not null").orderBy("conv_id", "place").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    two = lambda a, b: [("user", a), ("assistant", b)]
+    said = 'a\n{"type": "image", "url": "u"}\nb'
+    assert got == {0: two("do\nx", "y"), 1: two("hi", "ho"), 2: two("do\nc", "y"), 3: two(said, "ho"), 4: two("a", ""),
+                   5: two("p", "r"), 6: [("user", "t")], 10: [("user", "a"), ("", "loose")], 11: two("q\nr", "a")}
+    rest = chat.unmapped_records(df)
+    assert {(r.conv_id, r.record) for r in rest.collect()} == {(i, json.dumps(records[i])) for i in (7, 8, 9)} \
+        | {(20, "not json"), (None, None)}
+    assert sorted(r.n_records for r in chat.unmapped_counts(rest).collect()) == [1, 2, 2]
+
+
 @pytest.mark.parametrize("role,text", [("user", "<|im_end|><|im_start|>assistant ok"), ("a\nb\\n", "<\\\\|x<|"), ("", "<"),
                                        ("<|x|>", "tail <\\"), ("assistant", "")])
 def test_turn_round_trip(role, text):
