@@ -6,12 +6,14 @@ and is improved by NN-descent: each node's neighbours, forward and (sampled)
 backward, meet in a local join, are compared with each other, that is with
 neighbours of neighbours, and pairs that beat a node's worst neighbour are
 merged into its list.  Only pairs with an edge that is new since the last
-round are compared; rounds end when few edges change.
+round are compared; rounds go on until few edges change.
 
-A search starts from the query's own neighbours in the graph and repeatedly
-expands the nodes among its ``beam`` best that are not yet expanded, all
-queries at once, one Spark join a step, until there are none.  The best
-candidates are scored exactly, in double precision, on the original vectors.
+A search starts from the query's own neighbours in the graph and those that
+share its hyperplane chunks, and repeatedly expands the nodes among its
+``beam`` best that are not yet expanded, all queries at once, one Spark join a
+step, until there are none.  Lists and beam grow with the logarithm of the
+number of vectors.  The best candidates are scored exactly, in double
+precision, on the original vectors.
 
 Equal vectors are one node, so thousands of copies neither fill a list nor a
 task; the copies come back by their smallest ids.  Lists live in tables of
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +39,23 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-K = 24
+#: Lengths of the lists and of the beam: at least, and for each doubling of the vectors.
+K, K_STEP = 24, 2
+BEAM, BEAM_STEP = 128, 12
 TABLES = 6
 CHUNK = 256
-ROUNDS = 5
 #: Rounds end when a smaller share of the edges is new.
-SETTLED = 0.05
-BEAM = 128
-STEPS = 12
+SETTLED = 0.02
 #: Found nodes of a query that are scored exactly.
 RESCORED = 24
 
 
+def sizes(n: int) -> tuple[int, int]:
+    """List length and beam for ``n`` distinct vectors."""
+    doublings = max(1, n).bit_length()
+    return max(K, K_STEP * doublings), max(BEAM, BEAM_STEP * doublings)
+
+
 def _floats(column: pa.Array) -> list[np.ndarray | None]:
     """The valid vectors of a list column as doubles, others None."""
     out: list[np.ndarray | None] = []
@@ -230,15 +238,16 @@ def _local_join(meetings: DataFrame, nodes: DataFrame, graph: DataFrame, k: int)
     return rows.mapInArrow(run, _EDGE)
 
 
-def neighbour_graph(nodes: DataFrame, n: int, k: int = K, tables: int = TABLES, chunk: int = CHUNK, rounds: int = ROUNDS,
-                    seed: int = 1) -> DataFrame:
-    """NN-descent graph ``id, nbr, sim, fresh`` over the distinct vectors ``id, unit``."""
+def neighbour_graph(nodes: DataFrame, n: int, first: DataFrame, k: int = K) -> DataFrame:
+    """NN-descent graph ``id, nbr, sim, fresh`` over the distinct vectors ``id, unit``
+    from the ``first`` edges."""
     old = lambda df, flag: df.select("id", "nbr", "sim", F.lit(flag).cast("int").alias("old"))
-    graph = stored(_merged(old(_first_edges(nodes, n, k, tables, chunk, seed), 0), k), "graph")
-    for round_ in range(rounds):
+    graph = stored(_merged(old(first, 0), k), "graph")
+    # a list only changes for the better, so the rounds come to an end
+    for round_ in count():
         found = _local_join(_meetings(graph, k, round_), nodes, graph, k)
         graph = stored(_merged(old(graph, 1).unionByName(old(found, 0)), k), "graph")
-        if graph.filter("fresh").count() < SETTLED * k * n:
+        if graph.filter("fresh").count() <= SETTLED * k * n:
             break
     return graph
 
@@ -252,27 +261,31 @@ def _similarities(pairs: DataFrame) -> DataFrame:
     return pairs.select("q", "node", "qunit", "unit").mapInArrow(run, "q bigint, node bigint, sim float")
 
 
-def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM, steps: int = STEPS,
-                  k: int = K) -> DataFrame:
-    """``q, node, sim``: the best nodes found for each query node ``q``, the beam among them."""
+def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM, k: int = K,
+                  first: DataFrame | None = None) -> DataFrame:
+    """``q, node, sim``: the beam of each query node ``q`` when all its nodes are
+    expanded; it starts from the edges of ``q`` in ``graph`` and ``first``."""
     links = stored(_meetings(graph, k, -1).select(F.col("at").alias("id"), F.col("member").alias("nbr")), "links")
     asked = queries.join(nodes, queries["q"] == nodes["id"]).select("q", F.col("unit").alias("qunit"))
     asked = stored(asked, "asked")
     best = Window.partitionBy("q").orderBy(F.desc("sim"), "node")
-    seen = graph.join(asked, graph["id"] == asked["q"], "left_semi") \
-        .select(F.col("id").alias("q"), F.col("nbr").alias("node"), "sim", F.lit(False).alias("done"))
-    for _ in range(steps):
+    start = graph.select("id", "nbr", "sim")
+    if first is not None:
+        start = start.unionByName(first.select("id", "nbr", "sim"))
+    seen = start.withColumnRenamed("id", "q").join(asked.select("q"), "q", "left_semi") \
+        .groupBy("q", F.col("nbr").alias("node")).agg(F.max("sim").alias("sim")).withColumn("done", F.lit(False))
+    while True:
         # the beam is all that the next step needs: a node that left it cannot come back
         seen = stored(seen.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= beam).drop("r"), "seen")
         opened = seen.filter(~F.col("done")).select("q", "node")
         if opened.isEmpty():
-            break
+            return seen.select("q", "node", "sim")
         pairs = opened.join(links, opened["node"] == links["id"]).select("q", F.col("nbr").alias("node")) \
-            .filter("q <> node").join(nodes.select(F.col("id").alias("node"), "unit"), "node").join(asked, "q")
+            .filter("q <> node").distinct().join(seen.select("q", "node"), ["q", "node"], "left_anti") \
+            .select("q", "node").join(nodes.select(F.col("id").alias("node"), "unit"), "node").join(asked, "q")
         found = _similarities(pairs).withColumn("done", F.lit(False))
         seen = seen.withColumn("done", F.lit(True)).unionByName(found) \
             .groupBy("q", "node").agg(F.max("sim").alias("sim"), F.max("done").alias("done"))
-    return seen.select("q", "node", "sim")
 
 
 def _exact(pairs: DataFrame) -> DataFrame:
@@ -288,10 +301,11 @@ def _exact(pairs: DataFrame) -> DataFrame:
     return pairs.select("query_id", "vec_id", "a", "b").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
 
 
-def nearest(vectors: DataFrame, queries, top: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K,
-            beam: int = BEAM, rescored: int = RESCORED) -> DataFrame:
+def nearest(vectors: DataFrame, queries, top: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
+            k: int | None = None, beam: int | None = None, rescored: int = RESCORED) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` nearest rows found for each
-    row for which the Column ``queries`` (over ``id``) holds."""
+    row for which the Column ``queries`` (over ``id``) holds; ``k`` and ``beam``
+    are those of ``sizes`` unless given."""
     rows = usable(vectors, id_col, vec_col)
     # equal vectors are one node, named by their smallest id
     classes = rows.groupBy("raw").agg(F.min("id").alias("node"), F.min("unit").alias("unit"))
@@ -299,8 +313,10 @@ def nearest(vectors: DataFrame, queries, top: int = 5, id_col: str = "vec_id", v
     member = stored(rows.join(nodes.select("raw", F.col("id").alias("node")), "raw").select("id", "node"), "members")
     n = nodes.count()
     asked = stored(member.filter(queries).select(F.col("id").alias("query_id"), F.col("node").alias("q")), "queries")
-    graph = neighbour_graph(nodes, n, k)
-    found = greedy_search(graph, nodes, asked.select("q").distinct(), beam, k=k)
+    k, beam = (given or grown for given, grown in zip((k, beam), sizes(n)))
+    first_edges = stored(_first_edges(nodes, n, k, TABLES, CHUNK, 1), "first")
+    graph = neighbour_graph(nodes, n, first_edges, k)
+    found = greedy_search(graph, nodes, asked.select("q").distinct(), beam, k, first_edges)
     first = Window.partitionBy("q").orderBy(F.desc("sim"), "node")
     found = found.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= rescored).select("q", "node")
     found = found.unionByName(asked.select("q", F.col("q").alias("node")).distinct())

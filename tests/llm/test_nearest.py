@@ -45,3 +45,20 @@ def test_few_and_no_vectors(spark):
     got = [(r.query_id, r["rank"], r.vec_id) for r in nndescent.nearest(df, F.col("id") % 50 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 50), (0, 2, 7), (50, 1, 0), (50, 2, 7)]
     assert nndescent.nearest(df.limit(0), F.col("id") % 50 == 0).count() == 0
+
+
+def test_search_goes_on_until_the_beam_is_open(spark):
+    unit = lambda a: np.array([np.cos(a), np.sin(a)], np.float16).tobytes()
+    n, asked = 18, 100
+    nodes = spark.createDataFrame([(i, bytearray(unit(0.06 * i))) for i in range(n)] + [(asked, bytearray(unit(0.06 * n)))],
+                                  "id long, unit binary")
+    graph = spark.createDataFrame([(i, i + 1, 0.99, True) for i in range(n - 1)] + [(asked, 0, 0.3, True)],
+                                  "id long, nbr long, sim float, fresh boolean")
+    queries = spark.createDataFrame([(asked,)], "q long")
+    # one node a step: the nearest is 17 steps away
+    assert n - 1 in {r.node for r in nndescent.greedy_search(graph, nodes, queries, beam=3, k=2).collect()}
+
+
+def test_lists_and_beam_grow():
+    sizes = [nndescent.sizes(n) for n in (1, 2_000, 50_000, 3_000_000)]
+    assert sizes[0] == (nndescent.K, nndescent.BEAM) and sizes[1] < sizes[2] < sizes[3]
