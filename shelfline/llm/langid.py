@@ -137,7 +137,7 @@ def learn(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "
     grams = stored(grams, "grams")
     totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
     # at most 1 / min_share n-grams of each language come to the driver
-    often = grams.join(F.broadcast(totals), "lang").filter((F.col("n") >= F.col("total") * min_share) & (F.col("n") > 1)) \
+    often = grams.join(F.broadcast(totals), "lang").filter(F.col("n") >= F.col("total") * min_share) \
         .groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()
     return MaskFilters({r["lang"]: np.array(r["grams"], np.int64).view(np.uint64) for r in often}, slots)
 

@@ -192,6 +192,13 @@ def test_languages(spark, rows):
     assert all(0 <= x.score <= 1 for x in got)
 
 
+def test_a_language_of_one_short_text_is_learned(spark):
+    df = spark.createDataFrame([(0, "the cat and the dog and the cat", "en"), (1, "zwölf ju", "de")],
+                               "doc_id long, text string, lang string")
+    filters = langid.learn(df, F.lit(True))
+    assert {r.doc_id: r.lang_pred for r in langid.predict(df, filters).collect()} == {0: "en", 1: "de"}
+
+
 def test_filters_hold_every_gram_of_every_language():
     grams = {f"l{i:03d}": langid.gram_hashes(f"wort{i} nummer{i}" * 3) for i in range(70)}
     f = langid.MaskFilters(grams, slots=1 << 16)
