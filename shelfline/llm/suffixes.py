@@ -372,9 +372,11 @@ def repeat_groups(docs: DataFrame, min_len: int = MIN_LEN, id_col: str = "doc_id
     """Maximal repeat groups: ``group_id, length, doc_id, start``, one row an
     occurrence, all occurrences of a group.  Lengths are measured inside the
     anchors' contexts (below ``2 * min_len`` bytes); a longer repeat is a chain
-    of overlapping groups.  One gram's occurrences are held by one task."""
+    of overlapping groups.  Equal texts are a group of their own, of the whole
+    text; places of it inside other texts are in the groups of its contexts.
+    One gram's occurrences are held by one task."""
     texts = _texts(docs, id_col, text_col)
-    cuts, _, _ = _contexts(texts, min_len, _gram_size(min_len))
+    cuts, _, copies = _contexts(texts, min_len, _gram_size(min_len))
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in sorted_groups(it, "gram"):
@@ -384,5 +386,9 @@ def repeat_groups(docs: DataFrame, min_len: int = MIN_LEN, id_col: str = "doc_id
             if found:
                 yield from batches(dict(zip(_GROUP.names, map(list, zip(*found)))), _GROUP)
     groups = cuts.repartition("gram").sortWithinPartitions("gram") \
-        .mapInArrow(scan, "group_id string, length bigint, tkey binary, start bigint").distinct()
+        .mapInArrow(scan, "group_id string, length bigint, tkey binary, start bigint")
+    whole = texts.join(copies.filter("copies > 1"), "tkey", "left_semi") \
+        .select(F.lower(F.hex("tkey")).alias("group_id"), F.octet_length("text").cast("long").alias("length"), "tkey",
+                F.lit(0).cast("long").alias("start"))
+    groups = groups.unionByName(whole).distinct()
     return groups.join(texts.select("tkey", "doc_id"), "tkey").select("group_id", "length", "doc_id", "start")

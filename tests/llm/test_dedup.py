@@ -118,6 +118,16 @@ def test_repeat_groups_hold_every_place(spark, words):
     assert {(g.doc_id, g.start) for g in whole} == {(i, 71) for i in range(6)} and len({g.group_id for g in whole}) == 1
 
 
+def test_equal_texts_are_a_group(spark):
+    r = random.Random(8)
+    say = lambda n: "".join(r.choice("abcdefghé ") for _ in range(n))
+    same = say(300)
+    docs = spark.createDataFrame([(i, same) for i in range(4)] + [(9, say(300)), (10, "x" * 20), (11, "x" * 20)], "doc_id long, text string")
+    groups = suffixes.repeat_groups(docs, 60).collect()
+    assert sorted((g.doc_id, g.start, g.length) for g in groups) == [(i, 0, len(same.encode())) for i in range(4)]
+    assert {g.group_id for g in groups} == {hashlib.md5(same.encode()).hexdigest()}
+
+
 def test_remove_repeats_keeps_columns_and_clean_texts(docs, rows):
     out = suffixes.remove_repeats(docs, 400)
     assert out.columns == docs.columns
