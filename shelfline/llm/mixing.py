@@ -96,13 +96,16 @@ def mix_plan(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col:
     of_source = Window.partitionBy("_source")
     need = F.col("target") - F.sum("sure").over(of_source)
     upto = F.coalesce(F.sum("words").over(of_source.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = rows.select("_source", "bin", "words", need.alias("need"),
+    sample = F.sum(F.when(F.col("bin").isNotNull(), F.col("words"))).over(of_source)
+    cut = rows.select("_source", "bin", "words", need.alias("need"), sample.alias("sample"),
+                      F.max("bin").over(of_source).alias("last_bin"),
                       F.when(F.col("bin").isNotNull(), upto - F.coalesce(
                           F.sum(F.when(F.col("bin").isNull(), F.col("words"))).over(of_source), F.lit(0))).alias("before")) \
-        .filter((F.col("before") < F.col("need")) & (F.col("before") + F.col("words") >= F.col("need"))) \
+        .filter(((F.col("before") < F.col("need")) & (F.col("before") + F.col("words") >= F.col("need")))
+                | ((F.col("need") > F.col("sample")) & (F.col("bin") == F.col("last_bin")))) \
         .select(F.col("_source").alias("_cut_source"), F.col("bin").alias("end_bin"), "need", "before")
     cut = stored(cut, "cuts")
-    # a source that needs its sample whole has no cut: rounding may leave it a word short
+    # a source that needs more than its sample ends in its last bin, which it takes whole
     joined = one.join(cut, F.col("_source").eqNullSafe(F.col("_cut_source")), "left")
     inside = Window.partitionBy("_source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     final = joined.filter("bin = end_bin") \

@@ -130,6 +130,14 @@ def test_pareto_order_takes_heavier_documents_more_often(spark):
     assert abs(got[1] / got[0] - 2) < 0.25 and abs(plan.agg(F.sum("taken")).first()[0] - 40000) <= 10
 
 
+def test_capped_importance_keeps_the_sample(spark):
+    docs = spark.createDataFrame([(100 * k + i, s, 1e6 if i == 0 else 1.0) for k, s in enumerate("ab") for i in range(100)],
+                                 "doc_id long, source string, w double")
+    plan = mixing.mix_plan(docs, F.lit(10).cast("long"), weights=(1, 3), importance=F.col("w"))
+    copies = {r.doc_id: r.copies for r in plan.filter("source = 'b'").collect()}
+    assert copies == {100: 3, **{i: 1 for i in range(101, 200)}}
+
+
 def test_mixed_documents(docs):
     out = mixing.mix(docs, mixing.word_count(F.col("text")))
     assert out.columns == docs.columns and out.filter("text is null").count() == 0
