@@ -6,7 +6,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,20 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete the folders of ``stored`` tables whose last reader is done."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+            df._stored_at = None
 
 
 def batches(columns: dict[str, list], schema: pa.Schema, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -38,7 +53,7 @@ def batches(columns: dict[str, list], schema: pa.Schema, rows: int = 20_000) ->
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """Connected components of the undirected ``edges(a, b)`` of longs.
+    """Connected components of the undirected ``edges(a, b)`` (longs or binaries).
 
     Returns ``(node, root)`` with the smallest node of each component.  Each
     round points every node at its smallest neighbour (a partial aggregate, so
@@ -69,7 +84,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         ends = lambda c: point.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
         edges = stored(edges.join(ends("a"), "a").join(ends("b"), "b").filter("_a <> _b")
                        .select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
-    return labels if labels is not None else spark.createDataFrame([], "node long, root long")
+    kind = edges.schema["a"].dataType.simpleString()
+    return labels if labels is not None else spark.createDataFrame([], f"node {kind}, root {kind}")
 
 
 def sorted_groups(batch_iter, key: str) -> Iterator[tuple[object, list[dict]]]:
@@ -84,3 +100,25 @@ def sorted_groups(batch_iter, key: str) -> Iterator[tuple[object, list[dict]]]:
             rows.append(row)
     if rows:
         yield current, rows
+
+
+def arrow_groups(batch_iter, key: int = 0) -> Iterator[pa.Table]:
+    """Groups of a stream of record batches sorted by column ``key`` (no nulls),
+    as Arrow tables: no row becomes a Python object."""
+    held: list[pa.RecordBatch] = []
+    for batch in batch_iter:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key)
+        if held and held[-1].column(key)[-1] != values[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        change = pa.compute.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False) if len(values) > 1 else np.empty(0, bool)
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(values)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -191,3 +193,25 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest embeddings of every embedding whose id is divisible by 50."""
     from .nndescent import nearest
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, top=5)
+
+
+@query("op11_vector_codes", sql.codes_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings: 4 parts, 256 entries, 4 exact rounds."""
+    from .vectorcodes import vector_codes
+    coded = vector_codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+@query("op12_spelling_variants", sql.spelling_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, forms and roots of the words of all documents."""
+    from .spelling import spelling_variants, words
+    return spelling_variants(words(table(spark, sf_dir, "documents"))).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_jaccard_join", sql.jaccard_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    from .setjoin import jaccard_components
+    return jaccard_components(table(spark, sf_dir, "documents"), shingle=4, percent=85)
