@@ -70,3 +70,14 @@ def let(value, body) -> Column:
     linear when a large sub-expression is needed several times (Catalyst
     would otherwise copy it into every use)."""
     return F.get(F.transform(F.array(col_(value)), body), 0)
+
+
+def keep_one(items: Column, key, last: bool = False) -> Column:
+    """``items`` with one element for each ``key(element)``, the first (or
+    ``last``), in the order of the elements kept.  Sorted by key and place, so
+    the work grows with n log n, not with the square of the list."""
+    sign = -1 if last else 1
+    tagged = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), (i * sign).alias("i"), x.alias("x"))))
+    kept = let(tagged, lambda t: F.filter(t, lambda x, i: (i == 0) | ~F.get(t, i - 1)["k"].eqNullSafe(x["k"])))
+    placed = F.array_sort(F.transform(kept, lambda x: F.struct((x["i"] * sign).alias("i"), x["x"].alias("x"))))
+    return F.transform(placed, lambda x: x["x"])

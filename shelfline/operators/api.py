@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, strip_html
+from ..functions.text import js_trim, keep_one, let, strip_html
 from ..schemas import IMAGE, RAW_PRODUCT
 
 _ARR_IMAGE = f"array<{IMAGE.simpleString()}>"
@@ -49,7 +49,7 @@ def _availability(in_stock: Column) -> Column:
 
 def normalize_product(pv: Column, variants: Column, base_url: str | None) -> Column:
     """One product view (+ its variants) -> raw-product struct."""
-    sku = F.trim(pv["sku"])
+    sku = js_trim(pv["sku"])
     url = F.coalesce(pv["url"], F.when(pv["urlKey"].isNotNull() & F.lit(base_url is not None), F.concat(
         F.lit((base_url or "").rstrip("/")), F.lit("/products/"), pv["urlKey"], F.lit("/"), F.lower(pv["sku"]))))
     images = _images(F.coalesce(pv["images"], F.array().cast("array<struct<url:string,label:string,roles:array<string>>>")), True)
@@ -62,8 +62,7 @@ def normalize_product(pv: Column, variants: Column, base_url: str | None) -> Col
             F.filter(o["values"], lambda v: v["id"].isNotNull()),
             lambda v: F.struct(v["id"].alias("k"), F.struct(o["id"].alias("oid"), v["title"].alias("t")).alias("v")))))
         # of entries with one UID the last counts
-        uid_map = let(entries, lambda es: F.map_from_entries(F.filter(es, lambda e, i: ~F.exists(
-            F.slice(es, i + 2, F.size(es)), lambda later: later["k"] == e["k"]))))
+        uid_map = F.map_from_entries(keep_one(entries, lambda e: e["k"], last=True))
 
         def one(v):
             own = _images(F.coalesce(v["product"]["images"], F.array().cast(
@@ -71,10 +70,8 @@ def normalize_product(pv: Column, variants: Column, base_url: str | None) -> Col
             picked = F.filter(F.transform(v["selections"], lambda u: F.struct(
                 u.alias("uid"), F.element_at(uid_map, u).alias("m"))), lambda x: x["m"].isNotNull())
             # first selection per option id, selection order kept
-            opts = F.filter(F.transform(picked, lambda x, i: F.when(~F.exists(
-                F.slice(picked, 1, i), lambda y: y["m"]["oid"] == x["m"]["oid"]),
-                F.struct(x["m"]["oid"].alias("id"), x["m"]["t"].alias("value"), x["uid"].alias("uid")))),
-                lambda o: o.isNotNull())
+            opts = keep_one(F.transform(picked, lambda x: F.struct(
+                x["m"]["oid"].alias("id"), x["m"]["t"].alias("value"), x["uid"].alias("uid"))), lambda o: o["id"])
             return F.when(v["product"].isNotNull(), F.struct(
                 F.coalesce(v["product"]["sku"], F.lit("")).alias("sku"),
                 F.coalesce(v["product"]["name"], F.lit("")).alias("name"), F.lit("").alias("url"),
@@ -87,7 +84,7 @@ def normalize_product(pv: Column, variants: Column, base_url: str | None) -> Col
 
     def build(imgs):
         return F.struct(
-            F.trim(pv["name"]).alias("name"), sku.alias("sku"), url.alias("url"),
+            js_trim(pv["name"]).alias("name"), sku.alias("sku"), url.alias("url"),
             F.when(pv["description"] != "", strip_html(pv["description"])).alias("description"),
             brand.alias("brand"), F.lit(None).cast("string").alias("gtin"),
             F.when(pv["metaTitle"] != "", pv["metaTitle"]).alias("metaTitle"),
@@ -113,5 +110,5 @@ def join_details(listing: DataFrame, details: DataFrame, sku: str = "sku") -> tu
     """Listing left join details; missing -> failed rows."""
     found = listing.join(details, sku, "inner")
     missing = listing.join(details.select(sku), sku, "left_anti") \
-        .select(sku, F.lit("failed").alias("status"), F.lit("Product not found in Catalog Service").alias("error"))
+        .select(sku, F.lit("failed").alias("status"), F.lit("Product not found").alias("error"))
     return found, missing

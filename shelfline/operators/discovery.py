@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col_
@@ -77,30 +77,29 @@ def discovery_union(**frontiers: DataFrame) -> DataFrame:
     return out
 
 
-__all__ = ["is_product_url", "robots_allowed", "apply_robots", "dedupe_first", "cap", "discovery_union",
-           "Window"]
-
-
-def next_page_edges(pages, sels, selectors: list[str], url_col: str = "url"):
+def next_page_edges(pages, selectors: list[str], url_col: str = "url", html_col: str = "html"):
     """(url, next) -- the first next-page selector that matches anything
     gives the element; its href, absolutised, is the edge (NULL if none)."""
     from ..functions.urls import resolve_url
-    from ..operators.selectors import select_first
-    dom = F.col("dom")
-    el = F.coalesce(*[select_first(dom, sels, s) for s in selectors])
-    href = F.when(el["attrs"]["href"] != "", el["attrs"]["href"])
-    return pages.select(F.col(url_col).alias("url"), resolve_url(href, F.col(url_col)).alias("next"))
+    from .fields import hrefs
+    found = hrefs(pages.select(F.col(url_col).alias("url"), html_col), selectors, "_next", html_col)
+    href = F.get("_next", 0)
+    return found.select("url", resolve_url(F.when(href != "", href), F.col("url")).alias("next"))
 
 
-def product_links(pages, sels, selectors: list[str], keys: list[str], url_col: str = "url"):
+def product_links(pages, selectors: list[str], keys: list[str], url_col: str = "url", html_col: str = "html"):
     """(keys..., link), each page's product links once: every selector's
     matches, absolutised, http(s) only, query and fragment cut."""
+    from .fields import hrefs
+    found = hrefs(pages.select(*keys, F.col(url_col).alias("_page"), html_col), selectors, "_hrefs", html_col)
+    return links_of(found, keys)
+
+
+def links_of(found, keys: list[str], hrefs_col: str = "_hrefs", page_col: str = "_page"):
+    """D5 on hrefs read before."""
     from ..functions.urls import resolve_url
-    from ..operators.selectors import all_in_selector_order
-    hrefs = F.transform(all_in_selector_order(F.col("dom"), sels, selectors), lambda e: e["attrs"]["href"])
-    found = pages.select(*keys, F.col(url_col).alias("_page"), F.explode(F.array_distinct(hrefs)).alias("_href")) \
-        .filter("_href <> ''")
-    full = found.select(*keys, resolve_url("_href", F.col("_page")).alias("_full")).filter(F.col("_full").startswith("http"))
+    each = found.select(*keys, page_col, F.explode(F.array_distinct(hrefs_col)).alias("_href")).filter("_href <> ''")
+    full = each.select(*keys, resolve_url("_href", F.col(page_col)).alias("_full")).filter(F.col("_full").startswith("http"))
     return full.select(*keys, F.split_part(F.split_part("_full", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)).alias("link")).distinct()
 
 

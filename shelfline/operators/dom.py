@@ -1,13 +1,13 @@
-"""HTML -> element table, the relational base for every selector rule.
+"""HTML -> elements, the base for every selector rule.
 
-One ``mapInArrow`` stage tokenizes each page with the standard library
-``html.parser`` (the only Python stage of the page path).  It adds a
-``dom`` column to every page row:
+``parse_dom`` tokenizes one page with the standard library ``html.parser``;
+``fields.with_fields`` runs it in the only Python stage of the page path and
+returns the values a plan asks for.  A page is
 
-``dom.texts``     text nodes in document order (entities decoded; script and
-                  style content raw, as browsers do)
-``dom.elements``  one struct per element in document order:
-                  ``eid, parent, tag, id, classes, attrs, t0, t1, h0, h1``
+``texts``     text nodes in document order (entities decoded; script and
+              style content raw, as browsers do)
+``elements``  one record per element in document order:
+              ``eid, parent, tag, id, classes, _amap, t0, t1, h0, h1``
 
 ``parent`` is the enclosing element's ``eid`` (-1: none).  ``[t0, t1)`` is the element's
 slice of ``texts`` (so ``textContent`` is a join of that slice) and
@@ -25,30 +25,8 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..functions.text import let
-
-ELEMENT = T.StructType([
-    T.StructField("eid", T.IntegerType()),
-    T.StructField("parent", T.IntegerType()),
-    T.StructField("tag", T.StringType()),
-    T.StructField("id", T.StringType()),
-    T.StructField("classes", T.ArrayType(T.StringType())),
-    T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("t0", T.IntegerType()),
-    T.StructField("t1", T.IntegerType()),
-    T.StructField("h0", T.IntegerType()),
-    T.StructField("h1", T.IntegerType()),
-])
-DOM = T.StructType([
-    T.StructField("texts", T.ArrayType(T.StringType())),
-    T.StructField("elements", T.ArrayType(ELEMENT)),
-    T.StructField("hits", T.ArrayType(T.ArrayType(T.IntegerType()))),
-])
+#: HTML characters of the pages of one output batch.
+BATCH_CHARS = 4 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 P_CLOSERS = frozenset(
@@ -145,7 +123,6 @@ class _TreeBuilder(HTMLParser):
             "tag": tag,
             "id": amap.get("id"),
             "classes": [c for c in amap.get("class", "").split() if c],
-            "attrs": list(amap.items()),
             "_amap": amap,
             "t0": len(self.texts),
             "t1": len(self.texts),
@@ -194,85 +171,3 @@ def parse_dom(html: str | None) -> dict | None:
         b._close_through(0, len(html))
         return {"texts": b.texts, "elements": b.elems}
     return b.finish()
-
-
-_ELEMENT_KEYS = [f.name for f in ELEMENT.fields]
-JSONLD_SELECTOR = 'script[type="application/ld+json"]'
-
-
-#: HTML characters of the pages of one output batch.
-BATCH_CHARS = 4 << 20
-
-
-def page_record(html: str | None, selectors: list[str], variant_json: dict | None = None):
-    """Parse one page: DOM with selector hits, JSON-LD texts, variant JSON texts."""
-    from .selectors import match_all
-    d = parse_dom(html)
-    if d is None:
-        return None, None, None
-    elems, texts = d["elements"], d["texts"]
-    places = list(variant_json["selectors"]) if variant_json else []
-    hits = match_all(elems, [*selectors, JSONLD_SELECTOR, *places])
-
-    def text_of(i):
-        e = elems[i]
-        return "".join(texts[e["t0"]:e["t1"]])
-
-    def source(found):  # the first element of a place, by its attribute or text
-        if not found:
-            return None
-        return elems[found[0]]["_amap"].get(variant_json["attribute"]) if variant_json["attribute"] else text_of(found[0])
-    n = len(selectors)
-    dom = {"texts": texts, "elements": [{k: e[k] for k in _ELEMENT_KEYS} for e in elems], "hits": hits[:n]}
-    return dom, [text_of(i) for i in hits[n]], [source(h) for h in hits[n + 1:]]
-
-
-def with_dom(pages: DataFrame, html_col: str = "html", selectors=None, scripts: bool = False,
-             variant_json: dict | None = None) -> DataFrame:
-    """E0 + E1 matching: adds ``dom`` and, on request, ``scripts`` (texts of the
-    JSON-LD blocks) and ``variant_texts`` (embedded variant JSON, by place).
-
-    Narrow transformation: no shuffle; pages leave in batches of
-    ``BATCH_CHARS`` of HTML, so a task holds few parsed pages at a time.
-    """
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    sel_list = list(selectors.selectors) if selectors is not None else []
-    texts = T.ArrayType(T.StringType())
-    extra = [T.StructField("dom", DOM)]
-    if scripts:
-        extra.append(T.StructField("scripts", texts))
-    if variant_json:
-        extra.append(T.StructField("variant_texts", texts))
-    wanted = [0] + [1] * scripts + [2] * bool(variant_json)
-    types = [to_arrow_type(f.dataType) for f in extra]
-
-    def run(batches):
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(html_col))
-            start, held, records = 0, 0, []
-            for row, html in enumerate(column):
-                page = html.as_py()
-                records.append(page_record(page, sel_list, variant_json))
-                held += len(page or "")
-                if held >= BATCH_CHARS or row + 1 == batch.num_rows:
-                    part = batch.slice(start, row + 1 - start)
-                    added = [pa.array([r[k] for r in records], type=t) for k, t in zip(wanted, types)]
-                    yield pa.RecordBatch.from_arrays([*part.columns, *added],
-                                                     names=[*batch.schema.names, *[f.name for f in extra]])
-                    start, held, records = row + 1, 0, []
-
-    return pages.mapInArrow(run, T.StructType([*pages.schema.fields, *extra]))
-
-
-# --- element accessors (Catalyst) --------------------------------------------
-
-def element_text(dom: Column, e: Column) -> Column:
-    """``textContent`` of element ``e``."""
-    return let(e, lambda x: F.array_join(F.slice(dom["texts"], x["t0"] + 1, x["t1"] - x["t0"]), ""))
-
-
-def element_inner_html(html: Column, e: Column) -> Column:
-    """``innerHTML`` of element ``e`` (source slice)."""
-    return let(e, lambda x: F.substring(html, x["h0"] + 1, x["h1"] - x["h0"]))
-

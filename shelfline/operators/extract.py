@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import keep_one, let
 from ..schemas import IMAGE
-from .dom import with_dom
-from .html import extract_html, is_soft_404, selector_set
-from .platforms import VARIANT_JSON, platform_config
+from .fields import with_fields
+from .html import extract_html, is_soft_404, product_fields
+from .platforms import PLATFORMS, VARIANT_JSON, platform_config
 from .structured import with_embedded, with_jsonld
 
 _ARR_IMAGE = f"array<{IMAGE.simpleString()}>"
@@ -33,9 +33,7 @@ def merge_sources(jl: Column, h: Column) -> Column:
                         lambda i: i["url"].isNotNull() & (i["url"] != ""))
 
     def dedup(arr):
-        urls = F.array_distinct(F.transform(arr, lambda i: i["url"]))
-        d = F.transform(urls, lambda u: F.get(F.filter(arr, lambda i: i["url"] == u), 0))
-        return F.when(F.size(d) > 0, d).otherwise(h["images"])
+        return F.when(F.size(arr) > 0, keep_one(arr, lambda i: i["url"])).otherwise(h["images"])
     merged = F.struct(
         pick("name").alias("name"), pick("sku").alias("sku"), pick("url").alias("url"),
         pick("description").alias("description"), pick("brand").alias("brand"), pick("gtin").alias("gtin"),
@@ -52,19 +50,17 @@ def is_rejected(raw: Column) -> Column:
     return ~(F.coalesce(raw["name"] != "", F.lit(False)) | F.coalesce(raw["sku"] != "", F.lit(False)))
 
 
-def page_fields(pages: DataFrame, platform: str = "generic", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """E0-E3, E14-E18 with one platform's selectors: the page's columns (without
-    its HTML), ``soft_404``, the HTML fields ``_h`` and the texts of its JSON-LD
-    (``scripts``) and embedded variant JSON (``variant_texts``)."""
-    cfg = platform_config(platform)
-    sels = selector_set(cfg)
-    vj = VARIANT_JSON.get(platform)
-    parsed = with_dom(pages, html_col, sels, scripts=True, variant_json=vj)
-    dom = F.col("dom")
-    texts = F.col("variant_texts") if vj else F.array().cast("array<string>")
-    return parsed.select(*[c for c in pages.columns if c != html_col], is_soft_404(dom, sels).alias("soft_404"),
-                         extract_html(F.col(html_col), dom, sels, F.col(url_col), cfg).alias("_h"), "scripts",
-                         texts.alias("variant_texts"))
+def page_fields(pages: DataFrame, platform: str | None = "generic", url_col: str = "url", html_col: str = "html",
+                platform_col: str = "platform") -> DataFrame:
+    """The page's columns (without its HTML), ``soft_404``, the
+    HTML fields ``_h`` and the texts of its JSON-LD (``scripts``) and embedded
+    variant JSON (``variant_texts``).  With ``platform`` None every row is read
+    with the selectors of its ``platform_col``, all in one stage."""
+    rules = {p: product_fields(platform_config(p), VARIANT_JSON.get(p)) for p in ([platform] if platform else PLATFORMS)}
+    read = with_fields(pages, rules, None if platform else platform_col, html_col)
+    return read.select(*[c for c in pages.columns if c != html_col],
+                       is_soft_404(F.get("f_page", 0), F.get("f_page", 1)).alias("soft_404"),
+                       extract_html(F.col(url_col)).alias("_h"), "scripts", "variant_texts")
 
 
 def merge_fields(fields: DataFrame, embedded: bool = True) -> DataFrame:

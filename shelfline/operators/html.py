@@ -1,8 +1,5 @@
-"""E14-E18 HTML field extraction and the S6 soft-404 test.
-
-All fields are read from the ``dom`` column with compiled selectors, inside
-the page row: one narrow projection after the E0 stage.
-"""
+"""E14-E18 HTML fields and the S6 soft-404 test over the values that
+``fields.with_fields`` reads from the page."""
 
 from __future__ import annotations
 
@@ -10,11 +7,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.prices import currency_from_symbol, parse_price
-from ..functions.text import JS_WS, js_trim, let
+from ..functions.text import JS_WS, js_trim, keep_one, let
 from ..functions.urls import resolve_url
 from ..schemas import IMAGE, PRICE, RATING, VARIANT
-from .dom import element_text
-from .selectors import SelectorSet, all_in_selector_order, first_attr, first_inner_html, first_text, select_first
+from .fields import PageFields
 
 # --- fixed values: selectors used on every platform --------------------------
 SKU_ATTR_SELECTORS = ['[data-sku]']
@@ -25,108 +21,82 @@ IMAGE_SKIP_SUBSTRINGS = [".svg", "pixel", "tracking"]
 SOFT_404_TITLE = ["404", "not found"]
 SOFT_404_BODY = "page not found"
 SOFT_404_MAX_BODY = 1000
+JSONLD_SELECTOR = 'script[type="application/ld+json"]'
 # ----------------------------------------------------------------------------
 
 
-FIELD_KEYS = ["productTitle", "price", "salePrice", "currency", "description", "images", "sku", "brand",
-              "availability"]
-
-
-def selector_set(cfg: dict) -> SelectorSet:
-    """Every selector the HTML rules of one platform configuration need."""
-    sels = SelectorSet(["title", "body"])
-    for k in FIELD_KEYS:
-        sels.add(cfg.get(k) or (["h1"] if k == "productTitle" else []))
-    sels.add(SKU_ATTR_SELECTORS).add(BRAND_META_SELECTORS).add(AVAILABILITY_ATTR_SELECTORS)
-    sels.add(META_DESCRIPTION_SELECTORS)
-    return sels
-
-
-def document_title(dom: Column, sels: SelectorSet) -> Column:
-    """``document.title``: first <title> text, white space stripped and collapsed."""
-    t = element_text(dom, select_first(dom, sels, "title"))
-    return F.coalesce(js_trim(F.regexp_replace(t, r"[\t\n\f\r ]+", " ")), F.lit(""))
-
-
-def body_text(dom: Column, sels: SelectorSet) -> Column:
-    return F.coalesce(element_text(dom, select_first(dom, sels, "body")), F.lit(""))
-
-
-def is_soft_404(dom: Column, sels: SelectorSet) -> Column:
-    """Title mentions 404 / not found, or a short body says page not found."""
-    title = F.lower(document_title(dom, sels))
+def product_fields(cfg: dict, variant_json: dict | None = None) -> PageFields:
+    """What E14-E18 and S6 read from a page with one platform's selectors."""
+    texts = lambda key: [(s, "text") for s in cfg.get(key, [])]
+    attr = lambda selectors, name: [(s, "@" + name) for s in selectors]
+    place = "text" if not variant_json or not variant_json["attribute"] else "@" + variant_json["attribute"]
+    return PageFields(
+        fields={
+            "f_name": [(s, "text") for s in cfg.get("productTitle") or ["h1"]],
+            "f_sku": texts("sku") + attr(SKU_ATTR_SELECTORS, "data-sku"),
+            "f_description": [(s, "html") for s in cfg.get("description", [])],
+            "f_brand": texts("brand") + attr(BRAND_META_SELECTORS, "content"),
+            "f_meta": attr(META_DESCRIPTION_SELECTORS, "content"),
+            "f_availability": texts("availability") + attr(AVAILABILITY_ATTR_SELECTORS, "content")
+            + attr(AVAILABILITY_ATTR_SELECTORS, "href"),
+            "f_price": texts("price"), "f_sale": texts("salePrice"), "f_currency": attr(cfg.get("currency", []), "content")},
+        firsts={"f_page": [("title", "text"), ("body", f"text<{SOFT_404_MAX_BODY}")],
+                "variant_texts": [(s, place) for s in (variant_json or {"selectors": []})["selectors"]]},
+        lists={"f_images": (cfg.get("images", []), ["@src", "@data-src", "@data-srcset", "@alt"]),
+               "scripts": ([JSONLD_SELECTOR], ["text"])})
+
+
+def is_soft_404(title: Column, body: Column) -> Column:
+    """Title mentions 404 / not found, or a short body (NULL: longer) says
+    page not found."""
+    heading = F.lower(F.coalesce(js_trim(F.regexp_replace(title, r"[\t\n\f\r ]+", " ")), F.lit("")))
     by_title = F.lit(False)
     for s in SOFT_404_TITLE:
-        by_title = by_title | title.contains(s)
-    return by_title | let(body_text(dom, sels), lambda body: F.lower(body).contains(SOFT_404_BODY)
-                          & (F.length(body) < SOFT_404_MAX_BODY))
+        by_title = by_title | heading.contains(s)
+    return by_title | F.coalesce(F.lower(body).contains(SOFT_404_BODY), F.lit(False))
 
 
-def html_images(dom: Column, sels: SelectorSet, page_url: Column, selectors: list[str]) -> Column:
+def html_images(found: Column, page_url: Column) -> Column:
     """Image URLs (src, data-src, first data-srcset entry), absolutised,
     filtered, de-duplicated by URL keeping the first; alt -> label."""
-    els = all_in_selector_order(dom, sels, selectors)
-
     def nb(x):
         return F.when(x != "", x)
 
     def to_img(e):
-        a = e["attrs"]
-        src = F.coalesce(nb(a["src"]), nb(a["data-src"]), nb(F.split_part(a["data-srcset"], F.lit(" "), F.lit(1))))
-        return F.struct(resolve_url(src, page_url).alias("url"), nb(a["alt"]).alias("label"),
+        src = F.coalesce(nb(e["src"]), nb(e["data_src"]), nb(F.split_part(e["data_srcset"], F.lit(" "), F.lit(1))))
+        return F.struct(resolve_url(src, page_url).alias("url"), nb(e["alt"]).alias("label"),
                         F.lit(None).cast("array<string>").alias("roles"))
 
-    imgs = F.filter(F.transform(els, to_img), lambda i: i["url"].isNotNull()
+    imgs = F.filter(F.transform(found, to_img), lambda i: i["url"].isNotNull()
                     & ~i["url"].startswith("data:")
                     & ~F.exists(F.array(*[F.lit(s) for s in IMAGE_SKIP_SUBSTRINGS]), lambda s: i["url"].contains(s)))
-
-    def dedup(arr):
-        urls = F.array_distinct(F.transform(arr, lambda i: i["url"]))
-        return F.transform(urls, lambda u: F.get(F.filter(arr, lambda i: i["url"] == u), 0))
-    return let(imgs, dedup).cast(f"array<{IMAGE.simpleString()}>")
+    return keep_one(imgs, lambda i: i["url"]).cast(f"array<{IMAGE.simpleString()}>")
 
 
-def html_price(dom: Column, sels: SelectorSet, cfg: dict) -> Column:
+def html_price(price_text: Column, sale_text: Column, currency: Column) -> Column:
     """E15 + E16 + E17: price text pair -> price struct."""
-    texts = F.struct(first_text(dom, sels, cfg.get("price", [])).alias("p"),
-                     first_text(dom, sels, cfg.get("salePrice", [])).alias("s"),
-                     first_attr(dom, sels, cfg.get("currency", []), "content").alias("c"))
-
-    def build(t):
-        price_text, sale_text = t["p"], t["s"]
-        both = price_text.isNotNull() & sale_text.isNotNull()
-        return F.when(price_text.isNotNull() | sale_text.isNotNull(), F.struct(
-            F.coalesce(t["c"], currency_from_symbol(price_text)).alias("currency"),
-            F.when(both, parse_price(sale_text)).alias("regular"),
-            F.when(price_text.isNotNull(), parse_price(price_text)).alias("final"),
-        ))
-    return let(texts, build).cast(PRICE)
-
-
-def extract_html(html: Column, dom: Column, sels: SelectorSet, page_url: Column, cfg: dict) -> Column:
-    """HTML fields -> raw-product struct (JSON-LD-only fields NULL)."""
-    images = html_images(dom, sels, page_url, cfg.get("images", []))
-    title = let(js_trim(element_text(dom, select_first(dom, sels, "title"))), lambda t: F.when(t != "", t))
+    both = price_text.isNotNull() & sale_text.isNotNull()
+    return F.when(price_text.isNotNull() | sale_text.isNotNull(), F.struct(
+        F.coalesce(currency, currency_from_symbol(price_text)).alias("currency"),
+        F.when(both, parse_price(sale_text)).alias("regular"),
+        F.when(price_text.isNotNull(), parse_price(price_text)).alias("final"),
+    )).cast(PRICE)
+
+
+def extract_html(page_url: Column) -> Column:
+    """The page's values -> raw-product struct (JSON-LD-only fields NULL)."""
+    c = F.col
+    title = let(js_trim(F.get("f_page", 0)), lambda t: F.when(t != "", t))
     return F.struct(
-        first_text(dom, sels, cfg.get("productTitle") or ["h1"]).alias("name"),
-        F.coalesce(first_text(dom, sels, cfg.get("sku", [])),
-                   first_attr(dom, sels, SKU_ATTR_SELECTORS, "data-sku")).alias("sku"),
-        F.lit(None).cast("string").alias("url"),
-        first_inner_html(html, dom, sels, cfg.get("description", [])).alias("description"),
-        F.coalesce(first_text(dom, sels, cfg.get("brand", [])),
-                   first_attr(dom, sels, BRAND_META_SELECTORS, "content")).alias("brand"),
-        F.lit(None).cast("string").alias("gtin"),
-        title.alias("metaTitle"),
-        first_attr(dom, sels, META_DESCRIPTION_SELECTORS, "content").alias("metaDescription"),
-        F.coalesce(first_text(dom, sels, cfg.get("availability", [])),
-                   first_attr(dom, sels, AVAILABILITY_ATTR_SELECTORS, "content"),
-                   first_attr(dom, sels, AVAILABILITY_ATTR_SELECTORS, "href")).alias("availability"),
+        c("f_name").alias("name"), c("f_sku").alias("sku"), F.lit(None).cast("string").alias("url"),
+        c("f_description").alias("description"), c("f_brand").alias("brand"), F.lit(None).cast("string").alias("gtin"),
+        title.alias("metaTitle"), c("f_meta").alias("metaDescription"), c("f_availability").alias("availability"),
         F.lit(None).cast("string").alias("itemCondition"),
-        html_price(dom, sels, cfg).alias("price"),
-        let(images, lambda im: F.when(F.size(im) > 0, im)).alias("images"),
+        html_price(c("f_price"), c("f_sale"), c("f_currency")).alias("price"),
+        let(html_images(c("f_images"), page_url), lambda im: F.when(F.size(im) > 0, im)).alias("images"),
         F.lit(None).cast(RATING).alias("aggregateRating"),
         F.lit(None).cast(f"array<{VARIANT.simpleString()}>").alias("variants"),
     )
 
 
-__all__ = ["extract_html", "is_soft_404", "document_title", "html_images", "html_price", "selector_set", "JS_WS"]
+__all__ = ["extract_html", "is_soft_404", "html_images", "html_price", "product_fields", "JS_WS"]

@@ -1,11 +1,7 @@
-"""CSS selector evaluation.
+"""CSS selectors, parsed and matched against parsed elements.
 
-Selectors come from the fixed platform configurations, so a plan knows its
-selector list up front (a :class:`SelectorSet`).  Matching happens once per
-element inside the E0 tokenizer pass (the page is already in memory there),
-which records for every selector the matching element ids in document order
-(``dom.hits[k]``).  Field rules then run in Catalyst as array lookups:
-``page.$(s)`` is ``elements[hits[k][0]]``.
+Matching happens inside the tokenizer pass (``fields.py`` files the selectors of
+a plan in one index), where the page is in memory already.
 
 Supported subset (everything the configurations use): type selector or ``*``,
 ``#id``, ``.class`` (compound), ``[a]``, ``[a=v]``, ``[a*=v]``, ``[a^=v]``,
@@ -18,12 +14,6 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from ..functions.text import js_trim, let
-from .dom import element_inner_html, element_text
-
 _TOKEN = re.compile(
     r"""(?P<comb>\s*>\s*)|(?P<ws>\s+)|(?P<tag>[a-zA-Z*][\w-]*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|
         \[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[*^$~|]?=)\s*
@@ -90,101 +80,22 @@ def _cond_ok(e: dict, attrs: dict, kind, name, op, value) -> bool:
     return v == value or v.startswith(value + "-")
 
 
-def _compound_ok(elems, i, comp) -> bool:
+def compound_ok(elems, i, comp) -> bool:
     e = elems[i]
     attrs = e["_amap"]
     return all(_cond_ok(e, attrs, *c) for c in comp)
 
 
-def _match_from(elems, parts, k, i) -> bool:
+def match_ancestors(elems, parts, k, i) -> bool:
     """parts[k] matched at element i; check parts[:k] against ancestors."""
     if k == 0:
         return True
     comb = parts[k][0]
     a = elems[i]["parent"]
     while a >= 0:
-        if _compound_ok(elems, a, parts[k - 1][1]) and _match_from(elems, parts, k - 1, a):
+        if compound_ok(elems, a, parts[k - 1][1]) and match_ancestors(elems, parts, k - 1, a):
             return True
         if comb == ">":
             return False
         a = elems[a]["parent"]
     return False
-
-
-def match_all(elems: list[dict], selectors: list[str]) -> list[list[int]]:
-    """For each selector, the ids of matching elements in document order."""
-    compiled = [[parse_selector(one) for one in s.split(",")] for s in selectors]
-    hits: list[list[int]] = [[] for _ in selectors]
-    for i in range(len(elems)):
-        for k, alts in enumerate(compiled):
-            for parts in alts:
-                if _compound_ok(elems, i, parts[-1][1]) and _match_from(elems, parts, len(parts) - 1, i):
-                    hits[k].append(i)
-                    break
-    return hits
-
-
-# --- Catalyst side ------------------------------------------------------------
-
-class SelectorSet:
-    """Ordered, de-duplicated selector list shared by E0 and the field rules."""
-
-    def __init__(self, *groups):
-        self.selectors: list[str] = []
-        self.index: dict[str, int] = {}
-        for g in groups:
-            self.add(g)
-
-    def add(self, selectors) -> "SelectorSet":
-        for s in ([selectors] if isinstance(selectors, str) else selectors):
-            if s not in self.index:
-                for one in s.split(","):
-                    parse_selector(one)  # fail early on unsupported syntax
-                self.index[s] = len(self.selectors)
-                self.selectors.append(s)
-        return self
-
-    def k(self, selector: str) -> int:
-        return self.index[selector]
-
-
-def select_all(dom: Column, sels: SelectorSet, selector: str) -> Column:
-    """``page.$$(selector)``: matching elements in document order."""
-    els = dom["elements"]
-    return F.transform(F.get(dom["hits"], sels.k(selector)), lambda i: F.get(els, i))
-
-
-def select_first(dom: Column, sels: SelectorSet, selector: str) -> Column:
-    """``page.$(selector)``: first match in document order, or NULL."""
-    return F.get(dom["elements"], F.get(F.get(dom["hits"], sels.k(selector)), 0))
-
-
-def _nonblank(c: Column) -> Column:
-    return let(js_trim(c), lambda t: F.when(t != "", t))
-
-
-def first_text(dom: Column, sels: SelectorSet, selectors: list[str]) -> Column:
-    """First selector whose first match has non-blank trimmed text wins."""
-    if not selectors:
-        return F.lit(None).cast("string")
-    return F.coalesce(*[_nonblank(element_text(dom, select_first(dom, sels, s))) for s in selectors])
-
-
-def first_attr(dom: Column, sels: SelectorSet, selectors: list[str], attr: str) -> Column:
-    """First selector whose first match has a non-blank attribute wins."""
-    if not selectors:
-        return F.lit(None).cast("string")
-    return F.coalesce(*[_nonblank(select_first(dom, sels, s)["attrs"][attr]) for s in selectors])
-
-
-def first_inner_html(html: Column, dom: Column, sels: SelectorSet, selectors: list[str]) -> Column:
-    if not selectors:
-        return F.lit(None).cast("string")
-    return F.coalesce(*[_nonblank(element_inner_html(html, select_first(dom, sels, s))) for s in selectors])
-
-
-def all_in_selector_order(dom: Column, sels: SelectorSet, selectors: list[str]) -> Column:
-    """Elements matched by each selector in turn (document order within one)."""
-    if not selectors:
-        return F.filter(dom["elements"], lambda e: F.lit(False))
-    return F.concat(*[select_all(dom, sels, s) for s in selectors])

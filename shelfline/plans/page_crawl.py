@@ -8,14 +8,12 @@ the only Python stage is the E0 tokenizer and nothing shuffles.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_origin, url_pathname
 from ..operators.extract import extract_pages, merge_fields, page_fields
-from ..operators.platforms import PLATFORMS, site_platforms
+from ..operators.platforms import site_platforms
 from ..operators.transform import transform_frame
 from ..session import checkpoint_dir
 
@@ -23,17 +21,17 @@ from ..session import checkpoint_dir
 def crawl_shops(pages: DataFrame, prefix: str | None = None, default_currency: str = "USD", url_col: str = "url",
                 html_col: str = "html") -> DataFrame:
     """Entry 1 over many shops in one plan: E2 detects each site's platform on
-    its homepage (path ``/``; sites without one are generic), E3 reads every
-    page with that platform's selectors, and all pages then share one merge
-    and one transform.  The verdicts (one row a site) are checkpointed."""
+    its homepage (path ``/``; sites without one are generic), and one scan of
+    the pages reads each with that platform's selectors (E3) in one stage,
+    merge and transform.  The verdicts (one row a site, from the homepages
+    alone) are checkpointed."""
     checkpoint_dir(pages.sparkSession)
     sited = pages.withColumn("site", url_origin(url_col))
     home = sited.withColumn("is_home", F.coalesce(url_pathname(url_col) == "/", F.lit(False)))
     sites = site_platforms(home.withColumnRenamed(html_col, "html"), "site", "is_home", url_col).checkpoint()
     routed = sited.join(sites.select("site", F.col("platform").alias("_platform")), "site", "left") \
         .select(*sited.columns, F.coalesce("_platform", F.lit("generic")).alias("platform"))
-    fields = [page_fields(routed.filter(F.col("platform") == p), p, url_col, html_col) for p in PLATFORMS]
-    return _outcomes(merge_fields(functools.reduce(DataFrame.unionByName, fields)), prefix, default_currency, url_col)
+    return _outcomes(merge_fields(page_fields(routed, None, url_col, html_col)), prefix, default_currency, url_col)
 
 
 def crawl_pages(pages: DataFrame, platform: str = "generic", prefix: str | None = None,

@@ -5,9 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.urls import resolve_url
-from ..operators.dom import element_text, with_dom  # noqa: F401
-from ..operators.selectors import SelectorSet, select_all
+from ..operators.discovery import product_links
 from ..sources.tables import read_table
 from . import standins as S
 from .page_crawl import crawl_pages, crawl_shops
@@ -57,15 +55,7 @@ def page_links(spark, sf_dir):
     """Links of every page's navigation block through E0/E1, absolutised,
     http(s) only, query and fragment cut, de-duplicated per page."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    sels = SelectorSet(NAV_LINKS)
-    d = with_dom(pages, "html", sels)
-    els = d.select("page_id", "url", F.explode(select_all(F.col("dom"), sels, NAV_LINKS[0])).alias("e"))
-    href = F.col("e.attrs")["href"]
-    full = resolve_url(href, F.col("url"))
-    links = els.filter(href.isNotNull()).select("page_id", full.alias("full")) \
-        .filter(F.col("full").startswith("http")) \
-        .select("page_id", F.split_part(F.split_part("full", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)).alias("link"))
-    return links.distinct()
+    return product_links(pages, NAV_LINKS, ["page_id"])
 
 
 @query("sitemap_urls", """
@@ -97,12 +87,8 @@ def pagination(spark, sf_dir):
     """D6 next-page edges (E0 + platform next-page selectors) and D7 traversal from each site's first listing page."""
     from ..operators.discovery import next_page_edges, traverse
     from ..operators.platforms import CATEGORY_SELECTORS
-    from ..operators.selectors import SelectorSet as _SS
     pages = S.listing_pages(spark, sf_dir)
-    nxt_sel = CATEGORY_SELECTORS["generic"]["nextPage"]
-    sels = _SS(nxt_sel)
-    parsed = with_dom(pages.select("page_id", "url", "origin", "html"), "html", sels)
-    edges = next_page_edges(parsed, sels, nxt_sel)
+    edges = next_page_edges(pages, CATEGORY_SELECTORS["generic"]["nextPage"])
     starts = pages.groupBy("origin").agg(F.min_by("url", "page_id").alias("url"))
     out = traverse(starts, edges, pages.select("url"))
     return out.select("origin", "url", F.col("step").cast("int").alias("step"))
@@ -223,13 +209,11 @@ FROM part JOIN ok ON p_partkey // 10 = ok.n WHERE ok.reached
 def category_links(spark, sf_dir):
     """D5 + D6 + D7: product links of all pages reached from each category's
     first listing, once for each category."""
-    from ..operators.discovery import next_page_edges, product_links, traverse
+    from ..operators.discovery import next_page_edges, traverse
     from ..operators.platforms import CATEGORY_SELECTORS
     pages = S.category_pages(spark, sf_dir)
     cfg = CATEGORY_SELECTORS["generic"]
-    sels = SelectorSet(cfg["productLinks"], cfg["nextPage"])
-    parsed = with_dom(pages.select("url", "html"), "html", sels)
     starts = pages.filter("n % 10 = 0").select(F.col("category").cast("long").alias("origin"), "url")
-    reached = traverse(starts, next_page_edges(parsed, sels, cfg["nextPage"]), pages.select("url"))
-    links = product_links(parsed, sels, cfg["productLinks"], ["url"])
+    reached = traverse(starts, next_page_edges(pages, cfg["nextPage"]), pages.select("url"))
+    links = product_links(pages, cfg["productLinks"], ["url"])
     return reached.join(links, "url").select(F.col("origin").alias("category"), "link").distinct()
