@@ -10,17 +10,19 @@ is searched from the top with this bound and with the bound on sizes; points
 that survive both are verified on the sets themselves.
 
 One tree over all documents cannot prune its top: a link may differ by 16 % of
-a set anywhere.  So sets are first dealt by the tokens that any linked set must
-share one of, the ``|A| - ceil(min_share * |A|) + 1`` rarest, where a token is as rare as
-its cell of a count of fixed size (``CELLS``).  Every token that two different sets
-have among their rarest is a tree of its own; of tokens with the same sets one
-is enough.  Trees of more than ``PART_TOKENS`` tokens are dealt to several
-tasks, as pairs of parts.
-
+a set anywhere.  So points are first dealt by the tokens that any linked set
+must share one of, the ``|A| - ceil(85 % of |A|) + 1`` rarest, where a token is
+as rare as its cell of a count of fixed size (``CELLS``).  Every token that two
+different sets have among their rarest is a tree of its own; of tokens with the
+same sets one is enough.  Trees above ``PART_POINTS`` points are dealt to
+several tasks, as pairs of parts.
+
+The trees are searched on the points alone first; whole sets are sent only
+where a point has another within the bound (in parts of ``PART_TOKENS``).
 Only components are asked for, so pairs of sets that are connected already are
-not looked at: the trees of two tokens of each set are searched first, and
-after contraction only trees that hold two components or more.  Each search
-returns a spanning forest of its links, never all pairs.
+not verified: the trees of two tokens of each set come first, and after
+contraction only trees that hold two components or more.  Each search returns
+a spanning forest of its links, never all pairs.
 
 Defined results: equal sets are one set (128-bit digest); null texts and
 texts without words have an empty set and are linked with nothing; null ids
@@ -46,7 +48,8 @@ SHINGLE, PERCENT = 4, 85
 GROUPS = 64
 #: Cells of the count that orders tokens by rarity: 2 MB, whatever the corpus.
 CELLS = 1 << 18
-#: Tokens (8 bytes each) that one task holds of a tree.
+#: Points (64 bytes or little more) that one task holds of a tree, and tokens (8 bytes each).
+PART_POINTS = 16_384
 PART_TOKENS = 2_000_000
 FANOUT = 16
 
@@ -103,26 +106,27 @@ def needed(size: int, percent: int) -> int:
 
 
 def narrow(docs: DataFrame, counts: np.ndarray, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, tkey`` (of the text), ``n_shingles``, ``cls`` (digest of the set, null: empty)
-    and ``rare``, the tokens any linked set shares one of."""
+    """``doc_id, tkey`` (of the text), ``n_shingles``, ``cls`` (digest of the set, null: empty),
+    ``rare``, the tokens any linked set shares one of, and ``point``."""
     kind = docs.schema[id_col].dataType.simpleString()
     order = counts.astype(np.int64)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            sizes, names, rare = [], [], []
+            sizes, names, rare, points = [], [], [], []
             for text in batch.column(2):
                 tokens = shingle_set(text.as_py(), shingle)
                 sizes.append(len(tokens))
                 names.append(hashlib.md5(tokens.tobytes()).digest() if len(tokens) else None)
                 first = np.lexsort((tokens, order[_cells(tokens)]))[:len(tokens) - needed(len(tokens), percent) + 1]
                 rare.append(tokens[first].view(np.int64))
+                points.append(pack_point(point(tokens)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
-                                              pa.array(names, pa.binary()), pa.array(rare, pa.list_(pa.int64()))],
-                                             ["doc_id", "tkey", "n_shingles", "cls", "rare"])
+                                              pa.array(names, pa.binary()), pa.array(rare, pa.list_(pa.int64())), pa.array(points, pa.binary())],
+                                             ["doc_id", "tkey", "n_shingles", "cls", "rare", "point"])
     text = F.col(text_col)
     return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("tkey"), text.alias("text")) \
-        .mapInArrow(run, f"doc_id {kind}, tkey binary, n_shingles bigint, cls binary, rare array<bigint>")
+        .mapInArrow(run, f"doc_id {kind}, tkey binary, n_shingles bigint, cls binary, rare array<bigint>, point binary")
 
 
 def point(tokens: np.ndarray, groups: int = GROUPS) -> np.ndarray:
@@ -130,6 +134,15 @@ def point(tokens: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.bincount((tokens % np.uint64(groups)).astype(np.int64), minlength=groups)
 
 
+def pack_point(counts: np.ndarray) -> bytes:
+    """One byte a group, or four where a count needs them."""
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def unpack_points(packed: list[bytes], groups: int = GROUPS) -> np.ndarray:
+    return np.stack([np.frombuffer(x, np.uint8 if len(x) == groups else np.uint32).astype(np.int64) for x in packed])
+
+
 class CountTree:
     """R-tree over the points of sets: nodes of ``FANOUT`` children in the order
     of size and heaviest groups, each with its upper corner and range of sizes."""
@@ -207,23 +220,63 @@ def forest(sets: list[np.ndarray], known: list, percent: int, sides: np.ndarray
     return out
 
 
-_EDGES = "a binary, b binary"
+def possible(points: np.ndarray, comps: list, percent: int, sides: np.ndarray | None = None) -> np.ndarray:
+    """Whether each point has another within the bound, of another component and side."""
+    number = {c: k for k, c in enumerate(dict.fromkeys(comps))}
+    comp = np.array([number[c] for c in comps])
+    tree, sizes = CountTree(points, percent), points.sum(1)
+    out = np.zeros(len(points), bool)
+    for i in range(len(points)):
+        if out[i]:
+            continue
+        near = tree.search(points[i], int(sizes[i]))
+        near = near[comp[near] != comp[i]]
+        if sides is not None:
+            near = near[sides[near] != sides[i]]
+        out[i] = len(near) > 0
+        out[near] = True
+    return out
+
+
+def _dealt(trees: DataFrame, weight: str, limit: int) -> DataFrame:
+    """``trees(token, cls, comp, ...)`` dealt to tasks: trees of up to ``limit`` by
+    the sum of ``weight`` whole, others as pairs of parts, a row to each pair of
+    its own part (``alone``: both are one part; ``high``: the second)."""
+    parts = trees.groupBy("token").agg(F.ceil(F.sum(weight) / limit).alias("_parts"))
+    rest = [c for c in trees.columns if c not in ("token", weight)]
+    part = F.pmod(F.xxhash64("cls"), F.col("_parts"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1),
+                                 lambda o: F.struct(F.least("_part", o).alias("lo"), F.greatest("_part", o).alias("hi"))))
+    rows = trees.join(parts, "token").withColumn("_part", part).select("token", *rest, "_part", pair.alias("_p"))
+    return rows.select("token", F.xxhash64("token", "_p.lo", "_p.hi").alias("task"), F.concat_ws("/", "token", "_p.lo", "_p.hi").alias("tree"),
+                       *rest, (F.col("_part") == F.col("_p.hi")).alias("high"), (F.col("_p.lo") == F.col("_p.hi")).alias("alone"))
+
+
+def _sides(group: pa.Table) -> np.ndarray | None:
+    return None if group.column("alone")[0].as_py() else np.array(group.column("high").to_pylist())
+
+
+def candidates(trees: DataFrame, percent: int, part_points: int = PART_POINTS) -> DataFrame:
+    """Rows ``(token, cls)`` of ``trees(token, cls, comp, point)`` whose point has
+    another of its tree within the bound."""
+    rows = _dealt(trees.withColumn("one", F.lit(1)), "one", part_points) \
+        .repartition("task").sortWithinPartitions("tree").select("tree", "token", "cls", "comp", "point", "high", "alone")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in arrow_groups(it):
+            hit = possible(unpack_points(group.column("point").to_pylist()), group.column("comp").to_pylist(), percent, _sides(group))
+            if hit.any():
+                some = group.filter(pa.array(hit)).select(["token", "cls"]).combine_chunks()
+                yield from some.to_batches()
+    return rows.mapInArrow(run, "token bigint, cls binary").distinct()
 
 
-def search(postings: DataFrame, sets: DataFrame, percent: int, part_tokens: int = PART_TOKENS) -> DataFrame:
-    """Links ``(a, b)`` of a spanning forest in each tree of ``postings(token, cls, comp)``;
+def search(trees: DataFrame, sets: DataFrame, percent: int, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """Links ``(a, b)`` of a spanning forest in each tree of ``trees(token, cls, comp)``;
     ``sets(cls, n, tokens)``."""
-    sized = postings.join(sets.select("cls", "n"), "cls")
-    parts = sized.groupBy("token").agg(F.ceil(F.sum("n") / part_tokens).alias("parts"))
-    dealt = postings.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("cls"), "parts"))
-    # with parts a tree is every pair of parts: a set goes to the pairs of its own part
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1),
-                                 lambda o: F.struct(F.least("part", o).alias("lo"), F.greatest("part", o).alias("hi"))))
-    dealt = dealt.select("token", "cls", "comp", "part", pair.alias("p")) \
-        .select(F.xxhash64("token", "p.lo", "p.hi").alias("task"), "token", F.concat_ws("/", "token", "p.lo", "p.hi").alias("tree"),
-                "cls", "comp", (F.col("part") == F.col("p.hi")).alias("high"), (F.col("p.lo") == F.col("p.hi")).alias("alone"))
-    rows = dealt.join(sets.select("cls", "tokens"), "cls").select("tree", "task", "cls", "comp", "high", "alone", "tokens") \
-        .repartition("task").sortWithinPartitions("tree", "cls").drop("task")
+    dealt = _dealt(trees.join(sets.select("cls", "n"), "cls"), "n", part_tokens)
+    rows = dealt.join(sets.select("cls", "tokens"), "cls").repartition("task").sortWithinPartitions("tree", "cls") \
+        .select("tree", "cls", "comp", "high", "alone", "tokens")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in arrow_groups(it):
@@ -231,16 +284,16 @@ def search(postings: DataFrame, sets: DataFrame, percent: int, part_tokens: int
             if len(set(comps)) < 2:
                 continue
             tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("tokens")]
-            sides = None if group.column("alone")[0].as_py() else np.array(group.column("high").to_pylist())
-            found = forest(tokens, comps, percent, sides)
+            found = forest(tokens, comps, percent, _sides(group))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in found], pa.binary()),
                                                   pa.array([names[j] for _, j in found], pa.binary())], ["a", "b"])
-    return rows.mapInArrow(run, _EDGES)
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id",
-                       text_col: str = "text", part_tokens: int = PART_TOKENS) -> DataFrame:
+                       text_col: str = "text", part_points: int = PART_POINTS,
+                       part_tokens: int = PART_TOKENS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` (smallest id reachable by links) of every document."""
     spark = docs.sparkSession
     counts = rarity(docs, shingle, text_col)
@@ -252,11 +305,13 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     # of tokens with the same sets one is enough
     lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"),
                                           F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("y"))
-    trees = stored(postings.join(lists.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token"), "token"), "trees")
+    once = postings.join(lists.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token"), "token")
+    points = each.filter("cls is not null").groupBy("cls").agg(F.first("point").alias("point"))
+    trees = stored(candidates(once.join(points, "cls").withColumn("comp", F.col("cls")), percent, part_points), "trees")
     release(postings)
 
-    # whole sets of the classes that share a rare token, from one text of each
-    texts = each.join(trees.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("tkey").alias("tkey"))
+    # whole sets of the classes left, from one text of each
+    texts = stored(each.join(trees.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("tkey").alias("tkey")), "texts")
 
     def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -267,6 +322,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     keyed = docs.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.unhex(F.md5(F.col(text_col))).alias("tkey"))
     sets = stored(keyed.join(texts, "tkey").select("cls", "text").mapInArrow(whole, "cls binary, n bigint, tokens binary")
                   .dropDuplicates(["cls"]), "whole")
+    release(texts)
 
     # two trees of each set first, then those that still hold two components
     few = trees.groupBy("cls").agg(*[F.min(F.struct(F.xxhash64(F.lit(k), "token").alias("h"), "token")).alias(f"m{k}") for k in (1, 2)])

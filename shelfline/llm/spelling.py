@@ -39,7 +39,7 @@ RUN = "[A-Za-z\\u00C0-\\u00FF]+"
 MIN_LENGTH, MIN_COUNT, FACTOR = 6, 5, 5
 #: Coordinates: one for each of a-z, six for all other code points.
 DIMS = 32
-LEAF, LEAVES, SAMPLE = 8192, 4096, 200_000
+LEAF, LEAVES, SAMPLE = 8192, 4096, 50_000
 #: Points of a leaf of the tree inside a box.
 SMALL = 48
 
