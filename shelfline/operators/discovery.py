@@ -1,8 +1,9 @@
-"""Product-URL predicate, robots filter, dedupe, cap, union."""
+"""Product-URL predicate, robots filter, dedupe, cap, links, listings and
+discovery of many sites in one plan."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col_
@@ -25,36 +26,48 @@ def product_url_patterns(platform: str | None = None, custom: list[str] | None =
     return list(custom or []) + PLATFORM_PATTERNS.get(platform or "", DEFAULT_PRODUCT_PATTERNS)
 
 
-def is_product_url(url, platform: str | None = None, custom: list[str] | None = None) -> Column:
-    """Lower-cased URL contains any pattern."""
+def is_product_url(url, platform: str | Column | None = None, custom: list[str] | None = None) -> Column:
+    """Lower-cased URL contains any pattern.  ``platform`` may be a column:
+    every row is then tested with its own platform's patterns."""
     low = F.lower(col_(url))
-    out = F.lit(False)
-    for p in product_url_patterns(platform, custom):
-        out = out | low.contains(p)
-    return out
-
 
-def robots_allowed(url, allow: Column, deny: Column) -> Column:
-    """Any allow prefix wins, then any deny prefix blocks, else allowed."""
-    path = F.coalesce(url_pathname(col_(url)), col_(url))
-    a = F.coalesce(F.exists(allow, lambda p: path.startswith(p)), F.lit(False))
-    d = F.coalesce(F.exists(deny, lambda p: path.startswith(p)), F.lit(False))
-    return a | ~d
+    def any_of(name):
+        out = F.lit(False)
+        for p in product_url_patterns(name, custom):
+            out = out | low.contains(p)
+        return out
+    if not isinstance(platform, Column):
+        return any_of(platform)
+    case = F.when(F.lit(False), F.lit(False))
+    for name in PLATFORM_PATTERNS:
+        case = case.when(platform == name, any_of(name))
+    return case.otherwise(any_of(None))
 
 
 def apply_robots(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """D2 over a URL frame: rules (origin, allow[], deny[]) joined on origin.
-
-    One row per origin on the rules side; the join is an equi-join on the
-    origin (broadcast when the rules frame is small, shuffle otherwise) -- no
-    theta join between URLs and rule lines.
+    """D2 over a URL frame: adds ``allowed``; ``rules`` are the rule rows of
+    ``robots_rules``.  Any allow prefix wins, then any deny prefix blocks, else
+    a URL is allowed.
+
+    Rules are looked up, not tried in turn: of each distinct path the prefixes
+    at the lengths its origin has rules of are joined by equality to the rules,
+    so ten thousand rules of an origin cost a path no more lookups than they
+    have different lengths.
     """
     from ..functions.urls import url_origin
-    j = urls.withColumn("_origin", url_origin(F.col(url_col))).join(
-        rules.withColumnRenamed("origin", "_origin"), "_origin", "left")
-    empty = F.array().cast("array<string>")
-    return j.withColumn("allowed", robots_allowed(F.col(url_col), F.coalesce("allow", empty),
-                                                  F.coalesce("deny", empty))).drop("_origin", "allow", "deny")
+    kind = F.col("kind")
+    rule = rules.filter(kind.isin("allow", "disallow")).groupBy(F.col("origin").alias("_origin"), F.col("value").alias("_prefix")) \
+        .agg(F.max(kind == "allow").alias("_allow"), F.max(kind == "disallow").alias("_deny"))
+    lengths = rule.groupBy("_origin").agg(F.collect_set(F.length("_prefix")).alias("_lengths"))
+    placed = urls.withColumn("_origin", url_origin(F.col(url_col))) \
+        .withColumn("_path", F.coalesce(url_pathname(F.col(url_col)), F.col(url_col)))
+    paths = placed.select("_origin", "_path").distinct().join(lengths, "_origin")
+    probes = paths.select("_origin", "_path", F.explode(F.filter("_lengths", lambda n: n <= F.length("_path"))).alias("_n")) \
+        .select("_origin", "_path", F.substring(F.col("_path"), F.lit(1), F.col("_n")).alias("_prefix"))
+    verdict = probes.join(rule, ["_origin", "_prefix"]).groupBy("_origin", "_path") \
+        .agg(F.max("_allow").alias("_allow"), F.max("_deny").alias("_deny"))
+    return placed.join(verdict, ["_origin", "_path"], "left") \
+        .select(*urls.columns, F.coalesce(F.col("_allow") | ~F.col("_deny"), F.lit(True)).alias("allowed"))
 
 
 def dedupe_first(urls: DataFrame, url_col: str = "url", ordinal_col: str = "ordinal") -> DataFrame:
@@ -77,6 +90,41 @@ def discovery_union(**frontiers: DataFrame) -> DataFrame:
     return out
 
 
+def cap_each(urls: DataFrame, n: int | None, group: str = "origin", ordinal_col: str = "ordinal") -> DataFrame:
+    """D4 for each ``group``: adds ``place`` (from 1) and keeps the first ``n``.
+    With ``n`` every task keeps n rows of a group before the shuffle."""
+    ranked = urls.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(ordinal_col)))
+    return ranked.filter(F.col("place") <= n) if n else ranked
+
+
+def discover_sitemaps(origins: DataFrame, robots: DataFrame, sitemaps: DataFrame, n: int | None = None) -> DataFrame:
+    """D8, sitemap mode, for many sites in one plan: ``(origin, url, place)``.
+
+    ``origins(origin, platform)``, ``robots(origin, text)``, ``sitemaps(url, xml)``.
+    An origin starts from the sitemaps its robots file lists, or else from the
+    first common location that leads to any URL (S4); indexes are resolved
+    (S3), then D1 by the origin's platform, D2 by its robots rules, D3, and D4
+    with ``n``.  The order is that of a depth-first walk: the place of the
+    sitemap in the robots file, of the child in its index, of the URL in its
+    list.
+    """
+    from ..session import checkpoint_dir
+    from ..sources.robots import robots_rules
+    from ..sources.sitemaps import candidates, parse_sitemaps, resolve
+    rules = robots_rules(robots)
+    listed = rules.filter(F.col("kind") == "sitemap").select("origin", F.col("value").alias("url"), F.col("ordinal").alias("place"))
+    told = listed.select("origin").distinct()
+    roots = origins.select("origin").join(listed, "origin") \
+        .unionByName(candidates(origins.select("origin").join(told, "origin", "left_anti")))
+    checkpoint_dir(origins.sparkSession)
+    found = resolve(roots, parse_sitemaps(sitemaps).checkpoint())  # each document is parsed once, not once a level
+    # without sitemaps in robots only the first location that yields URLs counts
+    first = found.join(told, "origin", "left_anti").groupBy("origin").agg(F.min(F.get("ordinal", 0)).alias("_first"))
+    found = found.join(first, "origin", "left").filter(F.col("_first").isNull() | (F.get("ordinal", 0) == F.col("_first"))).drop("_first")
+    product = found.join(origins, "origin").filter(is_product_url("url", F.col("platform"))).select("origin", "url", "ordinal")
+    return cap_each(apply_robots(product, rules).filter("allowed"), n).select("origin", "url", "place")
+
+
 def next_page_edges(pages, selectors: list[str], url_col: str = "url", html_col: str = "html"):
     """(url, next) -- the first next-page selector that matches anything
     gives the element; its href, absolutised, is the edge (NULL if none)."""

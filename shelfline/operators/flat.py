@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import capitalize_first
-from ..schemas import CSV_COLUMNS, NUM_IMAGE_COLS, csv_columns
+from ..schemas import CSV_COLUMNS, IMAGE, NUM_IMAGE_COLS, csv_columns
 
 
 def _s(c) -> Column:
@@ -24,51 +24,53 @@ def _opt(options: Column, oid: str, field: str) -> Column:
     return _s(F.get(F.filter(options, lambda o: o["id"] == oid), 0)[field])
 
 
+def _chunks(images: Column, n: int) -> Column:
+    """Row numbers 0, 1, ... that hold all ``images``, ``n`` to a row."""
+    return F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.coalesce(F.size(images), F.lit(0)) / n) - 1, F.lit(0)).cast("int")))
+
+
+def _rows(df: DataFrame, kind: str, images: Column, n: int, keys: list[Column], values: dict[str, Column]) -> DataFrame:
+    """A row of ``values`` for each row of ``df``, and an ``images`` row (its
+    number in ``name``) for each ``n`` images more."""
+    split = df.select("*", _chunks(images, n).alias("_chunk"))
+    main = F.col("_chunk") == 0
+    only = lambda c: F.when(main, _s(c)).otherwise(F.lit(""))
+    shown = {c: only(v) for c, v in values.items()}
+    shown["name"] = F.when(main, _s(values["name"])).otherwise(F.col("_chunk").cast("string"))
+    cols = {"type": F.when(main, F.lit(kind)).otherwise(F.lit("images")), **{k: _s(c) for k, c in zip(("sku", "parent_sku"), keys)}, **shown}
+    here = F.slice(images, F.col("_chunk") * n + 1, F.lit(n))
+    return split.select(*[c.alias(k) for k, c in cols.items()], *_image_cols(here, n)).select(*csv_columns(n))
+
+
 def parent_rows(products: DataFrame, images: int = NUM_IMAGE_COLS) -> DataFrame:
     """X1 parent rows from products (PRODUCT shape)."""
     p = F.col
-    return products.select(
-        F.lit("parent").alias("type"), _s(p("sku")).alias("sku"), F.lit("").alias("parent_sku"),
-        _s(p("name")).alias("name"), _s(p("path")).alias("path"), _s(p("url")).alias("url"),
-        _s(p("description")).alias("description"), _s(p("metaTitle")).alias("meta_title"),
-        _s(p("metaDescription")).alias("meta_description"), _s(p("price.currency")).alias("price_currency"),
-        _s(p("price.regular")).alias("price_regular"), _s(p("price.final")).alias("price_final"),
-        _s(p("availability")).alias("availability"), *_image_cols(p("images"), images),
-        F.lit("").alias("option_size"), F.lit("").alias("option_color"), F.lit("").alias("option_size_uid"),
-        F.lit("").alias("option_color_uid"),
-        _s(F.array_join(p("custom.categories"), "|")).alias("categories"),
-        _s(F.array_join(p("custom.related"), "|")).alias("related"))
+    none = F.lit("")
+    return _rows(products, "parent", p("images"), images, [p("sku"), none], {
+        "name": p("name"), "path": p("path"), "url": p("url"), "description": p("description"), "meta_title": p("metaTitle"),
+        "meta_description": p("metaDescription"), "price_currency": p("price.currency"), "price_regular": p("price.regular"),
+        "price_final": p("price.final"), "availability": p("availability"), "option_size": none, "option_color": none,
+        "option_size_uid": none, "option_color_uid": none, "categories": F.array_join(p("custom.categories"), "|"),
+        "related": F.array_join(p("custom.related"), "|")})
 
 
 def variant_rows(variants: DataFrame, parent_sku_col: str = "parent_sku", variant_col: str = "v",
                  images: int = NUM_IMAGE_COLS) -> DataFrame:
     """X1 variant rows from the exploded variants table (parent_sku, v)."""
     v = F.col(variant_col)
-    return variants.select(
-        F.lit("variant").alias("type"), _s(v["sku"]).alias("sku"), F.col(parent_sku_col).alias("parent_sku"),
-        _s(v["name"]).alias("name"), F.lit("").alias("path"), _s(v["url"]).alias("url"),
-        F.lit("").alias("description"), F.lit("").alias("meta_title"), F.lit("").alias("meta_description"),
-        _s(v["price"]["currency"]).alias("price_currency"), _s(v["price"]["regular"]).alias("price_regular"),
-        _s(v["price"]["final"]).alias("price_final"), _s(v["availability"]).alias("availability"),
-        *_image_cols(v["images"], images),
-        _opt(v["options"], "size", "value").alias("option_size"),
-        _opt(v["options"], "color", "value").alias("option_color"),
-        _opt(v["options"], "size", "uid").alias("option_size_uid"),
-        _opt(v["options"], "color", "uid").alias("option_color_uid"),
-        F.lit("").alias("categories"), F.lit("").alias("related"))
-
-
-def image_columns(products: DataFrame, variants: DataFrame) -> int:
-    """Image columns that hold every image: the most any row has, ten at least
-    (one aggregate over the sizes; a single number comes to the driver)."""
-    sizes = products.select(F.size("images").alias("n")).unionByName(variants.select(F.size("v.images").alias("n")))
-    return max(NUM_IMAGE_COLS, sizes.agg(F.max("n")).first()[0] or 0)
-
-
-def flat_rows(products: DataFrame, variants: DataFrame | None = None, images: int | None = None) -> DataFrame:
-    """Parents union variants, fixed column order; narrow (no shuffle).
-    ``images``: image columns; without it the data are asked, so that no image
-    is left out.
+    none = F.lit("")
+    return _rows(variants, "variant", v["images"], images, [v["sku"], F.col(parent_sku_col)], {
+        "name": v["name"], "path": none, "url": v["url"], "description": none, "meta_title": none, "meta_description": none,
+        "price_currency": v["price"]["currency"], "price_regular": v["price"]["regular"], "price_final": v["price"]["final"],
+        "availability": v["availability"], "option_size": _opt(v["options"], "size", "value"),
+        "option_color": _opt(v["options"], "color", "value"), "option_size_uid": _opt(v["options"], "size", "uid"),
+        "option_color_uid": _opt(v["options"], "color", "uid"), "categories": none, "related": none})
+
+
+def flat_rows(products: DataFrame, variants: DataFrame | None = None, images: int = NUM_IMAGE_COLS) -> DataFrame:
+    """Parents union variants, fixed column order; narrow (no shuffle, and
+    no job while the plan is built).  A row has ``images`` image columns; more
+    images follow in rows of type ``images`` with the SKUs of their row.
 
     ``variants`` is the exploded form (parent_sku, v, ordinal); when omitted
     it is exploded from ``products.variants``.
@@ -76,8 +78,7 @@ def flat_rows(products: DataFrame, variants: DataFrame | None = None, images: in
     if variants is None:
         variants = products.select(F.col("sku").alias("parent_sku"),
                                    F.posexplode("variants").alias("ordinal", "v"))
-    n = image_columns(products, variants) if images is None else images
-    return parent_rows(products, n).unionByName(variant_rows(variants, images=n)).select(*csv_columns(n))
+    return parent_rows(products, images).unionByName(variant_rows(variants, images=images)).select(*csv_columns(images))
 
 
 def flat_counts(rows: DataFrame) -> DataFrame:
@@ -85,15 +86,21 @@ def flat_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("type").agg(F.count(F.lit(1)).alias("count"))
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """RFC 4180 CSV with header, quotes doubled, empty for NULL."""
-    rows.write.mode("overwrite").option("header", True).option("quote", '"') \
+#: Records of a CSV file, unless the caller says otherwise.
+MAX_RECORDS = 1_000_000
+
+
+def write_csv(rows: DataFrame, path: str, max_records: int = MAX_RECORDS) -> None:
+    """RFC 4180 CSV with header, quotes doubled, empty for NULL; a file has
+    at most ``max_records`` records."""
+    rows.write.mode("overwrite").option("maxRecordsPerFile", max_records).option("header", True).option("quote", '"') \
         .option("escape", '"').option("nullValue", "").option("emptyValue", "") \
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_csv(spark, path: str) -> DataFrame:
-    """Header-keyed wide CSV; quoted newlines; missing fields -> ''."""
+    """Header-keyed wide CSV; quoted newlines; missing fields -> ''.  One
+    task reads a file; ``sources.quoted_csv`` splits large ones."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     there = df.columns
     names = [*CSV_COLUMNS, *[c for c in there if c not in CSV_COLUMNS]]
@@ -116,13 +123,18 @@ def _price_from_row() -> Column:
 
 
 def assemble_products(rows: DataFrame, ordinal_col: str = "_row") -> DataFrame:
-    """X2 + X3: wide rows -> products; variants attach by ``parent_sku`` in row
+    """X2 + X3: wide rows (with their image rows) -> products; variants attach by ``parent_sku`` in row
     order; options rebuilt size then color, last UID wins.
 
     Variants are gathered with one aggregation keyed by parent SKU (the
     product's own variant list is the unit of output).
     """
-    images = _images_from_row(len([c for c in rows.columns if re.fullmatch(r"image_\d+", c)]))
+    here = _images_from_row(len([c for c in rows.columns if re.fullmatch(r"image_\d+", c)]))
+    # image rows of one SKU pair, in the order of their numbers
+    more = rows.filter(F.col("type") == "images").groupBy("parent_sku", "sku").agg(F.flatten(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col("name").cast("int").alias("n"), here.alias("i")))), lambda x: x["i"])).alias("_more"))
+    rows = rows.filter(F.col("type").isin("parent", "variant")).join(more, ["parent_sku", "sku"], "left")
+    images = F.concat(here, F.coalesce("_more", F.array().cast(f"array<{IMAGE.simpleString()}>")))
     parents = rows.filter(F.col("type") == "parent")
     var = rows.filter(F.col("type") == "variant").select(
         "parent_sku", F.col(ordinal_col).alias("_o"),

@@ -170,10 +170,10 @@ FROM pages
 """)
 def robots_filter(spark, sf_dir):
     """S5 robots parsing per site, then D2 allow/deny on every page URL."""
-    rules = rule_sets(robots_rules(S.robots_files(spark, sf_dir)))
+    lines = robots_rules(S.robots_files(spark, sf_dir))
+    rules = rule_sets(lines)
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    per = rules.select("origin", "allow", "deny")
-    out = D.apply_robots(pages, per)
+    out = D.apply_robots(pages, lines)
     meta = rules.select(F.col("origin").alias("_o"), "crawl_delay", F.size("sitemaps").alias("n_sitemaps"))
     return out.join(meta, url_origin(out.url) == meta._o, "left").select(
         "page_id", "url", "allowed", "crawl_delay", F.col("n_sitemaps").cast("int").alias("n_sitemaps"))

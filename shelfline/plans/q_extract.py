@@ -68,9 +68,8 @@ def sitemap_urls(spark, sf_dir):
     docs = S.sitemap_docs(spark, sf_dir)
     parsed = parse_sitemaps(docs.select("url", "xml"))
     origins = docs.select("origin").distinct()
-    roots = fallback_roots(origins, parsed).join(origins, "origin", "right")
-    roots = roots.select("origin", F.coalesce("url", F.concat("origin", F.lit("/sitemap.xml"))).alias("url"))
-    return resolve(roots, parsed).distinct()
+    roots = fallback_roots(origins, parsed)
+    return resolve(roots.withColumn("place", F.lit(0)), parsed).select("origin", "url")
 
 
 @query("pagination", """

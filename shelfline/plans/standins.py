@@ -350,3 +350,75 @@ def category_pages(spark, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit('<html><body><a href="/about">a</a><a href="mailto:x@y">m</a>'), F.col("links"), F.coalesce(nxt, F.lit("")),
                     F.lit("</body></html>"))
     return body.select("n", "category", here(F.col("n")).alias("url"), html.alias("html"))
+
+
+SHOP_SIZE = 50
+
+
+def shop_urls(spark, sf_dir: str) -> DataFrame:
+    """A URL for each part, fifty to a shop (origin); shops of four kinds ``k``
+    and five platforms.  Every third part's URL is no product page."""
+    part = read_table(spark, sf_dir, "part").select("p_partkey")
+    shop = F.floor(F.col("p_partkey") / SHOP_SIZE)
+    word = F.element_at(F.array(*map(F.lit, ["/products/", "/product/", "/about/"])), (F.col("p_partkey") % 3 + 1).cast("int"))
+    origin = F.concat(F.lit("https://shop"), shop.cast("string"), F.lit(".example.com"))
+    names = F.array(*map(F.lit, ["generic", "shopify", "magento", "bigcommerce", "woocommerce"]))
+    return part.select("p_partkey", shop.alias("shop"), (shop % 4).alias("k"), origin.alias("origin"),
+                       F.element_at(names, (shop % 5 + 1).cast("int")).alias("platform"),
+                       F.concat(origin, word, F.col("p_partkey").cast("string"), F.lit(".html")).alias("url"))
+
+
+def shop_discovery(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Origins, robots files and sitemaps of ``shop_urls``, by kind of shop:
+    0: robots lists an index of two lists, then a list of all URLs backwards;
+    1: robots lists none, the first common location leads nowhere, the second
+    to a list, a third is not looked at; 2: no robots file; 3: robots lists a
+    sitemap that is not there, and another is not looked at."""
+    urls = shop_urls(spark, sf_dir)
+    origins = urls.select("origin", "platform", "k").distinct()
+    at = lambda path: F.concat("origin", F.lit(path))
+    rules = "User-agent: *\nDisallow: /products/1\nAllow: /products/12\nDisallow: /product/3\n"
+    robots = origins.filter("k <> 2").select("origin", F.when(
+        F.col("k") == 0, F.concat(F.lit(rules + "Sitemap: "), at("/b.xml"), F.lit("\nSitemap: "), at("/a.xml")))
+        .when(F.col("k") == 1, F.lit(rules)).otherwise(F.concat(F.lit("Sitemap: "), at("/gone.xml"))).alias("text"))
+    some = lambda x: F.concat(F.lit("<url><loc>"), x, F.lit("</loc></url>"))
+
+    def listed(of, path, order=F.col("p_partkey")):
+        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), some(F.col("url")).alias("x")))),
+                                        lambda e: e["x"]), "")
+        return of.groupBy("origin").agg(body.alias("b")).select(
+            at(path).alias("url"), F.concat(F.lit("<urlset>"), F.col("b"), F.lit("</urlset>")).alias("xml"))
+
+    def index(kind, path, *kids):
+        child = F.concat(*[F.concat(F.lit("<sitemap><loc>"), at(x), F.lit("</loc></sitemap>")) for x in kids])
+        return origins.filter(f"k = {kind}").select(at(path).alias("url"), F.concat(F.lit("<sitemapindex>"), child, F.lit("</sitemapindex>")).alias("xml"))
+    k = lambda n: urls.filter(f"k = {n}")
+    docs = [index(0, "/b.xml", "/b0.xml", "/b1.xml"), listed(k(0).filter("p_partkey % 2 = 0"), "/b0.xml"),
+            listed(k(0).filter("p_partkey % 2 = 1 AND p_partkey % 7 = 0"), "/b1.xml"), listed(k(0), "/a.xml", -F.col("p_partkey")),
+            index(1, "/sitemap.xml", "/gone.xml"), index(1, "/sitemap_index.xml", "/all.xml", "/sitemap_index.xml"),
+            listed(k(1), "/all.xml"), listed(k(1).withColumn("url", F.concat("url", F.lit("?unused"))), "/sitemap-products.xml"),
+            listed(k(2), "/product-sitemap.xml"), listed(k(3), "/sitemap.xml")]
+    sitemaps = docs[0]
+    for d in docs[1:]:
+        sitemaps = sitemaps.unionByName(d)
+    return origins.select("origin", "platform"), robots, sitemaps
+
+
+def troubled_pages(spark, sf_dir: str) -> DataFrame:
+    """A page for each part, in eight turns: sale price; soft 404 by title;
+    soft 404 by text; no name; unknown availability; a URL without a valid
+    path; only a sale price; neither name nor SKU."""
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    k, n = F.col("p_partkey") % 8, F.col("p_partkey").cast("string")
+    price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    has = lambda cond, *text: F.when(cond, F.concat(*[F.lit(t) if isinstance(t, str) else t for t in text])).otherwise(F.lit(""))
+    html = F.concat(
+        F.lit("<html><head><title>"), F.when(k == 1, F.lit("Error 404")).otherwise(F.lit("Shop")), F.lit("</title></head><body>"),
+        has(~k.isin(3, 7), '<h1 class="product-name">', F.col("p_name"), "</h1>"),
+        has(k != 7, '<span class="sku">S-', n, "</span>"),
+        has(~k.isin(6), '<span itemprop="price">$', price, "</span>"),
+        has(k.isin(0, 6), '<span class="was-price">$1', price, "</span>"),
+        has(k == 4, '<span class="stock-status">Perhaps</span>'), has(k == 2, "<p>Sorry, Page Not Found.</p>"),
+        F.lit("</body></html>"))
+    path = F.when(k == 5, F.repeat(F.lit("a"), 1000)).otherwise(F.lit("item"))
+    return part.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit(STORE + "/"), path, F.lit("/"), n).alias("url"), html.alias("html"))

@@ -93,7 +93,7 @@ def test_deep_and_circular_sitemaps(spark):
     index = lambda *u: "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in u) + "</sitemapindex>"
     docs = [(f"d{i}", index(f"d{i + 1}", "d0")) for i in range(6)] + [("d6", "<urlset><url><loc> u </loc></url></urlset>"), ("bad", "<x")]
     parsed = parse_sitemaps(spark.createDataFrame(docs, "url string, xml string"))
-    got = resolve(spark.createDataFrame([("o", "d0"), ("o", "bad")], "origin string, url string"), parsed).collect()
+    got = resolve(spark.createDataFrame([("o", "d0", 0), ("o", "bad", 1)], "origin string, url string, place int"), parsed).collect()
     assert [(r.origin, r.url) for r in got] == [("o", "u")]
 
 
