@@ -23,8 +23,10 @@ are turns of their own; null conversation ids form one conversation; text in
 parts is its parts, a line each, parts that are not text as JSON; a record that
 no mapping fits, or whose list of messages is empty, has no turns (``layout``
 null in ``canonical_turns``) and is handed back by ``unmapped_records`` and
-counted by ``unmapped_counts``; extra columns are ignored; an empty table
-gives no rows.
+counted by ``unmapped_counts``, and so is one that is no JSON or nested deeper
+than the JSON parser goes; a turn that is no 64-bit integer orders like a null
+one; a half of a surrogate pair becomes U+FFFD; ids keep their type; extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, combinations
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,15 +73,24 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 
 def paths(value, at: str = "") -> set[str]:
     """Nested field paths of a JSON value; array elements are ``[]``."""
-    if isinstance(value, dict):
-        return set(chain.from_iterable(paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) or {at}
-    if isinstance(value, list):
-        return set(chain.from_iterable(paths(v, f"{at}[]") for v in value)) or {f"{at}[]"}
-    return {at}
+    found: set[str] = set()
+    todo = [(value, at)]
+    while todo:  # a list, not calls: a record may be nested to any depth
+        v, here = todo.pop()
+        inner = [(x, f"{here}.{k}" if here else k) for k, x in v.items()] if isinstance(v, dict) \
+            else [(x, f"{here}[]") for x in v] if isinstance(v, list) else []
+        if inner:
+            todo += inner
+        else:
+            found.add(f"{here}[]" if isinstance(v, list) else here)
+    return found
 
 
 def fingerprint(found: set[str]) -> str:
-    return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest()
+    return hashlib.md5("\n".join(sorted(found)).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+_HALF = re.compile("[\ud800-\udfff]")
 
 
 _KNOWN = {p for m in MAPPINGS for p in [*m["need"], *m["may"]]}
@@ -118,7 +129,9 @@ def turns_of(record) -> tuple[str | None, str, list[tuple[int | None, str, str]]
     out: list[tuple[int | None, str, str]] = []
     if "row" in m:
         role, text, order = m["row"]
-        return m["name"], mark, [(record.get(order), name(record[role]), _say(record[text]))]
+        turn = record.get(order)
+        fits = isinstance(turn, int) and not isinstance(turn, bool) and abs(turn) < 1 << 63
+        return m["name"], mark, [(turn if fits else None, name(record[role]), _say(record[text]))]
     before = [(r, p) for r, p in m.get("fixed", [])]
     for role, where in before:
         texts = [_say(record.get(p)) for p in ((where,) if isinstance(where, str) else where)]
@@ -156,44 +169,52 @@ def read_turn(formatted: str) -> tuple[str, str]:
 
 def _read(raw: str | None) -> tuple[str | None, str, list[tuple[int | None, str, str]]]:
     try:
-        record = json.loads(raw) if raw is not None else None
-    except ValueError:
-        record = None
-    return turns_of(record)
+        layout, mark, turns = turns_of(json.loads(raw) if raw is not None else None)
+    except (ValueError, RecursionError):  # no JSON, or nested deeper than the parser goes
+        return None, fingerprint(set()), []
+    # a half of a surrogate pair is no character: it becomes U+FFFD
+    return layout, mark, [(o, _HALF.sub("\ufffd", r), _HALF.sub("\ufffd", t)) for o, r, t in turns]
 
 
-_TURN = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("place", pa.int64()), ("layout", pa.string()),
-                   ("fingerprint", pa.string()), ("role", pa.string()), ("text", pa.string())])
+_TURN = pa.schema([("turn", pa.int64()), ("place", pa.int64()), ("layout", pa.string()), ("fingerprint", pa.string()),
+                   ("role", pa.string()), ("text", pa.string())])
 
 
 def canonical_turns(records: DataFrame, id_col: str = "conv_id", json_col: str = "record") -> DataFrame:
     """``conv_id, turn, place, layout, fingerprint, role, text`` of JSON records; a
     record without a mapping gives one row whose ``layout`` is null."""
+    kind = records.schema[id_col].dataType.simpleString()
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             out: list[tuple] = []
-            for conv, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            of: list[int] = []
+            for at, raw in enumerate(batch.column(1).to_pylist()):
                 layout, mark, turns = _read(raw)
-                out.extend((conv, o, k, layout, mark, r, t) for k, (o, r, t) in enumerate(turns))
+                rows = [(o, k, layout, mark, r, t) for k, (o, r, t) in enumerate(turns)]
                 if layout is None:
-                    out.append((conv, None, 0, None, mark, None, None))
+                    rows = [(None, 0, None, mark, None, None)]
+                out += rows
+                of += [at] * len(rows)
             cols = list(zip(*out)) if out else [[]] * len(_TURN)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _TURN)], schema=_TURN)
-    return records.select(F.col(id_col).cast("long").alias("conv_id"), F.col(json_col).alias("record")).mapInArrow(
-        run, "conv_id bigint, turn bigint, place bigint, layout string, fingerprint string, role string, text string")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())),
+                                              *[pa.array(c, f.type) for c, f in zip(cols, _TURN)]], ["conv_id", *_TURN.names])
+    return records.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("record")).mapInArrow(
+        run, f"conv_id {kind}, turn bigint, place bigint, layout string, fingerprint string, role string, text string")
 
 
 def unmapped_records(records: DataFrame, id_col: str = "conv_id", json_col: str = "record") -> DataFrame:
     """``conv_id, record, fingerprint``: the records that have no turns, as they are."""
+    kind = records.schema[id_col].dataType.simpleString()
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            read = [_read(raw) for _, raw in rows]
-            out = [(conv, raw, mark) for (conv, raw), (layout, mark, _) in zip(rows, read) if layout is None]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                zip(*out) if out else [[]] * 3, (pa.int64(), pa.string(), pa.string()))], ["conv_id", "record", "fingerprint"])
-    return records.select(F.col(id_col).cast("long").alias("conv_id"), F.col(json_col).alias("record")) \
-        .mapInArrow(run, "conv_id bigint, record string, fingerprint string")
+            read = [_read(raw) for raw in batch.column(1).to_pylist()]
+            of = [at for at, (layout, _, _) in enumerate(read) if layout is None]
+            some = batch.take(pa.array(of, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array([read[at][1] for at in of], pa.string())], ["conv_id", "record", "fingerprint"])
+    return records.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("record")) \
+        .mapInArrow(run, f"conv_id {kind}, record string, fingerprint string")
 
 
 def unmapped_counts(unmapped: DataFrame) -> DataFrame:
@@ -204,6 +225,8 @@ def unmapped_counts(unmapped: DataFrame) -> DataFrame:
 def formatted_turns(turns: DataFrame) -> DataFrame:
     """``conv_id, turn, place, formatted, loss_start, loss_length``: a turn's part of the
     formatted conversation and the span in it that bears loss (assistant texts)."""
+    kind = turns.schema["conv_id"].dataType.simpleString()
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             roles, texts = batch.column(3).to_pylist(), batch.column(4).to_pylist()
@@ -214,22 +237,30 @@ def formatted_turns(turns: DataFrame) -> DataFrame:
                  pa.array([x[0] for x in loss], pa.int64()), pa.array([x[1] for x in loss], pa.int64())],
                 ["conv_id", "turn", "place", "formatted", "loss_start", "loss_length"])
     return turns.filter(F.col("layout").isNotNull()).select("conv_id", "turn", "place", "role", "text").mapInArrow(
-        run, "conv_id bigint, turn bigint, place bigint, formatted string, loss_start bigint, loss_length bigint")
+        run, f"conv_id {kind}, turn bigint, place bigint, formatted string, loss_start bigint, loss_length bigint")
 
 
-_DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
+_DIGEST = pa.schema([("n_turns", pa.int64()), ("turns_sha256", pa.string()),
                      ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
 def conversation_digest(formatted: DataFrame) -> DataFrame:
     """One row for each conversation, read back from its formatted turns."""
+    kind = formatted.schema["conv_id"].dataType.simpleString()
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None
+        state = id_type = None
         rows: list[tuple] = []
 
         def close():
             rows.append((state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5]))
+
+        def frame():
+            columns = list(zip(*rows))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], id_type), *[pa.array(c, f.type) for c, f in zip(columns[1:], _DIGEST)]],
+                                              ["conv_id", *_DIGEST.names])
         for batch in it:
+            id_type = batch.schema.field(0).type
             for conv, text, start, length in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5))):
                 if state is None or state[0] != conv:
                     if state is not None:
@@ -244,12 +275,12 @@ def conversation_digest(formatted: DataFrame) -> DataFrame:
                     state[4].update(lossy.encode())
                 state[5] += len(text)
             if len(rows) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _DIGEST)], schema=_DIGEST)
+                yield frame()
                 rows.clear()
         if state is not None:
             close()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _DIGEST)], schema=_DIGEST)
+            yield frame()
     # equal role and text give equal formatted turns, and their order is the order of (role, text)
     order = ["conv_id", F.col("turn").asc_nulls_last(), "place", "_role", "_text"]
     head = F.split_part("formatted", F.lit("\n"), F.lit(1))
@@ -257,4 +288,4 @@ def conversation_digest(formatted: DataFrame) -> DataFrame:
         F.col("formatted"), F.length(head) + 1, F.length("formatted"))) \
         .repartition("conv_id").sortWithinPartitions(*order)
     return sorted_.select("conv_id", "turn", "place", "formatted", "loss_start", "loss_length").mapInArrow(
-        run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+        run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

@@ -122,3 +122,13 @@ def arrow_groups(batch_iter, key: int = 0) -> Iterator[pa.Table]:
             held.append(batch.slice(lo, hi - lo))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def by_bytes(batch_iter, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Record batches cut so that ``column`` (strings or binaries) has about ``most`` bytes in each."""
+    for batch in batch_iter:
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // most
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield batch.slice(lo, hi - lo)

@@ -4,15 +4,16 @@ Base rules look at one text: words, symbols, repeated lines and words in
 repeated windows of five.  The line rule looks across documents: lines are
 normalised (white space runs to one blank, lower case) and hashed, and the
 documents of each host that hold a line are counted.  A line held by more
-than ``max(min_docs, max_share * documents of the host)`` documents is
-boilerplate and removed; a document is depleted, and rejected, when the rest
+than ``max(min_docs, min(max_docs, max_share * documents of the host))``
+documents is boilerplate and removed: a share of small hosts, a fixed number of
+documents on large ones; a document is depleted, and rejected, when the rest
 has fewer than ``min_words`` words or less than ``min_left`` of its words.
 
 The texts are read once; what the rules need (counts, and a hash and a word
 count for each line) is written as a narrow table.  Counting combines before
 its shuffle and a document counts a line once, so a line that is everywhere
-costs one row a task.  A host has at most (lines per document / max_share)
-boilerplate lines, which meet its documents as one array.
+costs one row a task.  Boilerplate lines meet the lines of the documents in a
+join on host and hash.
 
 Defined results: null text has no words and no lines; the null host is a host
 like any other; repeated rows are documents of their own; null ids are kept;
@@ -31,6 +32,7 @@ WINDOW = 5
 MAX_REPEAT_PERCENT = 20
 MIN_DOCS = 10
 MAX_SHARE = 0.05
+MAX_DOCS = 20
 MIN_LEFT = 0.5
 SYMBOLS = "#*$%&|<>"
 _WS = "[\\x20\\x09-\\x0D]+"
@@ -76,21 +78,25 @@ def base_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-               min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_words: int = MIN_WORDS,
+               min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS,
                min_left: float = MIN_LEFT) -> DataFrame:
     """One row for each document: the base counts, ``base_failed``,
     ``words_left`` (without boilerplate lines) and ``kept``."""
-    each = stored(base_metrics(docs, id_col, text_col, host_col), "lines")
+    metrics = base_metrics(docs, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id())
+    each = stored(metrics, "lines")
     hosts = each.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
     held = each.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")) \
         .groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs)
     often = held.alias("l").join(hosts.alias("o"), F.col("l.host").eqNullSafe(F.col("o.host"))) \
-        .filter(F.col("n") > F.col("n_docs") * max_share)
-    often = stored(often.groupBy(F.col("l.host").alias("_host")).agg(F.collect_list("h").alias("often")), "often")
-    removed = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.when(
-        F.array_contains("often", x["h"]), x["words"]).otherwise(0))
-    out = each.join(often, F.col("host").eqNullSafe(F.col("_host")), "left")
-    out = out.withColumn("words_left", F.col("n_words") - F.when(F.col("often").isNull(), 0).otherwise(removed))
+        .filter((F.col("n") > max_docs) | (F.col("n") > F.col("n_docs") * max_share)) \
+        .select(F.col("l.host").alias("_host"), F.col("h").alias("_h"))
+    often = stored(often, "often")
+    # words in boilerplate lines, by document; only rows with such a line go on to the sum
+    line = each.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.*")
+    gone = line.join(often, (F.col("h") == F.col("_h")) & F.col("host").eqNullSafe(F.col("_host"))) \
+        .groupBy(F.col("row").alias("_row")).agg(F.sum("words").alias("gone"))
+    out = each.join(gone, F.col("row") == F.col("_row"), "left")
+    out = out.withColumn("words_left", F.col("n_words") - F.coalesce("gone", F.lit(0)))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     depleted = (F.col("words_left") < min_words) | (F.col("words_left") < F.col("n_words") * min_left)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

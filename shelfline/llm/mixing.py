@@ -68,28 +68,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     return s.select("source", "source_size", F.least("limit", F.col("weight") * level).alias("target"))
 
 
-def mix_plan(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source",
-             weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, importance: Column | None = None,
-             seed: str = "") -> DataFrame:
-    """One row for each document: ``doc_id, source, size, source_size, target,
-    copies`` and ``taken`` (its words in the mix, copies counted)."""
-    wide = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"),
-                       (F.lit(1.0) if importance is None else importance.cast("double")).alias("importance"))
-    each = stored(wide, "sizes")
+def _ranked(each: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``each(source, size, importance, key, ...)`` with the Pareto rank of every
+    row, the sources' targets, and the bin in which each source's sample ends."""
     sums = each.groupBy("source").agg(F.sum("size").alias("source_size"),
                                       F.sum(F.col("size") * F.col("importance")).alias("heavy"))
     targets = source_targets(sums.select("source", "source_size"), weights, max_repeats).alias("t") \
         .join(sums.alias("m"), F.col("t.source").eqNullSafe(F.col("m.source"))) \
         .select(F.col("t.source").alias("_source"), F.col("t.source_size").alias("source_size"), "target", "heavy")
     targets = stored(targets, "targets")
-    fraction = F.when(F.col("heavy") > 0, F.col("target") / F.col("heavy") * F.col("importance")).otherwise(F.lit(0.0))
-    one = each.join(targets, F.col("source").eqNullSafe(F.col("_source"))) \
-        .withColumn("expected", F.least(fraction, F.lit(float(max_repeats)))) \
-        .withColumn("whole", F.floor("expected")) \
-        .withColumn("p", F.col("expected") - F.col("whole")) \
-        .withColumn("u", uniform(F.col("doc_id"), seed)) \
-        .withColumn("rank", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))) \
-        .withColumn("bin", F.floor(F.col("rank") / (F.col("rank") + 1) * BINS))
+    one = _rank(each.join(targets, F.col("source").eqNullSafe(F.col("_source"))), max_repeats, seed)
     # words that the sample of each source must give, and the bin in which it ends
     rows = one.groupBy("_source", "bin").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("sure"),
                                              F.first("target").alias("target"))
@@ -105,25 +93,69 @@ def mix_plan(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col:
                 | ((F.col("need") > F.col("sample")) & (F.col("bin") == F.col("last_bin")))) \
         .select(F.col("_source").alias("_cut_source"), F.col("bin").alias("end_bin"), "need", "before")
     cut = stored(cut, "cuts")
-    # a source that needs more than its sample ends in its last bin, which it takes whole
-    joined = one.join(cut, F.col("_source").eqNullSafe(F.col("_cut_source")), "left")
-    inside = Window.partitionBy("_source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    final = joined.filter("bin = end_bin") \
+    return one, targets, cut
+
+
+def _rank(rows: DataFrame, max_repeats: int, seed: str) -> DataFrame:
+    """Adds expected and certain copies, the rank and its bin to rows with their source's ``target`` and ``heavy``."""
+    fraction = F.when(F.col("heavy") > 0, F.col("target") / F.col("heavy") * F.col("importance")).otherwise(F.lit(0.0))
+    return rows.withColumn("expected", F.least(fraction, F.lit(float(max_repeats)))) \
+        .withColumn("whole", F.floor("expected")) \
+        .withColumn("p", F.col("expected") - F.col("whole")) \
+        .withColumn("u", uniform(F.col("key"), seed)) \
+        .withColumn("rank", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))) \
+        .withColumn("bin", F.floor(F.col("rank") / (F.col("rank") + 1) * BINS))
+
+
+def _last_bin(one: DataFrame, cut: DataFrame) -> DataFrame:
+    """The rows of the bins in which samples end, ``extra`` = 1 for those taken."""
+    inside = Window.partitionBy("_source").orderBy("rank", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    return one.join(cut, F.col("_source").eqNullSafe(F.col("_cut_source"))).filter("bin = end_bin") \
         .withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))) \
         .withColumn("extra", (F.col("ahead") * 2 + F.col("size") <= F.col("need") * 2).cast("long"))
+
+
+def mix_plan(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source",
+             weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, importance: Column | None = None,
+             seed: str = "") -> DataFrame:
+    """One row for each document: ``doc_id, source, size, source_size, target,
+    copies`` and ``taken`` (its words in the mix, copies counted)."""
+    wide = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"),
+                       (F.lit(1.0) if importance is None else importance.cast("double")).alias("importance"),
+                       F.col(id_col).cast("string").alias("key"), F.lit(0).cast("long").alias("row"))
+    one, _, cut = _ranked(stored(wide, "sizes"), weights, max_repeats, seed)
+    # a source that needs more than its sample ends in its last bin, which it takes whole
+    joined = one.join(cut, F.col("_source").eqNullSafe(F.col("_cut_source")), "left")
     rest = joined.filter("bin is null or end_bin is null or bin <> end_bin") \
         .withColumn("extra", F.when(F.col("bin") < F.col("end_bin"), 1).otherwise(0).cast("long"))
     cols = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies")]
-    out = final.select(*cols).unionByName(rest.select(*cols))
+    out = _last_bin(one, cut).select(*cols).unionByName(rest.select(*cols))
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", **options) -> DataFrame:
+def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
+        max_repeats: int = MAX_REPEATS, importance: Column | None = None, seed: str = "") -> DataFrame:
     """The mixed documents themselves: each row as often as the mix takes it.
-    Rows of documents without words are not taken."""
-    plan = mix_plan(docs, size, id_col, **options).filter("taken > 0") \
-        .groupBy(F.col("doc_id").alias("plan_id")).agg(F.max("copies").alias("copies"))
-    rows = docs.filter(size > 0).select(F.struct("*").alias("doc"), F.col(id_col).alias("row_id"))
-    out = rows.join(plan, F.col("row_id").eqNullSafe(F.col("plan_id"))) \
-        .select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select("doc.*")
+    Rows of documents without words are not taken.
+
+    The sample of a source is the rows up to its last one in Pareto order, so a
+    row's copies follow from the row and one row of its source: texts are
+    stored once, with row numbers, and not joined or shuffled.  Rows are told
+    apart by their number: rows of equal ids are taken one by one, and rows
+    without an id have random numbers of their own.
+    """
+    name = F.col(id_col).cast("string")
+    row = F.monotonically_increasing_id()
+    rows = stored(docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"),
+                              (F.lit(1.0) if importance is None else importance.cast("double")).alias("importance"), row.alias("row"),
+                              F.coalesce(name, F.concat(F.lit("null "), row.cast("string"))).alias("key")), "rows")
+    one, targets, cut = _ranked(rows.drop("doc"), weights, max_repeats, seed)
+    place = F.struct("rank", "doc_id", "size", "row")
+    last = _last_bin(one, cut).filter("extra = 1").groupBy(F.col("_source").alias("_last_source")).agg(F.max(place).alias("last"))
+    ends = targets.join(cut, F.col("_source").eqNullSafe(F.col("_cut_source")), "left") \
+        .join(last, F.col("_source").eqNullSafe(F.col("_last_source")), "left").select("_source", "target", "heavy", "end_bin", "last")
+    ends = stored(ends, "ends")  # one row a source
+    ranked = _rank(rows.join(ends, F.col("source").eqNullSafe(F.col("_source"))), max_repeats, seed)
+    extra = F.when(F.col("bin") < F.col("end_bin"), 1).when((F.col("bin") == F.col("end_bin")) & (place <= F.col("last")), 1).otherwise(0)
+    out = ranked.filter("size > 0").select("doc", (F.col("whole") + extra).cast("int").alias("copies")).filter("copies > 0")
+    return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

@@ -35,7 +35,7 @@ MAX_SEGMENTS = 128
 END_ID = 2
 POOL = 2048
 #: Words a worker remembers in each of two generations.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 60_000
 
 
 class WordTokenizer:

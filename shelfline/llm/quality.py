@@ -8,12 +8,15 @@ weighs the passages of a document, and the weighted mean is scored.  Only
 document labels train it: the attention learns which passages tell.
 
 Fitting uses a bounded sample of labelled rows (``sample``, drawn by the hash
-of the id); scoring reads each text once, without a shuffle.
+of the id) and of each at most ``SAMPLE_PASSAGES`` passages, drawn by the hash of
+their number, so the driver holds a bounded set of vectors; scoring reads each
+whole text once, without a shuffle.
 
 Defined results: null and empty texts are one passage without words; null ids
 and rows without a label are scored but not learned from; of several labels of
-an id the largest counts; without any label the score is 0.5, with one class
-only the model learns that class; extra columns are kept by ``score``; an
+an id the largest counts, of several texts the one whose vectors are smallest
+as bytes; without any label the score is 0.5, with one class only the model
+learns that class; extra columns are kept by ``score``, whatever their names; an
 empty table gives no rows.
 """
 
@@ -27,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_bytes
 from .suffixes import _BASE, _power_tables
 
 PASSAGE_WORDS = 64
-#: Labelled documents that a fit reads.
+#: Labelled documents that a fit reads, and passages of each.
 SAMPLE = 4000
+SAMPLE_PASSAGES = 16
 HASHED = 96
 HIDDEN = 24
 EPOCHS = 40
@@ -161,6 +166,15 @@ class AttentionModel:
                 "c": z.T @ dy, "d": np.array([dy.sum()])}
 
 
+def drawn_passages(x: np.ndarray, most: int = SAMPLE_PASSAGES) -> np.ndarray:
+    """At most ``most`` of the passages, those whose numbers have the smallest hashes."""
+    if len(x) <= most:
+        return x
+    mixed = np.arange(1, len(x) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    return x[np.sort(np.argsort(mixed * np.uint64(0xD6E8FEB86659FD93), kind="stable")[:most])]
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn_from, label_col: str = "quality", id_col: str = "doc_id",
         text_col: str = "text", sample: int = SAMPLE) -> AttentionModel:
     """Model of ``labels`` (``id_col``, ``label_col``) learned from documents
@@ -176,26 +190,28 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, label_col: str = "qualit
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            x = [passages(t.as_py()).astype(np.float16).tobytes() for t in batch.column(2)]
+            x = [drawn_passages(passages(t.as_py())).astype(np.float16).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())],
                                              ["id", "label", "x"])
     one = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")) \
         .join(F.broadcast(drawn), F.col("doc") == F.col("_id")) \
         .select(F.col("_id").cast("string").alias("id"), F.col("_label").cast("double").alias("label"), "text")
-    rows = one.mapInArrow(encode, "id string, label double, x binary").dropDuplicates(["id"]).limit(sample).collect()
+    rows = one.mapInArrow(encode, "id string, label double, x binary") \
+        .groupBy("id").agg(F.max("label").alias("label"), F.min("x").alias("x")).collect()  # at most ``sample`` rows
     rows.sort(key=lambda r: r["id"])
     bags = [np.frombuffer(r["x"], np.float16).reshape(-1, WIDTH).astype(np.float64) for r in rows]
     return AttentionModel().fit(bags, np.array([r["label"] for r in rows]))
 
 
 def score(docs: DataFrame, model: AttentionModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with ``score_col``: the probability of label 1 of the whole text."""
-    if score_col in docs.columns:
-        docs = docs.drop(score_col)
+    """``docs`` and, as the last column, the probability of label 1 of the whole
+    text: ``score_col``, with underscores added where the input has that name."""
+    while score_col in docs.columns:
+        score_col += "_"
     at = docs.columns.index(text_col)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in by_bytes(it, at):
             out: list[np.ndarray] = []
             bags: list[np.ndarray] = []
             held = 0

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from . import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,7 +17,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            ship_package(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if oracle:
             ORACLES[name] = oracle
         return fn
@@ -81,7 +87,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_suffix_repeats")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of each document without its 400-byte repeats."""
+    """What is left of each document without its 400-byte repeats; the kept text last."""
     from .suffixes import repeat_digest
     return repeat_digest(table(spark, sf_dir, "documents"), min_len=400)
 
@@ -136,7 +142,7 @@ often AS (
   SELECT r.host, r.norm
   FROM (SELECT host, norm, count(DISTINCT rid) AS n FROM raw GROUP BY host, norm) r
   JOIN hosts h ON r.host IS NOT DISTINCT FROM h.host
-  WHERE r.n > 10 AND r.n > h.n_docs * 0.05::DOUBLE),
+  WHERE r.n > 10 AND (r.n > 20 OR r.n > h.n_docs * 0.05::DOUBLE)),
 gone AS (
   SELECT r.rid, sum(len(string_split(r.norm, ' '))) AS n_gone
   FROM raw r JOIN often o ON r.host IS NOT DISTINCT FROM o.host AND r.norm = o.norm GROUP BY r.rid),
@@ -170,6 +176,73 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digest(chat.formatted_turns(chat.canonical_turns(records)))
 
 
+def _layouts(turns: DataFrame) -> DataFrame:
+    """``(conv_id, layout, record)``: every conversation in ten layouts of JSON; those that
+    hold one exchange have it for each user turn that an assistant turn follows."""
+    turns = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    record = lambda layout, **f: (F.lit(layout).alias("layout"), F.to_json(F.struct(*[c.alias(k) for k, c in f.items()])).alias("record"))
+    said = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    whole = turns.groupBy("conv_id").agg(said.alias("t"))
+    each = lambda role, text: F.transform("t", lambda x: F.struct(x["role"].alias(role), x["text"].alias(text)))
+    lists = [whole.select("conv_id", *record(name, **{array: each(role, text)})) for name, array, role, text in (
+        ("messages", "messages", "role", "content"), ("conversations", "conversations", "from", "value"),
+        ("conversations_content", "conversations", "role", "content"), ("messages_value", "messages", "from", "value"))]
+    pairs = whole.select("conv_id", F.explode(F.filter(F.transform("t", lambda x, i: F.struct(
+        x["role"].alias("r"), x["text"].alias("q"), F.get("t", i + 1)["role"].alias("r2"), F.get("t", i + 1)["text"].alias("a"))),
+        lambda x: (x["r"] == "user") & (x["r2"] == "assistant"))).alias("x"))
+    q, a = F.col("x.q"), F.col("x.a")
+    ones = [pairs.select("conv_id", *record(name, **{ask: q, reply: a})) for name, ask, reply in (
+        ("instruction", "instruction", "output"), ("instruction_response", "instruction", "response"), ("prompt_response", "prompt", "response"),
+        ("prompt_completion", "prompt", "completion"), ("question_answer", "question", "answer"))]
+    rows = turns.select("conv_id", *record("turn_row", role=F.col("role"), text=F.col("text"), turn=F.col("turn")))
+    return functools.reduce(DataFrame.unionByName, [*lists, *ones, rows])
+
+
+LAYOUTS_SQL = """
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text,
+             lead(role) OVER w AS role2, lead(coalesce(text, '')) OVER w AS text2
+           FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, coalesce(text, ''))),
+layouts AS (SELECT unnest(['messages', 'conversations', 'conversations_content', 'messages_value', 'turn_row']) AS layout),
+pairs AS (SELECT unnest(['instruction', 'instruction_response', 'prompt_response', 'prompt_completion', 'question_answer']) AS layout),
+said AS (SELECT conv_id, layout, role, text FROM t, layouts
+         UNION ALL SELECT conv_id, layout, role, text FROM t, pairs WHERE role = 'user' AND role2 = 'assistant'
+         UNION ALL SELECT conv_id, layout, role2, text2 FROM t, pairs WHERE role = 'user' AND role2 = 'assistant')
+SELECT conv_id, layout, count(*)::BIGINT AS n_turns, count(*) FILTER (WHERE role = 'assistant')::BIGINT AS n_loss,
+       sum(length(text))::BIGINT AS n_chars, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars
+FROM said GROUP BY conv_id, layout"""
+
+
+@query("chat_layouts", LAYOUTS_SQL)
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in ten layouts: the mapping that the fingerprint selects
+    for each record, its turns, formatted and read back."""
+    from . import chat
+    records = _layouts(table(spark, sf_dir, "conversations")).select("conv_id", "record")
+    turns = chat.canonical_turns(records)
+    bears = F.col("role") == "assistant"
+    return turns.groupBy("conv_id", "layout").agg(
+        F.count(F.lit(1)).alias("n_turns"), F.count_if(bears).alias("n_loss"), F.sum(F.length("text")).alias("n_chars"),
+        F.coalesce(F.sum(F.when(bears, F.length("text"))), F.lit(0)).alias("loss_chars"))
+
+
+@query("chat_packed")
+def chat_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted turns of all conversations packed under three limits: 2,048
+    tokens, 12 segments and 512 loss-bearing tokens (assistant turns) a sequence."""
+    from public_tokenizers import path
+
+    from . import chat
+    from .packing import pack
+    rows = table(spark, sf_dir, "conversations")
+    records = rows.select("conv_id", F.to_json(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")),
+                                               {"ignoreNullFields": "false"}).alias("record"))
+    turns = chat.formatted_turns(chat.canonical_turns(records)).withColumn("bears", F.col("loss_start").isNotNull()) \
+        .withColumn("turn_id", F.struct("conv_id", "turn", "place", "bears"))
+    pieces = pack(turns, path("word_bpe_49k.json"), id_col="turn_id", text_col="formatted", loss_col="bears",
+                  max_tokens=2048, max_segments=12, max_loss=512)
+    return pieces.select("doc_id.*", "start", "length", "doc_tokens", "sequence_id", "offset")
+
+
 @query("op9_trie_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and unigram tokens of every document."""

@@ -1,6 +1,6 @@
 """Jaccard join of documents' shingle sets with R-trees over count vectors.
 
-A document is the set of its distinct word shingles (64-bit XXH64 each).  The
+A document is the set of its distinct word shingles (64-bit hashes).  The
 tokens of a set are hashed into ``GROUPS`` groups, and the numbers of its
 tokens in the groups are a point.  Of two sets no more tokens can be equal than
 the sum of the smaller coordinates of their points, and of a set and any set
@@ -54,19 +54,37 @@ PART_TOKENS = 2_000_000
 FANOUT = 16
 
 
+#: Words whose hashes a worker remembers.
+CACHE_WORDS = 100_000
+_words: dict[bytes, int] = {}
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hash(word: bytes) -> int:
+    if len(_words) >= CACHE_WORDS:
+        _words.clear()
+    _words[word] = found = xxhash.xxh64_intdigest(word)
+    return found
+
+
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of the lower-cased (A-Z) ``text``."""
+    """Sorted distinct hashes of the word shingles of the lower-cased (A-Z)
+    ``text``: the words' XXH64, chained in order and mixed."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(joined)], np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[:-shingle].tolist()]
-    stops = (ends[shingle - 1:] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, stops)), np.uint64, len(stops)))
+    known = _words.get
+    each = [known(w) for w in words]
+    if None in each:
+        each = [_hash(w) if h is None else h for w, h in zip(words, each)]
+    each = np.array(each, np.uint64)
+    size = min(shingle, len(each))
+    n = len(each) - size + 1
+    h = np.full(n, size, np.uint64)
+    for k in range(size):
+        h = (h ^ (h >> np.uint64(29))) * _STEP + each[k:k + n]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(h ^ (h >> np.uint64(29)))
 
 
 def _cells(tokens: np.ndarray) -> np.ndarray:
@@ -80,8 +98,12 @@ def rarity(docs: DataFrame, shingle: int, text_col: str) -> np.ndarray:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in it:
-            for text in batch.column(0):
-                np.add.at(total, _cells(shingle_set(text.as_py(), shingle)), 1)
+            held: list[np.ndarray] = []
+            for at, text in enumerate(batch.column(0)):
+                held.append(_cells(shingle_set(text.as_py(), shingle)))
+                if len(held) == 500 or at + 1 == batch.num_rows:
+                    total += np.bincount(np.concatenate(held), minlength=CELLS)
+                    held = []
         for at in range(0, CELLS, chunk):
             if total[at:at + chunk].any():
                 yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total[at:at + chunk].tobytes()])], ["at", "n"])

@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, components, sorted_groups, stored
+from .common import arrow_groups, batches, components, stored
 
 SEGMENTS = 4
 SEED = 42
@@ -159,16 +159,18 @@ def links(fps: DataFrame, max_bits: int = 3, bucket_rows: int = BUCKET_ROWS) ->
     rows = rows.select("fp", "start", F.explode(split).alias("part"), "value") \
         .withColumn("bucket", F.xxhash64("start", "value", "part")) \
         .select("fp", "start", "value", "part", "bucket")
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "start", "value", "part") \
-        .select("fp", "start", F.concat_ws("/", "start", "value", "part").alias("key"))
+    # comparing takes longer than moving: as many tasks as the session has for a shuffle, not fewer for few bytes
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "start", "value", "part") \
+        .select(F.concat_ws("/", "start", "value", "part").alias("key"), "fp", "start")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for _, group in sorted_groups(it, "key"):
-            if len(group) < 2:
+        for group in arrow_groups(it):
+            if group.num_rows < 2:
                 continue
-            own = np.unique(np.array([r["fp"] for r in group], np.int64)).view(np.uint64)
-            x, y = _forest(len(own), *ring_links(own, group[0]["start"], max_bits))
+            own = np.unique(group.column("fp").to_numpy()).view(np.uint64)
+            x, y = _forest(len(own), *ring_links(own, group.column("start")[0].as_py(), max_bits))
             signed = own.view(np.int64)
             a += signed[x].tolist()
             b += signed[y].tolist()
@@ -195,13 +197,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col
                                       "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """``docs`` with one document of each component: the one with its smallest
-    id.  Rows that share an id count as one document and one of them stays;
-    rows without an id stay."""
-    comp = near_duplicates(docs, shingle, max_bits)
-    kept = comp.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("row_id"))
-    nth = F.row_number().over(Window.partitionBy("row_id").orderBy("row_id"))
-    out = rows.join(kept, F.col("row_id") == F.col("kept_id"), "left_semi").withColumn("nth", nth).filter("nth = 1")
-    return out.select("doc.*").unionByName(docs.filter("doc_id is null"))
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the one with its smallest id
+    (nulls last), of equal ids the first row stored.  Rows are told apart by
+    their number in a stored copy, not by id: different texts under one id all
+    stay, and near copies without an id go."""
+    rows = stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    name = f"doc.`{id_col}`"
+    comp = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col(f"doc.`{text_col}`").alias("text")), shingle, max_bits)
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("first")
+    kept = rows.select("row", F.col(name).alias("id")).join(comp.withColumnRenamed("doc_id", "row"), "row") \
+        .groupBy("component_id").agg(first).select(F.col("first.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select("doc.*")

@@ -37,11 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, sorted_groups, stored
+from .common import batches, by_bytes, sorted_groups, stored
 
 MIN_LEN = 400
 #: Distinct contexts of one gram that one task holds (below 700 bytes each).
 GROUP_ROWS = 20_000
+#: Tasks that the places of one frequent window are dealt to.
+SALTS = 64
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -304,9 +306,13 @@ def _counted_windows(cuts: DataFrame, min_len: int) -> DataFrame:
     rows = stored(cuts.dropDuplicates(["tkey", "first", "gram", "lead"]).select("tkey", "first", "context")
                   .mapInArrow(windows, "h1 bigint, h2 bigint, tkey binary, start bigint")
                   .dropDuplicates(["tkey", "start"]), "windows")
-    often = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return rows.join(often, ["h1", "h2"], "left_semi") \
-        .select("tkey", "start", (F.col("start") + min_len).alias("stop"))
+    often = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # the places of one window go to as many tasks as it needs, each with its own row of ``often``
+    many = rows.withColumn("salt", F.pmod(F.xxhash64("tkey", "start"), F.lit(SALTS)))
+    dealt = often.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n"), F.lit(SALTS)) - 1)))
+    few = rows.join(often.filter(F.col("n") <= SALTS), ["h1", "h2"], "left_semi")
+    hot = many.join(dealt.filter(F.col("n") > SALTS), ["h1", "h2", "salt"], "left_semi").drop("salt")
+    return few.unionByName(hot).select("tkey", "start", (F.col("start") + min_len).alias("stop"))
 
 
 def _cut_texts(docs: DataFrame, min_len: int, group_rows: int, columns: str, row) -> DataFrame:
@@ -321,8 +327,8 @@ def _cut_texts(docs: DataFrame, min_len: int, group_rows: int, columns: str, row
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*rest).schema)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            k = len(rest)
+        k = len(rest)
+        for batch in by_bytes(it, k):
             out: list[list] = [[] for _ in names]
             for text, whole, spans in zip(batch.column(k), batch.column(k + 1).to_pylist(), batch.column(k + 2).to_pylist()):
                 data = text.as_buffer().to_pybytes()
@@ -348,12 +354,14 @@ def _kept(data: bytes, runs: list[list[int]]) -> bytes:
 
 def repeat_digest(docs: DataFrame, min_len: int = MIN_LEN, id_col: str = "doc_id", text_col: str = "text",
                   group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document, and
+    ``kept_text``, what is left of it (without the rest of a character that
+    lost some of its bytes)."""
     def row(data: bytes, runs):
         kept = _kept(data, runs)
-        return len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()
+        return len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")
     return _cut_texts(_texts(docs, id_col, text_col), min_len, group_rows,
-                      "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", row)
+                      "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string", row)
 
 
 def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, text_col: str = "text",

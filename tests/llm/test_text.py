@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import math
 import re
 import zlib
@@ -144,8 +145,52 @@ def test_mixed_documents(docs):
     assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 9  # id 0 comes three times
 
 
+def test_rows_without_an_id_meet_the_targets(spark):
+    rows = [(None, f"w{i} x", "a") for i in range(3000)] + [(None, f"w{i} y z", "b") for i in range(2000)] + [(7, "same id", "a")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", F.lit(1).alias("row"), F.lit(2).alias("target"))
+    out = mixing.mix(docs, mixing.word_count(F.col("text")))
+    assert out.columns == docs.columns
+    got = {r.source: r.n for r in out.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    total = 3050 * 2 + 2000 * 3
+    assert abs(got["a"] - total / 3) <= 3 and abs(got["b"] - total * 2 / 3) <= 3
+    plan = mixing.mix_plan(docs.withColumn("doc_id", F.monotonically_increasing_id()), mixing.word_count(F.col("text")))
+    assert {r.source: r.n for r in plan.groupBy("source").agg(F.sum("taken").alias("n")).collect()}.keys() == got.keys()
+
+
 # --- quality -----------------------------------------------------------------
 
+def test_forward_pass_by_loops():
+    r = np.random.default_rng(8)
+    model = quality.AttentionModel(seed=3)
+    model.p = {k: r.normal(0, 0.5, v.shape) for k, v in model.p.items()}
+    model.mean, model.scale, model.constant = r.normal(0, 1, quality.WIDTH), r.random(quality.WIDTH) + 0.5, None
+    bags = [r.normal(0, 1, (n, quality.WIDTH)) for n in (1, 4, 2)]
+    got = model.score(np.concatenate(bags), np.array([0, 1, 5]))
+    p, sig = model.p, lambda v: 1 / (1 + math.exp(-v))
+    for bag, score in zip(bags, got):
+        hidden, weights = [], []
+        for x in bag:
+            x = [min(max((v - m) / s, -6), 6) for v, m, s in zip(x, model.mean, model.scale)]
+            h = [math.tanh(sum(x[i] * p["W"][i, j] for i in range(len(x))) + p["b"][j]) for j in range(quality.HIDDEN)]
+            gate = [math.tanh(sum(h[i] * p["V"][i, j] for i in range(len(h)))) * sig(sum(h[i] * p["U"][i, j] for i in range(len(h))))
+                    for j in range(quality.HIDDEN)]
+            hidden.append(h)
+            weights.append(math.exp(sum(g * w for g, w in zip(gate, p["w"]))))
+        z = [sum(w * h[j] for w, h in zip(weights, hidden)) / sum(weights) for j in range(quality.HIDDEN)]
+        assert math.isclose(score, sig(sum(a * b for a, b in zip(z, p["c"])) + p["d"][0]), rel_tol=1e-9)
+
+
+def test_fit_does_not_depend_on_which_text_comes_first(spark, words):
+    rows = [(i % 40, " ".join(words[(7 * i + k) % 400] for k in range(30 + i)), i % 2) for i in range(80)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    a, b = (quality.fit(docs.repartition(n, F.md5("text")), labels, F.lit(True)) for n in (1, 5))
+    assert all(np.array_equal(a.p[k], b.p[k]) for k in a.p)
+    clash = quality.score(docs.withColumn("score", F.lit("own")).withColumn("score_", F.lit(1)), a)
+    assert clash.columns == ["doc_id", "text", "score", "score_", "score__"] and clash.first().score == "own"
+    assert len(quality.drawn_passages(np.arange(500)[:, None])) == quality.SAMPLE_PASSAGES
+
+
 def test_quality_learns_and_scores_every_row(spark, docs, rows, words):
     r = np.random.default_rng(1)
     good = [(i, " ".join(r.choice(words, 200))) for i in range(1000, 1120)]
@@ -304,6 +349,38 @@ def test_turn_round_trip(role, text):
     assert formatted.count("<|") == 2
 
 
+def test_records_that_no_parser_takes(spark):
+    deep = "[" * 200_000
+    nested = json.dumps({"messages": [{"role": "user", "content": "x"}], "meta": json.loads("[" * 400 + "]" * 400)})
+    rows = [("a", deep), ("b", '{"role":"user","text":"\\ud800!"}'), ("c", '{"role":"user","text":"t","turn":"a"}'),
+            ("d", '{"role":"user","text":"t","turn":99999999999999999999}'), ("e", nested), (None, '{"\\udfff":1}'), ("f", '{"turn":true,"role":"r","text":null}')]
+    df = spark.createDataFrame(rows, "conv_id string, record string")
+    turns = chat.canonical_turns(df)
+    got = {r.conv_id: (r.layout, r.turn, r.role, r.text) for r in turns.collect()}
+    assert got == {"a": (None, None, None, None), "b": ("turn_row", None, "user", "\ufffd!"), "c": ("turn_row", None, "user", "t"),
+                   "d": ("turn_row", None, "user", "t"), "e": ("messages", None, "user", "x"), None: (None, None, None, None),
+                   "f": ("turn_row", None, "r", "")}
+    assert {r.conv_id for r in chat.unmapped_records(df).collect()} == {"a", None}
+    digest = chat.conversation_digest(chat.formatted_turns(turns)).collect()
+    assert {r.conv_id for r in digest} == {"b", "c", "d", "e", "f"}
+
+
+def test_limits_that_bind(spark):
+    r = random.Random(17)
+    rows = [(i, " ".join(r.choice(["the", "of", "and"]) for _ in range(r.choice([1, 3, 40, 300]))), i % 3 == 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bears boolean").coalesce(2)
+    pieces = packing.pack(df, TOKENS, loss_col="bears", max_tokens=256, max_segments=6, max_loss=64).collect()
+    of, loss = {}, dict((i, b) for i, _, b in rows)
+    for p in pieces:
+        of.setdefault(p.sequence_id, []).append(p)
+    tokens = {k: sum(p.length for p in v) for k, v in of.items()}
+    bearing = {k: sum(p.length for p in v if loss[p.doc_id]) for k, v in of.items()}
+    assert all(t <= 256 for t in tokens.values()) and max(len(v) for v in of.values()) == 6 and max(bearing.values()) == 64
+    for i, text, _ in rows:
+        own = sorted((p.start, p.length) for p in pieces if p.doc_id == i)
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(own[-1]) == len(text.split()) + 1
+
+
 def test_conversation_digest(spark):
     rows = [(1, 1, "assistant", "b<|im_end|>"), (1, 0, "user", "a"), (1, None, "assistant", "last"), (2, 0, "user", None),
             (None, 0, "assistant", "z"), (3, 0, "user", "same"), (3, 0, "user", "same")]
