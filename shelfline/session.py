@@ -48,18 +48,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        current = tempfile.mkdtemp(prefix="shelfline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
+        sc = spark.sparkContext
+        sc._shelfline_checkpoints = current = getattr(sc, "_shelfline_checkpoints", None) or tempfile.mkdtemp(prefix="shelfline-ckpt-")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(current)
     return current
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send the package to the executors (once a context), so that queries run
-    whatever their working folder."""
+    """Send the package to the workers (once a context, on any master), so that
+    queries run whatever their working folder."""
     sc = spark.sparkContext
-    if sc.master.split("[")[0] == "local" or getattr(sc, "_shelfline_shipped", False):
+    if getattr(sc, "_shelfline_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
     target = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="shelfline-"), "shelfline"), "zip",
