@@ -38,11 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_groups, components, release, stored
+from .suffixes import _BASE, _power_tables
 
 SHINGLE, PERCENT = 4, 85
 GROUPS = 64
@@ -54,37 +54,40 @@ PART_TOKENS = 2_000_000
 FANOUT = 16
 
 
-#: Words whose hashes a worker remembers.
-CACHE_WORDS = 100_000
-_words: dict[bytes, int] = {}
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint64) + np.uint64(1)
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _hash(word: bytes) -> int:
-    if len(_words) >= CACHE_WORDS:
-        _words.clear()
-    _words[word] = found = xxhash.xxh64_intdigest(word)
-    return found
+def _words(data: np.ndarray) -> np.ndarray:
+    """Hashes of the lower-cased (A-Z) words of UTF-8 bytes, by running sums."""
+    edge = np.diff(np.concatenate([[True], _SPACE[data], [True]]).astype(np.int8))
+    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(start):
+        return np.empty(0, np.uint64)
+    power, inverse = _power_tables(len(data) + 1, _BASE)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LOWER[data] * power[:len(data)], out=sums[1:])
+    h = (sums[stop] - sums[start]) * inverse[start]
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(29))
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of the lower-cased (A-Z)
-    ``text``: the words' XXH64, chained in order and mixed."""
-    words = (text or "").encode().lower().split()
-    if not words:
+    ``text``: the words' hashes, chained in order and mixed."""
+    each = _words(np.frombuffer((text or "").encode(), np.uint8))
+    if not len(each):
         return np.empty(0, np.uint64)
-    known = _words.get
-    each = [known(w) for w in words]
-    if None in each:
-        each = [_hash(w) if h is None else h for w, h in zip(words, each)]
-    each = np.array(each, np.uint64)
     size = min(shingle, len(each))
     n = len(each) - size + 1
     h = np.full(n, size, np.uint64)
     for k in range(size):
         h = (h ^ (h >> np.uint64(29))) * _STEP + each[k:k + n]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(h ^ (h >> np.uint64(29)))
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    h = np.sort(h ^ (h >> np.uint64(29)))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def _cells(tokens: np.ndarray) -> np.ndarray:
