@@ -225,8 +225,8 @@ def _contexts(docs: DataFrame, min_len: int, gram: int) -> tuple[DataFrame, Data
         find, "tkey binary, at array<int>, first array<int>, last array<int>, gram array<bigint>")
     each = stored(found.select("tkey", F.arrays_zip("at", "first", "last", "gram").alias("a")), "anchors")
     copies = each.groupBy("tkey").agg(F.count(F.lit(1)).alias("copies"))
-    # equal texts have equal anchors: one row for each (text, place)
-    flat = each.select("tkey", F.explode("a").alias("a")).select("tkey", "a.*").dropDuplicates(["tkey", "at"])
+    # equal texts have equal anchors: those of one of them, a row for each place
+    flat = each.dropDuplicates(["tkey"]).select("tkey", F.explode("a").alias("a")).select("tkey", "a.*")
     flat = stored(flat, "places")
     sizes = flat.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     kept = flat.join(sizes, "gram").groupBy("tkey") \
