@@ -21,7 +21,7 @@ ORACLE_SQL = None
 SHINGLE, MAX_BITS = 3, 3
 #: Bytes of a repeat that is cut, below 50 words of running text (51 words have
 #: 235 bytes or more in 99 % of the places of sf0.1, 314 in the middle).
-MIN_REPEAT = 200
+MIN_REPEAT = 240
 MAX_TOKENS = 4096
 
 
