@@ -1,7 +1,7 @@
 """Jaccard join of documents' shingle sets with R-trees over count vectors.
 
 A document is the set of its distinct word shingles (64-bit hashes).  The
-tokens of a set are hashed into ``GROUPS`` groups, and the numbers of its
+tokens of a set are hashed into groups (``GROUPS``, more for large sets), and the numbers of its
 tokens in the groups are a point.  Of two sets no more tokens can be equal than
 the sum of the smaller coordinates of their points, and of a set and any set
 in a rectangle no more than the sum of the minima with the rectangle's upper
@@ -48,7 +48,7 @@ SHINGLE, PERCENT = 4, 85
 GROUPS = 64
 #: Cells of the count that orders tokens by rarity: 2 MB, whatever the corpus.
 CELLS = 1 << 18
-#: Points (64 bytes or little more) that one task holds of a tree, and tokens (8 bytes each).
+#: Points (128 bytes, or an eighth of their set's) that one task holds of a tree, and tokens (8 bytes each).
 PART_POINTS = 16_384
 PART_TOKENS = 2_000_000
 FANOUT = 16
@@ -145,7 +145,7 @@ def narrow(docs: DataFrame, counts: np.ndarray, shingle: int, percent: int, id_c
                 names.append(hashlib.md5(tokens.tobytes()).digest() if len(tokens) else None)
                 first = np.lexsort((tokens, order[_cells(tokens)]))[:len(tokens) - needed(len(tokens), percent) + 1]
                 rare.append(tokens[first].view(np.int64))
-                points.append(pack_point(point(tokens)))
+                points.append(pack_point(point(tokens, group_count(len(tokens)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
                                               pa.array(names, pa.binary()), pa.array(rare, pa.list_(pa.int64())), pa.array(points, pa.binary())],
                                              ["doc_id", "tkey", "n_shingles", "cls", "rare", "point"])
@@ -154,18 +154,29 @@ def narrow(docs: DataFrame, counts: np.ndarray, shingle: int, percent: int, id_c
         .mapInArrow(run, f"doc_id {kind}, tkey binary, n_shingles bigint, cls binary, rare array<bigint>, point binary")
 
 
+def group_count(size: int) -> int:
+    """Groups of a set of ``size`` tokens, a power of two: unrelated sets differ by about
+    2 * sqrt(size * groups / pi) in their counts, which has to stay above the
+    ``size / 6`` that a link may differ by."""
+    return max(GROUPS, 1 << (size // 16).bit_length())
+
+
 def point(tokens: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     """Numbers of the tokens in their groups."""
     return np.bincount((tokens % np.uint64(groups)).astype(np.int64), minlength=groups)
 
 
 def pack_point(counts: np.ndarray) -> bytes:
-    """One byte a group, or four where a count needs them."""
-    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+    return counts.astype(np.uint16).tobytes()
+
+
+def unpack_points(packed: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint16).astype(np.int64) for x in packed]
 
 
-def unpack_points(packed: list[bytes], groups: int = GROUPS) -> np.ndarray:
-    return np.stack([np.frombuffer(x, np.uint8 if len(x) == groups else np.uint32).astype(np.int64) for x in packed])
+def fold(points: list[np.ndarray], groups: int) -> np.ndarray:
+    """Points of ``groups`` groups from points of as many or more."""
+    return np.stack([p.reshape(-1, groups).sum(0) for p in points])
 
 
 class CountTree:
@@ -245,21 +256,30 @@ def forest(sets: list[np.ndarray], known: list, percent: int, sides: np.ndarray
     return out
 
 
-def possible(points: np.ndarray, comps: list, percent: int, sides: np.ndarray | None = None) -> np.ndarray:
-    """Whether each point has another within the bound, of another component and side."""
+def possible(points: list[np.ndarray], comps: list, percent: int, sides: np.ndarray | None = None) -> np.ndarray:
+    """Whether each point has another within the bound, of another component and side.
+
+    Linked sets have as many groups or twice as many: for each number of groups
+    there is a tree of the points that have so many, and of those that have
+    twice as many, folded."""
     number = {c: k for k, c in enumerate(dict.fromkeys(comps))}
     comp = np.array([number[c] for c in comps])
-    tree, sizes = CountTree(points, percent), points.sum(1)
+    width = np.array([len(p) for p in points])
     out = np.zeros(len(points), bool)
-    for i in range(len(points)):
-        if out[i]:
-            continue
-        near = tree.search(points[i], int(sizes[i]))
-        near = near[comp[near] != comp[i]]
-        if sides is not None:
-            near = near[sides[near] != sides[i]]
-        out[i] = len(near) > 0
-        out[near] = True
+    for groups in np.unique(width):
+        here = np.flatnonzero((width == groups) | (width == 2 * groups))
+        own = fold([points[i] for i in here], int(groups))
+        tree, sizes = CountTree(own, percent), own.sum(1)
+        wider = bool((width[here] != groups).any())  # those only meet the others in this tree
+        for k, i in enumerate(here):
+            if width[i] != groups or out[i] and not wider:
+                continue
+            near = here[tree.search(own[k], int(sizes[k]))]
+            near = near[comp[near] != comp[i]]
+            if sides is not None:
+                near = near[sides[near] != sides[i]]
+            out[i] = len(near) > 0
+            out[near] = True
     return out
 
 

@@ -219,7 +219,12 @@ def test_bounds_lose_no_link():
                 assert j in near
     assert linked > 100
     wide = np.array([[300] + [0] * 63, [1] * 64])
-    assert (setjoin.unpack_points([setjoin.pack_point(p) for p in wide]) == wide).all()
+    assert (setjoin.fold(setjoin.unpack_points([setjoin.pack_point(p) for p in wide]), 64) == wide).all()
+    # sets of different numbers of groups find each other
+    big = np.unique(np.random.default_rng(2).integers(0, 1 << 63, 1100).astype(np.uint64))
+    pair = [big[:1000], big[:1030], np.unique(np.random.default_rng(3).integers(0, 1 << 63, 1000).astype(np.uint64))]
+    widths = [setjoin.group_count(len(x)) for x in pair]
+    assert widths[0] < widths[1] and setjoin.possible([setjoin.point(x, g) for x, g in zip(pair, widths)], [0, 1, 2], 85).tolist() == [True, True, False]
 
 
 def test_arrow_helpers():
