@@ -14,15 +14,19 @@ a set anywhere.  So points are first dealt by the tokens that any linked set
 must share one of, the ``|A| - ceil(85 % of |A|) + 1`` rarest, where a token is
 as rare as its cell of a count of fixed size (``CELLS``).  Every token that two
 different sets have among their rarest is a tree of its own; of tokens with the
-same sets one is enough.  Trees above ``PART_POINTS`` points are dealt to
-several tasks, as pairs of parts.
+same sets one is enough.  A pair of sets belongs to the first tree that both
+are in, largest trees first, so it is looked at once (``BEFORE`` trees of each
+set are known to the others; a pair that meets in later ones only may be looked
+at again).  Trees above ``PART_POINTS`` points are dealt to several tasks, as
+pairs of parts.
 
 The trees are searched on the points alone first; whole sets are sent only
 where a point has another within the bound (in parts of ``PART_TOKENS``).
 Only components are asked for, so pairs of sets that are connected already are
-not verified: the trees of two tokens of each set come first, and after
-contraction only trees that hold two components or more.  Each search returns
-a spanning forest of its links, never all pairs.
+not verified: the first two trees of each set are verified, then the points of
+the rest are searched again for pairs of different components, and the sets of
+these are sent.  Each search returns a spanning forest of its links, never all
+pairs.
 
 Defined results: equal sets are one set (128-bit digest); null texts and
 texts without words have an empty set and are linked with nothing; null ids
@@ -52,7 +56,8 @@ CELLS = 1 << 18
 PART_POINTS = 16_384
 PART_TOKENS = 2_000_000
 FANOUT = 16
-
+#: Earlier trees of a set that its point carries into a tree (8 bytes each).
+BEFORE = 32
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -256,8 +261,10 @@ def forest(sets: list[np.ndarray], known: list, percent: int, sides: np.ndarray
     return out
 
 
-def possible(points: list[np.ndarray], comps: list, percent: int, sides: np.ndarray | None = None) -> np.ndarray:
-    """Whether each point has another within the bound, of another component and side.
+def possible(points: list[np.ndarray], comps: list, percent: int, sides: np.ndarray | None = None,
+             before: list[np.ndarray] | None = None) -> np.ndarray:
+    """Whether each point has another within the bound, of another component and
+    side and without a common number in ``before`` (earlier trees of each point).
 
     Linked sets have as many groups or twice as many: for each number of groups
     there is a tree of the points that have so many, and of those that have
@@ -266,6 +273,10 @@ def possible(points: list[np.ndarray], comps: list, percent: int, sides: np.ndar
     comp = np.array([number[c] for c in comps])
     width = np.array([len(p) for p in points])
     out = np.zeros(len(points), bool)
+    earlier = np.zeros((len(points), max(map(len, before), default=0) if before else 0), np.int64)
+    known = np.zeros(earlier.shape, bool)
+    for k, own in enumerate(before or []):
+        earlier[k, :len(own)], known[k, :len(own)] = own, True
     for groups in np.unique(width):
         here = np.flatnonzero((width == groups) | (width == 2 * groups))
         own = fold([points[i] for i in here], int(groups))
@@ -278,7 +289,11 @@ def possible(points: list[np.ndarray], comps: list, percent: int, sides: np.ndar
             near = near[comp[near] != comp[i]]
             if sides is not None:
                 near = near[sides[near] != sides[i]]
-            out[i] = len(near) > 0
+            if out[i]:
+                near = near[~out[near]]
+            if len(near) and known[i].any():
+                near = near[~(np.isin(earlier[near], earlier[i][known[i]]) & known[near]).any(1)]
+            out[i] |= len(near) > 0
             out[near] = True
     return out
 
@@ -301,15 +316,24 @@ def _sides(group: pa.Table) -> np.ndarray | None:
     return None if group.column("alone")[0].as_py() else np.array(group.column("high").to_pylist())
 
 
+def in_order(postings: DataFrame) -> DataFrame:
+    """``token, cls, at, before`` of ``postings(token, cls, n)``: the place of the tree
+    among those of the set, largest (``n``) first, and the first ``BEFORE`` of the earlier ones."""
+    lists = postings.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "token"))).alias("all"))
+    return lists.select("cls", F.slice("all.token", 1, BEFORE).alias("head"), F.posexplode("all.token").alias("at", "token")) \
+        .select("token", "cls", "at", F.expr(f"slice(head, 1, least(at, {BEFORE}))").alias("before"))
+
+
 def candidates(trees: DataFrame, percent: int, part_points: int = PART_POINTS) -> DataFrame:
-    """Rows ``(token, cls)`` of ``trees(token, cls, comp, point)`` whose point has
-    another of its tree within the bound."""
+    """Rows ``(token, cls)`` of ``trees(token, cls, comp, point, before)`` whose point has
+    another of its tree within the bound, of another component and in no earlier tree."""
     rows = _dealt(trees.withColumn("one", F.lit(1)), "one", part_points) \
-        .repartition("task").sortWithinPartitions("tree").select("tree", "token", "cls", "comp", "point", "high", "alone")
+        .repartition("task").sortWithinPartitions("tree").select("tree", "token", "cls", "comp", "point", "before", "high", "alone")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in arrow_groups(it):
-            hit = possible(unpack_points(group.column("point").to_pylist()), group.column("comp").to_pylist(), percent, _sides(group))
+            before = [x.values.to_numpy() for x in group.column("before")]
+            hit = possible(unpack_points(group.column("point").to_pylist()), group.column("comp").to_pylist(), percent, _sides(group), before)
             if hit.any():
                 some = group.filter(pa.array(hit)).select(["token", "cls"]).combine_chunks()
                 yield from some.to_batches()
@@ -350,10 +374,10 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     # of tokens with the same sets one is enough
     lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"),
                                           F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("y"))
-    once = postings.join(lists.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token"), "token")
-    points = each.filter("cls is not null").groupBy("cls").agg(F.first("point").alias("point"))
-    trees = stored(candidates(once.join(points, "cls").withColumn("comp", F.col("cls")), percent, part_points), "trees")
+    once = stored(in_order(postings.join(lists.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token", "n"), "token")), "once")
     release(postings)
+    points = each.filter("cls is not null").groupBy("cls").agg(F.first("point").alias("point"))
+    trees = stored(candidates(once.drop("at").join(points, "cls").withColumn("comp", F.col("cls")), percent, part_points), "trees")
 
     # whole sets of the classes left, from one text of each
     texts = stored(each.join(trees.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("tkey").alias("tkey")), "texts")
@@ -369,15 +393,17 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
                   .dropDuplicates(["cls"]), "whole")
     release(texts)
 
-    # two trees of each set first, then those that still hold two components
-    few = trees.groupBy("cls").agg(*[F.min(F.struct(F.xxhash64(F.lit(k), "token").alias("h"), "token")).alias(f"m{k}") for k in (1, 2)])
-    few = few.select("cls", F.explode(F.array_distinct(F.array("m1.token", "m2.token"))).alias("token"))
+    # the first two trees of each set, then those whose points still hold two components
+    few = trees.join(once, ["token", "cls"]).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("all"))
+    few = few.select("cls", F.explode(F.slice("all.token", 1, 2)).alias("token"))
     first = stored(search(few.withColumn("comp", F.col("cls")), sets, percent, part_tokens), "links")
     comp = components(spark, first)
     named = trees.join(comp, trees.cls == comp.node, "left").select("token", "cls", F.coalesce("root", "cls").alias("comp"))
-    left = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    second = stored(search(stored(named.join(left, "token"), "left"), sets, percent, part_tokens), "links")
-    release(sets, trees)
+    mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    rest = stored(named.join(mixed, "token"), "left")
+    left = candidates(rest.join(once.drop("at"), ["token", "cls"]).join(points, "cls"), percent, part_points)
+    second = stored(search(rest.join(left, ["token", "cls"]), sets, percent, part_tokens), "links")
+    release(sets, trees, once, rest)
     roots = components(spark, first.unionByName(second))
     classes = each.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     member = classes.join(roots, classes.cls == roots.node, "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
