@@ -56,6 +56,8 @@ CELLS = 1 << 18
 PART_POINTS = 16_384
 PART_TOKENS = 2_000_000
 FANOUT = 16
+#: Bits of the Bloom filter of texts whose whole set is needed: 2 MB, whatever the corpus.
+BLOOM = 1 << 24
 #: Earlier trees of a set that its point carries into a tree (8 bytes each).
 BEFORE = 32
 
@@ -324,10 +326,11 @@ def in_order(postings: DataFrame) -> DataFrame:
         .select("token", "cls", "at", F.expr(f"slice(head, 1, least(at, {BEFORE}))").alias("before"))
 
 
-def candidates(trees: DataFrame, percent: int, part_points: int = PART_POINTS) -> DataFrame:
-    """Rows ``(token, cls)`` of ``trees(token, cls, comp, point, before)`` whose point has
-    another of its tree within the bound, of another component and in no earlier tree."""
-    rows = _dealt(trees.withColumn("one", F.lit(1)), "one", part_points) \
+def candidates(trees: DataFrame, points: DataFrame, percent: int, part_points: int = PART_POINTS) -> DataFrame:
+    """Rows ``(token, cls)`` of ``trees(token, cls, comp, before)`` whose point in
+    ``points(cls, point)`` has another of its tree within the bound, of another
+    component and in no earlier tree."""
+    rows = _dealt(trees.withColumn("one", F.lit(1)), "one", part_points).join(points, "cls") \
         .repartition("task").sortWithinPartitions("tree").select("tree", "token", "cls", "comp", "point", "before", "high", "alone")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,6 +363,39 @@ def search(trees: DataFrame, sets: DataFrame, percent: int, part_tokens: int = P
     return rows.mapInArrow(run, "a binary, b binary")
 
 
+def _bits() -> list:
+    return [F.pmod(F.xxhash64(F.lit(k), "tkey"), F.lit(BLOOM)) for k in (1, 2)]
+
+
+def whole_sets(keyed: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """``tkey, n, tokens`` of the texts of ``keyed(text, tkey)`` that a Bloom filter
+    of ``texts(tkey)`` lets through: some more than asked for, none missing, copies
+    once a task.  The filter has a fixed size; when it is full, more texts pass."""
+    bit = F.explode(F.array(*_bits())).alias("bit")
+    words = texts.select(bit).groupBy(F.shiftright("bit", 6).alias("at")) \
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect()
+    bloom = np.zeros(BLOOM // 64, np.uint64)
+    bloom[[r.at for r in words]] = np.array([r.bits for r in words], np.int64).view(np.uint64)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in it:
+            ok = np.ones(batch.num_rows, bool)
+            for c in (2, 3):
+                bit = batch.column(c).to_numpy()
+                ok &= (bloom[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            for at in np.flatnonzero(ok).tolist():  # a row at a time: texts may be long
+                key = batch.column(0)[at].as_py()
+                if key in seen:
+                    continue
+                seen.add(key)
+                own = shingle_set(batch.column(1)[at].as_py(), shingle)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([len(own)], pa.int64()),
+                                                  pa.array([own.tobytes()], pa.binary())], ["tkey", "n", "tokens"])
+    one, two = _bits()
+    return keyed.select("tkey", "text", one.alias("one"), two.alias("two")).mapInArrow(run, "tkey binary, n bigint, tokens binary")
+
+
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id",
                        text_col: str = "text", part_points: int = PART_POINTS,
                        part_tokens: int = PART_TOKENS) -> DataFrame:
@@ -377,20 +413,13 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     once = stored(in_order(postings.join(lists.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token", "n"), "token")), "once")
     release(postings)
     points = each.filter("cls is not null").groupBy("cls").agg(F.first("point").alias("point"))
-    trees = stored(candidates(once.drop("at").join(points, "cls").withColumn("comp", F.col("cls")), percent, part_points), "trees")
+    trees = stored(candidates(once.drop("at").withColumn("comp", F.col("cls")), points, percent, part_points), "trees")
 
     # whole sets of the classes left, from one text of each
     texts = stored(each.join(trees.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("tkey").alias("tkey")), "texts")
 
-    def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for at in range(batch.num_rows):  # a row at a time: texts may be long
-                own = shingle_set(batch.column(1)[at].as_py(), shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([len(own)], pa.int64()),
-                                                  pa.array([own.tobytes()], pa.binary())], ["cls", "n", "tokens"])
     keyed = docs.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.unhex(F.md5(F.col(text_col))).alias("tkey"))
-    sets = stored(keyed.join(texts, "tkey").select("cls", "text").mapInArrow(whole, "cls binary, n bigint, tokens binary")
-                  .dropDuplicates(["cls"]), "whole")
+    sets = stored(whole_sets(keyed, texts, shingle).join(texts, "tkey").select("cls", "n", "tokens").dropDuplicates(["cls"]), "whole")
     release(texts)
 
     # the first two trees of each set, then those whose points still hold two components
@@ -401,7 +430,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     named = trees.join(comp, trees.cls == comp.node, "left").select("token", "cls", F.coalesce("root", "cls").alias("comp"))
     mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     rest = stored(named.join(mixed, "token"), "left")
-    left = candidates(rest.join(once.drop("at"), ["token", "cls"]).join(points, "cls"), percent, part_points)
+    left = candidates(rest.join(once.drop("at"), ["token", "cls"]), points, percent, part_points)
     second = stored(search(rest.join(left, ["token", "cls"]), sets, percent, part_tokens), "links")
     release(sets, trees, once, rest)
     roots = components(spark, first.unionByName(second))

@@ -227,6 +227,40 @@ def test_bounds_lose_no_link():
     assert widths[0] < widths[1] and setjoin.possible([setjoin.point(x, g) for x, g in zip(pair, widths)], [0, 1, 2], 85).tolist() == [True, True, False]
 
 
+def test_each_pair_has_one_tree():
+    r = random.Random(3)
+    sets = [np.sort(np.array(r.sample(range(1 << 40), 200), np.uint64)) for _ in range(2)]
+    sets = [sets[0], sets[0][:195], sets[1], sets[1][:195], sets[1][:190]]
+    points, comps = [setjoin.point(s) for s in sets], [0, 1, 2, 3, 4]
+    none = [np.empty(0, np.int64)] * 5
+    assert setjoin.possible(points, comps, 85, None, none).tolist() == [True] * 5
+    # 7 is an earlier tree of the first two, and of one of the others only
+    before = [np.array(x, np.int64) for x in ([7], [5, 7], [7], [], [8])]
+    assert setjoin.possible(points, comps, 85, None, before).tolist() == [False, False, True, True, True]
+    # 0 is a number like others, not the padding
+    before = [np.array(x, np.int64) for x in ([0], [5, 6], [0], [0], [])]
+    assert setjoin.possible(points, comps, 85, None, before).tolist() == [True, True, True, True, True]
+
+
+def test_trees_in_order(spark):
+    rows = [(t, bytes([c]), n) for t, n, cs in ((10, 2, (1, 2)), (20, 3, (1, 2, 3)), (-5, 2, (1, 3))) for c in cs]
+    df = spark.createDataFrame(rows, "token long, cls binary, n long")
+    got = {(x.token, x.cls[0]): (x["at"], list(x.before)) for x in setjoin.in_order(df).collect()}
+    assert got == {(20, 1): (0, []), (-5, 1): (1, [20]), (10, 1): (2, [20, -5]), (20, 2): (0, []), (10, 2): (1, [20]),
+                   (20, 3): (0, []), (-5, 3): (1, [20])}
+
+
+def test_whole_sets_of_asked_texts(spark):
+    words = [f"a b c d {i}" for i in range(300)]
+    docs = spark.createDataFrame([(w,) for w in words * 2] + [("",)], "text string").coalesce(1) \
+        .withColumn("tkey", F.unhex(F.md5("text")))
+    asked = docs.limit(100).select("tkey")
+    got = setjoin.whole_sets(docs, asked, 4).collect()
+    names = {bytes(x.tkey) for x in got}
+    assert len(got) == len(names) and names >= {bytes(x.tkey) for x in asked.collect()} and len(names) < 110
+    assert all(x.n == 2 and len(x.tokens) == 16 for x in got)
+
+
 def test_arrow_helpers():
     import pyarrow as pa
     batches = [pa.record_batch({"k": ["a", "a", "b"], "v": [1, 2, 3]}), pa.record_batch({"k": ["b"], "v": [4]}),
