@@ -42,6 +42,8 @@ from .common import batches, by_bytes, sorted_groups, stored
 MIN_LEN = 400
 #: Distinct contexts of one gram that one task holds (below 700 bytes each).
 GROUP_ROWS = 20_000
+#: Texts that a task remembers to cut equal ones once; later readers drop what is cut twice.
+SEEN = 100_000
 #: Tasks that the places of one frequent window are dealt to.
 SALTS = 64
 
@@ -235,9 +237,15 @@ def _contexts(docs: DataFrame, min_len: int, gram: int) -> tuple[DataFrame, Data
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("gram", pa.int64()), ("n", pa.int64()), ("tkey", pa.binary()), ("first", pa.int64()),
                             ("lead", pa.int32()), ("context", pa.binary())])
+        seen: set[bytes] = set()  # equal texts give equal occurrences: one of a task is enough
         for batch in it:
             out: dict[str, list] = {f.name: [] for f in schema}
             for tkey, text, a in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                if tkey in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(tkey)
                 data = text.as_buffer().to_pybytes()
                 for x in a:
                     out["gram"].append(x["gram"])
@@ -251,9 +259,8 @@ def _contexts(docs: DataFrame, min_len: int, gram: int) -> tuple[DataFrame, Data
                     out = {f.name: [] for f in schema}
             yield from batches(out, schema)
 
-    # one text of each key is enough: equal texts give equal occurrences
-    one = docs.filter(F.octet_length("text") >= min_len).select("tkey", "text")
-    cuts = one.join(kept, "tkey").select("tkey", "text", "a").mapInArrow(
+    long = docs.filter(F.octet_length("text") >= min_len).select("tkey", "text")
+    cuts = long.join(kept, "tkey").select("tkey", "text", "a").mapInArrow(
         cut, "gram bigint, n bigint, tkey binary, first bigint, lead int, context binary")
     return cuts, sizes, copies
 
