@@ -52,6 +52,24 @@ def batches(columns: dict[str, list], schema: pa.Schema, rows: int = 20_000) ->
                                          schema=schema)
 
 
+#: Keys that hold more than one in so many rows are broadcast: there are fewer of them than this.
+HEAVY = 10_000
+
+
+def repeated(rows: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose ``keys`` (no nulls) are in ``counts(keys, n)``, with ``n``.
+
+    ``counts`` has the rows of each key in ``rows``, so fewer than ``HEAVY`` keys
+    have more than one in ``HEAVY`` rows.  These are broadcast and their rows stay
+    where they are; the others are joined by a shuffle without a large key.
+    Both tables should be stored: each is read twice or more.
+    """
+    most = F.lit(rows.count() // HEAVY)
+    heavy = F.broadcast(counts.filter(F.col("n") > most))
+    light = rows.join(heavy.select(*keys), keys, "left_anti").join(counts.filter(F.col("n") <= most), keys)
+    return rows.join(heavy, keys).unionByName(light)
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Connected components of the undirected ``edges(a, b)`` (longs or binaries).
 

@@ -37,15 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, by_bytes, sorted_groups, stored
+from .common import batches, by_bytes, repeated, sorted_groups, stored
 
 MIN_LEN = 400
 #: Distinct contexts of one gram that one task holds (below 700 bytes each).
 GROUP_ROWS = 20_000
 #: Texts that a task remembers to cut equal ones once; later readers drop what is cut twice.
 SEEN = 100_000
-#: Tasks that the places of one frequent window are dealt to.
-SALTS = 64
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -230,8 +228,8 @@ def _contexts(docs: DataFrame, min_len: int, gram: int) -> tuple[DataFrame, Data
     # equal texts have equal anchors: those of one of them, a row for each place
     flat = each.dropDuplicates(["tkey"]).select("tkey", F.explode("a").alias("a")).select("tkey", "a.*")
     flat = stored(flat, "places")
-    sizes = flat.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    kept = flat.join(sizes, "gram").groupBy("tkey") \
+    sizes = stored(flat.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    kept = repeated(flat, sizes, ["gram"]).groupBy("tkey") \
         .agg(F.collect_list(F.struct("at", "first", "last", "gram", "n")).alias("a"))
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,13 +311,8 @@ def _counted_windows(cuts: DataFrame, min_len: int) -> DataFrame:
     rows = stored(cuts.dropDuplicates(["tkey", "first", "gram", "lead"]).select("tkey", "first", "context")
                   .mapInArrow(windows, "h1 bigint, h2 bigint, tkey binary, start bigint")
                   .dropDuplicates(["tkey", "start"]), "windows")
-    often = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # the places of one window go to as many tasks as it needs, each with its own row of ``often``
-    many = rows.withColumn("salt", F.pmod(F.xxhash64("tkey", "start"), F.lit(SALTS)))
-    dealt = often.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n"), F.lit(SALTS)) - 1)))
-    few = rows.join(often.filter(F.col("n") <= SALTS), ["h1", "h2"], "left_semi")
-    hot = many.join(dealt.filter(F.col("n") > SALTS), ["h1", "h2", "salt"], "left_semi").drop("salt")
-    return few.unionByName(hot).select("tkey", "start", (F.col("start") + min_len).alias("stop"))
+    often = stored(rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "often")
+    return repeated(rows, often, ["h1", "h2"]).select("tkey", "start", (F.col("start") + min_len).alias("stop"))
 
 
 def _cut_texts(docs: DataFrame, min_len: int, group_rows: int, columns: str, row) -> DataFrame:

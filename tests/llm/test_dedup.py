@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import xxhash
-from shelfline.llm import simhash, suffixes
+from shelfline.llm import common, simhash, suffixes
 from shelfline.llm.common import components
 
 
@@ -112,6 +112,16 @@ def test_a_window_with_many_places_is_dealt_out(spark, words):
     assert Counter(tuple(r[:5]) for r in out) == Counter((r[0], *b) for r, b in zip(rows, brute_repeats([r[1] for r in rows], 60)))
 
 
+def test_repeated_keys_heavy_and_light(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 7 if i < 70 else 100 + i % 40 if i < 130 else i, i) for i in range(300)], "k long, v long")
+    counts = rows.groupBy("k").count().withColumnRenamed("count", "n").filter("n > 1")
+    for heavy in (10_000, 40, 1):  # all keys broadcast, some, none
+        monkeypatch.setattr(common, "HEAVY", heavy)
+        got = Counter(map(tuple, common.repeated(rows, counts, ["k"]).select("k", "v", "n").collect()))
+        n = Counter(r.k for r in rows.collect())
+        assert got == Counter((r.k, r.v, n[r.k]) for r in rows.collect() if n[r.k] > 1)
+
+
 def test_interval_scan_reports_all_occurrences():
     text = ["xxabcdefyy", "zzabcdefww", "qqabcdefyy"]
     found = []
