@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,31 @@ def batches(columns: dict[str, list], schema: pa.Schema, rows: int = 20_000) ->
                                          schema=schema)
 
 
+#: Bits of a ``key_filter``: 2 MB, whatever the corpus.
+BLOOM = 1 << 24
+
+
+def key_filter(keys: DataFrame, key: str):
+    """A function of a column: true for every value that ``keys`` has in ``key``,
+    and for few others (a Bloom filter of fixed size, two bits a value; when it
+    is full, more values pass)."""
+    bits = lambda c: [F.pmod(F.xxhash64(F.lit(k), c), F.lit(BLOOM)) for k in (1, 2)]
+    # at most BLOOM / 64 rows come to the driver
+    words = keys.select(F.explode(F.array(*bits(F.col(key)))).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")) \
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect()
+    table = np.zeros(BLOOM // 64, np.uint64)
+    table[[r["at"] for r in words]] = np.array([r["bits"] for r in words], np.int64).view(np.uint64)
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def passes(one: pd.Series, two: pd.Series) -> pd.Series:
+        ok = np.ones(len(one), bool)
+        for bit in (one.to_numpy(), two.to_numpy()):
+            ok &= (shared.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return pd.Series(ok)
+    return lambda c: passes(*bits(c))
+
+
 #: Keys that hold more than one in so many rows are broadcast: there are fewer of them than this.
 HEAVY = 10_000
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, by_bytes, repeated, sorted_groups, stored
+from .common import batches, by_bytes, key_filter, release, repeated, sorted_groups, stored
 
 MIN_LEN = 400
 #: Distinct contexts of one gram that one task holds (below 700 bytes each).
@@ -202,9 +202,10 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("tkey"))
 
 
-def _contexts(docs: DataFrame, min_len: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _contexts(docs: DataFrame, min_len: int, gram: int):
     """Occurrences of grams that repeat ``(gram, tkey, first, lead, context)``,
-    the grams' counts and the copies of each long text."""
+    the grams' counts, the long texts that have copies, and a filter of ``tkey``
+    that all texts with a repeat pass."""
     def find(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             keys, at, first, last, grams = [], [], [], [], []
@@ -224,13 +225,15 @@ def _contexts(docs: DataFrame, min_len: int, gram: int) -> tuple[DataFrame, Data
     found = docs.select("tkey", "text").mapInArrow(
         find, "tkey binary, at array<int>, first array<int>, last array<int>, gram array<bigint>")
     each = stored(found.select("tkey", F.arrays_zip("at", "first", "last", "gram").alias("a")), "anchors")
-    copies = each.groupBy("tkey").agg(F.count(F.lit(1)).alias("copies"))
+    copies = stored(each.groupBy("tkey").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "copies")
     # equal texts have equal anchors: those of one of them, a row for each place
     flat = each.dropDuplicates(["tkey"]).select("tkey", F.explode("a").alias("a")).select("tkey", "a.*")
     flat = stored(flat, "places")
     sizes = stored(flat.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
-    kept = repeated(flat, sizes, ["gram"]).groupBy("tkey") \
-        .agg(F.collect_list(F.struct("at", "first", "last", "gram", "n")).alias("a"))
+    kept = stored(repeated(flat, sizes, ["gram"]).groupBy("tkey")
+                  .agg(F.collect_list(F.struct("at", "first", "last", "gram", "n")).alias("a")), "kept")
+    release(each, flat)
+    has_repeat = key_filter(kept.select("tkey").unionByName(copies.select("tkey")), "tkey")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("gram", pa.int64()), ("n", pa.int64()), ("tkey", pa.binary()), ("first", pa.int64()),
@@ -257,19 +260,19 @@ def _contexts(docs: DataFrame, min_len: int, gram: int) -> tuple[DataFrame, Data
                     out = {f.name: [] for f in schema}
             yield from batches(out, schema)
 
-    long = docs.filter(F.octet_length("text") >= min_len).select("tkey", "text")
+    long = docs.filter(F.octet_length("text") >= min_len).select("tkey", "text").filter(has_repeat(F.col("tkey")))
     cuts = long.join(kept, "tkey").select("tkey", "text", "a").mapInArrow(
         cut, "gram bigint, n bigint, tkey binary, first bigint, lead int, context binary")
-    return cuts, sizes, copies
+    return cuts, sizes, copies, has_repeat
 
 
 def _gram_size(min_len: int) -> int:
     return max(1, min_len // 3)
 
 
-def _spans(docs: DataFrame, min_len: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
+def _spans(docs: DataFrame, min_len: int, group_rows: int):
     gram = _gram_size(min_len)
-    cuts, sizes, copies = _contexts(docs, min_len, gram)
+    cuts, sizes, copies, has_repeat = _contexts(docs, min_len, gram)
     hot = not sizes.filter(F.col("n") > group_rows).isEmpty()
     if hot:
         cuts = stored(cuts, "cuts")
@@ -290,7 +293,7 @@ def _spans(docs: DataFrame, min_len: int, group_rows: int) -> tuple[DataFrame, D
         .repartition("gram").sortWithinPartitions("gram").mapInArrow(scan, "tkey binary, start bigint, stop bigint")
     if hot:
         spans = spans.unionByName(_counted_windows(cuts.filter(F.col("n") > group_rows), min_len))
-    return spans, copies
+    return spans, copies, has_repeat
 
 
 def _counted_windows(cuts: DataFrame, min_len: int) -> DataFrame:
@@ -317,11 +320,13 @@ def _counted_windows(cuts: DataFrame, min_len: int) -> DataFrame:
 
 def _cut_texts(docs: DataFrame, min_len: int, group_rows: int, columns: str, row) -> DataFrame:
     """``row(text bytes, maximal removed runs)`` for each document, beside its other columns."""
-    spans, copies = _spans(docs, min_len, group_rows)
+    spans, copies, has_repeat = _spans(docs, min_len, group_rows)
     spans = spans.groupBy("tkey").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    marks = copies.join(spans, "tkey", "left").filter("copies > 1 or spans is not null") \
-        .select("tkey", F.when(F.col("copies") > 1, F.lit(True)).alias("whole"), "spans")
-    joined = docs.join(marks, "tkey", "left").drop("tkey")
+    marks = copies.join(spans, "tkey", "full").select("tkey", F.col("copies").isNotNull().alias("whole"), "spans")
+    # only texts that may have a repeat are shuffled
+    hit = has_repeat(F.col("tkey"))
+    clean = docs.filter(~hit).withColumns({c: F.lit(None).cast(marks.schema[c].dataType) for c in ("whole", "spans")})
+    joined = docs.filter(hit).join(marks, "tkey", "left").unionByName(clean).drop("tkey")
     rest = [c for c in joined.columns if c not in ("text", "whole", "spans")]
     names = [c.strip().split(" ")[0] for c in columns.split(",")]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*rest).schema)
@@ -384,7 +389,7 @@ def repeat_groups(docs: DataFrame, min_len: int = MIN_LEN, id_col: str = "doc_id
     text; places of it inside other texts are in the groups of its contexts.
     One gram's occurrences are held by one task."""
     texts = _texts(docs, id_col, text_col)
-    cuts, _, copies = _contexts(texts, min_len, _gram_size(min_len))
+    cuts, _, copies, _ = _contexts(texts, min_len, _gram_size(min_len))
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in sorted_groups(it, "gram"):
@@ -395,7 +400,7 @@ def repeat_groups(docs: DataFrame, min_len: int = MIN_LEN, id_col: str = "doc_id
                 yield from batches(dict(zip(_GROUP.names, map(list, zip(*found)))), _GROUP)
     groups = cuts.repartition("gram").sortWithinPartitions("gram") \
         .mapInArrow(scan, "group_id string, length bigint, tkey binary, start bigint")
-    whole = texts.join(copies.filter("copies > 1"), "tkey", "left_semi") \
+    whole = texts.join(copies, "tkey", "left_semi") \
         .select(F.lower(F.hex("tkey")).alias("group_id"), F.octet_length("text").cast("long").alias("length"), "tkey",
                 F.lit(0).cast("long").alias("start"))
     groups = groups.unionByName(whole).distinct()

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 from shelfline.llm import common, simhash, suffixes
 from shelfline.llm.common import components
 
@@ -122,6 +123,14 @@ def test_repeated_keys_heavy_and_light(spark, monkeypatch):
         assert got == Counter((r.k, r.v, n[r.k]) for r in rows.collect() if n[r.k] > 1)
 
 
+def test_key_filter_lets_all_keys_through(spark):
+    keys = spark.range(500).selectExpr("unhex(md5(cast(id as string))) as k")
+    rows = spark.range(20_000).selectExpr("id", "unhex(md5(cast(id as string))) as k")
+    passed = {r.id for r in rows.filter(common.key_filter(keys, "k")(F.col("k"))).collect()}
+    assert set(range(500)) <= passed and len(passed) < 600
+    assert rows.filter(common.key_filter(keys.limit(0), "k")(F.col("k"))).count() == 0
+
+
 def test_interval_scan_reports_all_occurrences():
     text = ["xxabcdefyy", "zzabcdefww", "qqabcdefyy"]
     found = []
