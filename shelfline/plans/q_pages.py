@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.urls import product_path, sku_from_url
 from ..operators.extract import extract_pages
 from ..operators.platforms import detect_platform
-from ..sources.tables import read_table
+from ..sources.tables import read_table, stream_path
 from .page_crawl import crawl_pages
 from .registry import (query, sql_js_trim, sql_product_path, sql_sku_from_url, sql_tag_text)
 
@@ -98,6 +98,6 @@ def ingest_crawl(spark, sf_dir):
     schema = read_table(spark, sf_dir, "pages").select("page_id", "url", "html").schema
     base = os.path.join(checkpoint_dir(spark), "crawl", uuid.uuid4().hex)
     for _ in range(2):
-        ingest.ingest_crawl(spark, sf_dir, schema, base, glob="pages.parquet")
+        ingest.ingest_crawl(spark, stream_path(sf_dir, "pages"), schema, base)
     out = spark.read.parquet(os.path.join(base, "pages")).filter("status = 'crawled'")
     return out.select("page_id", "url", F.col("product.path").alias("path"), F.col("product.name").alias("name"))

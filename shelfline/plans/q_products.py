@@ -10,7 +10,7 @@ from ..functions.urls import product_path, sku_from_url
 from ..operators.transform import top_level_options
 from ..operators.validate import validate_product
 from ..schemas import PRODUCT
-from ..sources.tables import read_table
+from ..sources.tables import read_table, stream_path
 from ..streaming.ingest import ingest_pages
 from . import standins as S
 from .registry import query, sql_product_path, sql_sku_from_url
@@ -100,10 +100,10 @@ def ingest_stream(spark, sf_dir):
     """Structured Streaming (availableNow) over the page files; each
     micro-batch derives path and SKU (T1, T2); URLs de-duplicated in state."""
     schema = read_table(spark, sf_dir, "pages").select("page_id", "url", "html").schema
-    sink = ingest_pages(spark, sf_dir, schema,
+    sink = ingest_pages(spark, stream_path(sf_dir, "pages"), schema,
                         lambda b: b.select("page_id", "url", product_path("url").alias("path"),
                                            sku_from_url("url").alias("sku")),
-                        glob="pages.parquet", columns=["page_id", "url"])
+                        columns=["page_id", "url"])
     return spark.read.parquet(sink).select("page_id", "url", "path", "sku")
 
 
