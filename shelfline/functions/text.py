@@ -72,12 +72,31 @@ def let(value, body) -> Column:
     return F.get(F.transform(F.array(col_(value)), body), 0)
 
 
+def once(value) -> Column:
+    """``value`` in a one-row generator, for ``select``: filters and generators
+    above it read the result; the optimiser would otherwise push them down with
+    a copy of ``value`` each, and merge projections."""
+    return F.explode(F.array(col_(value)))
+
+
+def first_and_last(items: Column, key) -> Column:
+    """A struct (``first``, ``last``) of elements for each ``key(element)``, in the
+    order of the first ones.  Sorted by key and place, so the work grows with
+    n log n, not with the square of the list."""
+    def ends(t):
+        first = F.filter(t, lambda x, i: (i == 0) | ~F.get(t, i - 1)["k"].eqNullSafe(x["k"]))
+        last = F.filter(t, lambda x, i: (i == F.size(t) - 1) | ~F.get(t, i + 1)["k"].eqNullSafe(x["k"]))
+        return F.zip_with(first, last, lambda a, b: F.struct(a["i"].alias("i"), a["x"].alias("first"), b["x"].alias("last")))
+    tagged = F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    return F.transform(F.sort_array(let(tagged, ends)), lambda x: F.struct(x["first"], x["last"]))
+
+
 def keep_one(items: Column, key, last: bool = False) -> Column:
     """``items`` with one element for each ``key(element)``, the first (or
     ``last``), in the order of the elements kept.  Sorted by key and place, so
     the work grows with n log n, not with the square of the list."""
     sign = -1 if last else 1
-    tagged = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), (i * sign).alias("i"), x.alias("x"))))
+    tagged = F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), (i * sign).alias("i"), x.alias("x"))))
     kept = let(tagged, lambda t: F.filter(t, lambda x, i: (i == 0) | ~F.get(t, i - 1)["k"].eqNullSafe(x["k"])))
-    placed = F.array_sort(F.transform(kept, lambda x: F.struct((x["i"] * sign).alias("i"), x["x"].alias("x"))))
+    placed = F.sort_array(F.transform(kept, lambda x: F.struct((x["i"] * sign).alias("i"), x["x"].alias("x"))))
     return F.transform(placed, lambda x: x["x"])

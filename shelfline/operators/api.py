@@ -63,24 +63,26 @@ def normalize_product(pv: Column, variants: Column, base_url: str | None) -> Col
             lambda v: F.struct(v["id"].alias("k"), F.struct(o["id"].alias("oid"), v["title"].alias("t")).alias("v")))))
         # of entries with one UID the last counts
         uid_map = F.map_from_entries(keep_one(entries, lambda e: e["k"], last=True))
-
-        def one(v):
-            own = _images(F.coalesce(v["product"]["images"], F.array().cast(
-                "array<struct<url:string,label:string,roles:array<string>>>")), False)
-            picked = F.filter(F.transform(v["selections"], lambda u: F.struct(
-                u.alias("uid"), F.element_at(uid_map, u).alias("m"))), lambda x: x["m"].isNotNull())
-            # first selection per option id, selection order kept
-            opts = keep_one(F.transform(picked, lambda x: F.struct(
-                x["m"]["oid"].alias("id"), x["m"]["t"].alias("value"), x["uid"].alias("uid"))), lambda o: o["id"])
-            return F.when(v["product"].isNotNull(), F.struct(
-                F.coalesce(v["product"]["sku"], F.lit("")).alias("sku"),
-                F.coalesce(v["product"]["name"], F.lit("")).alias("name"), F.lit("").alias("url"),
-                F.when(F.size(own) > 0, own).otherwise(F.slice(parent_images, 1, 1)).alias("images"),
-                extract_price(v["product"]["price"]).alias("price"),
-                _availability(v["product"]["inStock"]).alias("availability"),
-                F.when(F.size(opts) > 0, opts).alias("options")))
-        vs = F.filter(F.transform(variants, one), lambda x: x.isNotNull())
-        return F.when(complex_ & (F.size(pv["options"]) > 0) & (F.size(variants) > 0) & (F.size(vs) > 0), vs)
+        # values used more than once are bound, the map once for a product
+        vs = let(let(uid_map, lambda m: F.filter(F.transform(variants, lambda v: one(v, m, parent_images)), lambda x: x.isNotNull())),
+                 lambda x: F.when(F.size(x) > 0, x))
+        return F.when(complex_ & (F.size(pv["options"]) > 0) & (F.size(variants) > 0), vs)
+
+    def one(v, uid_map, parent_images):
+        own = let(_images(F.coalesce(v["product"]["images"], F.array().cast(
+            "array<struct<url:string,label:string,roles:array<string>>>")), False),
+            lambda x: F.when(F.size(x) > 0, x).otherwise(F.slice(parent_images, 1, 1)))
+        picked = F.filter(F.transform(v["selections"], lambda u: F.struct(
+            u.alias("uid"), F.element_at(uid_map, u).alias("m"))), lambda x: x["m"].isNotNull())
+        # first selection per option id, selection order kept
+        opts = keep_one(F.transform(picked, lambda x: F.struct(
+            x["m"]["oid"].alias("id"), x["m"]["t"].alias("value"), x["uid"].alias("uid"))), lambda o: o["id"])
+        return F.when(v["product"].isNotNull(), F.struct(
+            F.coalesce(v["product"]["sku"], F.lit("")).alias("sku"),
+            F.coalesce(v["product"]["name"], F.lit("")).alias("name"), F.lit("").alias("url"), own.alias("images"),
+            extract_price(v["product"]["price"]).alias("price"),
+            _availability(v["product"]["inStock"]).alias("availability"),
+            let(opts, lambda x: F.when(F.size(x) > 0, x)).alias("options")))
 
     def build(imgs):
         return F.struct(

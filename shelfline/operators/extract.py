@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import keep_one, let
+from ..functions.text import keep_one, let, once
 from ..schemas import IMAGE
 from .fields import with_fields
 from .html import extract_html, is_soft_404, product_fields
@@ -72,7 +72,7 @@ def merge_fields(fields: DataFrame, embedded: bool = True) -> DataFrame:
     if embedded:
         staged = with_embedded(staged)
         raw = let(raw, lambda m: m.withField("variants", F.coalesce(F.col("embedded"), m["variants"])))
-    out = staged.select(*keep, F.when(~F.col("soft_404"), raw).alias("raw"))
+    out = staged.select(*keep, once(F.when(~F.col("soft_404"), raw)).alias("raw"))
     return out.withColumn("rejected", F.col("soft_404") | is_rejected(F.col("raw")))
 
 

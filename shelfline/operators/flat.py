@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import capitalize_first
+from ..functions.text import capitalize_first, first_and_last, let
 from ..schemas import CSV_COLUMNS, IMAGE, NUM_IMAGE_COLS, csv_columns
 
 
@@ -145,7 +145,7 @@ def assemble_products(rows: DataFrame, ordinal_col: str = "_row") -> DataFrame:
                  F.col("option_size").alias("size"), F.col("option_size_uid").alias("size_uid"),
                  F.col("option_color").alias("color"), F.col("option_color_uid").alias("color_uid")).alias("v"))
     grouped = var.groupBy(F.col("parent_sku").alias("sku")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_o", "v"))), lambda x: x["v"]).alias("_vs"))
+        F.transform(F.sort_array(F.collect_list(F.struct("_o", "v"))), lambda x: x["v"]).alias("_vs"))
 
     def opts_of(vs):
         pairs = F.flatten(F.transform(vs, lambda v: F.filter(F.array(
@@ -153,15 +153,14 @@ def assemble_products(rows: DataFrame, ordinal_col: str = "_row") -> DataFrame:
                                              v["size_uid"].alias("uid"))),
             F.when(v["color"] != "", F.struct(F.lit("color").alias("id"), v["color"].alias("value"),
                                               v["color_uid"].alias("uid")))), lambda x: x.isNotNull())))
-        ids = F.array_distinct(F.transform(pairs, lambda o: o["id"]))
-
-        def build(oid, i):
-            mine = F.filter(pairs, lambda o: o["id"] == oid)
-            vals = F.array_distinct(F.transform(mine, lambda o: o["value"]))
-            return F.struct(oid.alias("id"), capitalize_first(oid).alias("label"), (i + 1).alias("position"),
-                            F.transform(vals, lambda val: F.struct(val.alias("value"), F.nullif(F.element_at(
-                                F.filter(mine, lambda o: o["value"] == val), -1)["uid"], F.lit("")).alias("uid"))).alias("values"))
-        return F.transform(ids, build)
+
+        def options(ends):  # first and last element of every id and value, in order
+            def build(oid, i):
+                return F.struct(oid.alias("id"), capitalize_first(oid).alias("label"), (i + 1).alias("position"), F.transform(
+                    F.filter(ends, lambda e: e["first"]["id"] == oid),
+                    lambda e: F.struct(e["first"]["value"].alias("value"), F.nullif(e["last"]["uid"], F.lit("")).alias("uid"))).alias("values"))
+            return F.transform(F.array_distinct(F.transform(ends, lambda e: e["first"]["id"])), build)
+        return let(first_and_last(pairs, lambda o: F.struct(o["id"], o["value"])), options)
 
     out = parents.join(grouped, "sku", "left")
     vs = F.col("_vs")

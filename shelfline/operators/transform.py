@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.enums import normalize_availability, normalize_condition
-from ..functions.text import JS_WS, js_trim, let, word_capitalize
+from ..functions.text import JS_WS, js_trim, keep_one, let, once, word_capitalize
 from ..functions.urls import product_path, sanitize_sku, sku_from_url
 from ..schemas import IMAGE, PRODUCT, TOP_OPTION, VARIANT
 from .validate import validate_product
@@ -31,15 +31,15 @@ def variant_sku_suffix(parent_sku: Column, ordinal: Column) -> Column:
 
 def transform_variant(v: Column, i: Column, parent: Column, source_url: Column) -> Column:
     """One raw variant -> product variant, or NULL (dropped)."""
-    sku = sanitize_sku(v["sku"])
-    sku = F.when(sku != "", sku).otherwise(F.concat(parent["sku"], F.lit("-"), variant_sku_suffix(parent["sku"], i)))
+    sku = let(sanitize_sku(v["sku"]), lambda x: F.when(x != "", x).otherwise(
+        F.concat(parent["sku"], F.lit("-"), variant_sku_suffix(parent["sku"], i))))
     own = F.transform(F.filter(F.coalesce(v["images"], F.array().cast(_ARR_IMAGE)),
                                lambda im: _truthy_str(im["url"])),
                       lambda im: F.struct(im["url"].alias("url"),
                                           F.when(_truthy_str(im["label"]), im["label"]).alias("label"),
                                           F.lit(None).cast("array<string>").alias("roles")))
     parent_first = F.slice(F.coalesce(parent["images"], F.array().cast(_ARR_IMAGE)), 1, 1)
-    images = F.when(F.size(own) > 0, own).otherwise(parent_first)
+    images = let(own, lambda ims: F.when(F.size(ims) > 0, ims).otherwise(parent_first))
     vp = v["price"]
     price = F.when(vp.isNotNull(), F.struct(
         F.when(_truthy_str(vp["currency"]), F.upper(vp["currency"]))
@@ -57,7 +57,7 @@ def transform_variant(v: Column, i: Column, parent: Column, source_url: Column)
         F.when(_truthy_str(v["availability"]), normalize_availability(v["availability"])).alias("availability"),
         options.alias("options"),
     )
-    return F.when(v.isNotNull() & (F.size(images) > 0), out)
+    return let(out, lambda o: F.when(v.isNotNull() & (F.size(o["images"]) > 0), o))
 
 
 def top_level_options(variants: Column) -> Column:
@@ -71,21 +71,18 @@ def top_level_options(variants: Column) -> Column:
         .otherwise(F.regexp_replace(F.lower(o["value"]), f"{JS_WS}+", "-")).alias("id"),
         F.when(_truthy_str(o["id"]), o["id"]).otherwise(o["value"]).alias("label_src"),
         o["value"].alias("value"), o["uid"].alias("uid")))
-    ids = F.array_distinct(F.transform(keyed, lambda o: o["id"]))
 
-    def build(oid, i):
-        mine = F.filter(keyed, lambda o: o["id"] == oid)
-        vals = F.array_distinct(F.transform(mine, lambda o: o["value"]))
-        label = word_capitalize(F.regexp_replace(F.get(mine, 0)["label_src"], "[-_]", " "))
-        return F.struct(oid.alias("id"), label.alias("label"), (i + 1).alias("position"),
-                        F.transform(vals, lambda val: F.struct(
-                            val.alias("value"),
-                            F.get(F.filter(mine, lambda o: o["value"] == val), 0)["uid"].alias("uid"))).alias("values"))
+    def options(first):  # the first element of every id and value, in order
+        def build(oid, i):
+            def option(mine):
+                label = word_capitalize(F.regexp_replace(F.get(mine, 0)["label_src"], "[-_]", " "))
+                return F.struct(oid.alias("id"), label.alias("label"), (i + 1).alias("position"), F.transform(mine, lambda o: F.struct(
+                    o["value"].alias("value"), F.when(_truthy_str(o["uid"]), o["uid"]).alias("uid"))).alias("values"))
+            return let(F.filter(first, lambda o: o["id"] == oid), option)
+        return F.transform(F.array_distinct(F.transform(first, lambda o: o["id"])), build)
 
-    opts = F.transform(ids, build)
-    opts = F.transform(opts, lambda o: o.withField("values", F.transform(
-        o["values"], lambda x: x.withField("uid", F.when(_truthy_str(x["uid"]), x["uid"])))))
-    return F.when(F.size(opts) > 0, opts).cast(f"array<{TOP_OPTION.simpleString()}>")
+    opts = let(keep_one(keyed, lambda o: F.struct(o["id"], o["value"])), options)
+    return let(opts, lambda o: F.when(F.size(o) > 0, o)).cast(f"array<{TOP_OPTION.simpleString()}>")
 
 
 def transform_product(raw: Column, source_url: Column, prefix: str | None = None,
@@ -118,7 +115,7 @@ def transform_product(raw: Column, source_url: Column, prefix: str | None = None
     def with_parent(c, parent):
         variants = F.filter(F.transform(raw["variants"], lambda v, i: transform_variant(v, i, parent, source_url)),
                             lambda v: v.isNotNull())
-        return let(F.when(F.size(variants) > 0, variants), lambda vs: with_variants(c, parent, vs))
+        return let(let(variants, lambda x: F.when(F.size(x) > 0, x)), lambda vs: with_variants(c, parent, vs))
 
     def with_variants(c, parent, vs):
         product = F.struct(
@@ -165,4 +162,4 @@ def transform_frame(df: DataFrame, raw_col: str = "raw", url_col: str = "url", p
                     default_currency: str = "USD") -> DataFrame:
     """Apply T* + V1 to a frame; adds ``product``, ``warnings``, ``errors``."""
     t = transform_product(F.col(raw_col), F.col(url_col), prefix, default_currency)
-    return df.withColumn("_t", t).select("*", "_t.product", "_t.warnings", "_t.errors").drop("_t")
+    return df.select("*", once(t).alias("_t")).select("*", "_t.product", "_t.warnings", "_t.errors").drop("_t")

@@ -41,10 +41,8 @@ def crawl_pages(pages: DataFrame, platform: str = "generic", prefix: str | None
 
 
 def _outcomes(ex: DataFrame, prefix: str | None, default_currency: str, url_col: str) -> DataFrame:
-    """T, V and the status of every extracted page."""
-    # a one-row generator: the extraction and transform projections are each
-    # large and are planned one by one
-    ex = ex.select(*[c for c in ex.columns if c != "raw"], F.explode(F.array("raw")).alias("raw"))
+    """T, V and the status of every extracted page (extraction and transform are
+    each large and are planned one by one, see ``once``)."""
     t = transform_frame(ex, "raw", url_col, prefix, default_currency)
     status = (F.when(F.col("rejected"), F.lit("skipped"))
               .when(F.col("product").isNotNull(), F.lit("crawled"))

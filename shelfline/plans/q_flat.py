@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ..operators import flat as FL
 from ..operators.validate import validate_assembled
 from ..session import checkpoint_dir
@@ -66,7 +67,7 @@ FROM v
 def flat_options(spark, sf_dir):
     """Options rebuilt from the CSV rows (size then color, last UID wins)."""
     p = _roundtrip(spark, sf_dir)
-    o = p.select("sku", F.explode("options").alias("o"))
+    o = p.select("sku", once("options").alias("os")).select("sku", F.explode("os").alias("o"))
     vals = o.select("sku", "o.id", "o.label", "o.position", F.posexplode("o.values").alias("vp", "val"))
     return vals.select("sku", F.col("id").alias("option_id"), "label", F.col("position").cast("int"),
                        (F.col("vp") + 1).cast("int").alias("value_position"), F.col("val.value").alias("value"),

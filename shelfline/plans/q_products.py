@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.enums import AVAILABILITY_VALUES
+from ..functions.text import once
 from ..functions.urls import product_path, sku_from_url
 from ..operators.transform import top_level_options
 from ..operators.validate import validate_product
@@ -85,9 +86,9 @@ def product_options(spark, sf_dir):
     """Top-level options of every product from its variants (supplier order)."""
     v = S.lineitem_variants(spark, sf_dir)
     per = v.groupBy("parent_sku").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("l_suppkey", "v"))), lambda x: x["v"]).alias("vs"))
-    opts = per.select(F.col("parent_sku").alias("sku"), F.explode(top_level_options(F.col("vs"))).alias("o"))
-    vals = opts.select("sku", "o.id", "o.label", "o.position", F.posexplode("o.values").alias("vp", "val"))
+        F.transform(F.sort_array(F.collect_list(F.struct("l_suppkey", "v"))), lambda x: x["v"]).alias("vs"))
+    opts = per.select(F.col("parent_sku").alias("sku"), once(top_level_options(F.col("vs"))).alias("os"))
+    vals = opts.select("sku", F.explode("os").alias("o")).select("sku", "o.id", "o.label", "o.position", F.posexplode("o.values").alias("vp", "val"))
     return vals.select("sku", F.col("id").alias("option_id"), "label", F.col("position").cast("int"),
                        (F.col("vp") + 1).cast("int").alias("value_position"), F.col("val.value").alias("value"),
                        F.col("val.uid").alias("uid"))
@@ -130,12 +131,11 @@ def api_simple(spark, sf_dir):
 
     from ..schemas import API_VARIANT
     no_variants = F.array().cast(ArrayType(API_VARIANT))
-    raw = views.select(normalize_product(F.col("pv"), no_variants, API_BASE).alias("raw"),
+    raw = views.select(once(normalize_product(F.col("pv"), no_variants, API_BASE)).alias("raw"),
                        source_url(F.col("pv"), API_BASE).alias("_src"))
     raw = raw.select("raw", F.coalesce(F.col("raw.url"), F.col("_src")).alias("src"))
     # the normaliser and the transform are planned one by one (see page_crawl)
-    raw = raw.select("src", F.explode(F.array("raw")).alias("raw"))
-    t = raw.select(transform_product(F.col("raw"), F.col("src")).alias("t")).select("t.product")
+    t = raw.select(once(transform_product(F.col("raw"), F.col("src"))).alias("t")).select("t.product")
     p = F.col("product")
     return t.filter(p.isNotNull()).select(
         p["sku"].alias("sku"), p["path"].alias("path"), p["name"].alias("name"), p["description"].alias("description"),
@@ -162,11 +162,10 @@ def api_complex(spark, sf_dir):
     from ..operators.api import normalize_product, source_url
     from ..operators.transform import transform_product
     views = S.api_complex_views(spark, sf_dir)
-    raw = views.select(normalize_product(F.col("pv"), F.col("variants"), API_BASE).alias("raw"),
+    raw = views.select(once(normalize_product(F.col("pv"), F.col("variants"), API_BASE)).alias("raw"),
                        source_url(F.col("pv"), API_BASE).alias("_src"))
     raw = raw.select("raw", F.coalesce(F.col("raw.url"), F.col("_src")).alias("src"))
-    raw = raw.select("src", F.explode(F.array("raw")).alias("raw"))
-    t = raw.select(transform_product(F.col("raw"), F.col("src")).alias("t")).select("t.product")
+    t = raw.select(once(transform_product(F.col("raw"), F.col("src"))).alias("t")).select("t.product")
     v = t.filter(F.col("product").isNotNull()).select(
         F.col("product.sku").alias("sku"), F.col("product.path").alias("path"), F.explode("product.variants").alias("v"))
     return v.select("sku", "path", F.col("v.sku").alias("variant_sku"),
