@@ -20,6 +20,17 @@ def part_word(i: int):
     return F.split(F.col("p_name"), " ").getItem(i)
 
 
+#: Parts to a task where a page or a record is rendered and read for each.
+PARTS_A_TASK = 10_000
+
+
+def _parts(spark, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of ``part`` in tasks of about ``PARTS_A_TASK`` rows: its file is
+    small for its rows, so a scan has few tasks, whatever is done for each row."""
+    part = read_table(spark, sf_dir, "part").select(*columns)
+    return part.repartition(-(-part.count() // PARTS_A_TASK) or 1)
+
+
 def part_products(spark, sf_dir: str) -> DataFrame:
     """Product records (PRODUCT subset) for every part."""
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size",
@@ -98,7 +109,7 @@ def jsonld_pages(spark, sf_dir: str) -> DataFrame:
     """One product page per part with a schema.org JSON-LD block (rendered
     with ``to_json``) and a plain <h1>; no values are precomputed for the
     extractor, which has to parse the page and the JSON."""
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
+    part = _parts(spark, sf_dir, "p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
     k = F.col("p_partkey").cast("string")
     doc = F.struct(
         F.lit("https://schema.org").alias("@context"), F.lit("Product").alias("@type"),
@@ -122,7 +133,7 @@ def jsonld_pages(spark, sf_dir: str) -> DataFrame:
 def api_simple_views(spark, sf_dir: str) -> DataFrame:
     """SimpleProductView records (schemas.API_PRODUCT) for every part."""
     from ..schemas import API_PRODUCT
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
+    part = _parts(spark, sf_dir, "p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
     k = F.col("p_partkey").cast("string")
     money = lambda v: F.struct(F.struct(v.alias("value"), F.lit("USD").alias("currency")).alias("amount"))  # noqa
     price = F.col("p_retailprice").cast("decimal(18,2)")
@@ -286,7 +297,7 @@ def shopify_pages(spark, sf_dir: str) -> DataFrame:
 def mixed_pages(spark, sf_dir: str) -> DataFrame:
     """Pages with HTML product fields for every part and, for even keys, a
     partial JSON-LD block (name, offer price/currency, image)."""
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice")
+    part = _parts(spark, sf_dir, "p_partkey", "p_name", "p_brand", "p_retailprice")
     k = F.col("p_partkey").cast("string")
     doc = F.struct(F.lit("Product").alias("@type"), F.col("p_name").alias("name"),
                    F.struct(F.col("p_retailprice").alias("price"), F.lit("EUR").alias("priceCurrency")).alias("offers"),
@@ -309,7 +320,7 @@ def shop_pages(spark, sf_dir: str) -> DataFrame:
     """Pages of five shops, one on each platform: a homepage with the platform's
     mark, and a product page for each part in the platform's markup, below a
     heading that is not the product's."""
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    part = _parts(spark, sf_dir, "p_partkey", "p_name", "p_retailprice")
     shop = F.col("p_partkey") % 5
     price = F.concat(F.lit("$"), F.col("p_retailprice").cast("decimal(12,2)").cast("string"))
 
@@ -408,7 +419,7 @@ def troubled_pages(spark, sf_dir: str) -> DataFrame:
     """A page for each part, in eight turns: sale price; soft 404 by title;
     soft 404 by text; no name; unknown availability; a URL without a valid
     path; only a sale price; neither name nor SKU."""
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    part = _parts(spark, sf_dir, "p_partkey", "p_name", "p_retailprice")
     k, n = F.col("p_partkey") % 8, F.col("p_partkey").cast("string")
     price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
     has = lambda cond, *text: F.when(cond, F.concat(*[F.lit(t) if isinstance(t, str) else t for t in text])).otherwise(F.lit(""))
