@@ -180,13 +180,20 @@ _TURN = pa.schema([("turn", pa.int64()), ("place", pa.int64()), ("layout", pa.st
                    ("role", pa.string()), ("text", pa.string())])
 
 
+def _slices(it: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that lists made of them stay small."""
+    for batch in it:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def canonical_turns(records: DataFrame, id_col: str = "conv_id", json_col: str = "record") -> DataFrame:
     """``conv_id, turn, place, layout, fingerprint, role, text`` of JSON records; a
     record without a mapping gives one row whose ``layout`` is null."""
     kind = records.schema[id_col].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in _slices(it):
             out: list[tuple] = []
             of: list[int] = []
             for at, raw in enumerate(batch.column(1).to_pylist()):
@@ -228,7 +235,7 @@ def formatted_turns(turns: DataFrame) -> DataFrame:
     kind = turns.schema["conv_id"].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in _slices(it):
             roles, texts = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             done = [mark_turn(r or "", t or "") for r, t in zip(roles, texts)]
             loss = [(s, n) if r == "assistant" else (None, 0) for r, (_, s, n) in zip(roles, done)]

@@ -10,7 +10,8 @@ last sequence that cannot be filled is closed at a power of two, which needs
 no padding.
 
 Every task packs its own documents in pools of ``pool`` pieces, so nothing is
-shuffled and memory is bounded by the pool; a task ends with at most
+shuffled and memory is bounded by the pool (a waiting piece holds its own ids,
+not its document's), the words remembered and an output batch; a task ends with at most
 ``log2(max_tokens)`` short sequences.  Rows depend only on the task's input
 rows, so a repeated task gives the same sequences.
 
@@ -36,6 +37,8 @@ END_ID = 2
 POOL = 2048
 #: Words a worker remembers in each of two generations.
 CACHE_WORDS = 300_000
+#: Bytes of ids of the documents in one output batch (one document may have more).
+FRAME_BYTES = 4 << 20
 
 
 class WordTokenizer:
@@ -227,10 +230,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         def frame(out: list[tuple], id_type) -> pa.RecordBatch:
             cols = [[p[0][0] for p in out], [p[1] for p in out], [p[2] for p in out],
-                    [p[0][1][4 * p[1]:4 * (p[1] + p[2])] for p in out], [len(p[0][1]) // 4 for p in out],
+                    [p[0][1][4 * (p[1] - p[0][3]):4 * (p[1] + p[2] - p[0][3])] for p in out], [p[0][2] for p in out],
                     [p[3] for p in out], [p[4] for p in out]]
             types = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+        pa.default_memory_pool().release_unused()  # of earlier tasks of this worker
         id_type = None
         out: list[tuple] = []
         held = 0
@@ -239,10 +243,14 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             for doc_id, text, bears in zip(batch.column(0), batch.column(1), batch.column(2)):
                 ids = tok.encode(text.as_py()) + end
                 held += len(ids)
-                out.extend(packer.add((doc_id.as_py(), ids), len(ids) // 4, bears.as_py()))
+                waiting, doc, n = len(packer.pool), doc_id.as_py(), len(ids) // 4
+                out.extend(packer.add((doc, ids, n, 0), n, bears.as_py()))
+                for k in range(waiting, len(packer.pool)):  # a piece waits without the rest of its document
+                    _, start, length, marked = packer.pool[k]
+                    packer.pool[k] = ((doc, ids[4 * start:4 * (start + length)], n, start), start, length, marked)
                 if len(packer.pool) >= pool:
                     out.extend(packer.drain(keep=pool // 4))
-                if len(out) >= 2000 or held > 1 << 24:
+                if len(out) >= 2000 or held > FRAME_BYTES:
                     if out:
                         yield frame(out, id_type)
                     out, held = [], 0

@@ -409,3 +409,10 @@ def test_held_out_is_the_contracts_remainder(spark):
     from shelfline.llm.queries import held_out
     got = spark.range(-5, 200).withColumnRenamed("id", "doc_id").select("doc_id", held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+
+
+def test_record_batches_are_cut_in_slices():
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"x": list(range(2500))})
+    parts = list(chat._slices(iter([batch, batch.slice(0, 0)])))
+    assert [p.num_rows for p in parts] == [1000, 1000, 500] and pa.Table.from_batches(parts).column(0).to_pylist() == list(range(2500))
