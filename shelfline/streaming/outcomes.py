@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
+_LOG = ["seq1", "seq2", "status", "error", "at", "ordinal"]
 _OUT = "url string, status string, error string, crawled_at long, ordinal long"
 #: The sequence number (two longs) of each part of the state, and its value.
 _STATE = ("found1 long, found2 long, ordinal long, last1 long, last2 long, status string, "
@@ -32,7 +33,7 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.D
         if old[0] is None or (seq < old if least else seq > old):
             held[at], held[at + 1], held[at + 2] = *seq, value
     for frame in frames:
-        for seq1, seq2, status, error, at, ordinal in frame[["seq1", "seq2", "status", "error", "at", "ordinal"]].itertuples(index=False):
+        for seq1, seq2, status, error, at, ordinal in zip(*(frame[c].tolist() for c in _LOG)):
             seq = (int(seq1), int(seq2))
             if status == "discovered":
                 keep(0, seq, int(ordinal), least=True)
@@ -44,8 +45,9 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.D
                 keep(9, seq, None if error is None or error != error else error)
     state.update(tuple(held))
     if held[0] is not None:
-        yield pd.DataFrame([(key[0], held[5] or "pending", held[11], held[8], held[2])],
-                           columns=["url", "status", "error", "crawled_at", "ordinal"]).astype({"crawled_at": "Int64", "ordinal": "Int64"})
+        # typed as they are made: casting a frame costs more than the rest of a key's work
+        yield pd.DataFrame({"url": [key[0]], "status": [held[5] or "pending"], "error": [held[11]],
+                            "crawled_at": pd.array([held[8]], "Int64"), "ordinal": pd.array([held[2]], "Int64")})
 
 
 def stream_outcomes(spark: SparkSession, source_dir: str, base: str, max_files: int | None = None) -> None:
