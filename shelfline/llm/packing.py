@@ -22,6 +22,8 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import struct
 from collections.abc import Iterator
 
@@ -118,6 +120,15 @@ class WordTokenizer:
         return b"".join(found)
 
 
+def release_memory() -> None:
+    """Give memory that is free back to the system, where it can be asked to."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
@@ -234,7 +245,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                     [p[3] for p in out], [p[4] for p in out]]
             types = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
-        pa.default_memory_pool().release_unused()  # of earlier tasks of this worker
+        release_memory()  # of earlier stages: a worker is used again and keeps what they freed
         id_type = None
         out: list[tuple] = []
         held = 0
