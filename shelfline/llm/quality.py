@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import by_bytes, lean
 from .suffixes import _BASE, _power_tables
 
 PASSAGE_WORDS = 64
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, label_col: str = "qualit
     one = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")) \
         .join(F.broadcast(drawn), F.col("doc") == F.col("_id")) \
         .select(F.col("_id").cast("string").alias("id"), F.col("_label").cast("double").alias("label"), "text")
-    rows = one.mapInArrow(encode, "id string, label double, x binary") \
+    rows = one.mapInArrow(lean(encode), "id string, label double, x binary") \
         .groupBy("id").agg(F.max("label").alias("label"), F.min("x").alias("x")).collect()  # at most ``sample`` rows
     rows.sort(key=lambda r: r["id"])
     bags = [np.frombuffer(r["x"], np.float16).reshape(-1, WIDTH).astype(np.float64) for r in rows]
@@ -231,4 +231,4 @@ def score(docs: DataFrame, model: AttentionModel, text_col: str = "text", score_
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())],
                                              [*batch.schema.names, score_col])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{score_col}` double")
+    return docs.mapInArrow(lean(run), f"{fields}, `{score_col}` double")

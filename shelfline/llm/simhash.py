@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_groups, batches, components, stored
+from .common import arrow_groups, batches, components, lean, stored
 
 SEGMENTS = 4
 SEED = 42
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) \
-        .mapInArrow(run, f"doc_id {kind}, fp bigint")
+        .mapInArrow(lean(run), f"doc_id {kind}, fp bigint")
 
 
 def _segments(fps: np.ndarray) -> np.ndarray:
@@ -178,7 +178,7 @@ def links(fps: DataFrame, max_bits: int = 3, bucket_rows: int = BUCKET_ROWS) ->
                 yield from batches({"a": a, "b": b}, _EDGES)
                 a, b = [], []
         yield from batches({"a": a, "b": b}, _EDGES)
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id",

@@ -171,3 +171,16 @@ def test_remove_repeats_keeps_columns_and_clean_texts(docs, rows):
 def test_empty(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
     assert suffixes.repeat_digest(no_docs).count() == 0
+
+
+def test_clean_texts_have_no_second_worker(spark):
+    docs = spark.createDataFrame([(i, f"{i} " * 200 + ("again " * 90 if i < 3 else "")) for i in range(30)], "doc_id long, text string")
+    out = suffixes.remove_repeats(docs, 400)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # of the texts that are joined and their copies: none beside the cut itself
+
+
+def test_lean_maps_yield_all_batches_and_free_memory(monkeypatch):
+    freed = []
+    monkeypatch.setattr(common, "release_memory", lambda: freed.append(1))
+    assert list(common.lean(lambda it: (x + 1 for x in it))([1, 2])) == [2, 3] and freed == [1]
