@@ -22,27 +22,53 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_bytes, lean, release_memory
+
 MAX_TOKENS = 4096
 MAX_SEGMENTS = 128
 END_ID = 2
 POOL = 2048
 #: Words a worker remembers in each of two generations.
 CACHE_WORDS = 300_000
+#: Bytes of the texts whose words are looked up at once (one text may have more).
+BATCH_BYTES = 2 << 20
 #: Bytes of ids of the documents in one output batch (one document may have more).
 FRAME_BYTES = 4 << 20
 
 
+class _Words(dict):
+    """Remembered words; one that is not here is asked for (``ask``)."""
+
+    def __init__(self, ask):
+        self.ask = ask
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.ask(word)
+
+
+class _Letters(dict):
+    """Pieces of letters by code point, for ``str.translate``; of a letter with
+    none or several: U+0000, which is in no piece of letters."""
+
+    def __init__(self, pieces):
+        self.pieces = pieces
+
+    def __missing__(self, code: int) -> str:
+        found = self.pieces(chr(code))
+        self[code] = found[0] if len(found) == 1 else "\0"
+        return self[code]
+
+
 class WordTokenizer:
     """Token ids of whole texts by a ``tokenizers`` file that never joins
     words over ASCII white space: each word is tokenized once and remembered."""
@@ -50,12 +76,14 @@ class WordTokenizer:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.young: dict[bytes, bytes] = {}
+        self.tokenize = self.tok.model.tokenize
+        self.packed = [struct.pack("<I", k) for k in range(self.tok.get_vocab_size())]
+        self.young: dict[bytes, bytes] = _Words(self._known)
         self.old: dict[bytes, bytes] = {}
-        self.letters: dict[str, str] = {}
         self.cache_words = cache_words
         pieces = lambda s: [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(s))]
         self.pieces = pieces
+        self.letters = _Letters(pieces)
         if self.ids("Two words") != self.ids("Two") + self.ids("words"):
             raise ValueError("the tokenizer joins words over white space")
         # what the fast ways below take for granted, asked of the tokenizer itself
@@ -72,61 +100,52 @@ class WordTokenizer:
             return self._tokens(word.lower().decode())
         text = word.decode("utf-8", "replace")
         if word[-1:] in self.tail and text[:-1].isalpha():
-            return self._known(word[:-1]) + self._known(word[-1:])
+            return self.young[word[:-1]] + self.young[word[-1:]]
         if self.ascii_words and text.isalpha() and max(text) < "\u0300":
             # letters without combining forms: the piece is the pieces of the letters
-            letters = [self.letters.get(c) or self._letter(c) for c in text]
-            if "" not in letters:
-                return self._tokens("".join(letters))
+            letters = text.translate(self.letters)
+            if "\0" not in letters:
+                return self._tokens(letters)
         if any(s in word for s in self.special):
             return self._bytes(self.ids(text))
-        return self._bytes([t.id for p in self.pieces(text) for t in self.tok.model.tokenize(p)])
-
-    def _letter(self, c: str) -> str:
-        found = self.pieces(c)
-        self.letters[c] = found[0] if len(found) == 1 else ""
-        return self.letters[c]
+        return self._bytes([t.id for p in self.pieces(text) for t in self.tokenize(p)])
 
     def _tokens(self, piece: str) -> bytes:
-        return self._bytes([t.id for t in self.tok.model.tokenize(piece)])
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(piece)])
 
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _bytes(self, ids: list[int]) -> bytes:
+        return b"".join([self.packed[k] for k in ids])
 
     def _known(self, word: bytes) -> bytes:
-        got = self.young.get(word)
+        """Of a word that is not in ``young``, where it is put."""
+        got = self.old.get(word)
         if got is None:
-            got = self.old.get(word)
-            if got is None:
-                got = self._word(word)
-            if len(self.young) >= self.cache_words:
-                self.old, self.young = self.young, {}
-            if len(word) <= 64:
-                self.young[word] = got
+            got = self._word(word)
+        young = self.young
+        if len(young) >= self.cache_words:  # the same dict goes on: a text may be in the middle of it
+            self.old.clear()
+            self.old.update(young)
+            young.clear()
+        if len(word) <= 64:
+            young[word] = got
         return got
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        data = (text or "").encode()
-        if self.lower and not any(s[:2] in data for s in self.special):
-            data = data.lower()
-        words = data.split()
-        get = self.young.get
-        found = [get(w) for w in words]
-        if None in found:
-            known = self._known
-            found = [known(w) if f is None else f for w, f in zip(words, found)]
-        return b"".join(found)
-
-
-def release_memory() -> None:
-    """Give memory that is free back to the system, where it can be asked to."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """``encode`` of each text; a word is looked up once for all of them."""
+        texts = pc.fill_null(texts, "")
+        if self.lower and not any(pc.any(pc.match_substring(texts, s[:2].decode())).as_py() for s in self.special):
+            texts = pc.ascii_lower(texts)
+        lists = pc.ascii_split_whitespace(texts)  # leaves empty words at the ends of a text
+        words = lists.flatten().dictionary_encode()
+        known = pa.array(map(self.young.__getitem__, words.dictionary.cast(pa.binary()).to_pylist()), pa.large_binary())
+        _, ends, data = known.take(words.indices).buffers()
+        cuts = np.frombuffer(ends, np.int64)[lists.offsets.to_numpy()].tolist() if data else [0] * (len(texts) + 1)
+        return [data[a:b].to_pybytes() if b > a else b"" for a, b in zip(cuts, cuts[1:])]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -172,13 +191,15 @@ class Packer:
         if len(self.pool) <= keep:
             return
         demand = np.array([(t, 1, t if loss else 0) for _, _, t, loss in self.pool], float)
+        share = demand / self.caps
         free = np.ones(len(demand), bool)
         left = len(demand)
         while left > keep:
             bin_, room, used = [], self.caps.copy(), 0
             while left and used < self.max_tokens and room[1] >= 1:
-                fits = free & (demand <= room).all(axis=1)
-                score = np.where(fits, (demand / self.caps) @ (room / self.caps), -1.0)
+                # a slot is left, so only tokens and loss decide
+                fits = free & (demand[:, 0] <= room[0]) & (demand[:, 2] <= room[2])
+                score = np.where(fits, share @ (room / self.caps), -1.0)
                 best = int(score.argmax())
                 last_slot = room[1] < 2
                 if score[best] < 0 or last_slot and demand[best, 0] < room[0]:
@@ -200,6 +221,7 @@ class Packer:
                 else:
                     self.pool[best] = (payload, start + take, length - take, loss)
                     demand[best] = (length - take, 1, length - take if loss else 0)
+                    share[best] = demand[best] / self.caps
             if used < self.max_tokens:  # close at a power of two; what is cut off goes back
                 spare = used - (1 << (used.bit_length() - 1))
                 while spare:
@@ -210,6 +232,7 @@ class Packer:
                         bin_.append((payload, start, length - back, loss))
                     self.pool.append((payload, start + length - back, back, loss))
                     demand = np.vstack([demand, (back, 1, back if loss else 0)])
+                    share = np.vstack([share, demand[-1] / self.caps])
                     free = np.append(free, True)
                     left += 1
             yield from self._emit(bin_)
@@ -249,10 +272,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         id_type = None
         out: list[tuple] = []
         held = 0
-        for batch in it:
+        for batch in by_bytes(it, 1, BATCH_BYTES):
             id_type = batch.schema.field(0).type
-            for doc_id, text, bears in zip(batch.column(0), batch.column(1), batch.column(2)):
-                ids = tok.encode(text.as_py()) + end
+            for doc_id, ids, bears in zip(batch.column(0), tok.encode_all(batch.column(1)), batch.column(2)):
+                ids += end
                 held += len(ids)
                 waiting, doc, n = len(packer.pool), doc_id.as_py(), len(ids) // 4
                 out.extend(packer.add((doc, ids, n, 0), n, bears.as_py()))
@@ -268,4 +291,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         out.extend(packer.drain())
         if out:
             yield frame(out, id_type)
-    return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"`{n}` {t}" for n, t in _ROW))
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, " + ", ".join(f"`{n}` {t}" for n, t in _ROW))

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from shelfline.llm import chat, langid, linefreq, mixing, packing, quality, triecount
@@ -416,3 +417,15 @@ def test_record_batches_are_cut_in_slices():
     batch = pa.RecordBatch.from_pydict({"x": list(range(2500))})
     parts = list(chat._slices(iter([batch, batch.slice(0, 0)])))
     assert [p.num_rows for p in parts] == [1000, 1000, 500] and pa.Table.from_batches(parts).column(0).to_pylist() == list(range(2500))
+
+
+def test_words_are_looked_up_once_for_all_texts():
+    tok = packing.WordTokenizer(TOKENS)
+    asked = []
+    ask = tok._word
+    tok._word = lambda word: asked.append(word) or ask(word)
+    texts = ["One two  two", None, "", " \tTWO one\x0b", "né, <|endoftext|> İx two!", "\x1c\xa0"]
+    ids = [tok.ids(t or "") for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tok.encode_all(pa.array(texts[:4]))] == ids[:4]
+    assert sorted(asked) == [b"", b"one", b"two"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tok.encode_all(pa.array(texts).slice(1))] == ids[1:]
