@@ -419,7 +419,8 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     texts = stored(each.join(trees.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("tkey").alias("tkey")), "texts")
 
     keyed = docs.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.unhex(F.md5(F.col(text_col))).alias("tkey"))
-    sets = stored(whole_sets(keyed, texts, shingle).join(texts, "tkey").select("cls", "n", "tokens").dropDuplicates(["cls"]), "whole")
+    sets = stored(whole_sets(keyed, texts, shingle).join(texts, "tkey").dropDuplicates(["tkey"])
+                  .select("cls", "n", "tokens"), "whole")  # one text of each class, copies already lie side by side
     release(texts)
 
     # the first two trees of each set, then those whose points still hold two components
