@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,16 +51,16 @@ def word_capitalize(c) -> Column:
     """JS ``s.replace(/\\b\\w/g, u => u.toUpperCase())``: upper-case every ASCII
     letter that starts a word (previous char not in ``[A-Za-z0-9_]``); other
     letters keep their case."""
-    chars = F.split(col_(c), "")
-    fixed = F.transform(
-        chars,
-        lambda ch, i: F.when(
-            ch.rlike("^[a-z]$")
-            & ((i == 0) | ~F.coalesce(F.get(chars, i - 1), F.lit("")).rlike("^[A-Za-z0-9_]$")),
-            F.upper(ch),
-        ).otherwise(ch),
-    )
-    return F.when(col_(c).isNull(), None).otherwise(F.array_join(fixed, ""))
+    def fixed(chars):
+        return F.transform(
+            chars,
+            lambda ch, i: F.when(
+                ch.rlike("^[a-z]$")
+                & ((i == 0) | ~F.coalesce(F.get(chars, i - 1), F.lit("")).rlike("^[A-Za-z0-9_]$")),
+                F.upper(ch),
+            ).otherwise(ch),
+        )
+    return let(c, lambda x: F.when(x.isNotNull(), F.array_join(let(F.split(x, ""), fixed), "")))
 
 
 def capitalize_first(c) -> Column:
@@ -79,24 +83,39 @@ def once(value) -> Column:
     return F.explode(F.array(col_(value)))
 
 
+def _tagged(items: Column, key, sign: int = 1) -> tuple[Column, Callable]:
+    """``items`` as structs (keys, place ``i``, element ``x``) sorted by key and
+    place, and a test of two of them for the same key.  Keys are fields of their
+    own: comparing nested structs is several times slower."""
+    def tag(x, i):
+        keys = key(x)
+        keys = keys if isinstance(keys, tuple) else (keys,)
+        names.extend(f"k{n}" for n in range(len(names), len(keys)))
+        return F.struct(*[k.alias(name) for k, name in zip(keys, names)], (i * sign).alias("i"), x.alias("x"))
+    names: list[str] = []
+    tagged = F.sort_array(F.transform(items, tag))
+    return tagged, lambda a, b: reduce(and_, [a[name].eqNullSafe(b[name]) for name in names])
+
+
 def first_and_last(items: Column, key) -> Column:
-    """A struct (``first``, ``last``) of elements for each ``key(element)``, in the
-    order of the first ones.  Sorted by key and place, so the work grows with
-    n log n, not with the square of the list."""
+    """A struct (``first``, ``last``) of elements for each ``key(element)`` (a
+    column or a tuple of them), in the order of the first ones.  Sorted by key
+    and place, so the work grows with n log n, not with the square of the list."""
+    tagged, same = _tagged(items, key)
+
     def ends(t):
-        first = F.filter(t, lambda x, i: (i == 0) | ~F.get(t, i - 1)["k"].eqNullSafe(x["k"]))
-        last = F.filter(t, lambda x, i: (i == F.size(t) - 1) | ~F.get(t, i + 1)["k"].eqNullSafe(x["k"]))
+        first = F.filter(t, lambda x, i: (i == 0) | ~same(F.get(t, i - 1), x))
+        last = F.filter(t, lambda x, i: (i == F.size(t) - 1) | ~same(F.get(t, i + 1), x))
         return F.zip_with(first, last, lambda a, b: F.struct(a["i"].alias("i"), a["x"].alias("first"), b["x"].alias("last")))
-    tagged = F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
     return F.transform(F.sort_array(let(tagged, ends)), lambda x: F.struct(x["first"], x["last"]))
 
 
 def keep_one(items: Column, key, last: bool = False) -> Column:
-    """``items`` with one element for each ``key(element)``, the first (or
-    ``last``), in the order of the elements kept.  Sorted by key and place, so
-    the work grows with n log n, not with the square of the list."""
+    """``items`` with one element for each ``key(element)`` (a column or a tuple
+    of them), the first (or ``last``), in the order of the elements kept.  Sorted
+    by key and place, so the work grows with n log n, not with the square of the list."""
     sign = -1 if last else 1
-    tagged = F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), (i * sign).alias("i"), x.alias("x"))))
-    kept = let(tagged, lambda t: F.filter(t, lambda x, i: (i == 0) | ~F.get(t, i - 1)["k"].eqNullSafe(x["k"])))
+    tagged, same = _tagged(items, key, sign)
+    kept = let(tagged, lambda t: F.filter(t, lambda x, i: (i == 0) | ~same(F.get(t, i - 1), x)))
     placed = F.sort_array(F.transform(kept, lambda x: F.struct((x["i"] * sign).alias("i"), x["x"].alias("x"))))
     return F.transform(placed, lambda x: x["x"])

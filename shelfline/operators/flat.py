@@ -160,7 +160,7 @@ def assemble_products(rows: DataFrame, ordinal_col: str = "_row") -> DataFrame:
                     F.filter(ends, lambda e: e["first"]["id"] == oid),
                     lambda e: F.struct(e["first"]["value"].alias("value"), F.nullif(e["last"]["uid"], F.lit("")).alias("uid"))).alias("values"))
             return F.transform(F.array_distinct(F.transform(ends, lambda e: e["first"]["id"])), build)
-        return let(first_and_last(pairs, lambda o: F.struct(o["id"], o["value"])), options)
+        return let(first_and_last(pairs, lambda o: (o["id"], o["value"])), options)
 
     out = parents.join(grouped, "sku", "left")
     vs = F.col("_vs")

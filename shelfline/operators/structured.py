@@ -1,11 +1,11 @@
 """E4-E13 schema.org products and E21-E22 embedded variant JSON, as columns.
 
 E0 leaves the texts of a page's JSON-LD scripts (and of its embedded variant
-JSON) as string arrays.  Here they are parsed to VARIANT and read by SQL
+JSON) as string arrays.  JSON-LD is parsed to VARIANT and read by SQL
 expressions, in stages: product node, offers and variants, product.  Between
 stages a one-row ``explode`` keeps the optimiser from merging the projections,
-so each stage is planned on its own; rows never leave their page, nothing
-shuffles and nothing runs in Python.
+so each stage is planned on its own; rows never leave their page and nothing
+shuffles.  Embedded variants are read by ``embedded`` in Python.
 
 Scalars follow JavaScript: ``truthy`` is its test, ``text`` its ``String()``.
 Expressions are built as SQL text; ``bind`` names a value that is used more
@@ -14,12 +14,16 @@ than once, so no sub-expression is copied.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ..schemas import IMAGE, OPTION, PRICE, RATING, VARIANT
+from .embedded import VARIANTS, read_batches
 
 # --- fixed values ------------------------------------------------------------
 GTIN_KEYS = ["gtin", "gtin13", "gtin12", "gtin8", "gtin14"]
@@ -191,27 +195,29 @@ def product_node(scripts: str) -> str:
     return bind(f"get({found}, 0)", lambda n: f"if(is_variant_null({n}), NULL, {n})")
 
 
-def _staged(df: DataFrame, **columns: str) -> DataFrame:
-    """Add columns behind a generator, which the optimiser does not merge."""
+def _staged(df: DataFrame, given: str = "true", **columns: str) -> DataFrame:
+    """Add columns behind a generator, which the optimiser does not merge; they
+    are NULL, and not worked out, where ``given`` is not true."""
     packed = ", ".join(f"'{k}', {v}" for k, v in columns.items())
-    return df.select("*", F.explode(F.expr(f"array(named_struct({packed}))")).alias("_s")) \
+    return df.select("*", F.explode(F.expr(f"array(if({given}, named_struct({packed}), NULL))")).alias("_s")) \
         .select("*", *[F.col(f"_s.{k}").alias(k) for k in columns]).drop("_s")
 
 
 def with_jsonld(df: DataFrame, scripts: str = "scripts", out: str = "jsonld") -> DataFrame:
     """Adds the raw product ``out`` (NULL without one); drops ``scripts``."""
-    df = _staged(df, _node=product_node(scripts)).drop(scripts)
+    df = _staged(df, f"size({scripts}) > 0", _node=product_node(scripts)).drop(scripts)
+    there = "_node IS NOT NULL"
     entries = bind(truthy(at("_node", "hasVariant")), lambda h: f"if({h} IS NULL, cast(array() AS array<variant>), {items(h)})")
-    df = _staged(df, _offered=offer_items(at("_node", "offers")), _entries=entries, _images=images(at("_node", "image")),
+    df = _staged(df, there, _offered=offer_items(at("_node", "offers")), _entries=entries, _images=images(at("_node", "image")),
                  _name=trimmed(told(at("_node", "name"))))
-    df = _staged(df, _offers=f"transform(_offered, o -> {offer('o')})",
+    df = _staged(df, there, _offers=f"transform(_offered, o -> {offer('o')})",
                  _firsts=f"transform(_entries, v -> get({offer_items(at('v', 'offers'))}, 0))")
     # One entry of hasVariant, by part; position joins the parts
     ids = ", ".join(trimmed(told(at("v", k))) for k in ("sku", "productID", "identifier"))
-    df = _staged(df, _entry_offer=f"transform(_firsts, o -> {offer('o')})", _entry_text=(
+    df = _staged(df, there, _entry_offer=f"transform(_firsts, o -> {offer('o')})", _entry_text=(
         f"transform(_entries, v -> named_struct('sku', coalesce({ids}, ''), 'name', coalesce({trimmed(told(at('v', 'name')))}, ''), "
         f"'url', {trimmed(told(at('v', 'url')))}, 'availability', {bare(at('v', 'availability'))}))"))
-    df = _staged(df, _entry_images=f"transform(_entries, v -> {images(at('v', 'image'))})",
+    df = _staged(df, there, _entry_images=f"transform(_entries, v -> {images(at('v', 'image'))})",
                  _entry_options=f"transform(_entries, v -> {options('v')})",
                  _entry_price=f"transform(_entries, v -> {_price(told(at('v', 'priceCurrency')), text(at('v', 'price')))})")
     models = "transform(_entry_text, (t, i) -> " + struct(
@@ -222,7 +228,7 @@ def with_jsonld(df: DataFrame, scripts: str = "scripts", out: str = "jsonld") ->
     sold = "transform(_offers, o -> " + struct(
         VARIANT, sku="coalesce(o.sku, '')", name="coalesce(o.name, _name, '')", url="coalesce(o.url, '')",
         images="if(size(o.images) > 0, o.images, _images)", price="o.price", availability="o.availability") + ")"
-    df = _staged(df, _models=models, _sold=f"if(size(_offers) > 1, {sold}, NULL)")
+    df = _staged(df, there, _models=models, _sold=f"if(size(_offers) > 1, {sold}, NULL)")
     rating = bind(truthy(at("_node", "aggregateRating")), lambda r: f"if({r} IS NULL, NULL, " + struct(
         RATING, ratingValue=text(at(r, "ratingValue")), bestRating=text(at(r, "bestRating")), worstRating=text(at(r, "worstRating")),
         reviewCount=f"coalesce({told(at(r, 'reviewCount'))}, {text(at(r, 'ratingCount'))}, {text(at(r, 'reviewCount'))})") + ")")
@@ -239,60 +245,18 @@ def with_jsonld(df: DataFrame, scripts: str = "scripts", out: str = "jsonld") ->
         "itemCondition": f"{one}.itemCondition", "price": f"coalesce({one}.price, get(_models, 0).price)", "images": "_images",
         "aggregateRating": rating, "variants": variants}
     packed = ", ".join(f"'{k}', {v}" for k, v in fields.items())
-    df = _staged(df, **{out: f"if(_node IS NULL, NULL, named_struct({packed}))"})
+    df = _staged(df, **{out: f"if({there}, named_struct({packed}), NULL)"})
     return df.drop("_node", "_offered", "_offers", "_entries", "_firsts", "_entry_offer", "_entry_text", "_entry_images",
                    "_entry_options", "_entry_price", "_models", "_images", "_name", "_sold")
 
 
-def _cents(v: str) -> str:
-    """Hundredths of a number with two decimals, as ``(n / 100).toFixed(2)``: the
-    quotient is a double, and its exact value (product and remainder of the
-    multiplication by 100) decides near the half."""
-    def fixed(c):
-        def exact(x):  # x: c / 100
-            high = bind(f"134217729D * {x}", lambda s: f"({s} - ({s} - {x}))")
-            return bind(high, lambda h: bind(f"{x} * 100D", lambda p: (
-                f"(({p} - (floor({c}) + 0.5D)) + (({h} * 100D - {p}) + ({x} - {h}) * 100D))")))
-        n = f"cast(floor({c}) AS bigint)"
-        up = bind(f"{c} / 100D", exact)
-        return bind(f"{n} + if({up} < 0, 0, 1)", lambda k: (
-            f"concat(if({k} < 0, '-', ''), cast(abs({k}) div 100 AS string), '.', lpad(cast(abs({k}) % 100 AS string), 2, '0'))"))
-    return bind(v, lambda x: bind(_kind(x), lambda k: (
-        f"CASE WHEN {x} IS NULL OR {k} = 'VOI' THEN NULL WHEN {k} IN ('STR', 'BOO', 'OBJ', 'ARR') THEN {text(x)} "
-        f"ELSE {bind(f'''try_variant_get({x}, '$', 'double')''', fixed)} END")))
-
-
-def _embedded_variant(v: str, product: str) -> str:
-    """One variant of an embedded product."""
-    main = told(at(v, "featured_image.src"))
-    by_id = bind(f"get(filter(coalesce(try_variant_get({product}, '$.images', 'array<variant>'), cast(array() AS array<variant>)), "
-                 f"i -> {text(at('i', 'id'))} = {text(at(v, 'image_id'))}), 0)",
-                 lambda i: f"if({i} IS NULL, NULL, coalesce({told(at(i, 'src'))}, {told(at(i, 'url'))}, ''))")
-    image = bind(f"coalesce({main}, if({truthy(at(v, 'image_id'))} IS NULL, NULL, {by_id}))",
-                 lambda u: f"if({u} IS NULL, {_array(IMAGE)}, array({struct(IMAGE, url=u)}))")
-    named = lambda k: f"coalesce(nullif(lower({told(at(product, f'options[{k}].name'))}), ''), 'option{k + 1}')"
-    choices = "filter(array(" + ", ".join(
-        struct(OPTION, id=named(k), value=told(at(v, f"option{k + 1}"))) for k in range(3)) + "), x -> x.value IS NOT NULL)"
-    regular = bind(truthy(at(v, "compare_at_price")), lambda c: _cents(c))
-    price = f"if({text(at(v, 'price'))} IS NULL, NULL, {struct(PRICE, final=_cents(at(v, 'price')), regular=regular)})"
-    available = f"try_variant_get({v}, '$.available', 'boolean')"
-    return struct(
-        VARIANT, sku=f"coalesce({told(at(v, 'sku'))}, {told(at(v, 'id'))}, '')",
-        name=f"coalesce({told(at(v, 'title'))}, {told(at(v, 'name'))}, '')", url=f"coalesce({told(at(v, 'url'))}, '')",
-        images=image, price=price, options=bind(choices, lambda c: f"if(size({c}) > 0, {c}, NULL)"),
-        availability=f"CASE WHEN {_kind(at(v, 'available'))} <> 'BOO' THEN NULL WHEN {available} THEN 'InStock' "
-                     f"WHEN NOT {available} THEN 'OutOfStock' END")
-
-
 def with_embedded(df: DataFrame, texts: str = "variant_texts", out: str = "embedded") -> DataFrame:
     """Adds the variants ``out`` of the first text that has any, all of
-    them; drops ``texts``."""
-    def product_of(d):
-        return bind(f"coalesce({truthy(at(d, 'product'))}, {d})", lambda p: (
-            f"named_struct('p', {p}, 'v', coalesce(try_variant_get(coalesce({truthy(at(p, 'variants'))}, {d}), '$', 'array<variant>'), "
-            "cast(array() AS array<variant>)))"))
-    df = _staged(df, _sources=f"filter(transform({texts}, t -> {bind('try_parse_json(t)', product_of)}), s -> size(s.v) > 0)").drop(texts)
-    lists = ("transform(_sources, s -> transform(filter(s.v, v -> v IS NOT NULL AND NOT is_variant_null(v)), v -> "
-             + _embedded_variant("v", "s.p") + "))")
-    df = _staged(df, **{out: f"get(filter({lists}, l -> size(l) > 0), 0)"})
-    return df.drop("_sources")
+    them; drops ``texts``.  They are read in Arrow batches (``embedded``): the
+    texts go to Python and the variants come back, no other column does."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    kind = to_arrow_type(VARIANTS)
+
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return read_batches(batches, kind)
+    return df.select("*", once(F.arrow_udf(read, VARIANTS)(F.col(texts))).alias(out)).drop(texts)

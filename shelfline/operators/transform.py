@@ -81,7 +81,7 @@ def top_level_options(variants: Column) -> Column:
             return let(F.filter(first, lambda o: o["id"] == oid), option)
         return F.transform(F.array_distinct(F.transform(first, lambda o: o["id"])), build)
 
-    opts = let(keep_one(keyed, lambda o: F.struct(o["id"], o["value"])), options)
+    opts = let(keep_one(keyed, lambda o: (o["id"], o["value"])), options)
     return let(opts, lambda o: F.when(F.size(o) > 0, o)).cast(f"array<{TOP_OPTION.simpleString()}>")
 
 

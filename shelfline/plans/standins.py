@@ -23,6 +23,9 @@ def part_word(i: int):
 #: Parts to a task where a page or a record is rendered and read for each.
 PARTS_A_TASK = 10_000
 
+#: Lines to a task where a page or a product is rendered from the lines of a part.
+LINES_A_TASK = 100_000
+
 
 def _parts(spark, sf_dir: str, *columns: str) -> DataFrame:
     """Columns of ``part`` in tasks of about ``PARTS_A_TASK`` rows: its file is
@@ -80,6 +83,18 @@ def lineitem_variants(spark, sf_dir: str) -> DataFrame:
                     "l_partkey", "l_suppkey")
 
 
+def _pairs_by_part(spark, sf_dir: str) -> DataFrame:
+    """Distinct (part, supplier) pairs of lineitem with their representative
+    line ``r`` (as ``lineitem_variants``), for builders that gather the pairs of
+    a part: lines are dealt by part over tasks of about ``LINES_A_TASK``, so
+    pairs, join and lists need one shuffle."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                                      "l_returnflag")
+    tasks = -(-li.count() // LINES_A_TASK) or 1
+    return li.filter(F.col("l_partkey").isNotNull()).repartition(tasks, "l_partkey").groupBy("l_partkey", "l_suppkey").agg(
+        F.min_by(F.struct("l_linenumber", "l_returnflag"), F.struct("l_orderkey", "l_linenumber")).alias("r"))
+
+
 def robots_files(spark, sf_dir: str) -> DataFrame:
     """One robots.txt per site origin found in pages."""
     from ..functions.urls import url_origin
@@ -259,10 +274,7 @@ def listing_pages(spark, sf_dir: str) -> DataFrame:
 def shopify_pages(spark, sf_dir: str) -> DataFrame:
     """Product pages carrying Shopify-style embedded product JSON (variants
     priced in cents, image by id) rendered from part and lineitem pairs."""
-    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                                                      "l_returnflag")
-    pairs = li.groupBy("l_partkey", "l_suppkey").agg(
-        F.min_by(F.struct("l_linenumber", "l_returnflag"), F.struct("l_orderkey", "l_linenumber")).alias("r"))
+    pairs = _pairs_by_part(spark, sf_dir)
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     j = pairs.join(part, pairs.l_partkey == part.p_partkey)
     k, s = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
