@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import capitalize_first, first_and_last, let
@@ -29,7 +29,7 @@ def _chunks(images: Column, n: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.coalesce(F.size(images), F.lit(0)) / n) - 1, F.lit(0)).cast("int")))
 
 
-def _rows(df: DataFrame, kind: str, images: Column, n: int, keys: list[Column], values: dict[str, Column]) -> DataFrame:
+def _rows(df: DataFrame, kind: Column, images: Column, n: int, keys: list[Column], values: dict[str, Column]) -> DataFrame:
     """A row of ``values`` for each row of ``df``, and an ``images`` row (its
     number in ``name``) for each ``n`` images more."""
     split = df.select("*", _chunks(images, n).alias("_chunk"))
@@ -37,34 +37,55 @@ def _rows(df: DataFrame, kind: str, images: Column, n: int, keys: list[Column],
     only = lambda c: F.when(main, _s(c)).otherwise(F.lit(""))
     shown = {c: only(v) for c, v in values.items()}
     shown["name"] = F.when(main, _s(values["name"])).otherwise(F.col("_chunk").cast("string"))
-    cols = {"type": F.when(main, F.lit(kind)).otherwise(F.lit("images")), **{k: _s(c) for k, c in zip(("sku", "parent_sku"), keys)}, **shown}
+    cols = {"type": F.when(main, kind).otherwise(F.lit("images")), **{k: _s(c) for k, c in zip(("sku", "parent_sku"), keys)}, **shown}
     here = F.slice(images, F.col("_chunk") * n + 1, F.lit(n))
     return split.select(*[c.alias(k) for k, c in cols.items()], *_image_cols(here, n)).select(*csv_columns(n))
 
 
-def parent_rows(products: DataFrame, images: int = NUM_IMAGE_COLS) -> DataFrame:
-    """X1 parent rows from products (PRODUCT shape)."""
+def _parent_values() -> dict[str, Column]:
     p = F.col
     none = F.lit("")
-    return _rows(products, "parent", p("images"), images, [p("sku"), none], {
+    return {
         "name": p("name"), "path": p("path"), "url": p("url"), "description": p("description"), "meta_title": p("metaTitle"),
         "meta_description": p("metaDescription"), "price_currency": p("price.currency"), "price_regular": p("price.regular"),
         "price_final": p("price.final"), "availability": p("availability"), "option_size": none, "option_color": none,
         "option_size_uid": none, "option_color_uid": none, "categories": F.array_join(p("custom.categories"), "|"),
-        "related": F.array_join(p("custom.related"), "|")})
+        "related": F.array_join(p("custom.related"), "|")}
 
 
-def variant_rows(variants: DataFrame, parent_sku_col: str = "parent_sku", variant_col: str = "v",
-                 images: int = NUM_IMAGE_COLS) -> DataFrame:
-    """X1 variant rows from the exploded variants table (parent_sku, v)."""
-    v = F.col(variant_col)
+def _variant_values(v: Column) -> dict[str, Column]:
     none = F.lit("")
-    return _rows(variants, "variant", v["images"], images, [v["sku"], F.col(parent_sku_col)], {
+    return {
         "name": v["name"], "path": none, "url": v["url"], "description": none, "meta_title": none, "meta_description": none,
         "price_currency": v["price"]["currency"], "price_regular": v["price"]["regular"], "price_final": v["price"]["final"],
         "availability": v["availability"], "option_size": _opt(v["options"], "size", "value"),
         "option_color": _opt(v["options"], "color", "value"), "option_size_uid": _opt(v["options"], "size", "uid"),
-        "option_color_uid": _opt(v["options"], "color", "uid"), "categories": none, "related": none})
+        "option_color_uid": _opt(v["options"], "color", "uid"), "categories": none, "related": none}
+
+
+def parent_rows(products: DataFrame, images: int = NUM_IMAGE_COLS) -> DataFrame:
+    """X1 parent rows from products (PRODUCT shape)."""
+    return _rows(products, F.lit("parent"), F.col("images"), images, [F.col("sku"), F.lit("")], _parent_values())
+
+
+def variant_rows(variants: DataFrame, parent_sku_col: str = "parent_sku", variant_col: str = "v",
+                 images: int = NUM_IMAGE_COLS) -> DataFrame:
+    """X1 variant rows from the exploded variants table (parent_sku, v)."""
+    v = F.col(variant_col)
+    return _rows(variants, F.lit("variant"), v["images"], images, [v["sku"], F.col(parent_sku_col)], _variant_values(v))
+
+
+def _product_rows(products: DataFrame, images: int) -> DataFrame:
+    """X1 rows from products with their ``variants``: each product's parent row
+    and then its variants in their order, in one pass over the products."""
+    kind = products.schema["variants"].dataType
+    entries = F.concat(F.array(F.lit(None).cast(kind.elementType)), F.coalesce("variants", F.array().cast(kind)))
+    rows = products.select("*", F.posexplode(entries).alias("_place", "_v"))
+    v, parent = F.col("_v"), F.col("_place") == 0
+    pick = lambda p, c: F.when(parent, p).otherwise(c)
+    own = _variant_values(v)
+    return _rows(rows, pick(F.lit("parent"), F.lit("variant")), pick(F.col("images"), v["images"]), images,
+                 [pick(F.col("sku"), v["sku"]), pick(F.lit(""), F.col("sku"))], {k: pick(p, own[k]) for k, p in _parent_values().items()})
 
 
 def flat_rows(products: DataFrame, variants: DataFrame | None = None, images: int = NUM_IMAGE_COLS) -> DataFrame:
@@ -73,11 +94,10 @@ def flat_rows(products: DataFrame, variants: DataFrame | None = None, images: in
     images follow in rows of type ``images`` with the SKUs of their row.
 
     ``variants`` is the exploded form (parent_sku, v, ordinal); when omitted
-    it is exploded from ``products.variants``.
+    the rows of ``products.variants`` follow each product's row.
     """
     if variants is None:
-        variants = products.select(F.col("sku").alias("parent_sku"),
-                                   F.posexplode("variants").alias("ordinal", "v"))
+        return _product_rows(products, images)
     return parent_rows(products, images).unionByName(variant_rows(variants, images=images)).select(*csv_columns(images))
 
 
@@ -90,12 +110,13 @@ def flat_counts(rows: DataFrame) -> DataFrame:
 MAX_RECORDS = 1_000_000
 
 
-def write_csv(rows: DataFrame, path: str, max_records: int = MAX_RECORDS) -> None:
+def write_csv(rows: DataFrame, path: str, max_records: int = MAX_RECORDS, compression: str = "none") -> None:
     """RFC 4180 CSV with header, quotes doubled, empty for NULL; a file has
-    at most ``max_records`` records."""
+    at most ``max_records`` records.  ``compression`` (as ``gzip``) is for files that
+    ``read_csv`` reads again, which does not split them anyway."""
     rows.write.mode("overwrite").option("maxRecordsPerFile", max_records).option("header", True).option("quote", '"') \
         .option("escape", '"').option("nullValue", "").option("emptyValue", "") \
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("compression", compression).csv(path)
 
 
 def read_csv(spark, path: str) -> DataFrame:
@@ -133,19 +154,34 @@ def assemble_products(rows: DataFrame, ordinal_col: str = "_row") -> DataFrame:
     # image rows of one SKU pair, in the order of their numbers
     more = rows.filter(F.col("type") == "images").groupBy("parent_sku", "sku").agg(F.flatten(F.transform(
         F.array_sort(F.collect_list(F.struct(F.col("name").cast("int").alias("n"), here.alias("i")))), lambda x: x["i"])).alias("_more"))
-    rows = rows.filter(F.col("type").isin("parent", "variant")).join(more, ["parent_sku", "sku"], "left")
     images = F.concat(here, F.coalesce("_more", F.array().cast(f"array<{IMAGE.simpleString()}>")))
-    parents = rows.filter(F.col("type") == "parent")
+    parents = rows.filter(F.col("type") == "parent").join(more, ["parent_sku", "sku"], "left")
+    # variants and their image rows meet where the variants of a parent are gathered, so these are shuffled once; the
+    # image rows of parents have a blank parent SKU and stay away, but for those that a variant without parent shares
+    orphans = rows.filter((F.col("type") == "variant") & (F.col("parent_sku") == "")) \
+        .select("parent_sku", "sku").distinct().withColumn("_orphan", F.lit(True))
+    theirs = more.join(orphans, ["parent_sku", "sku"], "left") \
+        .filter(((F.col("parent_sku") != "") | F.col("_orphan")) & F.col("sku").isNotNull()).drop("_orphan")
+    options = {"size": "option_size", "size_uid": "option_size_uid", "color": "option_color", "color_uid": "option_color_uid"}
     var = rows.filter(F.col("type") == "variant").select(
-        "parent_sku", F.col(ordinal_col).alias("_o"),
+        "parent_sku", "sku", F.col(ordinal_col).alias("_o"), here.alias("_here"), _price_from_row().alias("_price"),
+        "name", "url", "availability", *options.values(), F.lit(True).alias("_variant"))
+    pair = F.first("_more", True).over(Window.partitionBy("parent_sku", "sku"))
+    var = var.unionByName(theirs, allowMissingColumns=True).repartition("parent_sku").withColumn("_more", pair).filter("_variant")
+    images_of_variant = F.concat("_here", F.coalesce("_more", F.array().cast(f"array<{IMAGE.simpleString()}>")))
+    choice = [F.col(c).alias(k) for k, c in options.items()]
+    var = var.select(
+        "parent_sku", "_o",
         F.struct(F.col("sku"), F.col("name"), F.when(F.col("url") != "", F.col("url")).alias("url"),
-                 F.when(F.size(images) > 0, images).alias("images"),
-                 _price_from_row().alias("price"),
-                 F.when(F.col("availability") != "", F.col("availability")).alias("availability"),
-                 F.col("option_size").alias("size"), F.col("option_size_uid").alias("size_uid"),
-                 F.col("option_color").alias("color"), F.col("option_color_uid").alias("color_uid")).alias("v"))
-    grouped = var.groupBy(F.col("parent_sku").alias("sku")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_o", "v"))), lambda x: x["v"]).alias("_vs"))
+                 F.when(F.size(images_of_variant) > 0, images_of_variant).alias("images"),
+                 F.col("_price").alias("price"),
+                 F.when(F.col("availability") != "", F.col("availability")).alias("availability"), *choice).alias("v"),
+        F.struct(*choice).alias("c"))
+
+    def in_order(c):
+        return F.transform(F.sort_array(F.collect_list(F.struct("_o", c))), lambda x: x[c])
+    # two lists, so a plan that asks for the options only does not move the rest
+    grouped = var.groupBy(F.col("parent_sku").alias("sku")).agg(in_order("v").alias("_vs"), in_order("c").alias("_cs"))
 
     def opts_of(vs):
         pairs = F.flatten(F.transform(vs, lambda v: F.filter(F.array(
@@ -182,7 +218,7 @@ def assemble_products(rows: DataFrame, ordinal_col: str = "_row") -> DataFrame:
         F.when(F.col("availability") != "", F.col("availability")).alias("availability"),
         F.when(F.size(images) > 0, images).alias("images"),
         F.when(F.size(vs) > 0, variants).alias("variants"),
-        F.when(F.size(vs) > 0, opts_of(vs)).alias("options"),
+        F.when(F.size("_cs") > 0, opts_of(F.col("_cs"))).alias("options"),
         F.when((F.col("categories") != "") | (F.col("related") != ""), F.struct(
             F.when(F.col("categories") != "", F.filter(F.split("categories", r"\|"), lambda x: x != "")).alias("categories"),
             F.when(F.col("related") != "", F.filter(F.split("related", r"\|"), lambda x: x != "")).alias("related"),

@@ -7,7 +7,7 @@ the operator's work.  They read whole tables, so the work grows with them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import product_path
@@ -34,10 +34,15 @@ def _parts(spark, sf_dir: str, *columns: str) -> DataFrame:
     return part.repartition(-(-part.count() // PARTS_A_TASK) or 1)
 
 
+PRODUCT_COLUMNS = ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+
+
 def part_products(spark, sf_dir: str) -> DataFrame:
     """Product records (PRODUCT subset) for every part."""
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size",
-                                                    "p_retailprice")
+    return _products(read_table(spark, sf_dir, "part").select(*PRODUCT_COLUMNS))
+
+
+def _products(part: DataFrame, *more: Column) -> DataFrame:
     url = F.concat(F.lit(STORE + "/"), part_word(1), F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".html"))
     return part.select(
         "p_partkey", "p_name", "p_type", "p_size", "p_retailprice",
@@ -50,7 +55,26 @@ def part_products(spark, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("metaTitle"),
         F.lit(None).cast("string").alias("metaDescription"),
         F.lit(None).cast("array<struct<url:string,label:string,roles:array<string>>>").alias("images"),
-        F.lit(None).cast("struct<categories:array<string>,related:array<string>>").alias("custom"))
+        F.lit(None).cast("struct<categories:array<string>,related:array<string>>").alias("custom"), *more)
+
+
+def _variant(part: Column, supplier: Column, line: Column) -> Column:
+    """Variant record of a (part, supplier) pair and its line, beside the part's columns."""
+    key, supp = part.cast("string"), supplier.cast("string")
+    avail = F.when(line["l_returnflag"] == "N", F.lit("InStock")) \
+        .when(line["l_returnflag"] == "A", F.lit("OutOfStock"))
+    return F.struct(
+        F.concat(F.lit("P-"), key, F.lit("-S-"), supp).alias("sku"),
+        F.col("p_name").alias("name"),
+        F.concat(F.lit(STORE + "/"), part_word(1), F.lit("/"), key, F.lit(".html?supplier="), supp).alias("url"),
+        F.lit(None).cast("array<struct<url:string,label:string,roles:array<string>>>").alias("images"),
+        F.struct(F.lit("USD").alias("currency"), F.lit(None).cast("string").alias("regular"),
+                 F.col("p_retailprice").cast("decimal(12,2)").cast("string").alias("final")).alias("price"),
+        avail.alias("availability"),
+        F.array(F.struct(F.lit("size").alias("id"), line["l_linenumber"].cast("string").alias("value"),
+                         F.concat(F.lit("S"), supp).alias("uid")),
+                F.struct(F.lit("color").alias("id"), part_word(0).alias("value"),
+                         F.concat(F.lit("C"), supp).alias("uid"))).alias("options"))
 
 
 def lineitem_variants(spark, sf_dir: str) -> DataFrame:
@@ -63,22 +87,7 @@ def lineitem_variants(spark, sf_dir: str) -> DataFrame:
         F.min_by(F.struct("l_linenumber", "l_returnflag"), F.struct("l_orderkey", "l_linenumber")).alias("r"))
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     j = pairs.join(part, pairs.l_partkey == part.p_partkey)
-    supp = F.col("l_suppkey").cast("string")
-    avail = F.when(F.col("r.l_returnflag") == "N", F.lit("InStock")) \
-        .when(F.col("r.l_returnflag") == "A", F.lit("OutOfStock"))
-    v = F.struct(
-        F.concat(F.lit("P-"), F.col("l_partkey").cast("string"), F.lit("-S-"), supp).alias("sku"),
-        F.col("p_name").alias("name"),
-        F.concat(F.lit(STORE + "/"), part_word(1), F.lit("/"), F.col("l_partkey").cast("string"),
-                 F.lit(".html?supplier="), supp).alias("url"),
-        F.lit(None).cast("array<struct<url:string,label:string,roles:array<string>>>").alias("images"),
-        F.struct(F.lit("USD").alias("currency"), F.lit(None).cast("string").alias("regular"),
-                 F.col("p_retailprice").cast("decimal(12,2)").cast("string").alias("final")).alias("price"),
-        avail.alias("availability"),
-        F.array(F.struct(F.lit("size").alias("id"), F.col("r.l_linenumber").cast("string").alias("value"),
-                         F.concat(F.lit("S"), supp).alias("uid")),
-                F.struct(F.lit("color").alias("id"), part_word(0).alias("value"),
-                         F.concat(F.lit("C"), supp).alias("uid"))).alias("options"))
+    v = _variant(F.col("l_partkey"), F.col("l_suppkey"), F.col("r"))
     return j.select(F.concat(F.lit("P-"), F.col("l_partkey").cast("string")).alias("parent_sku"), v.alias("v"),
                     "l_partkey", "l_suppkey")
 
@@ -95,6 +104,14 @@ def _pairs_by_part(spark, sf_dir: str) -> DataFrame:
         F.min_by(F.struct("l_linenumber", "l_returnflag"), F.struct("l_orderkey", "l_linenumber")).alias("r"))
 
 
+def products_with_variants(spark, sf_dir: str) -> DataFrame:
+    """``part_products`` with the records of ``lineitem_variants`` as ``variants``, in SKU order."""
+    lists = _pairs_by_part(spark, sf_dir).groupBy("l_partkey").agg(F.collect_list(F.struct("l_suppkey", "r")).alias("pairs"))
+    part = read_table(spark, sf_dir, "part").select(*PRODUCT_COLUMNS)
+    variants = F.transform("pairs", lambda x: _variant(F.col("p_partkey"), x["l_suppkey"], x["r"]))
+    return _products(part.join(lists, F.col("p_partkey") == F.col("l_partkey"), "left"), F.sort_array(variants).alias("variants"))
+
+
 def robots_files(spark, sf_dir: str) -> DataFrame:
     """One robots.txt per site origin found in pages."""
     from ..functions.urls import url_origin
